@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,12 +46,35 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application; they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = os.path.join(tempfile.mkdtemp(prefix="tallyshelf-"), f"{package.name}.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
+
+
+def arrow_pass(df: DataFrame, schema, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Runs work over the Arrow batches of df."""
+    ship(df.sparkSession)
+    return df.mapInArrow(work, schema)
+
+
 def text_pass(
     df: DataFrame, schema: str, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *columns: str
 ) -> DataFrame:
     """Runs work over Arrow batches of the named columns; the null text is the empty one."""
     cols = [F.coalesce(F.col("text"), F.lit("")).alias("text") if c == "text" else F.col(c) for c in columns]
-    return df.select(*cols).mapInArrow(work, schema)
+    return arrow_pass(df.select(*cols), schema, work)
 
 
 def utf8(column: pa.Array) -> list[bytes]:

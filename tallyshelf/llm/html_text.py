@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyshelf.llm.common import arrow_pass
+
 # Element names by role, as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -218,4 +220,4 @@ def extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages; nothing is shuffled."""
-    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(extract_batches, SCHEMA)
+    return arrow_pass(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")), SCHEMA, extract_batches)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshelf.llm.common import text_pass, utf8
+from tallyshelf.llm.common import arrow_pass, text_pass, utf8
 
 CLASSES, BINS, RANK, SAMPLE, NEIGHBOURS, BLOCK, THRESHOLD = 32, 32, 40, 4096, 24, 256, 0.3
 TERMS = CLASSES * CLASSES + BINS
@@ -167,4 +167,4 @@ def accepted(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFram
             s = scores(b.set_column(at, b.schema.field(at), texts), sent.value, at)
             yield b.filter(pa.array(s >= THRESHOLD))
 
-    return docs.mapInArrow(work, docs.schema)
+    return arrow_pass(docs, docs.schema, work)

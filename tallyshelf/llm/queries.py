@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshelf.llm import exact_dedup, html_text, quality, secret_scan, sharding
+from tallyshelf.llm import bpe, exact_dedup, html_text, quality, secret_scan, sharding, token_files
 from tallyshelf.llm.common import documents
 from tallyshelf.sources.tables import table
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies; a parameter of the operators, and no part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -53,3 +60,15 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
+@query()
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.fresh_path(spark)
+    token_files.write(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), path)
+    return token_files.digests(spark, path)
