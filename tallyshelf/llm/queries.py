@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshelf.llm import bpe, exact_dedup, html_text, quality, secret_scan, sharding, token_files
+from tallyshelf.llm import bpe, exact_dedup, html_text, ngram_join, quality, secret_scan, sharding, token_files
 from tallyshelf.llm.common import documents
 from tallyshelf.sources.tables import table
 
@@ -72,3 +72,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.fresh_path(spark)
     token_files.write(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), path)
     return token_files.digests(spark, path)
+
+
+@query()
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_components(documents(spark, sf_dir), n=4, percent=85).drop("key")
