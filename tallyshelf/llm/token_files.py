@@ -22,10 +22,13 @@ doc_id stand side by side, ordered by text; an empty table gives no blocks and n
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +39,11 @@ from pyspark.sql import functions as F
 from tallyshelf.llm.common import arrow_pass, scratch_folder, text_pass
 
 END_ID, FIRST_RULE = 0, 1 << 16
-BLOCK_IDS, ROUNDS, PER_ROUND, LEAST_COUNT = 1 << 19, 8, 4096, 4
-#: Chunks remembered between batches; above it the memory starts anew.
-REMEMBERED, AT_ONCE = 400_000, 500
+BLOCK_IDS, ROUNDS, PER_ROUND, LEAST_COUNT = 1 << 19, 4, 16384, 4
+#: Chunks remembered between batches, and texts encoded together.
+REMEMBERED, AT_ONCE = 1_200_000, 500
 NULL_ID = -(1 << 63)
 
-UNEVEN_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s$|\x01")
 CHUNK_BORDER = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -51,31 +53,53 @@ class ChunkEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library, self.known = Tokenizer.from_file(path), {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.library, self.known, self.older = Tokenizer.from_file(path), {}, {}
         self.library.no_truncation()
         self.library.no_padding()
         if self.library.get_vocab_size() > FIRST_RULE:
             raise ValueError("ids of this tokenizer reach into the rules")
+        (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
 
     @staticmethod
     def chunks(text: str) -> list[str]:
         """Pieces that join to the text and encode by themselves."""
-        if UNEVEN_SPACE.search(text) or "<|" in text:
-            return CHUNK_BORDER.split(text) if "<|" not in text else [text]
+        if "<|" in text:
+            return [text]
+        if "\x01" in text or " ".join(text.split()) != text.replace("\n", " "):  # runs or other kinds of white space
+            return CHUNK_BORDER.split(text)
         return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 
+    def learn(self, chunks: set[str]) -> None:
+        """Makes the chunks known: anew, or from the older half of the memory, which goes when the newer one is full."""
+        if 2 * len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        missing = chunks.difference(self.known)
+        self.known.update([(c, self.older[c]) for c in missing if c in self.older])
+        new = [c for c in missing if c not in self.older]
+        plain, odd = [], []
+        for c in new:
+            parts = c.split()
+            (plain if len(parts) == 1 and (c == parts[0] or c == " " + parts[0]) else odd).append(c)
+        for i in range(0, len(plain), 4096):  # many in one call: a line end encodes alone, and never together with its neighbours
+            part = plain[i : i + 4096]
+            ids = np.array(self.library.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
+            ends = [*(np.flatnonzero(ids == self.line_end) * 4).tolist(), len(ids) * 4]
+            starts, raw = [0, *[e + 4 for e in ends[:-1]]], ids.tobytes()
+            self.known.update(zip(part, [raw[s:e] for s, e in zip(starts, ends, strict=True)], strict=True))
+        for c in odd:
+            self.known[c] = array("I", self.library.encode(c, add_special_tokens=False).ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids and the end id."""
         split = [self.chunks(t) if t else [] for t in texts]
-        new = [c for c in set().union(*split) if c not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set().union(*split))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
-        end = END_ID.to_bytes(4, "little")
-        return [np.frombuffer(b"".join([*[self.known[c] for c in chunks], end]), "<u4") for chunks in split]
+        flat = list(chain.from_iterable(split))
+        self.learn(set(flat))
+        ids, end, at, out = list(map(self.known.__getitem__, flat)), END_ID.to_bytes(4, "little"), 0, []
+        for chunks in split:
+            out.append(np.frombuffer(b"".join(ids[at : at + len(chunks)]) + end, "<u4"))
+            at += len(chunks)
+        return out
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -97,6 +121,13 @@ def alternate(hit: np.ndarray) -> np.ndarray:
     return at[(at - first) % 2 == 0]
 
 
+SLOT_BITS = 20
+
+
+def slots(pairs: np.ndarray) -> np.ndarray:
+    return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+
+
 def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rules, their expansion lengths, the symbols left, and the places after each document among them.
 
@@ -119,7 +150,9 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         chosen = np.sort(ordered[cut[often]])
         if not len(chosen):
             break
-        place = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
+        slot = np.zeros(1 << SLOT_BITS, np.int32)  # of two pairs that share a slot, one waits for a later round
+        slot[slots(chosen)] = np.arange(len(chosen))
+        place = slot[slots(pairs)]
         at = alternate(chosen[place] == pairs)
         used, which = np.unique(place[at], return_inverse=True)
         made = np.stack([chosen[used] >> 32, chosen[used] & 0xFFFFFFFF], 1)
