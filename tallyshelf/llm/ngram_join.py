@@ -2,18 +2,24 @@
 
 A document's set is its distinct word n-grams as 64-bit hashes; the hashes' order is the global n-gram
 order. That order is cut into m fragments. Sets of at most ``hi`` elements that are similar enough differ
-in at most k elements, so with m > k fragments they agree wholly on m - k of them. Every set therefore
-leaves one signature per fragment, and only sets that share a signature can be linked: no link is lost,
-and sets that merely share a passage do not meet, since a fragment of the hash order takes in n-grams from
-all over the text. m follows from the size class of a pair's larger set; a set also leaves signatures in
-the next class where a larger partner may be. Empty fragments agree without saying anything: they leave
-signatures only in sets with m - k or more of them, and only such sets can agree on nothing else.
-
-Sets that share signatures, directly or through others, form families. Within a family overlaps are
-counted fragment by fragment: the membership matrix of a fragment times its transpose adds the partial
-overlaps of every pair to the sums of the others. A family with many sets is cut into blocks, and every
-pair of blocks is a piece of work of its own, with bounded memory. Of the links a piece finds it returns
-a spanning forest, so that what leaves it grows with the sets and not with the pairs.
+in at most k elements, so with m = k + 1 + c fragments they agree wholly on c + 1 of them or more. Every set
+therefore leaves one signature per fragment, and only sets that share signatures can be linked. m follows
+from the size class of a pair's larger set; a set also leaves signatures in the next class where a larger
+partner may be.
+
+Two things keep unrelated sets apart without losing a link. N-grams that very many documents have, a common
+passage or line, are left out before the fragments are cut: what remains of similar sets still differs in at
+most k elements. And pairs must share ``LEAST_SHARED`` signatures. Empty fragments agree without saying
+anything and leave none. A set with so many of them that its similar partners might share too few others is
+sparse; similar sets that are both sparse find each other by signatures of a second kind, over all their
+elements, empty fragments included where it must be, one of which suffices.
+
+Signatures of few sets are counted pair by pair. One that many sets share, as those of a text with a very
+large number of near copies, only ties them to one among them, so its cost grows with the sets and not with
+their pairs. Sets tied together form families. Within a family overlaps are counted fragment by fragment: the
+membership matrix of a fragment times its transpose adds the partial overlaps of every pair to the sums of
+the others. A family with many sets is cut into blocks, and every pair of blocks is a piece of work of its
+own, with bounded memory. Of the links a piece finds it returns a spanning forest.
 
 Equal sets are one set from the start, so exact copies cost a row each. All shuffles are keyed by
 signature, set or document; none by a word, source or passage.
@@ -40,8 +46,13 @@ from tallyshelf.llm.components import components
 
 #: Sets and elements in a block of a family; a piece of work holds two blocks.
 BLOCK_SETS, BLOCK_ELEMENTS, FRAGMENT_WIDTH = 512, 500_000, 2048
+#: Signatures that a pair must share, and the most sets that are counted pair by pair for one signature.
+LEAST_SHARED, PAIRWISE = 3, 16
+#: N-grams in this many of up to AT_ONCE documents of a task are reported as common; the most frequent
+#: MOST_COMMON of all reports are left out of signatures. Which n-grams these are changes cost, not results.
+COMMON_IN, AT_ONCE, MOST_COMMON = 4, 2000, 1 << 17
 #: Upper bounds of size classes grow by this factor, which must be at least 100 / percent.
-CLASS_GROWTH = 1.5
+CLASS_GROWTH = 1.3
 REMEMBERED = 400_000
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 S30, S27, S31, S32 = np.uint64(30), np.uint64(27), np.uint64(31), np.uint64(32)
@@ -94,9 +105,12 @@ class Classes:
         most = 2 * self.bounds[number]
         return most * (100 - self.percent) // (100 + self.percent)
 
+    def spare(self, number: int) -> int:
+        """c: fragments that similar sets agree on, beyond one."""
+        return LEAST_SHARED - 1 + -(-self.differing(number) // 10)
+
     def fragments(self, number: int) -> int:
-        k = self.differing(number)
-        return k + 1 + -(-k * 8 // 100)
+        return self.differing(number) + 1 + self.spare(number)
 
     def joined_by(self, size: int) -> list[int]:
         """The classes in which a set of this size may have partners that are no smaller."""
@@ -104,20 +118,52 @@ class Classes:
         return list(range(own, self.of(max(size, size * 100 // self.percent)) + 1))
 
 
-def signatures(elements: np.ndarray, classes: Classes) -> np.ndarray:
-    """One number per fragment and class; see the module's text for empty fragments."""
-    out = []
-    mixed = mix(elements + P1)
+def fragment_marks(elements: np.ndarray, m: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The fragments that hold elements, and a number for what each holds."""
+    part = ((elements >> S32) * np.uint64(m)) >> S32
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    sums = np.add.reduceat(mix(elements + P1), first)
+    return part[first], mix(sums ^ mix(part[first] * P1 + np.uint64(seed)))
+
+
+def signatures(elements: np.ndarray, rare: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of a set and their weights: LEAST_SHARED for those that suffice alone, else 1."""
+    out, weights = [np.zeros(0, np.uint64)], [0]
     for number in classes.joined_by(len(elements)):
-        m, k = classes.fragments(number), classes.differing(number)
-        part = ((elements >> S32) * np.uint64(m)) >> S32
-        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        tag = mix(part[first] * P1 + np.uint64(number))
-        out.append(mix(np.add.reduceat(mixed, first) ^ tag))
-        if len(first) <= k:
-            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), part[first])
-            out.append(mix(mix(empty * P1 + np.uint64(number)) + P3))
-    return np.concatenate(out)
+        m, k, c = classes.fragments(number), classes.differing(number), classes.spare(number)
+        if k == 0:
+            continue  # sets that do not differ are one set
+        held = 0
+        if len(rare):
+            where, marks = fragment_marks(rare, m, 4 * number)
+            held = len(where)
+            out.append(marks)
+            weights.append(1)
+        if m - held > c + 1 - LEAST_SHARED:
+            where, marks = fragment_marks(elements, m, 4 * number + 1)
+            if len(where) <= k:
+                empty = np.setdiff1d(np.arange(m, dtype=np.uint64), where)
+                marks = np.concatenate([marks, mix(mix(empty * P1 + np.uint64(4 * number + 2)) + P3)])
+            out.append(marks)
+            weights.append(LEAST_SHARED)
+    return np.concatenate(out), np.repeat(np.array(weights, np.int32), [len(x) for x in out])
+
+
+def without(elements: np.ndarray, common: np.ndarray) -> np.ndarray:
+    if not len(common) or not len(elements):
+        return elements
+    place = np.minimum(np.searchsorted(common, elements), len(common) - 1)
+    return elements[common[place] != elements]
+
+
+def often(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of COMMON_IN or more of the sets, with the number of sets."""
+    ordered = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+    if not len(ordered):
+        return ordered, np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    count = np.diff(np.append(first, len(ordered)))
+    return ordered[first[count >= COMMON_IN]], count[count >= COMMON_IN]
 
 
 def key_of(elements: np.ndarray) -> bytes:
@@ -129,70 +175,135 @@ def short_key(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
+SET_ROWS = "doc_id long, n_shingles long, key binary, key64 long, common long, n_sets long"
+
+
 def set_rows(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, the 128-bit key of the set and its short form; a document with the empty set has the null key."""
+    """Of every row of docs: doc_id, n_shingles, the 128-bit key of its set (null if that is empty) and its short form.
+
+    Further rows, with n_shingles null, report common n-grams and the number of sets that a task saw them in.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            sets = [ngram_set(t, n, hashes) for t in utf8(b.column(1))]
-            size = pa.array([len(s) for s in sets], pa.int64())
-            keys = [key_of(s) if len(s) else None for s in sets]
-            short = pa.array([None if k is None else short_key(k) for k in keys], pa.int64())
-            cols = [b.column(0), size, pa.array(keys, pa.binary()), short]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "key", "key64"])
-
-    return text_pass(docs, "doc_id long, n_shingles long, key binary, key64 long", work, "doc_id", "text")
-
-
-def signature_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """sig and key64 of every set; a task names equal sets once."""
+            for i in range(0, b.num_rows, AT_ONCE):
+                part = b.slice(i, AT_ONCE)
+                sets = [ngram_set(t, n, hashes) for t in utf8(part.column(1))]
+                keys = [key_of(s) if len(s) else None for s in sets]
+                distinct = dict(zip(keys, sets, strict=True))
+                distinct.pop(None, None)
+                common, seen = often(list(distinct.values()))
+                none, more = [None] * len(common), [None] * len(sets)
+                cols = [
+                    pa.array(part.column(0).to_pylist() + none, pa.int64()),
+                    pa.array([len(s) for s in sets] + none, pa.int64()),
+                    pa.array(keys + none, pa.binary()),
+                    pa.array([None if k is None else short_key(k) for k in keys] + none, pa.int64()),
+                    pa.array(more + common.view(np.int64).tolist(), pa.int64()),
+                    pa.array(more + seen.tolist(), pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SET_ROWS.split(", ")])
+
+    return text_pass(docs, SET_ROWS, work, "doc_id", "text")
+
+
+def common_ngrams(rows: DataFrame) -> np.ndarray:
+    """At most MOST_COMMON of the n-grams reported as common, in order."""
+    total = rows.where("n_shingles is null").groupBy("common").agg(F.sum("n_sets").alias("n"))
+    found = total.orderBy(F.desc("n"), "common").limit(MOST_COMMON).select("common").toPandas()["common"].to_numpy(np.int64)
+    return np.sort(found.view(np.uint64))
+
+
+def signature_rows(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
+    """sig, weight and key64 of every set; a task names equal sets once."""
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, classes, done = Hashes(), Classes(percent), set()
         for b in batches:
             texts = utf8(b.column(1))
             for i in range(0, len(texts), 500):
-                sigs, keys = [], []
+                sigs, weights, keys = [], [], []
                 for t in texts[i : i + 500]:
                     s = ngram_set(t, n, hashes)
                     key = short_key(key_of(s))
                     if len(s) and key not in done:
                         done.add(key)
-                        sigs.append(signatures(s, classes))
+                        marks, weight = signatures(s, without(s, sent.value), classes)
+                        sigs.append(marks)
+                        weights.append(weight)
                         keys.append(key)
                 if sigs:
                     key64 = np.repeat(np.array(keys, np.int64), [len(x) for x in sigs])
-                    sig = np.concatenate(sigs).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key64)], names=["sig", "key64"])
+                    cols = [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(weights)), pa.array(key64)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["sig", "weight", "key64"])
 
-    return text_pass(docs, "sig long, key64 long", work, "doc_id", "text")
+    return text_pass(docs, "sig long, weight int, key64 long", work, "doc_id", "text")
 
 
 def shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by sig and key64: for each signature of several sets, edges from its first key to the others."""
-    last_sig, last_key, first_key = None, None, None
+    """From rows sorted by sig and key64, pairs of keys that share a signature, with its weight.
+
+    Up to PAIRWISE keys give all their pairs. Further keys of the signature are tied to its first key, with a
+    weight that suffices, and so are the first ones once it is known that there are more.
+    """
+    sig = first = None
+    held: list[int] = []
+    count = 0
+    u: list[int] = []
+    v: list[int] = []
+    w: list[int] = []
+
+    def ended(weight: int) -> None:
+        if 1 < count <= PAIRWISE:
+            for i, x in enumerate(held):
+                for y in held[i + 1 :]:
+                    u.append(x)
+                    v.append(y)
+                    w.append(weight)
+
+    last = None
+    own = 1
     for b in batches:
-        sig, key = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(sig):
-            continue
-        new = np.concatenate([[last_sig is None or sig[0] != last_sig], sig[1:] != sig[:-1]])
-        starts = np.flatnonzero(new)
-        first = np.full(len(sig), 0 if first_key is None else first_key, np.int64)
-        if len(starts):
-            first[starts[0] :] = np.repeat(key[starts], np.diff(np.append(starts, len(sig))))
-        changed = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
-        at = np.flatnonzero(~new & changed)
-        last_sig, last_key, first_key = sig[-1], key[-1], first[-1]
-        edge = first[at].astype(np.int64), key[at]
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(edge[0]), pa.array(edge[1])], names=["u", "v"])
-
-
-def families(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """key64 and family of every set that shares a signature with another set."""
-    rows = signature_rows(docs, n, percent).repartition("sig").sortWithinPartitions("sig", "key64")
-    return components(arrow_pass(rows, "u long, v long", shared_batches)).select(F.col("node").alias("key64"), F.col("component").alias("family"))
+        sigs, weights, keys = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()
+        # most signatures have one row; only rows beside one of the same signature are looked at one by one
+        near = np.concatenate([[len(sigs) > 0 and sig is not None and sigs[0] == sig], sigs[1:] == sigs[:-1]]) if len(sigs) else []
+        many = np.copy(near)
+        many[:-1] |= near[1:]
+        if len(sigs):
+            many[-1] = True  # its signature may go on in the next batch
+        for s, weight, key in zip(sigs[many].tolist(), weights[many].tolist(), keys[many].tolist(), strict=True):
+            if s != sig:
+                ended(own)
+                sig, first, held, count, last, own = s, key, [key], 1, key, weight
+            elif key != last:
+                count, last = count + 1, key
+                if count <= PAIRWISE:
+                    held.append(key)
+                else:
+                    for x in held[1:]:
+                        u.append(first)
+                        v.append(x)
+                        w.append(LEAST_SHARED)
+                    held = [first]
+                    u.append(first)
+                    v.append(key)
+                    w.append(LEAST_SHARED)
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(w, pa.int32())], names=["u", "v", "w"])
+            u, v, w = [], [], []
+    ended(own)
+    if u:
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(w, pa.int32())], names=["u", "v", "w"])
+
+
+def families(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
+    """key64 and family of every set that shares enough signatures with another set."""
+    rows = signature_rows(docs, n, percent, common).repartition("sig").sortWithinPartitions("sig", "key64")
+    shared = arrow_pass(rows, "u long, v long, w int", shared_batches)
+    edges = shared.groupBy("u", "v").agg(F.sum("w").alias("w")).where(F.col("w") >= LEAST_SHARED)
+    return components(edges).select(F.col("node").alias("key64"), F.col("component").alias("family"))
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -299,8 +410,9 @@ def pieces(members: DataFrame) -> DataFrame:
 
 def linked_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id and the set's key, for every row of docs."""
-    sets = keep(set_rows(docs, n), "sets")
-    family = keep(families(docs, n, percent), "families")
+    rows = keep(set_rows(docs, n), "sets")
+    sets = rows.where("n_shingles is not null").select("doc_id", "n_shingles", "key", "key64")
+    family = keep(families(docs, n, percent, common_ngrams(rows)), "families")
     first = [F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("key64").alias("key64")]
     reps = keep(sets.where("key is not null").groupBy("key").agg(*first), "set-representatives")
     in_family = reps.where("rep is not null").join(family, "key64").select("family", "rep", "key", "size")
