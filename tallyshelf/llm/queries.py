@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshelf.llm import bpe, exact_dedup, html_text, ngram_join, quality, secret_scan, sharding, token_files
+from tallyshelf.llm import bpe, decontaminate, exact_dedup, html_text, lm_scoring, ngram_join, quality, secret_scan, sharding, token_files
 from tallyshelf.llm.common import documents
 from tallyshelf.sources.tables import table
 
@@ -77,3 +77,13 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_components(documents(spark, sf_dir), n=4, percent=85).drop("key")
+
+
+@query()
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
+@query()
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
