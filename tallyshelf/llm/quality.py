@@ -88,7 +88,7 @@ class Model:
         top = np.argpartition(-near, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(near, top, axis=1), 0) ** 2
         score = ((weight * self.labels[top]).sum(axis=1) + 1e-6 * self.prior) / (weight.sum(axis=1) + 1e-6)
-        return np.where(counts.any(axis=1), score, self.prior)
+        return np.where(counts.any(axis=1), np.clip(score, 0, 1), self.prior)  # sums of rounded weights may end just above 1
 
 
 def fit(texts: list[bytes], labels: list[int]) -> Model:
