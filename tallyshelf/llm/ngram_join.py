@@ -393,7 +393,8 @@ def member_sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
             cols = [b.column(0), b.column(1), b.column(2), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["family", "rep", "blocks", "elements"]).filter(right)
 
-    rows = docs.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep")
+    # reps grow with the documents, so they are never broadcast: the plan is the same at every size
+    rows = docs.select(F.col("doc_id").alias("rep"), "text").join(reps.hint("merge"), "rep")
     return text_pass(rows, "family long, rep long, blocks int, elements binary", work, "family", "rep", "blocks", "key", "text")
 
 
