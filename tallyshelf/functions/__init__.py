@@ -1 +1 @@
-"""See the modules of this package."""
+"""Column expressions: nothing here runs Python on rows."""

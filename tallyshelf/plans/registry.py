@@ -22,4 +22,4 @@ def register(sql: str | None = None):
     return add
 
 
-from tallyshelf.plans import shelf  # noqa: E402,F401  (registers its queries)
+from tallyshelf.plans import catalogue, comments, payloads, shelf, texts  # noqa: E402,F401  (they register their queries)

@@ -1,11 +1,15 @@
-"""The shelf-analytics queries over the driver's tables."""
+"""Queries on listings and products: shares, mixes, prices, categories, first and last rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshelf.operators.rank import concentration
+from tallyshelf.functions.category import group_key
+from tallyshelf.functions.price import observed_price, shown_price
+from tallyshelf.operators import dedupe, merge, rank, stats
+from tallyshelf.operators.taxonomy import list_category
+from tallyshelf.plans.inputs import LISTING, PATH, at, listing, products, texts
 from tallyshelf.plans.registry import register
 from tallyshelf.sources.tables import table
 
@@ -22,5 +26,298 @@ def supplier_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG1 on shops: shares of the largest and the three largest shops among all listing rows."""
     shops = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return concentration(rows.join(shops, "l_suppkey"), F.col("s_name"), order)
+    return rank.concentration(rows.join(shops, "l_suppkey"), F.col("s_name"), at())
+
+
+@register(f"""
+WITH {LISTING}, c AS (SELECT leaf_category, brand, count(*) AS n, min(ord) AS first_seen FROM listing GROUP BY leaf_category, brand),
+     r AS (SELECT leaf_category, brand, n, row_number() OVER (PARTITION BY leaf_category ORDER BY n DESC, first_seen) AS rk FROM c)
+SELECT leaf_category, round(max(n) / CAST(sum(n) AS DOUBLE), 6) AS cr1,
+       round(sum(CASE WHEN rk <= 3 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) AS cr3,
+       max(CASE WHEN rk = 1 THEN brand END) AS top_label, CAST(sum(n) AS BIGINT) AS n_rows FROM r GROUP BY leaf_category
+""")
+def brand_concentration_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG1, AGG3 within categories."""
+    return rank.concentration_by(listing(spark, sf_dir), F.col("brand"), at(), "leaf_category")
+
+
+TOP = """SELECT CAST(row_number() OVER (ORDER BY n DESC, first_seen) AS INTEGER) AS rk, label, n FROM c ORDER BY n DESC, first_seen LIMIT"""
+
+
+@register(f"WITH {LISTING}, c AS (SELECT shop_name AS label, count(*) AS n, min(ord) AS first_seen FROM listing GROUP BY shop_name) {TOP} 24")
+def shop_mix_top24(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG2, AGG5, WIN1."""
+    return rank.top_labels(listing(spark, sf_dir), F.col("shop_name"), at(), 24)
+
+
+@register(f"""
+WITH p AS (SELECT p_partkey, {PATH} AS category FROM part),
+     s AS (SELECT p_partkey, CASE WHEN position('>' IN category) > 0 THEN trim(split_part(category, '>', 1)) ELSE left(category, 80) END AS label FROM p WHERE category <> ''),
+     c AS (SELECT label, count(*) AS n, min(p_partkey) AS first_seen FROM s WHERE label <> '' GROUP BY label) {TOP} 8
+""")
+def category_mix_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG6: first segments of category paths; the full-width mark does not split here."""
+    from tallyshelf.functions.category import top_segment
+
+    rows = products(spark, sf_dir).where("category <> ''")
+    return rank.top_labels(rows, top_segment("category"), F.col("p_partkey"), 8)
+
+
+CODED = """coded AS (SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN p_type WHEN p_size % 7 = 1 THEN '' ELSE CAST(p_size AS VARCHAR) END AS leaf_category,
+  CASE WHEN p_partkey % 3 = 0 THEN '颜色规格:x | 简称:' || p_brand ELSE '' END AS named,
+  CASE WHEN p_size % 7 = 1 AND p_partkey % 2 = 0 THEN '类目:' || CAST(p_size AS VARCHAR) || ' | ' ELSE '' END AS numbered FROM part)"""
+
+
+@register(f"""
+WITH {CODED}, x AS (SELECT p_partkey, leaf_category, named <> '' AS has_name, CASE WHEN named <> '' THEN split_part(named, '简称:', 2) ELSE '' END AS short_name,
+       CASE WHEN regexp_matches(leaf_category, '^[0-9]+$') THEN leaf_category WHEN leaf_category = '' AND numbered <> '' THEN split_part(split_part(numbered, ':', 2), ' ', 1) END AS id FROM coded),
+  ids AS (SELECT leaf_category AS id, min(p_partkey) AS first FROM x WHERE regexp_matches(leaf_category, '^[0-9]+$') AND has_name GROUP BY leaf_category),
+  names AS (SELECT ids.id, x.short_name AS id_name FROM ids JOIN x ON x.p_partkey = ids.first),
+  l AS (SELECT p_partkey, CASE WHEN x.id IS NOT NULL THEN coalesce(id_name, nullif(short_name, ''), '未解析类目（列表仅有内部编码且无简称）')
+          WHEN leaf_category <> '' THEN leaf_category ELSE nullif(short_name, '') END AS label FROM x LEFT JOIN names ON x.id = names.id),
+  c AS (SELECT label, count(*) AS n, min(p_partkey) AS first_seen FROM l WHERE label IS NOT NULL GROUP BY label) {TOP} 12
+""")
+def category_mix_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG7, JON6, STR12: readable categories of rows that often have bare ids."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    leaf = F.when(size % 7 == 0, F.col("p_type")).when(size % 7 == 1, F.lit("")).otherwise(size.cast("string"))
+    named = F.when(key % 3 == 0, F.concat(F.lit("颜色规格:x | 简称:"), "p_brand")).otherwise("")
+    numbered = F.when((size % 7 == 1) & (key % 2 == 0), F.concat(F.lit("类目:"), size.cast("string"), F.lit(" | "))).otherwise("")
+    rows = table(spark, sf_dir, "part").select("p_partkey", leaf.alias("leaf_category"), F.concat(numbered, named).alias("attributes"))
+    return rank.top_labels(list_category(rows, key), F.col("label"), key, 12)
+
+
+@register(f"""
+WITH {LISTING}, c AS (SELECT brand AS label, count(*) AS n, min(ord) AS first_seen FROM listing GROUP BY brand),
+     r AS (SELECT label, n, row_number() OVER (ORDER BY n DESC, first_seen) AS rk, count(*) OVER () AS labels FROM c)
+SELECT CAST(CASE WHEN rk < 8 OR labels <= 8 THEN rk ELSE 8 END AS INTEGER) AS rk, CASE WHEN rk < 8 OR labels <= 8 THEN label ELSE '其他' END AS label, CAST(sum(n) AS BIGINT) AS n
+FROM r GROUP BY 1, 2
+""")
+def topk_other_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG20-AGG22, AGG28: seven brands and the rest."""
+    return rank.top_with_other(rank.label_counts(listing(spark, sf_dir), F.col("brand"), at()), 8)
+
+
+@register(f"""
+WITH {LISTING} SELECT count(*) AS total_rows, count(DISTINCT sku_id) AS unique_skus, count(DISTINCT shop_name) AS unique_shops, count(DISTINCT page) AS unique_pages,
+  CAST(min(l_linenumber) AS INTEGER) AS first_page, CAST(max(l_linenumber) AS INTEGER) AS last_page, count(DISTINCT leaf_category) AS unique_leaf_cats FROM listing
+""")
+def list_visibility_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG8, SET12."""
+    c = F.col
+    return stats.visibility(listing(spark, sf_dir), c("sku_id"), c("shop_name"), c("page"), c("leaf_category"))
+
+
+@register(f"WITH {LISTING} SELECT page, count(*) AS n FROM listing GROUP BY page")
+def page_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG29."""
+    return listing(spark, sf_dir).groupBy("page").agg(F.count(F.lit(1)).alias("n"))
+
+
+def hinges(group: str, source: str) -> str:
+    """SQL of STA2 for rows (group, x) of source."""
+    return f"""
+k AS (SELECT {group}, x, row_number() OVER (PARTITION BY {group} ORDER BY x) AS k, count(*) OVER (PARTITION BY {group}) AS n FROM {source}),
+h AS (SELECT *, n // 2 AS m FROM k)
+SELECT {group}, max(n) AS n, round(min(x), 6) AS min, round(max(x), 6) AS max, round(avg(x), 6) AS mean,
+  CASE WHEN max(n) >= 2 THEN round(stddev_samp(x), 6) END AS stdev,
+  CASE WHEN max(n) >= 2 THEN round(avg(CASE WHEN k IN ((n + 1) // 2, (n + 2) // 2) THEN x END), 6) END AS median,
+  CASE WHEN max(n) >= 4 THEN round(avg(CASE WHEN k IN ((m + 1) // 2, (m + 2) // 2) THEN x END), 6) END AS q1,
+  CASE WHEN max(n) >= 4 THEN round(avg(CASE WHEN k IN (n - m + (m + 1) // 2, n - m + (m + 2) // 2) THEN x END), 6) END AS q3
+FROM h GROUP BY {group}"""
+
+
+@register(f"WITH s AS (SELECT l_returnflag AS flag, l_quantity AS x FROM lineitem), {hinges('flag', 's')}")
+def price_stats_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA2: prices by group, with hinges."""
+    return stats.price_stats(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("price")), "price", "flag")
+
+
+SHOWN = """shown AS (SELECT p_partkey, p_type, CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 5 = 1 THEN '0' WHEN p_partkey % 5 = 2 THEN '¥1,' || CAST(100 + p_size AS VARCHAR) || '.50起'
+   WHEN p_partkey % 5 = 3 THEN '1000000' ELSE CAST(p_size AS VARCHAR) || '万+' END AS final_text, CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE CAST(p_size AS VARCHAR) || '-999' END AS price_text FROM part)"""
+NUMBER = "TRY_CAST(nullif(regexp_extract(replace({0}, ',', ''), '([0-9]+([.][0-9]+)?)', 1), '') AS DOUBLE)"
+VALID = "CASE WHEN {0} > 0 AND {0} < 1000000 THEN {0} END"
+OBSERVED = "coalesce(" + VALID.format(NUMBER.format("final_text")) + ", " + VALID.format(NUMBER.format("price_text")) + ")"
+
+
+def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    final = (
+        F.when(key % 5 == 0, F.lit(""))
+        .when(key % 5 == 1, F.lit("0"))
+        .when(key % 5 == 2, F.concat(F.lit("¥1,"), (100 + size).cast("string"), F.lit(".50起")))
+        .when(key % 5 == 3, F.lit("1000000"))
+        .otherwise(F.concat(size.cast("string"), F.lit("万+")))
+    )
+    price = F.when(key % 3 == 0, F.lit(" ")).otherwise(F.concat(size.cast("string"), F.lit("-999")))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_type", final.alias("final_text"), price.alias("price_text"))
+
+
+@register(f"""
+WITH {SHOWN} SELECT p_partkey, round({OBSERVED}, 6) AS price, CASE WHEN trim(final_text) <> '' THEN final_text WHEN trim(price_text) <> '' THEN trim(price_text) ELSE '' END AS shown FROM shown
+""")
+def price_fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ1, PRJ2, FLT7, STA1: the price a row is counted with, and the one it shows."""
+    return shown(spark, sf_dir).select(
+        "p_partkey", F.round(observed_price("final_text", "price_text"), 6).alias("price"), shown_price("final_text", "price_text").alias("shown")
+    )
+
+
+@register(f"WITH {SHOWN}, s AS (SELECT p_type AS kind, {OBSERVED} AS x FROM shown WHERE {OBSERVED} IS NOT NULL), {hinges('kind', 's')}")
+def shown_price_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA1, STA2 on prices out of texts."""
+    rows = shown(spark, sf_dir).select(F.col("p_type").alias("kind"), observed_price("final_text", "price_text").alias("price"))
+    return stats.price_stats(rows, "price", "kind")
+
+
+@register(f"""
+WITH s AS (SELECT 'all' AS g, p_retailprice AS x FROM part WHERE p_retailprice > 0 AND p_retailprice < 1000000), r AS ({'WITH ' + hinges('g', 's')})
+SELECT n, min, max, mean, stdev, median, q1, q3, 'keyword_pipeline_merged' AS source FROM r
+""")
+def price_stats_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA3: a list without any price falls back to the merged table."""
+    without = stats.observations(table(spark, sf_dir, "supplier"), "s_name").where("price < 0")
+    return stats.chosen_stats(stats.price_stats(without), stats.price_stats(stats.observations(table(spark, sf_dir, "part"), "p_retailprice")))
+
+
+@register("""
+WITH s AS (SELECT p_type AS kind, avg(p_retailprice) AS mean, stddev_samp(p_retailprice) AS stdev, count(*) AS n FROM part GROUP BY p_type),
+  b AS (SELECT p_type AS kind, p_brand, count(*) AS n FROM part GROUP BY p_type, p_brand), m AS (SELECT kind, max(n) / CAST(sum(n) AS DOUBLE) AS cr1 FROM b GROUP BY kind)
+SELECT s.kind, round(stdev / mean, 6) AS cv, round(cr1, 6) AS cr1, CASE WHEN cr1 >= 0.4 THEN 'high' WHEN cr1 >= 0.25 THEN 'middle' ELSE 'dispersed' END AS band,
+  (CASE WHEN cr1 >= 0.45 THEN 'concentrated,' WHEN cr1 < 0.25 THEN 'fragmented,' ELSE '' END) || (CASE WHEN stdev / mean > 0.35 THEN 'spread,' ELSE '' END) AS hints
+FROM s JOIN m ON s.kind = m.kind
+""")
+def cv_and_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA4, STA6, STA7 for each kind of part, without any comment's part in the hints."""
+    parts = table(spark, sf_dir, "part").withColumnRenamed("p_type", "kind")
+    shares = rank.concentration_by(parts, F.col("p_brand"), F.col("p_partkey"), "kind")
+    spread = stats.price_stats(parts.withColumnRenamed("p_retailprice", "price"), "price", "kind")
+    none, many = F.lit(0), F.lit(99)
+    codes = stats.hint_codes(F.col("cr1"), F.col("mean"), F.col("stdev"), none, many, none, F.lit(None).cast("int"))
+    hints = F.array_join(F.transform(F.filter(codes, lambda x: x != "none"), lambda x: F.concat(x, F.lit(","))), "")
+    return shares.join(spread, "kind").select(
+        "kind", F.round(stats.variation(F.col("mean"), F.col("stdev")), 6).alias("cv"), "cr1", stats.share_band(F.col("cr1")).alias("band"), hints.alias("hints")
+    )
+
+
+@register("""
+WITH v AS (SELECT event_type, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k, event_id FROM events),
+  c AS (SELECT event_type, k, count(*) AS n, min(event_id) AS first FROM v GROUP BY event_type, k),
+  r AS (SELECT event_type, k, n, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, first) AS rk FROM c)
+SELECT event_type, max(CASE WHEN rk = 1 THEN k END) AS consensus, count(*) AS n_distinct, CAST(sum(n) AS BIGINT) AS n_values FROM r GROUP BY event_type
+""")
+def result_count_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG9, JSN30: the most frequent declared count, the first met among equals."""
+    from tallyshelf.sources.landed import whole_number
+
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id", whole_number(F.try_parse_json("props"), "$.k").alias("k"))
+    return stats.consensus(rows, "k", "event_id", "event_type")
+
+
+KEYED = f"""keyed AS (SELECT p_partkey, p_brand, p_name, CASE p_size % 5 WHEN 0 THEN '未归类（无类目路径）' ELSE p_type END AS grp, {PATH} AS category FROM part)"""
+
+
+@register(f"WITH {KEYED} SELECT p_partkey, category, grp AS group_key FROM keyed")
+def matrix_group_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR14: groups from paths of 0 to 4 segments, with both kinds of marks."""
+    return products(spark, sf_dir).select("p_partkey", "category", group_key("category").alias("group_key"))
+
+
+@register(f"""
+WITH {KEYED}, c AS (SELECT grp, count(*) AS n FROM keyed GROUP BY grp)
+SELECT CAST(row_number() OVER (ORDER BY CASE WHEN starts_with(grp, '未归类') THEN 1 ELSE 0 END, n DESC, grp) - 1 AS INTEGER) AS place, grp AS "group", n AS n_products FROM c
+""")
+def matrix_groups_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG23, WIN13."""
+    return merge.matrix_order(merge.group_counts(products(spark, sf_dir), group_key("category")))
+
+
+@register(f"""
+WITH {KEYED}, e AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY p_partkey) AS rk FROM keyed),
+  b AS (SELECT grp, p_brand, min(rk) AS first FROM e WHERE rk <= 100 GROUP BY grp, p_brand),
+  r AS (SELECT grp, p_brand, row_number() OVER (PARTITION BY grp ORDER BY first) AS rk FROM b),
+  t AS (SELECT grp, string_agg(p_brand, ',' ORDER BY rk) AS brands FROM r WHERE rk <= 15 GROUP BY grp)
+SELECT keyed.grp AS "group", count(*) AS n_products, max(brands) AS brands FROM keyed JOIN t ON keyed.grp = t.grp GROUP BY keyed.grp
+""")
+def brand_sample_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET9, WIN12."""
+    rows = products(spark, sf_dir).withColumn("group", group_key("category"))
+    found = merge.brand_samples(rows, "group", "p_brand", F.col("p_partkey"))
+    return found.select("group", "n_products", F.array_join("brands", ",").alias("brands"))
+
+
+@register(f"""
+WITH {LISTING}, r AS (SELECT *, row_number() OVER (PARTITION BY sku_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rk FROM listing)
+SELECT sku_id, shop_name, page, price FROM r WHERE rk = 1
+""")
+def dedupe_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET2, WIN2: the first listing row of each product."""
+    return dedupe.first_rows(listing(spark, sf_dir), F.col("sku_id"), at()).select("sku_id", "shop_name", "page", "price")
+
+
+@register(f"""
+WITH {LISTING}, r AS (SELECT *, row_number() OVER (PARTITION BY sku_id ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS rk FROM listing)
+SELECT sku_id, shop_name, page, price FROM r WHERE rk = 1
+""")
+def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN3: the last listing row of each product."""
+    return dedupe.last_rows(listing(spark, sf_dir), F.col("sku_id"), at()).select("sku_id", "shop_name", "page", "price")
+
+
+@register("""
+WITH k AS (SELECT doc_id, lang, CASE WHEN doc_id % 4 = 0 THEN '' ELSE text END AS ckey FROM documents),
+  r AS (SELECT *, row_number() OVER (PARTITION BY trim(ckey, E' \\t\\n\\r') ORDER BY doc_id) AS rk FROM k)
+SELECT doc_id, lang FROM r WHERE rk = 1 OR trim(ckey, E' \\t\\n\\r') = ''
+""")
+def dedupe_blank_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET4, SET5: repeated keys go, rows without a key stay."""
+    rows = texts(spark, sf_dir).withColumn("ckey", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("text")))
+    return dedupe.first_or_blank(rows, F.col("ckey"), F.col("doc_id")).select("doc_id", "lang")
+
+
+@register(f"""
+WITH {LISTING}, f AS (SELECT sku_id AS key, min(ord) AS first FROM listing GROUP BY sku_id)
+SELECT CAST(row_number() OVER (ORDER BY first) - 1 AS INTEGER) AS place, key FROM f ORDER BY first LIMIT 40
+""")
+def distinct_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET3, SET8: the first 40 distinct products."""
+    return dedupe.queue(listing(spark, sf_dir), F.col("sku_id"), at(), 40)
+
+
+def paged_sql(pages: int, per_page: int) -> str:
+    parts, taken = [], None
+    for p in range(1, pages + 1):
+        before = f" AND sku_id NOT IN (SELECT sku_id FROM {taken})" if taken else ""
+        parts.append(f"f{p} AS (SELECT sku_id, min(ord) AS first, {p} AS page FROM listing WHERE l_linenumber = {p}{before} GROUP BY sku_id ORDER BY first LIMIT {per_page})")
+        parts.append(f"t{p} AS (SELECT sku_id, page FROM f{p}" + (f" UNION ALL SELECT sku_id, page FROM {taken})" if taken else ")"))
+        taken = f"t{p}"
+    return f"WITH {LISTING}, " + ", ".join(parts) + f" SELECT sku_id, CAST(page AS VARCHAR) AS page FROM {taken}"
+
+
+@register(paged_sql(4, 60))
+def page_capped_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET1: of four pages 60 products each, none of them twice."""
+    rows = listing(spark, sf_dir)
+    return dedupe.paged_listing(rows, "sku_id", "page", at(), ["1", "2", "3", "4"]).select("sku_id", "page")
+
+
+@register(f"""
+WITH {LISTING}, a AS (SELECT DISTINCT sku_id FROM listing WHERE l_linenumber = 1), b AS (SELECT DISTINCT sku_id FROM listing WHERE l_linenumber = 2)
+SELECT count(*) AS n_shared FROM a WHERE sku_id IN (SELECT sku_id FROM b)
+""")
+def dup_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JON11: products of the first page that the second has too."""
+    rows = listing(spark, sf_dir)
+    return dedupe.overlap(rows.where("page = '1'"), rows.where("page = '2'"), "sku_id")
+
+
+@register(f"""
+WITH {LISTING}, k AS (SELECT DISTINCT title FROM listing WHERE l_linenumber = 7),
+  n AS (SELECT title, min(ord) AS first FROM listing WHERE l_linenumber = 1 AND length(title) BETWEEN 2 AND 24 AND title NOT IN (SELECT title FROM k WHERE title < 'c') GROUP BY title)
+SELECT CAST(row_number() OVER (ORDER BY first) - 1 AS INTEGER) AS place, title FROM n ORDER BY first LIMIT 22
+""")
+def anti_new_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JON10, STR31: titles of the first page that are not among known ones."""
+    rows = listing(spark, sf_dir)
+    known = rows.where("page = '7' and title < 'c'").select("title")
+    return dedupe.not_among(rows.where("page = '1'"), "title", known, at())
