@@ -94,9 +94,11 @@ def split_filled(c: Column | str, pattern: str) -> Column:
 def distinct_texts(array: Column) -> Column:
     """SET6: squeezed texts of two code points or more, the first of those that differ in case only."""
     texts = F.filter(F.transform(array, squeeze), lambda x: F.length(x) >= 2)
-    numbered = F.transform(texts, lambda x, i: F.struct(x.alias("text"), i.alias("at")))
-    first = F.filter(numbered, lambda x: F.array_position(F.transform(texts, F.lower), F.lower(x["text"])) == x["at"] + 1)
-    return F.transform(first, lambda x: x["text"])
+
+    def step(kept, x):
+        return F.when(F.exists(kept, lambda y: F.lower(y) == F.lower(x)), kept).otherwise(F.concat(kept, F.array(x)))
+
+    return F.aggregate(texts, F.array().cast("array<string>"), step)  # a fold looks at the texts once
 
 
 def is_digits(c: Column | str) -> Column:
