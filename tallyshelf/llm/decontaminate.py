@@ -1,19 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs without ASCII white space, A-Z lower-cased, without punctuation at their ends. Every
-``N``-gram of a benchmark item is a possible seed. A first pass counts in how many documents each occurs,
-over all documents; an item keeps the rarer part of its n-grams as seeds: those up to the item's median
-count, so never fewer than half. In the second pass a document that holds a seed is aligned with the seed's
-item around the place where they meet, by local alignment of words. The score is the alignment's score
-divided by that of the whole item aligned with itself, so insertions, deletions and replaced words lower it
-gradually; from ``LEAST_SCORE`` on the document holds a copy, verbatim, edited or paraphrased.
+``N``-gram of a benchmark item is a seed, however many documents hold it. A document that holds a seed may
+be aligned with the seed's item around the place where they meet, by local alignment of words. The score is
+the alignment's score divided by that of the whole item aligned with itself, so insertions, deletions and
+replaced words lower it gradually; from ``LEAST_SCORE`` on the document holds a copy, verbatim, edited or
+paraphrased. Seeds that many documents hold cost little, as places are aligned only where the item's words
+stand densely enough: no alignment scores more than the best run of words that counts ``MATCH`` for each word
+of the item and the smaller penalty for any other, nor more than the item's words that the place holds at all.
 
 A block of the benchmark, its words and n-grams, is broadcast; a block takes in items of up to
 ``BLOCK_NGRAMS`` n-grams, which bounds it, and a larger benchmark is worked through in several blocks, all of
-them against all documents. Documents are read whole where they lie; nothing is shuffled but counts.
+them against all documents. Documents are read whole where they lie; nothing is shuffled.
 
 Defined cases: null or empty texts hold nothing and null or empty items are held by nothing; an item with
-fewer than N words has its whole word sequence as its seed; repeated items and repeated rows each give rows
+fewer than N words has its whole word sequence as its seed; a copy that keeps no N successive words has none
+and is not found; repeated items and repeated rows each give rows
 of their own; a document that holds an item several times is reported with its best place, the first of
 several; an empty benchmark leaves every document clean.
 """
@@ -71,23 +73,13 @@ class Items:
         self.words = [np.array([self.numbers[w] for w in ws], np.int64) for _, ws in split]
         self.lengths = sorted({min(N, len(w)) for w in self.words})
         codes = [ngrams(w, min(N, len(w))) for w in self.words]
-        self.grams, self.gram = np.unique(np.concatenate([np.zeros(0, np.uint64), *codes]), return_inverse=True)
-        self.owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-        self.place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(c)) for c in codes]])
-
-    def keep_rare(self, counts: np.ndarray) -> None:
-        """Drops the n-grams of each item that occur in more documents than the item's median n-gram."""
-        of = counts[self.gram]
-        rare = np.zeros(len(of), bool)
-        ends = np.flatnonzero(np.diff(self.owner, append=-1)) + 1
-        for s, e in zip([0, *ends[:-1]], ends, strict=True) if len(of) else ():
-            rare[s:e] = of[s:e] <= np.median(of[s:e])
-        gram, self.owner, self.place = self.gram[rare], self.owner[rare], self.place[rare]
-        used, gram = np.unique(gram, return_inverse=True)
-        self.grams = self.grams[used]
+        self.grams, gram = np.unique(np.concatenate([np.zeros(0, np.uint64), *codes]), return_inverse=True)
         order = np.argsort(gram, kind="stable")
-        self.owner, self.place = self.owner[order], self.place[order]
-        self.first = np.searchsorted(gram[order], np.arange(len(used) + 1))
+        self.owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])[order]
+        self.place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(c)) for c in codes]])[order]
+        self.first = np.searchsorted(gram[order], np.arange(len(self.grams) + 1))
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.kinds = [np.unique(w, return_counts=True) for w in self.words]
 
     def found(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in a document where n-grams of the block start, and which they are."""
@@ -118,7 +110,7 @@ class Items:
         owner, diagonal = self.owner[entry], np.repeat(at, times) - self.place[entry]
         order = np.lexsort((diagonal, owner))
         owner, diagonal = owner[order], diagonal[order]
-        size = np.array([len(w) for w in self.words])[owner]
+        size = self.sizes[owner]
         new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (np.diff(diagonal) > size[1:])]))
         best: dict[int, tuple[float, int, int]] = {}
         for s, e in zip(new, [*new[1:], len(owner)], strict=True):
@@ -126,6 +118,8 @@ class Items:
             slack = 4 + len(item) // 3
             low = max(0, int(diagonal[s]) - slack)
             window = numbers[low : int(diagonal[e - 1]) + len(item) + slack]
+            if bound(*self.kinds[owner[s]], window) < LEAST_SCORE * MATCH * len(item):
+                continue
             score, end = align(item, window)
             if score >= LEAST_SCORE * MATCH * len(item) and score > best.get(owner[s], (0,))[0]:
                 back = align(item[::-1], window[:end][::-1])[1]
@@ -133,6 +127,15 @@ class Items:
         return [(self.ids[k], score / (MATCH * len(self.words[k])), a, b) for k, (score, a, b) in sorted(best.items())]
 
 
+def bound(kinds: np.ndarray, times: np.ndarray, window: np.ndarray) -> float:
+    """What no alignment of a window with an item exceeds; kinds are the item's distinct words, and their times."""
+    at = np.minimum(np.searchsorted(kinds, window), len(kinds) - 1)
+    held = kinds[at] == window
+    most = MATCH * np.minimum(np.bincount(at[held], minlength=len(kinds)), times).sum()
+    run = np.concatenate([[0], np.cumsum(np.where(held, MATCH, max(MISMATCH, GAP)))])
+    return float(min(most, (run - np.minimum.accumulate(run)).max()))
+
+
 def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int]:
     """Smith-Waterman: the best local score and the place in the window after which it ends.
 
@@ -165,27 +168,6 @@ def numbers_of(text: bytes, words: Words) -> np.ndarray:
     return np.array(list(map(words.__getitem__, text.lower().split())), np.int64)
 
 
-def with_rare_seeds(docs: DataFrame, items: Items) -> Items:
-    """Counts over all documents how many hold each n-gram, and keeps the rare ones."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        words, counts = Words(own.numbers), np.zeros(len(own.grams), np.int64)
-        for b in batches:
-            for t in utf8(b.column(1)):
-                counts[np.unique(own.found(numbers_of(t, words))[1])] += 1
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["gram", "n"])
-
-    # a row for each n-gram of the block at most
-    found = text_pass(docs, "gram long, n long", work, "doc_id", "text").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(items.grams), np.int64)
-    counts[[r.gram for r in found]] = [r.n for r in found]
-    items.keep_rare(counts)
-    return items
-
-
 MATCHES = "doc_id long, item_id long, score double, first_word long, end_word long"
 
 
@@ -193,7 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item that it holds; see MATCHES."""
     found = []
     for items in blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(with_rare_seeds(docs, items))
+        sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
@@ -217,7 +199,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item, with their columns as they are."""
     at, out = docs.columns.index("text"), docs
     for items in blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(with_rare_seeds(docs, items))
+        sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value

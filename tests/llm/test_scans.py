@@ -5,6 +5,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+
 from tallyshelf.llm import decontaminate, html_text, secret_scan, sharding
 from tests.llm.shared import EDGES, edges, none
 
@@ -122,3 +124,25 @@ def test_alignment_and_planted_items(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(df, empty).count() == 0 and decontaminate.clean(df, empty).count() == len(docs)
     assert decontaminate.contaminated(none(spark), bench).count() == 0
+
+
+def test_copies_whose_other_ngrams_no_document_or_many_hold(spark):
+    own = {i: [f"i{i}w{k}" for k in range(40)] for i in range(4)}
+    changed = [f"x{k}" if k % 4 == 3 else w for k, w in enumerate(own[0])]
+    docs = [(0, changed), (1, ["before", *own[1][:18], "after"]), (2, own[2])]
+    docs += [(10 + i, [f"d{i}", *own[2][:18], "end"]) for i in range(30)]
+    docs += [(50, own[3]), (51, [f"x{k}" if k % 4 == 3 else w for k, w in enumerate(own[3])])]
+    docs += [(60, [w for k in range(0, 36, 3) for w in (*own[0][k : k + 3], *["far"] * 40)])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in own.items()], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()}
+    assert found == {(0, 0), (1, 1), (2, 2), (50, 3), (51, 3)} | {(10 + i, 2) for i in range(30)}
+    assert [r.doc_id for r in decontaminate.clean(df, bench).collect()] == [60]
+
+
+def test_bound_of_alignments():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        item, window = rng.integers(1, 9, rng.integers(1, 14)), rng.integers(0, 14, rng.integers(1, 40))
+        score = decontaminate.align(item, window)[0]
+        assert decontaminate.bound(*np.unique(item, return_counts=True), window) >= score == table_score(item, window)
