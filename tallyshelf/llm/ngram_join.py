@@ -27,7 +27,10 @@ signature, set or document; none by a word, source or passage.
 Defined cases: a null, empty or blank text has the empty set and is linked with nothing; a text with fewer
 than n words has its whole word sequence as its only n-gram; rows that repeat are linked with each other;
 rows that share a doc_id with different texts share its component only by links; null doc_ids get a
-component only through links, else null; an empty table gives no rows.
+component only through links, else null; an empty table gives no rows. ``one_of_each`` goes by rows and not by
+doc_ids: a row with a null doc_id is linked like any other and stays if its component has no other row or only
+such rows, and of rows that share a doc_id, repeated ones included, one stays for each component. Rows with the
+empty set all stay.
 """
 
 from __future__ import annotations
@@ -431,8 +434,19 @@ def linked_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     )
 
 
+#: What one_of_each calls its rows by; no column of its input may have this name.
+ROW = "row of one_of_each"
+
+
 def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with their columns as they are."""
-    found = linked_components(docs, n, percent)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each component, as it is: that of the smallest doc_id (nulls last), then of the smallest set key.
+
+    Rows are linked and kept by numbers of their own, written with them, so doc_ids may be null or repeat.
+    """
+    numbered = keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    found = linked_components(numbered.select(F.col(ROW).alias("doc_id"), "text"), n, percent)
+    ids = numbered.select(F.col(ROW).alias("row"), F.col("doc_id").alias("id"))
+    rows = found.select(F.col("doc_id").alias("row"), "component_id", "key").join(ids, "row")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "key", "row")).alias("first")
+    kept = rows.groupBy("component_id").agg(first).select(F.col("first.row").alias(ROW))
+    return numbered.join(kept, ROW, "left_semi").select(*docs.columns)

@@ -111,6 +111,21 @@ def test_join_edges(spark):
     assert ngram_join.linked_components(none(spark), 4, 85).count() == 0
 
 
+def test_one_of_each_keeps_exactly_one_row_of_each_component(spark):
+    kept = ngram_join.one_of_each(edges(spark), 5, 80)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 2, 3, 4, 5, 9, 10, None, 12], key=repr)
+    far = " ".join(f"f{i}" for i in range(20))
+    rows = [(1, STORY), (1, STORY + " again"), (2, STORY), (3, far), (3, "something else altogether"), (3, "something else altogether")]
+    rows += [(None, far + " more"), (None, "only here"), (None, "it is twice here"), (None, "it is twice here"), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(map(tuple, ngram_join.one_of_each(docs, 5, 80).collect()), key=repr)
+    (first,) = (r for r in found if r[0] == 1)
+    assert first in rows[:2]
+    want = [first, (3, far), (3, "something else altogether"), (None, "only here"), (None, "it is twice here"), (4, None), (4, None)]
+    assert found == sorted(want, key=repr)
+    assert ngram_join.one_of_each(none(spark), 5, 80).count() == 0
+
+
 def test_join_on_the_driver_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
