@@ -4,20 +4,26 @@ A candidate is a run of 16 or more key-like characters within 64 characters afte
 zstandard compressor is primed with a dictionary of common identifiers and with the text around the
 candidate; the bytes that the candidate adds to the compressed output, against its length, are its
 novelty. Names, paths and words that occur nearby cost a few bytes, a random key costs about as many
-as it has. Candidates whose novelty reaches ``MIN_NOVELTY`` are reported as kind ``novel`` unless a
-stated pattern covers them.
+as its alphabet needs. Candidates whose novelty reaches ``MIN_NOVELTY``, or what random strings of their length
+and alphabet reach if that is less, are reported as kind ``novel`` unless a stated pattern covers them. Long
+keys of few different characters are such: the compressor spends half a byte on a hexadecimal digit. Candidates
+that follow such a candidate on the next line, as those of a key in lines, are in its context too.
 
 Each text is scanned on its own, whole, where it lies; nothing is shuffled. Offsets are code points.
 
 Defined cases: a null or empty text has no spans; several kinds may cover the same place and are all
-listed, ordered by start, then kind, then end; repeated rows are scanned alike; null doc_ids stay.
+listed, ordered by start, then kind, then end; repeated rows are scanned alike; null doc_ids stay; a key's last
+line is no candidate if it has fewer than 16 characters.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -39,6 +45,17 @@ SENSITIVE = ("auth", "bearer", "credential", "cookie", "key", "passw", "private"
 SENSITIVE_WORD = re.compile("|".join(SENSITIVE), re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 REACH, AROUND, MIN_NOVELTY = 64, 512, 0.8
+#: What lies between the lines of a key, line breaks as such or written as in JSON.
+NEXT_LINE = re.compile(r"""[\x20\t"',+]*\\?(?:[\r\n]|\\r|\\)+[\x20\t"',+\r\n]*""", re.A)
+#: Characters that keys are written in; the first that has all of a candidate's is its alphabet, symbols apart.
+DIGITS, SMALL, LARGE = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ALPHABETS = (
+    *(DIGITS, DIGITS + SMALL[:6], DIGITS + LARGE[:6], SMALL, LARGE, LARGE + "234567", SMALL + "234567"),
+    *(DIGITS + SMALL, DIGITS + LARGE, SMALL + LARGE, DIGITS + SMALL + LARGE),
+)
+#: Random strings that are tried for a length, the share of the least of them that suffices, and the lengths
+#: beyond which lengths are rounded up and are all alike.
+TRIED, SUFFICES, ROUNDED, ALIKE = 8, 0.97, 4096, 65536
 
 #: What code and configuration use again and again; primes every compressor.
 IDENTIFIERS = (
@@ -67,6 +84,32 @@ def novelty(candidate: bytes, around: bytes) -> float:
     return (len(press.compress(candidate)) - len(press.compress(b""))) / len(candidate)
 
 
+def alphabet_of(candidate: str) -> str:
+    """The alphabet that a candidate seems to be written in, with the symbols it holds; padding does not count."""
+    held = set(candidate.rstrip("="))
+    symbols = "".join(sorted(held - set(ALPHABETS[-1])))
+    return next(a for a in ALPHABETS if held <= {*a, *symbols}) + symbols
+
+
+@lru_cache(maxsize=20_000)
+def reached(alphabet: str, length: int) -> float:
+    """The novelty that random strings of a length reach at least, where nothing is around them."""
+    rng = random.Random(f"{alphabet} {length}")
+    return SUFFICES * min(novelty("".join(rng.choices(alphabet, k=length)).encode(), b"") for _ in range(TRIED))
+
+
+def is_novel(candidate: str, around: str) -> bool:
+    found = novelty(candidate.encode(), around.encode())
+    if found >= MIN_NOVELTY:
+        return True
+    alphabet, length = alphabet_of(candidate), len(candidate)
+    if found < 0.9 * math.log2(len(alphabet)) / 8:
+        return False  # random strings need more than that at any length
+    if length > ROUNDED:
+        length = min(1 << (length - 1).bit_length(), ALIKE)
+    return found >= reached(alphabet, length)
+
+
 def stated_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the stated patterns, in order."""
     found = [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
@@ -83,17 +126,25 @@ def novel_spans(text: str, stated: list[tuple[int, str, int]]) -> list[tuple[int
     low = text.lower()
     if not any(x in low for x in SENSITIVE):
         return []
-    found: dict[tuple[int, int], None] = {}
+    found: dict[tuple[int, int], bool] = {}
     for word in SENSITIVE_WORD.finditer(text):
+        end = None
         for m in CANDIDATE.finditer(text, word.end()):
-            if m.start() > word.end() + REACH:
+            near = m.start() <= word.end() + REACH
+            if not near and (end is None or not NEXT_LINE.fullmatch(text, end, m.start())):
                 break
-            if (m.start(), m.end()) in found or any(s < m.end() and m.start() < e for s, _, e in stated):
+            end = m.end()
+            if m.span() in found:
+                if not near:
+                    break  # what follows has been gone through from there
                 continue
             around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
-            if novelty(m.group().encode(), around.encode()) >= MIN_NOVELTY:
-                found[m.start(), m.end()] = None
-    return [(s, "novel", e) for s, e in sorted(found)]
+            found[m.span()] = not overlaps(m.span(), stated) and is_novel(m.group(), around)
+    return [(s, "novel", e) for (s, e), novel in sorted(found.items()) if novel]
+
+
+def overlaps(span: tuple[int, int], stated: list[tuple[int, str, int]]) -> bool:
+    return any(s < span[1] and span[0] < e for s, _, e in stated)
 
 
 def place(span: tuple[int, str, int]) -> tuple[int, int, int]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -44,6 +45,30 @@ def test_secret_novel_spans():
     assert secret_scan.spans(f"{key} without any context") == []
 
 
+def novel(text):
+    """The novel strings, without those that begin at a sensitive word inside another."""
+    found = [(s, e) for s, k, e in secret_scan.spans(text) if k == "novel"]
+    return {text[s:e] for s, e in found if not any(a < s < e == b for a, b in found)}
+
+
+def test_secret_long_keys_and_keys_in_lines():
+    rng = random.Random(8)
+    base64 = string.ascii_letters + string.digits + "+/"
+    for letters, sizes in (("0123456789ABCDEF", (64, 128, 1000)), (string.ascii_uppercase + "234567", (160, 256, 2000)), (base64, (1000, 4096, 20_000, 100_000))):
+        for size in sizes:
+            key = "".join(rng.choices(letters, k=size))
+            assert novel(f"the signing key is {key} and no more") == {key}, (letters, size)
+    lines = ["".join(rng.choices(base64, k=64)) for _ in range(25)]
+    for gap in ("\n", "\r\n", "\n    "):
+        text = f"-----BEGIN PRIVATE KEY-----{gap}{gap.join(lines)}{gap}-----END PRIVATE KEY-----\n"
+        assert novel(text) == set(lines)
+    written = "\\n".join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
+    assert {x.removeprefix("n") for x in novel(written)} == set(lines)
+    assert novel("a session key\n" + "configuration_manager_default_value\n" * 9) == set()
+    words = "_".join(["resource", "manager", "default", "listener", "handler", "template"] * 6)
+    assert novel(f"the session key is {words} {lines[0]}") == set() and novel("\n".join(lines)) == set()
+
+
 def test_sharding(spark):
     rows = sharding.shard(edges(spark), 16).collect()
     assert sorted((r.size, r.text_crc32) for r in rows) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, *_ in EDGES)
