@@ -2,7 +2,7 @@
 
 Documents are range-partitioned and sorted by doc_id, encoded, and cut into blocks of whole documents of
 about ``BLOCK_IDS`` ids. Each block is compressed by itself: again and again its most frequent pairs of
-neighbouring ids are replaced by new ids, nonterminals, whose rules the block keeps along with the number
+neighbouring ids are replaced by new ids, nonterminals, until none is frequent, whose rules the block keeps along with the number
 of ids that each expands to. With these lengths a document, or any stretch of one, is decoded without
 expanding what lies before it. No pair reaches over the end of a document.
 
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tallyshelf.llm.common import arrow_pass, scratch_folder, text_pass
 
 END_ID, FIRST_RULE = 0, 1 << 16
-BLOCK_IDS, ROUNDS, PER_ROUND, LEAST_COUNT = 1 << 19, 4, 16384, 4
+BLOCK_IDS, PER_ROUND, LEAST_COUNT = 1 << 19, 16384, 4
 #: Chunks remembered between batches, and texts encoded together.
 REMEMBERED, AT_ONCE = 1_200_000, 500
 NULL_ID = -(1 << 63)
@@ -131,14 +131,12 @@ def slots(pairs: np.ndarray) -> np.ndarray:
 def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rules, their expansion lengths, the symbols left, and the places after each document among them.
 
-    Each round replaces the most frequent pairs at once, left to right, until a round saves under one symbol
-    in a hundred.
+    Each round replaces up to ``PER_ROUND`` of the most frequent pairs at once, left to right; rounds go on
+    until no pair occurs ``LEAST_COUNT`` times. Every round replaces some place, so they end.
     """
     symbols, ends = ids.astype(np.int64), ends.copy()
     rules, lengths = np.zeros((0, 2), np.int64), np.ones(FIRST_RULE, np.int64)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         pairs = symbols[:-1] << 32 | symbols[1:]
         pairs[ends[:-1] - 1] = -1
         ordered = np.sort(pairs)
@@ -159,12 +157,9 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         symbols[at] = FIRST_RULE + len(rules) + which
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        before = len(symbols)
         ends = np.cumsum(keep)[ends - 1]
         symbols, rules = symbols[keep], np.concatenate([rules, made])
         lengths = np.concatenate([lengths, lengths[made[:, 0]] + lengths[made[:, 1]]])
-        if before - len(symbols) < before // 100:
-            break
     return rules.astype("<u4"), lengths[FIRST_RULE:].astype("<u4"), symbols.astype("<u4"), ends
 
 

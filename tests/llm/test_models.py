@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from tallyshelf.llm import lm_scoring, quality, queries
+from tallyshelf.llm import lm_scoring, quality, queries, token_files
 from tests.llm.shared import edges, fold, low, none
 
 
@@ -109,3 +109,16 @@ def test_pipeline_of_nothing(spark, sf, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_compression_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(2)
+    copy, own = rng.integers(1, 40_000, 3000), rng.integers(1, 300, 20_000)
+    docs = [*[np.append(copy, 0)] * 100, np.append(own, 0), np.full(5000, 7), *[np.append(copy[500:2500], 0)] * 50]
+    ids, ends = np.concatenate(docs).astype("<u4"), np.cumsum([len(x) for x in docs])
+    rules, lengths, symbols, after = token_files.compress(ids, ends)
+    assert (token_files.expand(symbols, rules) == ids).all()
+    assert np.diff(after, prepend=0)[:100].tolist() == [1] * 100 and lengths.max() >= 3001
+    border = set(after.tolist())
+    pairs = Counter((a, b) for k, (a, b) in enumerate(zip(symbols.tolist(), symbols[1:].tolist()), 1) if k not in border)
+    assert max(pairs.values()) < token_files.LEAST_COUNT
