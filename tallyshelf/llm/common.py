@@ -23,9 +23,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch_folder(spark: SparkSession) -> str:
     """A folder that the driver and all executors share, below the session's checkpoint folder.
 
-    Where the session names none (tests on one machine), a temporary folder takes its place.
+    Where a session on one machine names none, a temporary folder takes its place; elsewhere that is an error, as
+    every executor would write to its own disk and reads would miss what the others wrote.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tallyshelf-scratch")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), "tallyshelf-scratch")
     return f"{base.rstrip('/')}/tallyshelf/{spark.sparkContext.applicationId}"
 
 

@@ -1,33 +1,36 @@
 """Exact n-gram Jaccard self-join by vertical partitioning, and the components of its links.
 
 A document's set is its distinct word n-grams as 64-bit hashes; the hashes' order is the global n-gram
-order. That order is cut into m fragments. Sets of at most ``hi`` elements that are similar enough differ
-in at most k elements, so with m = k + 1 + c fragments they agree wholly on c + 1 of them or more. Every set
-therefore leaves one signature per fragment, and only sets that share signatures can be linked. m follows
-from the size class of a pair's larger set; a set also leaves signatures in the next class where a larger
-partner may be.
-
-Two things keep unrelated sets apart without losing a link. N-grams that very many documents have, a common
-passage or line, are left out before the fragments are cut: what remains of similar sets still differs in at
-most k elements. And pairs must share ``LEAST_SHARED`` signatures. Empty fragments agree without saying
-anything and leave none. A set with so many of them that its similar partners might share too few others is
-sparse; similar sets that are both sparse find each other by signatures of a second kind, over all their
-elements, empty fragments included where it must be, one of which suffices.
-
-Signatures of few sets are counted pair by pair. One that many sets share, as those of a text with a very
-large number of near copies, only ties them to one among them, so its cost grows with the sets and not with
-their pairs. Sets tied together form families. Within a family overlaps are counted fragment by fragment: the
-membership matrix of a fragment times its transpose adds the partial overlaps of every pair to the sums of
-the others. A family with many sets is cut into blocks, and every pair of blocks is a piece of work of its
-own, with bounded memory. Of the links a piece finds it returns a spanning forest.
-
-Equal sets are one set from the start, so exact copies cost a row each. All shuffles are keyed by
-signature, set or document; none by a word, source or passage.
+order. Equal sets are one set from the start, so exact copies cost a row each.
+
+*Candidates.* The order is cut into m fragments. Sets of at most ``hi`` elements that are similar enough
+differ in at most k elements, so they differ in k fragments at most. m follows from the size class of a
+pair's larger set; a set also takes part in the next class where a larger partner may be. A set that has
+more than k fragments of ``FULL`` elements or more agrees with each similar set on one of these, so such
+fragments are its signatures; one that has too few of them leaves signatures of smaller fragments too.
+N-grams that very many documents have, a common passage or line, are left out first: what remains of similar
+sets still differs in at most k elements. Sets that hold too little else also leave signatures of all their
+elements, of empty fragments too where it must be. A set with g such fragments agrees with each similar set on g - k
+of them, so signatures of a set of which it shares fewer than that with others are dropped, again and again.
+
+*Overlaps.* Candidate pairs are compared by vertical partitioning: both sets are cut at the same places of
+the n-gram order, partial overlaps are counted for each fragment and pair by itself, wherever the shuffle puts
+the fragment, and summed up per pair. A set with many partners is dealt out in blocks of them.
+
+*Linear in the rows of signatures.* Each signature ties the sets that have it to one of them, its hub. First
+every set is compared with the hub that it shares most signatures with, then sets and hubs that are not in one
+component yet are. Only signatures whose sets still belong to several components need more: their sets
+are compared with every set of another component that has the signature. Sets of one component are never compared for
+its own sake, so very many copies of one text cost a comparison or a few each. What does grow with pairs are
+different texts that share a fragment without being linked: they have to be told apart one by one.
+
+All shuffles are keyed by signature, set, pair or document; none by a word, source or passage.
 
 Defined cases: a null, empty or blank text has the empty set and is linked with nothing; a text with fewer
 than n words has its whole word sequence as its only n-gram; rows that repeat are linked with each other;
-rows that share a doc_id with different texts share its component only by links; null doc_ids get a
-component only through links, else null; an empty table gives no rows. ``one_of_each`` goes by rows and not by
+rows that share a doc_id with different texts share its component only by links; a row with a null doc_id links
+others like any row, and its component_id is null where no row of its component has a doc_id; an empty table
+gives no rows. ``one_of_each`` goes by rows and not by
 doc_ids: a row with a null doc_id is linked like any other and stays if its component has no other row or only
 such rows, and of rows that share a doc_id, repeated ones included, one stays for each component. Rows with the
 empty set all stay.
@@ -41,22 +44,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyshelf.llm.common import arrow_pass, keep, text_pass, utf8
 from tallyshelf.llm.components import components
 
-#: Sets and elements in a block of a family; a piece of work holds two blocks.
-BLOCK_SETS, BLOCK_ELEMENTS, FRAGMENT_WIDTH = 512, 500_000, 2048
-#: Signatures that a pair must share, and the most sets that are counted pair by pair for one signature.
-LEAST_SHARED, PAIRWISE = 3, 16
+#: Elements of a fragment that says enough by itself, and partners of a set that are compared in one place.
+FULL, PARTNERS = 2, 256
+#: The bit of a signature's kind from which on it says how many must be shared.
+NEED_AT = 10
+#: Rarer signatures of a set that come with each one.
+RARER = 10
+#: Into how many fragments compared sets are cut at least, and the elements of the first set that make one more.
+LEAST_FRAGMENTS, FRAGMENT_ELEMENTS = 4, 4096
 #: N-grams in this many of up to AT_ONCE documents of a task are reported as common; the most frequent
 #: MOST_COMMON of all reports are left out of signatures. Which n-grams these are changes cost, not results.
 COMMON_IN, AT_ONCE, MOST_COMMON = 4, 2000, 1 << 17
 #: Upper bounds of size classes grow by this factor, which must be at least 100 / percent.
 CLASS_GROWTH = 1.3
-REMEMBERED = 400_000
+#: Words whose hashes are remembered, and the longest of them in bytes.
+REMEMBERED, LONGEST = 400_000, 64
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 S30, S27, S31, S32 = np.uint64(30), np.uint64(27), np.uint64(31), np.uint64(32)
 
@@ -72,9 +80,11 @@ class Hashes(dict):
     """64-bit hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -108,12 +118,9 @@ class Classes:
         most = 2 * self.bounds[number]
         return most * (100 - self.percent) // (100 + self.percent)
 
-    def spare(self, number: int) -> int:
-        """c: fragments that similar sets agree on, beyond one."""
-        return LEAST_SHARED - 1 + -(-self.differing(number) // 10)
-
     def fragments(self, number: int) -> int:
-        return self.differing(number) + 1 + self.spare(number)
+        """m: twice as many as can differ, so that most sets have many more than k full ones."""
+        return 2 * self.differing(number)
 
     def joined_by(self, size: int) -> list[int]:
         """The classes in which a set of this size may have partners that are no smaller."""
@@ -121,35 +128,53 @@ class Classes:
         return list(range(own, self.of(max(size, size * 100 // self.percent)) + 1))
 
 
-def fragment_marks(elements: np.ndarray, m: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The fragments that hold elements, and a number for what each holds."""
+def fragment_marks(elements: np.ndarray, m: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The fragments that hold elements, a number for what each holds, and how many elements that is."""
+    if not len(elements):
+        return elements, elements, np.zeros(0, np.int64)
     part = ((elements >> S32) * np.uint64(m)) >> S32
     first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     sums = np.add.reduceat(mix(elements + P1), first)
-    return part[first], mix(sums ^ mix(part[first] * P1 + np.uint64(seed)))
+    marks = mix(sums ^ mix(part[first] * P1 + np.uint64(seed)))
+    return part[first], marks, np.diff(np.append(first, len(elements)))
+
+
+def level(held: np.ndarray, k: int) -> int:
+    """The largest size, FULL at most, that more than k fragments have; 0 if not even one element."""
+    return next((t for t in range(FULL, 0, -1) if (held >= t).sum() > k), 0)
+
+
+def kind_of(number: int, whole: int, enough: int, spare: int) -> int:
+    """A size class, whether all elements or the rare ones were cut, and how many of a set's signatures of this kind a similar set has.
+
+    That is the number of signatures that cannot all differ, where they are full fragments, which every similar set leaves;
+    a set of a lower level may have a partner that leaves its full ones only.
+    """
+    return (spare if enough == FULL else 1) << NEED_AT | number << 1 | whole
 
 
 def signatures(elements: np.ndarray, rare: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures of a set and their weights: LEAST_SHARED for those that suffice alone, else 1."""
-    out, weights = [np.zeros(0, np.uint64)], [0]
+    """The signatures of a set and their kinds."""
+    out, kinds = [np.zeros(0, np.uint64)], [0]
     for number in classes.joined_by(len(elements)):
-        m, k, c = classes.fragments(number), classes.differing(number), classes.spare(number)
+        m, k = classes.fragments(number), classes.differing(number)
         if k == 0:
             continue  # sets that do not differ are one set
-        held = 0
-        if len(rare):
-            where, marks = fragment_marks(rare, m, 4 * number)
-            held = len(where)
-            out.append(marks)
-            weights.append(1)
-        if m - held > c + 1 - LEAST_SHARED:
-            where, marks = fragment_marks(elements, m, 4 * number + 1)
-            if len(where) <= k:
-                empty = np.setdiff1d(np.arange(m, dtype=np.uint64), where)
-                marks = np.concatenate([marks, mix(mix(empty * P1 + np.uint64(4 * number + 2)) + P3)])
-            out.append(marks)
-            weights.append(LEAST_SHARED)
-    return np.concatenate(out), np.repeat(np.array(weights, np.int32), [len(x) for x in out])
+        _, marks, held = fragment_marks(rare, m, 4 * number)
+        enough = level(held, k)
+        out.append(marks[held >= enough])
+        kinds.append(kind_of(number, 0, enough, len(out[-1]) - k))
+        if enough:
+            continue  # a similar set holds one of these fragments and leaves it too, as it is at this level or below
+        where, marks, held = fragment_marks(elements, m, 4 * number + 1)
+        enough = level(held, k)
+        marks = marks[held >= enough]
+        if not enough:
+            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), where)
+            marks = np.concatenate([marks, mix(mix(empty * P1 + np.uint64(4 * number + 2)) + P3)])
+        out.append(marks)
+        kinds.append(kind_of(number, 1, enough, len(marks) - k))
+    return np.concatenate(out), np.repeat(np.array(kinds, np.int32), [len(x) for x in out])
 
 
 def without(elements: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -178,11 +203,11 @@ def short_key(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
-SET_ROWS = "doc_id long, n_shingles long, key binary, key64 long, common long, n_sets long"
+SET_ROWS = "doc_id long, text_hash long, n_shingles long, key binary, key64 long, common long, n_sets long"
 
 
 def set_rows(docs: DataFrame, n: int) -> DataFrame:
-    """Of every row of docs: doc_id, n_shingles, the 128-bit key of its set (null if that is empty) and its short form.
+    """Of every row of docs: doc_id, its text's hash, n_shingles, the 128-bit key of its set (null if that is empty) and its short form.
 
     Further rows, with n_shingles null, report common n-grams and the number of sets that a task saw them in.
     """
@@ -192,7 +217,7 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, AT_ONCE):
                 part = b.slice(i, AT_ONCE)
-                sets = [ngram_set(t, n, hashes) for t in utf8(part.column(1))]
+                sets = [ngram_set(t, n, hashes) for t in utf8(part.column(2))]
                 keys = [key_of(s) if len(s) else None for s in sets]
                 distinct = dict(zip(keys, sets, strict=True))
                 distinct.pop(None, None)
@@ -200,6 +225,7 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
                 none, more = [None] * len(common), [None] * len(sets)
                 cols = [
                     pa.array(part.column(0).to_pylist() + none, pa.int64()),
+                    pa.array(part.column(1).to_pylist() + none, pa.int64()),
                     pa.array([len(s) for s in sets] + none, pa.int64()),
                     pa.array(keys + none, pa.binary()),
                     pa.array([None if k is None else short_key(k) for k in keys] + none, pa.int64()),
@@ -208,7 +234,7 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SET_ROWS.split(", ")])
 
-    return text_pass(docs, SET_ROWS, work, "doc_id", "text")
+    return text_pass(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), SET_ROWS, work, "doc_id", "text_hash", "text")
 
 
 def common_ngrams(rows: DataFrame) -> np.ndarray:
@@ -219,218 +245,221 @@ def common_ngrams(rows: DataFrame) -> np.ndarray:
 
 
 def signature_rows(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
-    """sig, weight and key64 of every set; a task names equal sets once."""
+    """sig, kind and key64 of every set; a task names equal sets once."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, classes, done = Hashes(), Classes(percent), set()
         for b in batches:
-            texts = utf8(b.column(1))
-            for i in range(0, len(texts), 500):
-                sigs, weights, keys = [], [], []
-                for t in texts[i : i + 500]:
+            for i in range(0, b.num_rows, 500):
+                sigs, kinds, keys = [], [], []
+                for t in utf8(b.column(0).slice(i, 500)):
                     s = ngram_set(t, n, hashes)
                     key = short_key(key_of(s))
                     if len(s) and key not in done:
                         done.add(key)
-                        marks, weight = signatures(s, without(s, sent.value), classes)
-                        sigs.append(marks)
-                        weights.append(weight)
+                        own, kind = signatures(s, without(s, sent.value), classes)
+                        sigs.append(own)
+                        kinds.append(kind)
                         keys.append(key)
                 if sigs:
                     key64 = np.repeat(np.array(keys, np.int64), [len(x) for x in sigs])
-                    cols = [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(weights)), pa.array(key64)]
-                    yield pa.RecordBatch.from_arrays(cols, names=["sig", "weight", "key64"])
+                    cols = [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(kinds)), pa.array(key64)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["sig", "kind", "key64"])
 
-    return text_pass(docs, "sig long, weight int, key64 long", work, "doc_id", "text")
+    return text_pass(docs, "sig long, kind int, key64 long", work, "text")
 
 
 def shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by sig and key64, pairs of keys that share a signature, with its weight.
-
-    Up to PAIRWISE keys give all their pairs. Further keys of the signature are tied to its first key, with a
-    weight that suffices, and so are the first ones once it is known that there are more.
-    """
-    sig = first = None
-    held: list[int] = []
-    count = 0
-    u: list[int] = []
-    v: list[int] = []
-    w: list[int] = []
-
-    def ended(weight: int) -> None:
-        if 1 < count <= PAIRWISE:
-            for i, x in enumerate(held):
-                for y in held[i + 1 :]:
-                    u.append(x)
-                    v.append(y)
-                    w.append(weight)
-
-    last = None
-    own = 1
+    """From rows sorted by sig and key64, those whose sig has several; the same row may stay several times."""
+    last: list[np.ndarray] = []
     for b in batches:
-        sigs, weights, keys = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()
-        # most signatures have one row; only rows beside one of the same signature are looked at one by one
-        near = np.concatenate([[len(sigs) > 0 and sig is not None and sigs[0] == sig], sigs[1:] == sigs[:-1]]) if len(sigs) else []
-        many = np.copy(near)
-        many[:-1] |= near[1:]
-        if len(sigs):
-            many[-1] = True  # its signature may go on in the next batch
-        for s, weight, key in zip(sigs[many].tolist(), weights[many].tolist(), keys[many].tolist(), strict=True):
-            if s != sig:
-                ended(own)
-                sig, first, held, count, last, own = s, key, [key], 1, key, weight
-            elif key != last:
-                count, last = count + 1, key
-                if count <= PAIRWISE:
-                    held.append(key)
-                else:
-                    for x in held[1:]:
-                        u.append(first)
-                        v.append(x)
-                        w.append(LEAST_SHARED)
-                    held = [first]
-                    u.append(first)
-                    v.append(key)
-                    w.append(LEAST_SHARED)
-        if u:
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(w, pa.int32())], names=["u", "v", "w"])
-            u, v, w = [], [], []
-    ended(own)
-    if u:
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(w, pa.int32())], names=["u", "v", "w"])
-
-
-def families(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
-    """key64 and family of every set that shares enough signatures with another set."""
-    rows = signature_rows(docs, n, percent, common).repartition("sig").sortWithinPartitions("sig", "key64")
-    shared = arrow_pass(rows, "u long, v long, w int", shared_batches)
-    edges = shared.groupBy("u", "v").agg(F.sum("w").alias("w")).where(F.col("w") >= LEAST_SHARED)
-    return components(edges).select(F.col("node").alias("key64"), F.col("component").alias("family"))
-
-
-def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets of a with all of b, as sums of partial overlaps by fragment."""
-    sizes = [len(x) for x in a] + [len(x) for x in b]
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    elements = np.concatenate([*a, *b])
-    order = np.argsort(elements, kind="stable")
-    elements, owner = elements[order], owner[order]
-    same = elements[1:] == elements[:-1]
-    shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    elements, owner = elements[shared], owner[shared]
-    total = np.zeros((len(a), len(b)), np.float32)
-    if not len(elements):
-        return total
-    column = np.cumsum(np.concatenate([[0], elements[1:] != elements[:-1]]))
-    for low in range(0, int(column[-1]) + 1, FRAGMENT_WIDTH):
-        s, e = np.searchsorted(column, [low, low + FRAGMENT_WIDTH])
-        part = np.zeros((len(sizes), FRAGMENT_WIDTH), np.float32)
-        part[owner[s:e], column[s:e] - low] = 1
-        total += part[: len(a)] @ part[len(a) :].T
-    return total  # sums of ones below 2**24 are exact
-
-
-def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
-    size_a, size_b = np.array([len(x) for x in a])[:, None], np.array([len(x) for x in b])[None]
-    both = overlaps(a, b).astype(np.int64)
-    return 100 * both >= percent * (size_a + size_b - both)
-
-
-def forest(link: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what link connects: from each node to the smallest id of its component."""
-    la, lb = ids_a.copy(), ids_b.copy()
-    top = np.iinfo(np.int64).max
-    while True:
-        na = np.minimum(la, np.where(link, lb[None], top).min(axis=1))
-        nb = np.minimum(lb, np.where(link, na[:, None], top).min(axis=0))
-        if (na == la).all() and (nb == lb).all():
-            break
-        la, lb = na, nb
-    u, v = np.concatenate([ids_a, ids_b]), np.concatenate([la, lb])
-    return u[u != v], v[u != v]
-
-
-def link_rows(members: DataFrame, percent: int) -> DataFrame:
-    """u, v from rows (family, i, j, block, rep, elements) sorted by family, i, j."""
-
-    def piece(rows: list[tuple[int, int, bytes]], i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-        sides = [[(rep, np.frombuffer(x, "<u8")) for block, rep, x in rows if block == side] for side in dict.fromkeys((i, j))]
-        a, b = sides[0], sides[-1]
-        if not a or not b:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ids = [np.array([rep for rep, _ in side], np.int64) for side in (a, b)]
-        return forest(linked([x for _, x in a], [x for _, x in b], percent), *ids)
+        cols = [b.column(i).to_numpy() for i in range(3)]
+        if last:
+            cols = [np.concatenate(x) for x in zip(last, cols, strict=True)]
+        if not len(cols[0]):
+            continue
+        same = cols[0][1:] == cols[0][:-1]
+        same[same] = cols[2][1:][same] != cols[2][:-1][same]  # equal sets that several tasks name do not count
+        near = np.append(same, False)
+        near[1:] |= same
+        last = [x[-1:] for x in cols]
+        if near.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[near]) for x in cols], names=["sig", "kind", "key64"])
+
+
+def plausible(rows: DataFrame) -> DataFrame:
+    """The rows (sig, kind, sid...) of sets that have as many of a kind as similar sets share at least."""
+    enough = rows.groupBy("sid", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.expr(f"n >= shiftright(kind, {NEED_AT})"))
+    return rows.join(enough.select("sid", "kind"), ["sid", "kind"], "left_semi")
+
+
+def of_several(rows: DataFrame, what: str) -> DataFrame:
+    """The rows whose signature has more than one value of what."""
+    several = rows.groupBy("sig").agg(F.min(what).alias("low"), F.max(what).alias("high")).where("low <> high").select("sig")
+    return rows.join(several, "sig", "left_semi")
+
+
+def thinned(rows: DataFrame, what: str) -> DataFrame:
+    """rows without those that cannot tie similar sets with different values of what, as far as that is worth a pass."""
+    rows = keep(of_several(rows, what), "signatures")
+    before, left = None, rows.count()
+    while left and (before is None or left < 0.9 * before):
+        rows = keep(of_several(plausible(rows), what), "signatures")
+        before, left = left, rows.count()
+    return rows
+
+
+def rarest(rows: DataFrame) -> DataFrame:
+    """The rows that suffice to find every similar pair: of each kind a set goes without its most frequent signatures.
+
+    Similar sets share as many signatures as their kinds say. The rarest of these, in one order of all signatures, is
+    not among the so many less one most frequent ones of either set. With each row come some rarer ones of its set,
+    so that a pair need not be named again where it shares these.
+    """
+    often = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("times"))
+    own = Window.partitionBy("sid", "kind")
+    place = F.row_number().over(own.orderBy(F.desc("times"), F.desc("sig")))
+    rarer = F.collect_list("sig").over(own.orderBy("times", "sig").rowsBetween(-RARER, -1))
+    ranked = rows.join(often, "sig").withColumn("place", place).withColumn("rarer", rarer)
+    return ranked.where(F.expr(f"place >= shiftright(kind, {NEED_AT})")).drop("times", "place")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows, us, vs = None, [], [], []
-        for b in batches:
-            columns = [b.column(c).to_pylist() for c in range(6)]
-            for family, i, j, block, rep, elements in zip(*columns, strict=True):
-                if (family, i, j) != at:
-                    if len(rows) > 1:
-                        u, v = piece(rows, *at[1:])
-                        us.append(u)
-                        vs.append(v)
-                    at, rows = (family, i, j), []
-                rows.append((block, rep, elements))
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
-                us, vs = [], []
-        if len(rows) > 1:
-            u, v = piece(rows, *at[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    return arrow_pass(members, "u long, v long", work)
-
-
-def member_sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """family, rep and elements of one document for each set of a family."""
+
+def shared_signatures(docs: DataFrame, n: int, percent: int, common: np.ndarray, distinct: DataFrame) -> DataFrame:
+    """sig, kind, sid and size: the sets of every signature that several have."""
+    rows = signature_rows(docs, n, percent, common).repartition("sig").sortWithinPartitions("sig", "key64", "kind")
+    shared = arrow_pass(rows, "sig long, kind int, key64 long", shared_batches)
+    return thinned(shared.join(distinct.select("key64", "sid", "size"), "key64").select("sig", "kind", "sid", "size"), "sid")
+
+
+def element_rows(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
+    """sid and elements of the sets that are needed, from one document of each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            sets = [ngram_set(t, n, hashes) for t in utf8(b.column(4))]
-            # a doc_id that rows share with different texts stands for the row whose set was meant
-            right = pa.array([key_of(s) == k for s, k in zip(sets, b.column(3).to_pylist(), strict=True)])
-            cols = [b.column(0), b.column(1), b.column(2), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["family", "rep", "blocks", "elements"]).filter(right)
-
-    # reps grow with the documents, so they are never broadcast: the plan is the same at every size
-    rows = docs.select(F.col("doc_id").alias("rep"), "text").join(reps.hint("merge"), "rep")
-    return text_pass(rows, "family long, rep long, blocks int, elements binary", work, "family", "rep", "blocks", "key", "text")
-
-
-def pieces(members: DataFrame) -> DataFrame:
-    """Every member once for each pair of blocks that its block is in."""
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = members.withColumn("block", block).withColumn("other", other)
-    rows = rows.select(
-        "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "elements"
-    )
-    return rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                sets = [ngram_set(t, n, hashes) for t in utf8(part.column(3))]
+                right = pa.array([key_of(s) == k for s, k in zip(sets, part.column(2).to_pylist(), strict=True)], pa.bool_())
+                cols = [part.column(0), part.column(1), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["sid", "n_rows", "elements"]).filter(right)
+
+    rows = docs.select(F.col("doc_id").alias("of"), F.xxhash64("text").alias("of_hash"), "text")
+    # what is needed grows with the documents, so it is never broadcast: the plan is the same at every size
+    both = rows.join(needed.hint("merge"), rows["of"].eqNullSafe(needed["rep"]) & (rows["of_hash"] == needed["rep_hash"]))
+    found = keep(text_pass(both, "sid long, n_rows long, elements binary", work, "sid", "n_rows", "key", "text"), "elements")
+    once = found.where("n_rows = 1").select("sid", "elements")
+    # a set with several rows may come from rows that are the same throughout
+    return once.unionByName(found.where("n_rows > 1").groupBy("sid").agg(F.first("elements").alias("elements")))
+
+
+CUT = "u long, su long, block int, fragment int, v long, sv long, part binary"
+
+
+def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (u, su, block, v, sv, elements) one for each fragment: the elements that lie in it."""
+    for b in batches:
+        columns: list[list] = [[] for _ in range(7)]
+        for u, su, block, v, sv, raw in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
+            m = LEAST_FRAGMENTS + su // FRAGMENT_ELEMENTS
+            elements = np.frombuffer(raw, "<u8")
+            cuts = np.array([(i << 64) // m for i in range(1, m)], np.uint64)
+            at = [0, *(8 * np.searchsorted(elements, cuts)).tolist(), len(raw)]
+            for i, (s, e) in enumerate(zip(at, at[1:], strict=False)):
+                if s < e:
+                    for c, x in zip(columns, (u, su, block, i, v, sv, raw[s:e]), strict=True):
+                        c.append(x)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in CUT.split(", ")])
+
+
+def partial_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows of CUT, each u's own part before its partners': the partial overlaps of a fragment's pairs."""
+    at, own = None, np.zeros(0, "<u8")
+    for b in batches:
+        found: list[tuple] = []
+        for u, su, block, i, v, sv, raw in zip(*[b.column(i).to_pylist() for i in range(7)], strict=True):
+            if (u, block, i) != at:
+                at, own = (u, block, i), np.zeros(0, "<u8")
+            part = np.frombuffer(raw, "<u8")
+            if v is None:
+                own = part
+            elif len(own):
+                n = int((own[np.minimum(np.searchsorted(own, part), len(own) - 1)] == part).sum())
+                if n:
+                    found.append((u, su, v, sv, n))
+        columns = list(zip(*found, strict=True)) if found else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "su", "v", "sv", "n"])
+
+
+def links(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
+    """u and v of the pairs (u, su, v, sv; sets and their sizes) that are similar enough; no pair may occur twice."""
+    fit = pairs.where(100 * F.least("su", "sv") >= percent * F.greatest("su", "sv"))
+    fit = keep(fit.select("u", "su", "v", "sv"), "pairs")
+    many = fit.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = fit.join(many, "u", "left").withColumn("block", F.pmod(F.xxhash64("v"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    columns = ["u", "su", "block", "v", "sv", "elements"]
+    partners = dealt.join(elements.withColumnRenamed("sid", "v"), "v").select(columns)
+    own = dealt.select("u", "su", "block").distinct().join(elements.withColumnRenamed("sid", "u"), "u")
+    own = own.withColumn("v", F.lit(None).cast("long")).withColumn("sv", F.lit(None).cast("long")).select(columns)
+    cut = arrow_pass(partners.unionByName(own), CUT, cut_batches)
+    cut = cut.repartition("u", "block", "fragment").sortWithinPartitions("u", "block", "fragment", F.col("v").asc_nulls_first())
+    parts = arrow_pass(cut, "u long, su long, v long, sv long, n long", partial_batches)
+    both = parts.groupBy("u", "v").agg(F.sum("n").alias("n"), F.first("su").alias("su"), F.first("sv").alias("sv"))
+    return keep(both.where(100 * F.col("n") >= percent * (F.col("su") + F.col("sv") - F.col("n"))).select("u", "v"), "links")
+
+
+def labelled(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+    """rows with label_<column>: the component of the set in each of the columns, itself if it has no link."""
+    for c in columns:
+        own = labels.select(F.col("node").alias(c), F.col("component").alias(f"label_{c}"))
+        rows = rows.join(own, c, "left").withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
+    return rows
+
+
+def all_links(shared: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
+    """Links that connect all sets that similarity connects; see the module's text."""
+    hub = shared.groupBy("sig").agg(F.min(F.struct("sid", "size")).alias("hub"))
+    ties = shared.join(hub, "sig").select(F.col("hub.sid").alias("u"), F.col("hub.size").alias("su"), F.col("sid").alias("v"), F.col("size").alias("sv"))
+    stars = ties.where("u <> v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("w"), F.first("su").alias("su"), F.first("sv").alias("sv"))
+    stars = keep(stars, "stars")
+    best = stars.groupBy("v").agg(F.max(F.struct("w", "u", "su", "sv")).alias("best")).select("v", "best.*")
+    found = links(best, elements, percent)
+    labels = components(found)
+    apart = labelled(stars.join(best.select("v", F.col("u").alias("best")), "v").where("u <> best"), labels, "u", "v").where("label_u <> label_v")
+    found = found.unionByName(links(apart, elements, percent))
+    tied = labelled(shared, components(found), "sid")
+    tied = keep(of_several(rarest(thinned(tied, "label_sid")), "label_sid"), "rarest-signatures")
+    named = lambda x: [F.col(c).alias(n + x) for c, n in (("sig", "sig_"), ("sid", ""), ("size", "s"), ("label_sid", "label_"), ("rarer", "rarer_"))]
+    a, b = tied.select(named("u")), tied.select(named("v"))
+    new = (a["u"] < b["v"]) & (a["label_u"] != b["label_v"]) & ~F.arrays_overlap("rarer_u", "rarer_v")
+    rest = a.join(b, (a["sig_u"] == b["sig_v"]) & new).select("u", "su", "v", "sv").distinct()
+    rest = rest.join(stars.select("u", "v"), ["u", "v"], "left_anti")  # a hub is the smaller of its pairs
+    return found.unionByName(links(rest, elements, percent))
 
 
 def linked_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id and the set's key, for every row of docs."""
     rows = keep(set_rows(docs, n), "sets")
-    sets = rows.where("n_shingles is not null").select("doc_id", "n_shingles", "key", "key64")
-    family = keep(families(docs, n, percent, common_ngrams(rows)), "families")
-    first = [F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("key64").alias("key64")]
-    reps = keep(sets.where("key is not null").groupBy("key").agg(*first), "set-representatives")
-    in_family = reps.where("rep is not null").join(family, "key64").select("family", "rep", "key", "size")
-    in_family = keep(in_family, "family-members")
-    count = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("size") / BLOCK_ELEMENTS)).cast("int")
-    blocks = in_family.groupBy("family").agg(count.alias("blocks"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
-    chosen = in_family.join(blocks, "family").select("family", "rep", "key", "blocks")
-    links = keep(link_rows(pieces(member_sets(docs, chosen, n)), percent), "links")
-    found = components(links).withColumnRenamed("node", "rep")
-    of_set = reps.join(found, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    sets = rows.where("n_shingles is not null").select("doc_id", "text_hash", "n_shingles", "key", "key64")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    per_key = [first, F.count(F.lit(1)).alias("n_rows"), F.first("n_shingles").alias("size"), F.first("key64").alias("key64")]
+    distinct = sets.where("key is not null").groupBy("key").agg(*per_key)
+    distinct = distinct.select(
+        F.monotonically_increasing_id().alias("sid"), "key", "key64", "size", "n_rows", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash")
+    )
+    distinct = keep(distinct, "distinct-sets")
+    shared = shared_signatures(docs, n, percent, common_ngrams(rows), distinct)
+    needed = distinct.join(shared.select("sid").distinct(), "sid", "left_semi").select("sid", "key", "n_rows", "rep", "rep_hash")
+    labels = components(all_links(shared, element_rows(docs, n, needed), percent))
+    of_set = labelled(distinct.select("sid", "key", "rep"), labels, "sid")
+    least = of_set.groupBy("label_sid").agg(F.min("rep").alias("component_id"))
+    of_set = of_set.join(least, "label_sid").select(F.col("key").alias("of"), "component_id")
     # documents with the empty set get a join key of their own each, longer than any set's, so that they do not meet
     own = F.concat(F.lit("without any n-gram: "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")
-    return sets.join(of_set.withColumnRenamed("key", "of"), F.coalesce("key", own) == F.col("of"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "key"
+    return sets.join(of_set, F.coalesce("key", own) == F.col("of"), "left").select(
+        "doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key"
     )
 
 
