@@ -1,18 +1,20 @@
 """Quality scores by similarity-weighted votes of labelled latent-semantic neighbours.
 
-A text becomes counts of 1,056 terms: 1,024 pairs of adjacent byte classes (letters, digits, spaces and
-the commoner marks have classes of their own), and 32 bins that say how far words repeat, side by side
-and over the text. Log frequencies, weighted by how few labelled texts have a term and centred, are
-projected on the leading singular vectors of the labelled sample: its latent-semantic space.
-
-Fitting draws a bounded sample, ``SAMPLE`` labelled documents of those allowed to teach, by smallest
-hash of doc_id; the bound is a parameter, and sample and projection together take about 2 MB, which is
-what is broadcast. Scoring is exact: every document's vector is multiplied with all labelled vectors, a
-block of documents at a time, and its ``NEIGHBOURS`` most similar ones vote with their similarity. The
-score is the weighted share of label 1. Only text is an input.
+A text becomes counts of terms: its words, lower-cased, in 2,048 hash bins; 1,024 pairs of adjacent byte classes
+(letters, digits, spaces and the commoner marks have classes of their own); and 32 bins that say how far words
+repeat, side by side and over the text. Log frequencies, weighted by how few labelled texts have a term and centred,
+are projected on the leading singular vectors of the labelled sample: its latent-semantic space.
+
+Fitting draws a bounded sample, ``SAMPLE`` labelled texts of those allowed to teach, half of the places for each
+label, by smallest hash of doc_id; the bound is a parameter. Texts are turned into terms where they lie, so what the
+driver gets is bounded in bytes too; the projection and the labelled vectors, which are broadcast, take about 2 MB.
+Scoring is exact: every document's vector is multiplied with all labelled vectors, a
+block of documents at a time, and its ``NEIGHBOURS`` most similar ones vote with their similarity, and so do those
+that are as similar as the last of them. The score is the weighted share of label 1. Only text is an input.
 
 Defined cases: a null or empty text has no terms and gets the share of label 1 in the sample; labels
-that are null are no labels; several labels of one document count once each; without any label at all
+that are null are no labels; several labels of one document count once each; rows of the sample that repeat a doc_id and
+its text count once, different texts of one doc_id each count; without any label at all
 every score is 0.5; repeated rows score alike; very long texts are read whole.
 """
 
@@ -24,17 +26,23 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyshelf.llm.common import arrow_pass, text_pass, utf8
 
-CLASSES, BINS, RANK, SAMPLE, NEIGHBOURS, BLOCK, THRESHOLD = 32, 32, 40, 4096, 24, 256, 0.3
-TERMS = CLASSES * CLASSES + BINS
+CLASSES, BINS, WORDS, RANK, SAMPLE, NEIGHBOURS, BLOCK, THRESHOLD = 32, 32, 2048, 40, 4096, 24, 256, 0.3
+FORMS = CLASSES * CLASSES + BINS
+TERMS = FORMS + WORDS
+#: How much words weigh beside the forms.
+WORD_SHARE = 0.5
+#: Words whose bins are remembered, and the longest of them in bytes.
+REMEMBERED, LONGEST = 400_000, 64
 
 
 def byte_classes() -> np.ndarray:
-    """Class of each byte: marks first, then vowels, other letters, capitals, digits, spaces and the rest."""
+    """Class of each byte: marks and spaces first, then letters, capitals, digits, brackets and the rest."""
     out = np.zeros(256, np.int64)
     for i, mark in enumerate(b" \n\t.,;:!?|*#$%&@/\\-_\"'()"):
         out[mark] = i + 1
@@ -47,6 +55,21 @@ def byte_classes() -> np.ndarray:
 CLASS = byte_classes()
 
 
+class WordBins(dict):
+    """The hash bin of each word, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh3_64_intdigest(word) % WORDS
+        if len(word) <= LONGEST:
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_bins = WordBins()
+
+
 def terms(text: bytes) -> np.ndarray:
     """Log frequencies of the terms of one text, zeros for a text without bytes."""
     out = np.zeros(TERMS, np.float32)
@@ -55,8 +78,10 @@ def terms(text: bytes) -> np.ndarray:
     seen = CLASS[np.frombuffer(text, np.uint8)]
     pairs = np.bincount(seen[:-1] * CLASSES + seen[1:], minlength=CLASSES * CLASSES)
     out[: CLASSES * CLASSES] = np.log1p(pairs * (1000.0 / len(text)))
-    words = text.split()
+    words = text.lower().split()  # of bytes: both touch ASCII only
     if words:
+        held = np.bincount(np.fromiter(map(_bins.__getitem__, words), np.int64, len(words)), minlength=WORDS)
+        out[FORMS:] = WORD_SHARE * np.log1p(held * (100.0 / len(words)))
         beside = sum(map(eq, words, words[1:])) / len(words)
         kept = len(set(words)) / len(words)
         out[CLASSES * CLASSES + min(15, int(np.ceil(beside * 40)))] = 4.0
@@ -85,25 +110,31 @@ class Model:
             return np.full(len(counts), self.prior)
         near = self.embed(counts) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, top, axis=1), 0) ** 2
-        score = ((weight * self.labels[top]).sum(axis=1) + 1e-6 * self.prior) / (weight.sum(axis=1) + 1e-6)
+        last = np.partition(near, len(self.labels) - k, axis=1)[:, [len(self.labels) - k]]
+        weight = np.where(near >= last, np.maximum(near, 0) ** 2, 0)
+        score = (weight @ self.labels + 1e-6 * self.prior) / (weight.sum(axis=1) + 1e-6)
         return np.where(counts.any(axis=1), np.clip(score, 0, 1), self.prior)  # sums of rounded weights may end just above 1
 
 
-def fit(texts: list[bytes], labels: list[int]) -> Model:
-    """Weights, axes and labelled vectors from the sample's texts."""
-    if not texts:
+def axes_of(rows: np.ndarray) -> np.ndarray:
+    """The leading right singular vectors of centred rows, by subspace iteration from a fixed start."""
+    basis = np.random.default_rng(3).standard_normal((rows.shape[1], RANK + 24)).astype(np.float32)
+    for _ in range(6):
+        basis, _ = np.linalg.qr(rows.T @ (rows @ basis))
+    _, _, turn = np.linalg.svd(rows @ basis, full_matrices=False)
+    return (basis @ turn.T)[:, :RANK].astype(np.float32)
+
+
+def fit(counts: np.ndarray, labels: list[int]) -> Model:
+    """Weights, axes and labelled vectors from the terms of the sample's texts."""
+    if not len(counts):
         none = np.zeros(TERMS, np.float32)
         return Model(none, none, np.zeros((TERMS, RANK), np.float32), np.zeros((0, RANK), np.float32), np.zeros(0), 0.5)
-    counts = np.stack([terms(t) for t in texts])
-    weights = np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 0.5
+    weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.5)
     scaled = counts * weights
     centre = scaled.mean(axis=0)
-    moments = (scaled - centre).T.astype(np.float64) @ (scaled - centre)
-    _, axes = np.linalg.eigh(moments)  # ascending
     y = np.asarray(labels, np.float64)
-    model = Model(weights, centre, axes[:, ::-1][:, :RANK].astype(np.float32), None, y, float(y.mean()))
+    model = Model(weights, centre, axes_of(scaled - centre), None, y, float(y.mean()))
     model.vectors = model.embed(counts).astype(np.float32)
     return model
 
@@ -113,20 +144,31 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list[bytes], list[int]]:
-    """At most size texts of both labels, half of the places for the rarer one, in an order that only depends on the ids.
+def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[np.ndarray, list[int]]:
+    """Terms and labels of at most size texts, half of the places for each label, in an order that only depends on ids and texts.
 
-    Of each label, the ids with the smallest hashes are drawn, so both the ids and their texts are
-    bounded by size before they reach the driver.
+    Of each label, the ids with the smallest hashes are drawn, and of their rows one for each text, so ids and texts
+    are bounded by size before they are looked at; texts become terms on the executors.
     """
-    named = labels.where("quality in (0, 1)").where(~held_out()).select("doc_id", "quality")
-    drawn = []
+    named = labels.where("quality in (0, 1)").where(~held_out()).select("doc_id", "quality").distinct()
+    order = (F.xxhash64("doc_id"), "doc_id")
+    sample = None
     for label in (0, 1):
-        one = named.where(F.col("quality") == label)
-        drawn.append(one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size // 2))
-    ids = F.broadcast(drawn[0].unionByName(drawn[1]))  # size rows at most
-    found = docs.select("doc_id", "text").join(ids, "doc_id").orderBy("quality", "doc_id", "text").limit(size).collect()
-    return [(r.text or "").encode() for r in found], [r.quality for r in found]
+        ids = F.broadcast(named.where(F.col("quality") == label).orderBy(*order).limit(size // 2))  # size rows at most
+        rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
+        texts = rows.groupBy("doc_id", "quality", F.xxhash64("text").alias("text_hash")).agg(F.first("text").alias("text"))
+        part = texts.orderBy(*order, "text_hash").limit(size // 2)
+        sample = part if sample is None else sample.unionByName(part)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [terms(t).astype("<f2").tobytes() for t in utf8(b.column(3))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.binary())], names=["doc_id", "quality", "text_hash", "terms"])
+
+    found = text_pass(sample, "doc_id long, quality int, text_hash long, terms binary", work, "doc_id", "quality", "text_hash", "text").collect()
+    found.sort(key=lambda r: (r.quality, r.doc_id, r.text_hash))
+    counts = [np.frombuffer(r.terms, "<f2") for r in found]
+    return np.array(counts, np.float32).reshape(-1, TERMS), [r.quality for r in found]
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
