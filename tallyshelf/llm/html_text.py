@@ -6,8 +6,7 @@ role names an advert, notice, sidebar, menu, share bar or comment section. For e
 density is its characters per tag, adjusted by the share of characters and tags in links; the sum of
 its children's densities says how much dense text it holds directly. The element with the largest sum
 is the core of the article. The smallest density between it and the body is the threshold: outside the
-core, an element beside that path stays if it reaches the threshold. A core inside an article element
-is widened to that article, as its author drew the line.
+core, an element beside that path stays if it reaches the threshold.
 
 Defined cases: a null or empty page, or one without text, gives the empty text; unclosed elements,
 comments and quotes end where the page ends; references that HTML does not define stay as written;
@@ -19,6 +18,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -77,63 +77,81 @@ def is_noise(tag: str, attributes: str) -> bool:
     return False
 
 
+class Open:
+    """The open elements: their path from the root, and where on it each name and each wall stands."""
+
+    def __init__(self, root: Node):
+        self.path, self.at, self.walls = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.path))
+        if node.tag in WALLS:
+            self.walls.append(len(self.path))
+        self.path.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Ends all elements from this depth on."""
+        while len(self.path) > depth:
+            tag = self.path.pop().tag
+            self.at[tag].pop()
+            if tag in WALLS:
+                self.walls.pop()
+
+    def start(self, tag: str) -> None:
+        """Makes room for a block that starts here: an open p, or li beside li, ends."""
+        names = ENDS.get(tag, ()) + ("p",)
+        k = len(self.walls)
+        while k and self.path[self.walls[k - 1]].tag in names:
+            k -= 1
+        wall = self.walls[k - 1] if k else 0
+        found = [own[i] for own in (self.at.get(x, ()) for x in names) if (i := bisect_right(own, wall)) < len(own)]
+        if found:
+            self.cut(min(found))
+
+    def end(self, tag: str) -> None:
+        """An end tag; one that nothing opened, or beyond a wall for inline names, is ignored."""
+        own = self.at.get(tag)
+        if own and not (tag in INLINE and self.walls and self.walls[-1] > own[-1]):
+            self.cut(own[-1])
+
+
 def tree(page: str) -> Node:
     """The page's elements; text stays in pieces between them, comments and raw elements are left out."""
-    root = node = Node("html", None)
+    root = Node("html", None)
+    live = Open(root)
     at = 0
     while m := TOKEN.search(page, at):
         if m.start() > at:
-            node.parts.append(page[at : m.start()])
+            live.path[-1].parts.append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = closed(node, tag)
+            live.end(tag)
         elif tag == "html":
             continue
         elif tag == "body":
+            live.cut(1)
             node = Node(tag, root)
             root.parts.append(node)
+            live.push(node)
         else:
             attributes = m[3] if m[3] is not None else m[4]
             if tag not in INLINE:
-                node = ended(node, tag)
-            child = Node(tag, node, tag in CUT or is_noise(tag, attributes))
-            node.parts.append(child)
+                live.start(tag)
+            child = Node(tag, live.path[-1], tag in CUT or is_noise(tag, attributes))
+            child.parent.parts.append(child)
             if tag in RAW:
                 end = re.compile(f"</{tag}", re.I).search(page, at)
                 at = len(page) if end is None else end.start()
-                node = child
+                live.push(child)
             elif tag not in VOID and not attributes.endswith("/"):
-                node = child
-    node.parts.append(page[at:])
+                live.push(child)
+    live.path[-1].parts.append(page[at:])
     return root
 
 
-def ended(node: Node, tag: str) -> Node:
-    """The element in which a block that starts here belongs: an open p, or li beside li, ends."""
-    names = ENDS.get(tag, ()) + ("p",)
-    at, out = node, node
-    while at.parent is not None and (at.tag not in WALLS or at.tag in names):
-        if at.tag in names:
-            out = at.parent
-        at = at.parent
-    return out
-
-
-def closed(node: Node, tag: str) -> Node:
-    """The element that is open after an end tag; one that nothing opened, or beyond a wall for inline names, is ignored."""
-    at = node
-    while at.parent is not None:
-        if at.tag == tag:
-            return at.parent
-        if at.tag in WALLS and tag in INLINE:
-            break
-        at = at.parent
-    return node
-
-
 def elements(node: Node) -> list[Node]:
     return [x for x in node.parts if type(x) is Node]
 
@@ -169,19 +187,11 @@ def main_nodes(root: Node) -> tuple[Node, set[int], float]:
     if not body.chars:
         return root, set(), math.inf
     core = max(order, key=lambda x: (x.dense, x.density)) if any(x.dense > 0 for x in order) else body
-    if core.tag in ("html", "body"):
-        articles = [x for x in order if x.tag == "article" and x.chars]
-        core = articles[0] if len(articles) == 1 else core
     path, node = [core], core
     while node.parent is not None and node is not body:
         node = node.parent
         path.append(node)
-    for node in path[::-1]:
-        if node.tag == "article":
-            return node, set(), 0.0
-    start = next((x for x in path[::-1] if x.tag == "main"), path[-1])
-    path = path[: path.index(start) + 1]
-    return start, {id(x) for x in path if x is not core}, min(x.density for x in path)
+    return path[-1], {id(x) for x in path if x is not core}, min(x.density for x in path)
 
 
 def text_of(page: str) -> str:

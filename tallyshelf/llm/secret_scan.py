@@ -1,6 +1,8 @@
 """Secret scan: three stated patterns, and strings that stay incompressible in a sensitive context.
 
-A candidate is a run of 16 or more key-like characters within 64 characters after a sensitive word. A
+A candidate is a run of 16 or more key-like characters that starts within 64 characters after a sensitive word; of a
+run that does not but holds such a word, what follows the first one. A run gives one candidate, so candidates never
+overlap, and each is priced once, in pieces of bounded length: time grows with the length of the text. A
 zstandard compressor is primed with a dictionary of common identifiers and with the text around the
 candidate; the bytes that the candidate adds to the compressed output, against its length, are its
 novelty. Names, paths and words that occur nearby cost a few bytes, a random key costs about as many
@@ -22,8 +24,10 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -44,7 +48,7 @@ ASSIGN_STEMS = ("passw", "secret", "token", "api")
 SENSITIVE = ("auth", "bearer", "credential", "cookie", "key", "passw", "private", "pwd", "secret", "session", "signature", "token")
 SENSITIVE_WORD = re.compile("|".join(SENSITIVE), re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
-REACH, AROUND, MIN_NOVELTY = 64, 512, 0.8
+REACH, AROUND, MIN_NOVELTY, SHORTEST = 64, 512, 0.8, 16
 #: What lies between the lines of a key, line breaks as such or written as in JSON.
 NEXT_LINE = re.compile(r"""[\x20\t"',+]*\\?(?:[\r\n]|\\r|\\)+[\x20\t"',+\r\n]*""", re.A)
 #: Characters that keys are written in; the first that has all of a candidate's is its alphabet, symbols apart.
@@ -78,10 +82,14 @@ IDENTIFIERS = (
 
 
 def novelty(candidate: bytes, around: bytes) -> float:
-    """Compressed bytes that the candidate adds per byte, by a compressor that knows the identifiers and what is around it."""
+    """Compressed bytes that the candidate adds per byte, by a compressor that knows the identifiers and what is around it.
+
+    A candidate of more than ALIKE bytes is compressed in pieces of that size.
+    """
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     press = zstandard.ZstdCompressor(level=6, dict_data=primed, write_checksum=False, write_content_size=False)
-    return (len(press.compress(candidate)) - len(press.compress(b""))) / len(candidate)
+    pieces = range(0, len(candidate), ALIKE)
+    return (sum(len(press.compress(candidate[i : i + ALIKE])) for i in pieces) - len(pieces) * len(press.compress(b""))) / len(candidate)
 
 
 def alphabet_of(candidate: str) -> str:
@@ -121,30 +129,40 @@ def stated_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(found, key=place) if len(found) > 1 else found
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Start and end of the candidates of a text, in order; they do not overlap."""
+    found = []
+    words = SENSITIVE_WORD.finditer(text)
+    word, before, last = next(words, None), -REACH - 1, None  # before: where the last word ended that starts ahead of a run
+    for run in CANDIDATE.finditer(text):
+        start, end = run.span()
+        while word and word.end() <= start:
+            before, word = word.end(), next(words, None)
+        follows = last is not None and start - last <= REACH and NEXT_LINE.fullmatch(text, last, start)
+        inside = word.end() if word and word.end() <= end else None
+        if start - before > REACH and not follows:
+            if inside is None or end - inside < SHORTEST:
+                last = None
+                continue
+            start = inside
+        found.append((start, end))
+        last = end
+    return found
+
+
 def novel_spans(text: str, stated: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Incompressible strings that follow a sensitive word and that no stated span overlaps."""
+    """Incompressible strings in a sensitive context that no stated span overlaps."""
     low = text.lower()
     if not any(x in low for x in SENSITIVE):
         return []
-    found: dict[tuple[int, int], bool] = {}
-    for word in SENSITIVE_WORD.finditer(text):
-        end = None
-        for m in CANDIDATE.finditer(text, word.end()):
-            near = m.start() <= word.end() + REACH
-            if not near and (end is None or not NEXT_LINE.fullmatch(text, end, m.start())):
-                break
-            end = m.end()
-            if m.span() in found:
-                if not near:
-                    break  # what follows has been gone through from there
-                continue
-            around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
-            found[m.span()] = not overlaps(m.span(), stated) and is_novel(m.group(), around)
-    return [(s, "novel", e) for (s, e), novel in sorted(found.items()) if novel]
-
-
-def overlaps(span: tuple[int, int], stated: list[tuple[int, str, int]]) -> bool:
-    return any(s < span[1] and span[0] < e for s, _, e in stated)
+    starts, ends, out = [s for s, _, _ in stated], list(accumulate((e for _, _, e in stated), max)), []
+    for s, e in candidates(text):
+        k = bisect_left(starts, e)
+        if k and ends[k - 1] > s:
+            continue
+        if is_novel(text[s:e], text[max(0, s - AROUND) : s] + text[e : e + AROUND]):
+            out.append((s, "novel", e))
+    return out
 
 
 def place(span: tuple[int, str, int]) -> tuple[int, int, int]:

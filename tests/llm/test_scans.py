@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -46,9 +47,49 @@ def test_secret_novel_spans():
 
 
 def novel(text):
-    """The novel strings, without those that begin at a sensitive word inside another."""
-    found = [(s, e) for s, k, e in secret_scan.spans(text) if k == "novel"]
-    return {text[s:e] for s, e in found if not any(a < s < e == b for a, b in found)}
+    """The novel strings."""
+    return {text[s:e] for s, k, e in secret_scan.spans(text) if k == "novel"}
+
+
+def slow_candidates(text):
+    """Every run against every sensitive word."""
+    words = [(m.start(), m.end()) for m in re.finditer("|".join(secret_scan.SENSITIVE), text, re.I | re.A)]
+    out, last = [], None
+    for m in re.finditer(r"[A-Za-z0-9+/_=.-]+", text):
+        start, end = m.span()
+        if end - start < 16:
+            continue
+        near = any(e <= start and start - e <= 64 for _, e in words)
+        line = last is not None and start - last <= 64 and secret_scan.NEXT_LINE.fullmatch(text[last:start])
+        if not near and not line:
+            start = min((e for _, e in words if start < e <= end), default=end)
+        last = end if end - start >= 16 else None
+        if last:
+            out.append((start, end))
+    return out
+
+
+def test_secret_candidates_equal_brute_force():
+    rng = random.Random(9)
+    parts = ["key", "Token", "a secret", "x" * 15, "x" * 16, "session", "\n", " ", "\\n", ", ", "ab", "Q" * 40, "-----", "mykeyis" + "z" * 20, " " * 63, " " * 5]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randrange(1, 14)))
+        assert secret_scan.candidates(text) == slow_candidates(text), text
+        stated = secret_scan.stated_spans(text)
+        want = [(s, e) for s, e in slow_candidates(text) if not any(a < e and s < b for a, _, b in stated)]
+        want = [(s, "novel", e) for s, e in want if secret_scan.is_novel(text[s:e], text[max(0, s - 512) : s] + text[e : e + 512])]
+        assert secret_scan.novel_spans(text, stated) == want
+
+
+def test_secret_time_grows_with_the_text():
+    rng = random.Random(10)
+    run = "".join(rng.choices(string.ascii_letters + string.digits, k=200))
+    for text in ((run + "key") * 50_000, ("key " + run + "\n") * 5_000, "password" * 300_000, "token=" + " " * 2_000_000):
+        began = time.perf_counter()
+        found = sorted(secret_scan.spans(text))
+        assert time.perf_counter() - began < 20
+        new = [(s, e) for s, k, e in found if k == "novel"]
+        assert all(e <= s for (_, e), (s, _) in zip(new, new[1:], strict=False))
 
 
 def test_secret_long_keys_and_keys_in_lines():
@@ -104,6 +145,78 @@ def test_html_text(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def random_tree(rng, depth=0):
+    """(tag, children), with texts as leaves."""
+    tag = rng.choice(["div", "p", "a", "section", "span", "ul"]) if depth else "body"
+    inner = [" ".join(["word"] * rng.randrange(1, 9)) if rng.random() < 0.5 or depth > 4 else random_tree(rng, depth + 1) for _ in range(rng.randrange(1, 5))]
+    return tag, inner
+
+
+def counted(node):
+    """Characters, tags, link characters and link tags of a tree, each counted over the whole of it."""
+    if isinstance(node, str):
+        return len(node.replace(" ", "")), 0, 0, 0
+    below = [counted(x) for x in node[1]]
+    chars, link_chars = sum(x[0] for x in below), sum(x[2] for x in below)
+    tags = sum(x[1] + (not isinstance(y, str)) for x, y in zip(below, node[1], strict=True))
+    link_tags = sum(x[3] + (not isinstance(y, str) and y[0] == "a") for x, y in zip(below, node[1], strict=True))
+    return chars, tags, chars if node[0] == "a" else link_chars, link_tags
+
+
+def test_html_densities_equal_brute_force():
+    rng = random.Random(12)
+
+    def node_of(tree, parent=None):
+        node = html_text.Node(tree[0], parent)
+        node.parts = [x if isinstance(x, str) else node_of(x, node) for x in tree[1]]
+        return node
+
+    def compare(node, tree, share):
+        c, t, lc, lt = counted(tree)
+        assert (node.chars, node.tags, node.link_chars, node.link_tags) == (c, t, lc, lt)
+        density = c / max(t, 1) * max(np.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1)) / np.log(c / max(c - lc, 1) * lc + share * c + np.e), 1e-6)
+        assert abs(node.density - density) < 1e-9 * max(density, 1)
+        inner = [(x, y) for x, y in zip(node.parts, tree[1], strict=True) if not isinstance(y, str)]
+        assert abs(node.dense - sum(compare(x, y, share) for x, y in inner)) < 1e-6
+        return density
+
+    for _ in range(200):
+        tree = random_tree(rng)
+        root = node_of(tree)
+        order = html_text.measure(root)
+        c, _, lc, _ = counted(tree)
+        compare(root, tree, lc / max(c, 1))
+        start, path, least = html_text.main_nodes(root)
+        core = max(order, key=lambda x: (x.dense, x.density))
+        if core.dense > 0:
+            up = [core]
+            while up[-1].parent is not None:
+                up.append(up[-1].parent)
+            assert start is root and path == {id(x) for x in up[1:]} and least == min(x.density for x in up)
+
+
+def test_html_pages_of_other_shapes():
+    long = "A sentence of the story that goes on for quite a while, with many words and hardly a link in it. "
+    paragraphs = "".join(f"<p>{long * 2}{i}</p>" for i in range(5))
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Other story {i}</a></li>" for i in range(12)) + "</ul>"
+    want = " ".join(f"{long * 2}{i}" for i in range(5))
+    plain = f"<body><div>{links}</div><div><div>{paragraphs}</div></div><div>{links}</div></body>"
+    assert html_text.text_of(plain) == want
+    teaser = "<article><p>A short teaser of <a href=/t>another page</a></p></article>"
+    several = f"<body><main>{teaser}<article>{paragraphs}</article>{teaser}</main></body>"
+    assert want in html_text.text_of(several) and len(html_text.text_of(several)) < len(want) + 80
+    beside = f"<body><div><div>{paragraphs}</div><section>{long * 6}</section><section>{links}</section></div></body>"
+    assert html_text.text_of(beside) == f"{want} {(long * 6).strip()}"  # dense enough to stay beside the core; the links are not
+
+
+def test_html_time_grows_with_the_page():
+    n = 60_000
+    for page in ("<div>" * n + "x" + "</p>" * n, "<span>" * n + "<p>x" * n, "<b><div>" + "<i>" * n + "</b>" * n, "<td>" * n + "<tr>" * n, "<a " * n, "<" * n):
+        began = time.perf_counter()
+        html_text.text_of(page)
+        assert time.perf_counter() - began < 15
+
+
 def table_score(a, b):
     """Local alignment cell by cell."""
     best, above = 0.0, [0.0] * (len(b) + 1)
