@@ -1,19 +1,23 @@
 """Sharding by fixed virtual slots under the ``bytes`` law.
 
-Records hash into a fixed number of virtual slots. Bytes and rows are added up per slot, and a
+Records hash into a fixed number of virtual slots by doc_id and text. Equal records, such as rows without a doc_id that
+repeat a text, meet in one; a slot that ``HOT`` times the mean of bytes or rows meet in is divided into parts, and
+what is said of slots below holds for parts of such a slot too. Bytes and rows are added up per slot, and a
 versioned map says which shard holds each slot. A map is made by handing the largest slots out
 first, each to the shard with the fewest bytes; rebalancing edits a map by moving single slots, so
 that most slots, and with them their records, stay where they are. Whatever the number of records,
 the driver sees one row per virtual slot.
 
 Defined cases: a null text has no bytes, so its size is 1 and its crc32 that of no bytes (0); null
-doc_ids share one slot; repeated rows are records of their own; an empty table gives no rows; other
-columns are ignored.
+doc_ids are ids like others; repeated rows are records of their own; an empty table gives no rows; other
+columns are ignored. Equal texts need not meet in a shard: the law is about bytes, and a group of copies may be
+larger than a shard.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,17 +26,20 @@ from pyspark.sql import functions as F
 from tallyshelf.llm.common import keep, scratch_folder
 
 N_SLOTS = 4096
+#: A slot is divided if it holds so many times the mean, and the places that the parts of a slot have in its number.
+HOT, PART_BITS = 4, 16
 MAP_SCHEMA = "version int, vslot int, shard int, bytes long, records long"
 
 
 def records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual slot of every record."""
+    """doc_id, size, text_crc32, virtual slot and a number of its own for every record."""
     raw = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         "doc_id",
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(n_slots)).cast("int").alias("vslot"),
+        F.pmod(F.xxhash64("doc_id", raw), F.lit(n_slots)).cast("int").alias("vslot"),
+        F.monotonically_increasing_id().alias("record"),
     )
 
 
@@ -42,11 +49,32 @@ def slot_totals(recs: DataFrame) -> dict[int, tuple[int, int]]:
     return {r.vslot: (r.bytes, r.records) for r in found}
 
 
+def hot_parts(totals: dict[int, tuple[int, int]], n_slots: int) -> dict[int, int]:
+    """The slots to divide, and into how many parts: one for each mean of bytes or rows that they hold."""
+    out = {}
+    for k in (0, 1):
+        mean = sum(x[k] for x in totals.values()) / n_slots
+        for v, x in totals.items():
+            if x[k] > HOT * max(mean, 1):
+                out[v] = min(max(out.get(v, 0), math.ceil(x[k] / max(mean, 1))), 1 << PART_BITS)
+    return out
+
+
+def divided(recs: DataFrame, hot: dict[int, int]) -> DataFrame:
+    """Records of hot slots go to the parts of their slot, by their own numbers."""
+    if not hot:
+        return recs
+    parts = recs.sparkSession.createDataFrame(list(hot.items()), "vslot int, parts int")
+    part = ((F.col("vslot") + 1) * F.lit(1 << PART_BITS) + F.pmod(F.xxhash64("record"), F.col("parts"))).cast("int")
+    joined = recs.join(F.broadcast(parts), "vslot", "left")  # a row for each hot slot, n_slots at most
+    return joined.withColumn("vslot", F.when(F.col("parts").isNull(), F.col("vslot")).otherwise(part)).drop("parts")
+
+
 def first_map(totals: dict[int, tuple[int, int]], n_shards: int, n_slots: int = N_SLOTS) -> dict[int, int]:
     """Slot to shard: the largest slots first, each to the shard with the fewest bytes (ties: the lowest shard)."""
     load = [(0, s) for s in range(n_shards)]
     out = {}
-    for slot in sorted(range(n_slots), key=lambda v: (-totals.get(v, (0, 0))[0], v)):
+    for slot in sorted({*range(n_slots), *totals}, key=lambda v: (-totals.get(v, (0, 0))[0], v)):
         size, shard = heapq.heappop(load)
         out[slot] = shard
         heapq.heappush(load, (size + totals.get(slot, (0, 0))[0], shard))
@@ -54,20 +82,20 @@ def first_map(totals: dict[int, tuple[int, int]], n_shards: int, n_slots: int =
 
 
 def rebalanced(old: dict[int, int], totals: dict[int, tuple[int, int]], n_shards: int, slack: float = 0.02) -> dict[int, int]:
-    """An edited map: slots of shards that are gone, or above the mean size by more than slack, move to the smallest shard.
+    """An edited map: slots of shards that are gone, new slots, and slots above the mean size by more than slack, move to the smallest shard.
 
     A slot moves only if that narrows the gap between the two shards; every other slot stays.
     """
     size = lambda v: totals.get(v, (0, 0))[0]
     out, load, held = dict(old), dict.fromkeys(range(n_shards), 0), {s: [] for s in range(n_shards)}
-    homeless = []
+    homeless = [v for v in totals if v not in old]
     for slot, shard in sorted(old.items()):
         if shard < n_shards:
             load[shard] += size(slot)
             held[shard].append(slot)
         else:
             homeless.append(slot)
-    mean = sum(map(size, old)) / n_shards
+    mean = sum(map(size, {*old, *totals})) / n_shards
     for slot in sorted(homeless, key=lambda v: (-size(v), v)):
         to = min(load, key=lambda s: (load[s], s))
         out[slot], load[to] = to, load[to] + size(slot)
@@ -99,6 +127,12 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> tupl
     return version, {r.vslot: r.shard for r in stored.where(F.col("version") == version).collect()}
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a folder, by the file system that the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def placed(recs: DataFrame, slots: dict[int, int], totals: dict[int, tuple[int, int]]) -> DataFrame:
     """Adds shard, and slot: the record's place in its shard, without gaps from 0.
 
@@ -110,12 +144,12 @@ def placed(recs: DataFrame, slots: dict[int, int], totals: dict[int, tuple[int,
         rows.append((v, s, start.get(s, 0)))
         start[s] = start.get(s, 0) + totals.get(v, (0, 0))[1]
     where = recs.sparkSession.createDataFrame(rows, "vslot int, shard int, first long")
-    rank = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32"))
+    rank = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32", "record"))
     return (
         recs.withColumn("_rank", rank)
         .join(F.broadcast(where), "vslot")  # a row for each virtual slot, whatever the input
         .withColumn("slot", F.col("first") + F.col("_rank") - 1)
-        .drop("_rank", "first")
+        .drop("_rank", "first", "record")
     )
 
 
@@ -126,18 +160,17 @@ def shard(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, map_path:
     without it, a first map is stored in the shared folder.
     """
     spark = docs.sparkSession
-    recs = keep(records(docs, n_slots), "records")  # texts are read once
+    recs = keep(records(docs, n_slots), "records")  # texts are read once, and records keep their numbers
     totals = slot_totals(recs)
+    if hot := hot_parts(totals, n_slots):
+        recs = divided(recs, hot)
+        totals = slot_totals(recs)
     version, slots = 1, first_map(totals, n_shards, n_slots)
     if map_path is None:
         map_path = f"{scratch_folder(spark)}/slot-map-{uuid.uuid4().hex}"
-    else:
-        try:
-            last, old = load_map(spark, map_path)
-            version, slots = last + 1, rebalanced(old, totals, n_shards)
-        except Exception as none:  # no map yet
-            if "PATH_NOT_FOUND" not in str(none):
-                raise
+    elif exists(spark, map_path):
+        last, old = load_map(spark, map_path)
+        version, slots = last + 1, rebalanced(old, totals, n_shards)
     store_map(spark, slots, totals, version, map_path)
     return placed(recs, slots, totals).select(
         "doc_id",

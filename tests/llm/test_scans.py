@@ -145,6 +145,23 @@ def test_html_text(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_sharding_of_equal_records(spark, tmp_path):
+    """A third of all rows are the same, with and without an id: they are divided, and bytes stay even."""
+    rows = [(i, f"text {i}" * 5) for i in range(4000)] + [(7, "again and again" * 3)] * 1500 + [(None, "no id" * 6)] * 1500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = str(tmp_path / "map")
+    for n_shards in (16, 17):
+        found = sharding.shard(docs, n_shards, n_slots=256, map_path=path).collect()
+        sizes, places, slots = {}, {}, {}
+        for r in found:
+            sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+            places.setdefault(r.shard, []).append(r.slot)
+            slots[r.vslot] = slots.get(r.vslot, 0) + 1
+        assert len(found) == len(rows) and all(sorted(p) == list(range(len(p))) for p in places.values())
+        assert len(sizes) == n_shards and max(sizes.values()) < 1.1 * min(sizes.values())
+        assert max(slots.values()) < 5 * len(rows) / 256
+
+
 def random_tree(rng, depth=0):
     """(tag, children), with texts as leaves."""
     tag = rng.choice(["div", "p", "a", "section", "span", "ul"]) if depth else "body"
