@@ -8,7 +8,7 @@ expanding what lies before it. No pair reaches over the end of a document.
 
 A file holds one row per block, in Parquet as the container: what Spark's committer wrote is whole even
 if executors were lost. Integers are little-endian, unsigned, 32 bits. Fields: ``first_id``, ``part`` and
-``block`` order the blocks; ``doc_ids`` (64-bit, least value for null), ``doc_at`` (each document's first place in ``symbols``),
+``block`` order the blocks; ``doc_ids`` (64-bit), ``no_ids`` (how many of them, the first ones, are null), ``doc_at`` (each document's first place in ``symbols``),
 ``doc_ids_before`` (ids of the block's documents before it); ``rules`` (pairs; rule i makes id
 ``FIRST_RULE`` + i from earlier ids), ``lengths`` (ids that rule i expands to), ``symbols``.
 
@@ -42,7 +42,6 @@ END_ID, FIRST_RULE = 0, 1 << 16
 BLOCK_IDS, PER_ROUND, LEAST_COUNT = 1 << 19, 16384, 4
 #: Chunks remembered between batches, and texts encoded together.
 REMEMBERED, AT_ONCE = 1_200_000, 500
-NULL_ID = -(1 << 63)
 
 CHUNK_BORDER = re.compile(r"(?<=\S)(?= \S)")
 
@@ -189,7 +188,7 @@ def stretch(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start:
 
 
 BLOCKS = (
-    "first_id long, part int, block long, n_docs long, n_ids long, doc_ids binary, doc_at binary, doc_ids_before binary, "
+    "first_id long, part int, block long, n_docs long, n_ids long, no_ids long, doc_ids binary, doc_at binary, doc_ids_before binary, "
     "rules binary, lengths binary, symbols binary"
 )
 
@@ -200,13 +199,13 @@ def block_row(part: int, number: int, doc_ids: list[int | None], docs: list[np.n
     rules, lengths, symbols, after = compress(ids, ends)
     at = np.concatenate([[0], after[:-1]]).astype("<u4")
     before = np.concatenate([[0], ends[:-1]]).astype("<u4")
-    own = np.array([NULL_ID if x is None else x for x in doc_ids], "<i8")
+    own = np.array([0 if x is None else x for x in doc_ids], "<i8")
     arrays = (own, at, before, rules, lengths, symbols)
-    return (int(own[0]), part, number, len(docs), len(ids), *[x.tobytes() for x in arrays])
+    return (doc_ids[0], part, number, len(docs), len(ids), doc_ids.count(None), *[x.tobytes() for x in arrays])
 
 
 def block_batch(row: tuple) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 6]
+    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 6]
     names = [x.split()[0] for x in BLOCKS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
@@ -242,7 +241,8 @@ class Block:
 
     def __init__(self, row: dict):
         get = lambda name, kind: np.frombuffer(row[name], kind)
-        self.doc_ids, self.at = get("doc_ids", "<i8"), np.append(get("doc_at", "<u4"), len(row["symbols"]) // 4).astype(np.int64)
+        self.doc_ids, self.no_ids = get("doc_ids", "<i8"), row["no_ids"]
+        self.at = np.append(get("doc_at", "<u4"), len(row["symbols"]) // 4).astype(np.int64)
         self.before = np.append(get("doc_ids_before", "<u4"), row["n_ids"]).astype(np.int64)
         self.rules, self.lengths = get("rules", "<u4").reshape(-1, 2).astype(np.int64), get("lengths", "<u4")
         self.symbols = get("symbols", "<u4")
@@ -268,7 +268,7 @@ def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols = [
                 pa.array([row["part"]] * n, pa.int32()),
                 pa.array([row["block"]] * n, pa.int64()),
-                pa.array(block.doc_ids, pa.int64(), mask=block.doc_ids == NULL_ID),
+                pa.array(block.doc_ids, pa.int64(), mask=np.arange(n) < block.no_ids),
                 pa.array(block.before[:-1], pa.int64()),
                 pa.array(np.diff(block.before), pa.int64()),
                 pa.array(crc, pa.int64()),

@@ -301,3 +301,23 @@ def test_bound_of_alignments():
         item, window = rng.integers(1, 9, rng.integers(1, 14)), rng.integers(0, 14, rng.integers(1, 40))
         score = decontaminate.align(item, window)[0]
         assert decontaminate.bound(*np.unique(item, return_counts=True), window) >= score == table_score(item, window)
+
+
+def test_recall_of_edited_copies_against_whole_alignment():
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    for rate in (0.1, 0.2, 0.3):
+        accepted = found = 0
+        for _ in range(300):
+            own = rng.choices(words, k=rng.randrange(8, 31))
+            copy = []
+            for w in own:
+                how = rng.choice(["replace", "drop", "add"]) if rng.random() < rate else "keep"
+                copy += {"replace": ["other"], "drop": [], "add": [w, "other"], "keep": [w]}[how]
+            items = decontaminate.Items([(0, " ".join(own).encode())])
+            text = " ".join(rng.choices(words, k=60) + copy + rng.choices(words, k=60)).encode()
+            numbers = decontaminate.numbers_of(text, decontaminate.Words(items.numbers))
+            if decontaminate.align(items.words[0], numbers)[0] >= decontaminate.LEAST_SCORE * len(own):
+                accepted += 1
+                found += bool(items.matches(numbers))
+        assert accepted > 250 and found >= 0.9 * accepted, (rate, found, accepted)

@@ -1,6 +1,7 @@
 """Operators 3 and 8 against the tokenizers library."""
 
 import hashlib
+import random
 import struct
 import zlib
 
@@ -80,6 +81,29 @@ def test_token_files_equal_the_library(spark, docs):
     assert rows_of(found) == byte_expected(rows)
 
 
+def test_stretches_of_documents(spark, sf):
+    """Random access: any stretch of any document, without what lies before it."""
+    path = token_files.fresh_path(spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    ends = spark.createDataFrame([(-(1 << 63), "the least id there is"), (None, "no id"), ((1 << 63) - 1, "la " * 5000)], "doc_id long, text string")
+    token_files.write(docs.unionByName(ends), BYTE, path)
+    t, rng = Tokenizer.from_file(BYTE), random.Random(1)
+    texts = {r.doc_id: r.text for r in docs.unionByName(ends).collect()}
+    seen = set()
+    for row in spark.read.schema(token_files.BLOCKS).parquet(path).collect():
+        block = token_files.Block(row.asDict())
+        for k, doc_id in enumerate(block.doc_ids.tolist()):
+            doc_id = None if k < block.no_ids else doc_id
+            seen.add(doc_id)
+            ids = t.encode(texts[doc_id] or "", add_special_tokens=False).ids + [0]
+            assert block.document(k).tolist() == ids
+            for _ in range(3):
+                start = rng.randrange(len(ids) + 1)
+                stop = rng.randrange(start, len(ids) + 1)
+                assert block.document(k, start, stop).tolist() == ids[start:stop]
+    assert seen == set(texts)
+
+
 def test_token_files_of_repeated_rows(spark):
     path = token_files.fresh_path(spark)
     token_files.write(edges(spark), BYTE, path)
