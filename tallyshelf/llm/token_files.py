@@ -40,8 +40,8 @@ from tallyshelf.llm.common import arrow_pass, scratch_folder, text_pass
 
 END_ID, FIRST_RULE = 0, 1 << 16
 BLOCK_IDS, PER_ROUND, LEAST_COUNT = 1 << 19, 16384, 4
-#: Chunks remembered between batches, and texts encoded together.
-REMEMBERED, AT_ONCE = 1_200_000, 500
+#: Chunks remembered between batches, the longest of them in characters, and texts encoded together.
+REMEMBERED, LONGEST, AT_ONCE = 1_200_000, 64, 500
 
 CHUNK_BORDER = re.compile(r"(?<=\S)(?= \S)")
 
@@ -69,32 +69,34 @@ class ChunkEncoder:
             return CHUNK_BORDER.split(text)
         return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 
-    def learn(self, chunks: set[str]) -> None:
-        """Makes the chunks known: anew, or from the older half of the memory, which goes when the newer one is full."""
-        if 2 * len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        missing = chunks.difference(self.known)
-        self.known.update([(c, self.older[c]) for c in missing if c in self.older])
-        new = [c for c in missing if c not in self.older]
+    def learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not known: from the older half of the memory, which goes when the newer one is full, or anew."""
+        found = {c: self.older[c] for c in missing if c in self.older}
         plain, odd = [], []
-        for c in new:
+        for c in missing.difference(found):
             parts = c.split()
             (plain if len(parts) == 1 and (c == parts[0] or c == " " + parts[0]) else odd).append(c)
         for i in range(0, len(plain), 4096):  # many in one call: a line end encodes alone, and never together with its neighbours
             part = plain[i : i + 4096]
-            ids = np.array(self.library.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
+            (line,) = self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)
+            ids = np.array(line.ids, "<u4")
             ends = [*(np.flatnonzero(ids == self.line_end) * 4).tolist(), len(ids) * 4]
             starts, raw = [0, *[e + 4 for e in ends[:-1]]], ids.tobytes()
-            self.known.update(zip(part, [raw[s:e] for s, e in zip(starts, ends, strict=True)], strict=True))
-        for c in odd:
-            self.known[c] = array("I", self.library.encode(c, add_special_tokens=False).ids).tobytes()
+            found.update(zip(part, [raw[s:e] for s, e in zip(starts, ends, strict=True)], strict=True))
+        found.update((c, array("I", x.ids).tobytes()) for c, x in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False), strict=True))
+        if 2 * len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        self.known.update([x for x in found.items() if len(x[0]) <= LONGEST])
+        return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids and the end id."""
         split = [self.chunks(t) if t else [] for t in texts]
         flat = list(chain.from_iterable(split))
-        self.learn(set(flat))
-        ids, end, at, out = list(map(self.known.__getitem__, flat)), END_ID.to_bytes(4, "little"), 0, []
+        ids, end, at, out = list(map(self.known.get, flat)), END_ID.to_bytes(4, "little"), 0, []
+        if None in ids:
+            new = self.learn({c for c, x in zip(flat, ids, strict=True) if x is None})
+            ids = [new[c] if x is None else x for c, x in zip(flat, ids, strict=True)]
         for chunks in split:
             out.append(np.frombuffer(b"".join(ids[at : at + len(chunks)]) + end, "<u4"))
             at += len(chunks)
@@ -110,9 +112,8 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def alternate(hit: np.ndarray) -> np.ndarray:
+def alternate(at: np.ndarray) -> np.ndarray:
     """Of places that may be replaced, each but those right after a replaced one: the first, third... of every run."""
-    at = np.flatnonzero(hit)
     if not len(at):
         return at
     new = np.flatnonzero(np.diff(at, prepend=at[0] - 2) != 1)
@@ -135,24 +136,35 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """
     symbols, ends = ids.astype(np.int64), ends.copy()
     rules, lengths = np.zeros((0, 2), np.int64), np.ones(FIRST_RULE, np.int64)
+    newest = 0  # pairs without a symbol from here on are known to be rare
     while len(symbols) > 1:
         pairs = symbols[:-1] << 32 | symbols[1:]
         pairs[ends[:-1] - 1] = -1
+        where = np.flatnonzero((symbols[:-1] >= newest) | (symbols[1:] >= newest))
+        pairs = pairs[where]
         ordered = np.sort(pairs)
-        cut = np.flatnonzero(np.diff(ordered, prepend=ordered[0] - 1))
+        cut = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+        cut = np.concatenate([[0], cut]) if len(ordered) else cut
         counts = np.diff(np.append(cut, len(ordered)))
         often = np.flatnonzero((counts >= LEAST_COUNT) & (ordered[cut] >= 0))
-        if len(often) > PER_ROUND:
+        wait = len(often) > PER_ROUND
+        if wait:
             often = often[np.argpartition(-counts[often], PER_ROUND)[:PER_ROUND]]
         chosen = np.sort(ordered[cut[often]])
         if not len(chosen):
             break
         slot = np.zeros(1 << SLOT_BITS, np.int32)  # of two pairs that share a slot, one waits for a later round
-        slot[slots(chosen)] = np.arange(len(chosen))
+        own = slots(chosen)
+        slot[own] = np.arange(len(chosen))
+        wait |= bool((slot[own] != np.arange(len(chosen))).any())
         place = slot[slots(pairs)]
-        at = alternate(chosen[place] == pairs)
-        used, which = np.unique(place[at], return_inverse=True)
+        hit = chosen[place] == pairs
+        at = alternate(where[hit])
+        place = place[hit][np.searchsorted(where[hit], at)]
+        here = np.bincount(place, minlength=len(chosen)) > 0
+        used, which = np.flatnonzero(here), (np.cumsum(here) - 1)[place]
         made = np.stack([chosen[used] >> 32, chosen[used] & 0xFFFFFFFF], 1)
+        newest = 0 if wait else FIRST_RULE + len(rules)
         symbols[at] = FIRST_RULE + len(rules) + which
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
