@@ -19,10 +19,13 @@ the fragment, and summed up per pair. A set with many partners is dealt out in b
 
 *Linear in the rows of signatures.* Each signature ties the sets that have it to one of them, its hub. First
 every set is compared with the hub that it shares most signatures with, then sets and hubs that are not in one
-component yet are. Only signatures whose sets still belong to several components need more: their sets
-are compared with every set of another component that has the signature. Sets of one component are never compared for
-its own sake, so very many copies of one text cost a comparison or a few each. What does grow with pairs are
-different texts that share a fragment without being linked: they have to be told apart one by one.
+component yet are. Only signatures whose sets still belong to several components need more. Where ``FEW`` sets or
+fewer have one, each is compared with those of other components. Sets tied by larger ones form families; of a
+family, the sets outside its largest component are compared with all its sets, block by block: the membership matrix of
+a fragment times that of another block adds the partial overlaps of every pair to the sums of the other fragments, and
+of the links that a piece of this work finds it returns a spanning forest. Which way compares a pair changes cost, not
+results. Very many copies of one text thus cost a comparison or a few each; what does grow with pairs are
+different texts that share fragments without being linked: they have to be told apart one by one.
 
 All shuffles are keyed by signature, set, pair or document; none by a word, source or passage.
 
@@ -52,6 +55,8 @@ from tallyshelf.llm.components import components
 
 #: Elements of a fragment that says enough by itself, and partners of a set that are compared in one place.
 FULL, PARTNERS = 2, 256
+#: The most sets of a signature that are compared one by one; sets and elements of a block; columns that are multiplied at once.
+FEW, BLOCK_SETS, BLOCK_ELEMENTS, COLUMNS = 16, 512, 500_000, 2048
 #: The bit of a signature's kind from which on it says how many must be shared.
 NEED_AT = 10
 #: Rarer signatures of a set that come with each one.
@@ -302,7 +307,7 @@ def of_several(rows: DataFrame, what: str) -> DataFrame:
 
 def thinned(rows: DataFrame, what: str) -> DataFrame:
     """rows without those that cannot tie similar sets with different values of what, as far as that is worth a pass."""
-    rows = keep(of_several(rows, what), "signatures")
+    rows = keep(of_several(keep(rows, "signatures"), what), "signatures")
     before, left = None, rows.count()
     while left and (before is None or left < 0.9 * before):
         rows = keep(of_several(plausible(rows), what), "signatures")
@@ -410,6 +415,86 @@ def links(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
     return keep(both.where(100 * F.col("n") >= percent * (F.col("su") + F.col("sv") - F.col("n"))).select("u", "v"), "links")
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all of b, as sums of partial overlaps by fragment."""
+    sizes = [len(x) for x in a] + [len(x) for x in b]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    elements = np.concatenate([*a, *b])
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    same = elements[1:] == elements[:-1]
+    shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    elements, owner = elements[shared], owner[shared]
+    total = np.zeros((len(a), len(b)), np.float32)
+    if not len(elements):
+        return total
+    column = np.cumsum(np.concatenate([[0], elements[1:] != elements[:-1]]))
+    for low in range(0, int(column[-1]) + 1, COLUMNS):
+        s, e = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((len(sizes), COLUMNS), np.float32)
+        part[owner[s:e], column[s:e] - low] = 1
+        total += part[: len(a)] @ part[len(a) :].T
+    return total  # sums of ones below 2**24 are exact
+
+
+def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    size_a, size_b = np.array([len(x) for x in a])[:, None], np.array([len(x) for x in b])[None]
+    both = overlaps(a, b).astype(np.int64)
+    return 100 * both >= percent * (size_a + size_b - both)
+
+
+def forest(link: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what link connects: from each node to the smallest id of its component."""
+    la, lb = ids_a.copy(), ids_b.copy()
+    top = np.iinfo(np.int64).max
+    while True:
+        na = np.minimum(la, np.where(link, lb[None], top).min(axis=1))
+        nb = np.minimum(lb, np.where(link, na[:, None], top).min(axis=0))
+        if (na == la).all() and (nb == lb).all():
+            break
+        la, lb = na, nb
+    u, v = np.concatenate([ids_a, ids_b]), np.concatenate([la, lb])
+    return u[u != v], v[u != v]
+
+
+def block_links(members: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
+    """u and v that connect the sets of each family that similarity connects, from rows sid, size, label and family."""
+    per_label = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
+    top = per_label.groupBy("family").agg(F.max(F.struct("n", "label"))["label"].alias("top"))
+    marked = keep(members.join(top, "family").select("family", "sid", "size", (F.col("label") != F.col("top")).alias("rest")), "families")
+    blocks = lambda of: F.ceil(F.greatest(F.count(of) / BLOCK_SETS, F.sum(F.when(of.isNotNull(), F.col("size"))) / BLOCK_ELEMENTS)).cast("int")
+    numbers = marked.groupBy("family").agg(blocks(F.when(F.col("rest"), 1)).alias("n_rest"), blocks(F.lit(1)).alias("n_all"))
+    rows = marked.join(numbers.where("n_rest > 0"), "family").join(elements, "sid")
+    place = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = rows.where("rest").withColumn("i", place("n_rest")).withColumn("j", each("n_all"))
+    whole = rows.withColumn("j", place("n_all")).withColumn("i", each("n_rest"))
+    columns = ["family", "i", "j", "side", "sid", "elements"]
+    both = rest.withColumn("side", F.lit(0)).select(columns).unionByName(whole.withColumn("side", F.lit(1)).select(columns))
+    dealt = both.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+
+    def piece(rows: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        a, b = ([(sid, np.frombuffer(x, "<u8")) for own, sid, x in rows if own == side] for side in (0, 1))
+        if not a or not b:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids = [np.array([sid for sid, _ in side], np.int64) for side in (a, b)]
+        return forest(linked([x for _, x in a], [x for _, x in b], percent), *ids)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in batches:
+            for family, i, j, side, sid, x in zip(*[b.column(c).to_pylist() for c in range(6)], strict=True):
+                if (family, i, j) != at:
+                    u, v = piece(held)
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                    at, held = (family, i, j), []
+                held.append((side, sid, x))
+        u, v = piece(held)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return keep(arrow_pass(dealt, "u long, v long", work), "links")
+
+
 def labelled(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
     """rows with label_<column>: the component of the set in each of the columns, itself if it has no link."""
     for c in columns:
@@ -431,8 +516,15 @@ def all_links(shared: DataFrame, elements: DataFrame, percent: int) -> DataFrame
     found = found.unionByName(links(apart, elements, percent))
     tied = labelled(shared, components(found), "sid")
     tied = keep(of_several(rarest(thinned(tied, "label_sid")), "label_sid"), "rarest-signatures")
+    times = tied.groupBy("sig").agg(F.count(F.lit(1)).alias("times"), F.min("sid").alias("hub"))
+    tied = keep(tied.join(times, "sig"), "tied-sets")
+    families = components(tied.where(F.col("times") > FEW).select(F.col("hub").alias("u"), F.col("sid").alias("v")))
+    members = tied.select("sid", "size", F.col("label_sid").alias("label")).distinct()
+    members = members.join(families.select(F.col("node").alias("sid"), F.col("component").alias("family")), "sid")
+    found = found.unionByName(block_links(members, elements, percent))
+    few = tied.where(F.col("times") <= FEW)
     named = lambda x: [F.col(c).alias(n + x) for c, n in (("sig", "sig_"), ("sid", ""), ("size", "s"), ("label_sid", "label_"), ("rarer", "rarer_"))]
-    a, b = tied.select(named("u")), tied.select(named("v"))
+    a, b = few.select(named("u")), few.select(named("v"))
     new = (a["u"] < b["v"]) & (a["label_u"] != b["label_v"]) & ~F.arrays_overlap("rarer_u", "rarer_v")
     rest = a.join(b, (a["sig_u"] == b["sig_v"]) & new).select("u", "su", "v", "sv").distinct()
     rest = rest.join(stars.select("u", "v"), ["u", "v"], "left_anti")  # a hub is the smaller of its pairs
