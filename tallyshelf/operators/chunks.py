@@ -12,21 +12,25 @@ def chunked(texts: DataFrame, text: str, group: str, order: str, most: int = 24_
     """WIN10: group, chunk (from 0), texts and characters: texts in order, a new chunk where the next would go beyond ``most``.
 
     Each text counts one more than its length. A text that is over long has a chunk to itself. Where a chunk ends
-    depends on all before it, so within a group a fold goes over lengths and places, without the texts;
-    groups are those of a report, whose comments a run bounds.
+    depends on all before it, so within a group a fold goes over lengths and places, without the texts, and carries
+    the chunk that is open and those that are closed; groups are those of a report, whose comments a run bounds.
     """
     sized = texts.select(group, F.col(order).alias("_at"), filled(text).alias("_t")).where("_t is not null").select(group, "_at", (F.length("_t") + 1).alias("_n"))
     listed = sized.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_at", "_n"))).alias("xs"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("of"))
+    kind = "struct<texts:bigint,characters:bigint>"
+    start = F.struct(F.lit(0).cast("long").alias("texts"), F.lit(0).cast("long").alias("characters"), F.array().cast(f"array<{kind}>").alias("closed"))
+    open_chunk = lambda a: F.array(F.struct(a["texts"].alias("texts"), a["characters"].alias("characters")))
 
     def step(acc, x):
-        opens = (acc["size"] > 0) & (acc["size"] + x["_n"] > most)
-        chunk = acc["chunk"] + opens.cast("int")
-        return F.struct(chunk.alias("chunk"), F.when(opens, x["_n"]).otherwise(acc["size"] + x["_n"]).alias("size"), F.concat(acc["of"], F.array(chunk)).alias("of"))
-
-    folded = listed.select(group, F.explode(F.arrays_zip("xs", F.aggregate("xs", start, step, lambda a: a["of"]).alias("of"))).alias("z"))
-    rows = folded.select(group, F.col("z.xs._n").alias("n"), F.col("z.of").alias("chunk"))
-    return rows.groupBy(group, "chunk").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("characters"))
+        opens = (acc["texts"] > 0) & (acc["characters"] + x["_n"] > most)
+        return F.struct(
+            F.when(opens, F.lit(1).cast("long")).otherwise(acc["texts"] + 1).alias("texts"),
+            F.when(opens, x["_n"].cast("long")).otherwise(acc["characters"] + x["_n"]).alias("characters"),
+            F.when(opens, F.concat(acc["closed"], open_chunk(acc))).otherwise(acc["closed"]).alias("closed"),
+        )
+
+    chunks = F.aggregate("xs", start, step, lambda a: F.concat(a["closed"], open_chunk(a)))
+    return listed.select(group, F.posexplode(chunks).alias("chunk", "c")).select(group, "chunk", "c.texts", "c.characters")
 
 
 def spread(chunks: DataFrame, group: str, most: int = 12) -> DataFrame:

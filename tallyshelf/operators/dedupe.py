@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyshelf.functions.text import filled, strip
+from tallyshelf.sources.shared import written
 
 
 def whole_row(df: DataFrame) -> Column:
@@ -40,7 +41,8 @@ def paged_listing(df: DataFrame, key: str, page: str, order: Column, pages: list
     """SET1: page after page, the first ``per_page`` keys that no earlier page has taken; the rows they come with.
 
     A row that a full page turns away does not count as seen, so its key may enter on a later page. Pages
-    depend on each other in turn, so there is one join per page; a listing has few pages, and their names
+    depend on each other in turn, so each page's rows, per_page at most, are written before the next page is
+    looked at, and a page's plan reads its own rows and those tables; their names
     are given. Rows of keys are only ranked within a page.
     """
     rows = df.where(filled(key).isNotNull()).withColumn("_at", order)
@@ -51,7 +53,7 @@ def paged_listing(df: DataFrame, key: str, page: str, order: Column, pages: list
         if taken is not None:
             firsts = firsts.join(taken.select(F.col(key).alias("_key")), "_key", "left_anti")
         few = F.broadcast(firsts.orderBy("_at").limit(per_page).select(F.col("_key"), F.col("_at").alias("_first")))  # per_page rows at most
-        new = own.join(few, (own[key] == few["_key"]) & (own["_at"] == few["_first"])).select(*df.columns)
+        new = written(own.join(few, (own[key] == few["_key"]) & (own["_at"] == few["_first"])).select(*df.columns), "page")
         taken = new if taken is None else taken.unionByName(new)
     return taken if taken is not None else df.where(F.lit(False))
 

@@ -179,17 +179,21 @@ def tone_samples(
 ) -> DataFrame:
     """AGG18: per tone the first distinct texts, cut to n code points with an ellipsis.
 
-    Texts travel as hashes until the few that are shown are known; each bucket's first ones come from a
-    limited sort, so a text with very many copies is one row after partial aggregation.
+    Words are looked for in the texts as they are, and only texts with one are stripped. Texts travel as hashes until
+    the few that are shown are known; a tone's first ones are ranked after each task has left out what cannot be among
+    them, and a text with very many copies is one row after partial aggregation.
     """
-    marked = with_tone(texts.withColumns({"_at": order, "_text": filled(text)}).where("_text is not null"), "_text", good, bad)
+    marked = with_tone(texts.withColumn("_at", order), text, good, bad)
     tone = F.expr("case when good and bad then 'mixed' when good then 'positive' when bad then 'negative' end")
-    firsts = marked.withColumn("tone", tone).where("tone is not null").groupBy("tone", F.sha2("_text", 256).alias("_key")).agg(F.min("_at").alias("_at"))
-    parts = [firsts.where(F.col("tone") == t).orderBy("_at").limit(k) for t, k in (("positive", most), ("negative", most), ("mixed", most_mixed))]
-    few = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    few = few.withColumn("rk", F.row_number().over(Window.partitionBy("tone").orderBy("_at")))
-    shown = marked.select("_at", F.sha2("_text", 256).alias("_key"), cut("_text", n, "…").alias("sample"))
-    return few.join(shown, ["_at", "_key"]).groupBy("tone", "rk").agg(F.min("sample").alias("sample"))
+    toned = marked.select("_at", text, tone.alias("tone")).where("tone is not null")
+    key = lambda: F.sha2(filled(text), 256)
+    firsts = toned.groupBy("tone", key().alias("_key")).agg(F.min("_at").alias("_at"))
+    ranked_ = firsts.withColumn("rk", F.row_number().over(Window.partitionBy("tone").orderBy("_at"))).where(F.col("rk") <= max(most, most_mixed))
+    few = ranked_.where(F.col("rk") <= F.when(F.col("tone") == "mixed", most_mixed).otherwise(most))
+    named = few.withColumnRenamed("_at", "_first")  # most rows of each tone at most
+    at = texts.select(order.alias("_at"), text)
+    shown = at.join(F.broadcast(named), at["_at"] == named["_first"]).where(key() == F.col("_key"))
+    return shown.select("tone", "rk", cut(filled(text), n, "…").alias("sample")).groupBy("tone", "rk").agg(F.min("sample").alias("sample"))
 
 
 def scope_tag(text: Column, first: tuple[str, ...] = STAPLES, second: tuple[str, ...] = BAKERY, names: tuple[str, str] = ("4.1", "4.2")) -> Column:

@@ -25,9 +25,18 @@ def comment_rollup(comments: DataFrame, sku: str, text: str, place: Column, rows
     )
 
 
-def with_place(comments: DataFrame, sku: str, order: Column) -> DataFrame:
-    """Adds place, from 0, of each comment within its sku; order is total within a sku."""
-    return comments.withColumn("place", F.row_number().over(Window.partitionBy(sku).orderBy(order)) - 1)
+def first_of_each(rows: DataFrame, by: str, order: Column, k: int) -> DataFrame:
+    """The first k rows of each value, with their place from 0; each task leaves out what cannot be among them before the shuffle."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("place") <= k).withColumn("place", F.col("place") - 1)
+
+
+def rollup_in_order(comments: DataFrame, sku: str, text: str, order: Column, rows: int = 8, **limits) -> DataFrame:
+    """AGG19 where comments have no place of their own: order is total within a sku."""
+    counts = comments.groupBy(sku).agg(F.count(F.lit(1)).cast("string").alias("comment_count"))
+    early = first_of_each(comments, sku, order, rows)
+    previews = comment_rollup(early, sku, text, F.col("place"), rows, **limits).drop("comment_count")
+    same = counts[sku].eqNullSafe(previews[sku])
+    return counts.join(previews, same, "left").select(counts[sku], "comment_count", "comment_preview")
 
 
 def merged(skus: DataFrame, listing: DataFrame, details: DataFrame, rollup: DataFrame, order: Column) -> DataFrame:
@@ -83,7 +92,9 @@ def feedback_groups(products: DataFrame, comments: DataFrame) -> DataFrame:
 
 def brand_samples(products: DataFrame, group: str, brand: str, order: Column, rows: int = 100, most: int = 15) -> DataFrame:
     """SET9, WIN12: of each group the number of products and the first distinct brands among its first ``rows`` products."""
-    ordered = products.withColumn("_rk", F.row_number().over(Window.partitionBy(group).orderBy(order)))
-    early = F.collect_list(F.when((F.col("_rk") <= rows) & filled(brand).isNotNull(), F.struct("_rk", filled(brand).alias("b"))))
-    names = F.array_distinct(F.transform(F.array_sort(early), lambda x: x["b"]))
-    return ordered.groupBy(group).agg(F.count(F.lit(1)).alias("n_products"), F.slice(names, 1, most).alias("brands"))
+    early = first_of_each(products, group, order, rows)
+    listed = F.collect_list(F.when(filled(brand).isNotNull(), F.struct("place", filled(brand).alias("b"))))
+    names = F.array_distinct(F.transform(F.array_sort(listed), lambda x: x["b"]))
+    brands = early.groupBy(group).agg(F.slice(names, 1, most).alias("brands"))
+    counts = products.groupBy(group).agg(F.count(F.lit(1)).alias("n_products"))
+    return counts.join(brands, counts[group].eqNullSafe(brands[group])).select(counts[group], "n_products", "brands")

@@ -65,6 +65,26 @@ def first_scalar(v: Column, *keys: str) -> Column:
     return F.coalesce(*[scalar(v, f"$.{k}") for k in keys], F.lit(""))
 
 
+class Fields:
+    """An object as a variant and as a map of its keys to texts, which is parsed once: most keys that are asked for are absent."""
+
+    def __init__(self, v: Column, texts: Column):
+        self.v, self.texts = v, texts
+
+    def has(self, key: str) -> Column:
+        return self.texts[key.split(".")[0]].isNotNull()
+
+    def scalar(self, key: str) -> Column:
+        """STR4, as scalar()."""
+        text, slow = self.texts[key], scalar(self.v, f"$.{key}")
+        if "." in key:
+            return F.when(self.has(key), slow)
+        return F.when(text.isNotNull(), F.when(F.rlike(text, F.lit(r"^\s*[{\[]")), slow).otherwise(filled(text)))
+
+    def first(self, *keys: str) -> Column:
+        return F.coalesce(*[self.scalar(k) for k in keys], F.lit(""))
+
+
 def whole_number(v: Column, path: str) -> Column:
     """JSN30: a whole number, or a text of digits with an optional sign; null for anything else, truth values too."""
     text, kind = F.try_variant_get(v, path, "string"), kind_of(v, path)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyshelf.functions.links import detail_picture, list_picture, page_address
 from tallyshelf.functions.price import merged_coupon
 from tallyshelf.functions.text import distinct_texts, filled, is_rank_text, plain, squeeze, without_tags
-from tallyshelf.sources.landed import first_scalar, json_body, kind_of, scalar, variant
+from tallyshelf.sources.landed import Fields, first_scalar, json_body, kind_of, scalar, variant
 
 # The keys under which payloads have what a product row needs.
 NESTS = ("wareInfo", "product", "skuInfo", "item", "main", "content", "base", "exContent", "excontent")
@@ -97,10 +97,11 @@ def objects_with(keys: tuple[str, ...], nests: tuple[str, ...] = ()):
 
 
 def with_objects(raw: DataFrame, body: str, keys: tuple[str, ...], nests: tuple[str, ...] = ()) -> DataFrame:
-    """raw without its body, a row for each object: position, v (a variant) and texts."""
+    """raw without its body, a row for each object: position, v (a variant), fields (its keys with their texts) and texts."""
     rest = [c for c in raw.columns if c != body]
     listed = raw.select(*rest, F.posexplode(objects_with(keys, nests)(json_body(body))).alias("position", "found"))
-    return listed.select(*rest, "position", F.try_parse_json("found.object").alias("v"), F.col("found.texts").alias("texts"))
+    fields = F.from_json("found.object", "map<string,string>").alias("fields")
+    return listed.select(*rest, "position", F.try_parse_json("found.object").alias("v"), fields, F.col("found.texts").alias("texts"))
 
 
 def texts_at(v: Column, path: str) -> Column:
@@ -114,15 +115,21 @@ def entries_at(v: Column, path: str) -> Column:
     return F.coalesce(F.when(kind_of(v, path) == "ARRAY", F.try_variant_get(v, path, "array<variant>")), F.array().cast("array<variant>"))
 
 
-def selling_points(v: Column) -> Column:
+def when_held(own: Fields, key: str, of) -> Column:
+    """of(variant, path) where the object has the key, else an empty array."""
+    none = F.array().cast("array<variant>" if of is entries_at else "array<string>")
+    return F.when(own.has(key), of(own.v, f"$.{key}")).otherwise(none)
+
+
+def selling_points(own: Fields) -> Column:
     """JSN7: the selling points, or else the titles of benefits and the listed points, each once."""
-    own = texts_at(v, "$.sellingPoint")
-    titles = F.flatten(F.transform(F.slice(entries_at(v, "$.benefitList"), 1, 30), lambda x: texts_at(x, "$.title")))
-    points = F.transform(F.slice(entries_at(v, "$.sellPoints"), 1, 25), lambda x: F.coalesce(F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")), first_scalar(x, "text", "title", "name", "desc")))
-    return plain(F.array_join(distinct_texts(F.when(F.size(own) > 0, F.slice(own, 1, 25)).otherwise(F.concat(titles, points))), " | "), 1200)
+    listed = when_held(own, "sellingPoint", texts_at)
+    titles = F.flatten(F.transform(F.slice(when_held(own, "benefitList", entries_at), 1, 30), lambda x: texts_at(x, "$.title")))
+    points = F.transform(F.slice(when_held(own, "sellPoints", entries_at), 1, 25), lambda x: F.coalesce(F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")), first_scalar(x, "text", "title", "name", "desc")))
+    return plain(F.array_join(distinct_texts(F.when(F.size(listed) > 0, F.slice(listed, 1, 25)).otherwise(F.concat(titles, points))), " | "), 1200)
 
 
-def sales_floor(v: Column) -> Column:
+def sales_floor(own: Fields) -> Column:
     """JSN11: the entries of the sales floor as name:text, without names that only identify things."""
 
     def entry(x: Column) -> Column:
@@ -130,16 +137,16 @@ def sales_floor(v: Column) -> Column:
         bare = (name == "") | F.lower(name).isin(*FLOOR_NAMES_LEFT_OUT)
         return F.when(text == "", F.lit(None)).when(bare, text).otherwise(F.concat(name, F.lit(":"), text))
 
-    return plain(F.array_join(F.transform(F.slice(entries_at(v, "$.commentSalesFloor"), 1, 30), entry), " | "), 800)
+    return plain(F.array_join(F.transform(F.slice(when_held(own, "commentSalesFloor", entries_at), 1, 30), entry), " | "), 800)
 
 
-def final_price(v: Column) -> Column:
+def final_price(own: Fields) -> Column:
     """JSN5: the estimated price of the first final price that has one."""
-    of = lambda k: first_scalar(v, f"{k}.estimatedPrice", f"{k}.price")
+    of = lambda k: own.first(f"{k}.estimatedPrice", f"{k}.price")
     return F.coalesce(*[F.nullif(of(k), F.lit("")) for k in ("finalPrice", "mockFinalPrice", "intervalNewPrice")], F.lit(""))
 
 
-def property_line(v: Column) -> Column:
+def property_line(own: Fields) -> Column:
     """JSN12: colour, category id, short name and properties in one line."""
 
     def entry(x: Column) -> Column:
@@ -147,46 +154,46 @@ def property_line(v: Column) -> Column:
         text = F.when(F.schema_of_variant(x) == "STRING", F.substring(filled(F.try_variant_get(x, "$", "string")), 1, 120))
         return F.coalesce(text, F.when((name != "") & (value != ""), F.concat(name, F.lit(":"), value)))
 
-    lists = [F.array_compact(F.transform(F.slice(entries_at(v, f"$.{k}"), 1, 25), entry)) for k in PROPERTIES]
+    lists = [F.array_compact(F.transform(F.slice(when_held(own, k, entries_at), 1, 25), entry)) for k in PROPERTIES]
     chosen = F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists], F.array().cast("array<string>"))
-    named = lambda label, *keys: F.when(first_scalar(v, *keys) != "", F.concat(F.lit(label), first_scalar(v, *keys)))
+    named = lambda label, *keys: F.when(own.first(*keys) != "", F.concat(F.lit(label), own.first(*keys)))
     extra = F.array_compact(F.array(named("颜色规格:", "color"), named("类目:", "catid", "cid3", "cid3Name"), named("简称:", "shortName")))
     return F.substring(F.array_join(F.concat(extra, chosen), " | "), 1, 4000)
 
 
-def is_ad(v: Column) -> Column:
+def is_ad(own: Fields) -> Column:
     """JSN13: whether an explicit flag marks an advert."""
-    flags = [F.lower(scalar(v, f"$.{k}")).isin("1", "true", "yes", "y") for k in AD_FLAGS]
+    flags = [F.lower(own.scalar(k)).isin("1", "true", "yes", "y") for k in AD_FLAGS]
     return F.coalesce(*[F.when(f, f) for f in flags], F.lit(False))
 
 
-def ware_columns(v: Column, texts: Column) -> dict[str, Column]:
+def ware_columns(own: Fields, texts: Column) -> dict[str, Column]:
     """JSN4: the columns of a listing row."""
-    sku = first_scalar(v, *SKU)
-    shown = F.coalesce(*[scalar(v, f"$.priceShow.{k}") for k in SHOWN_COUPON], F.lit(""))
-    shop_id, shop_page, page = first_scalar(v, "shopId"), page_address(first_scalar(v, *SHOP_PAGE)), first_scalar(v, *PAGE)
+    sku = own.first(*SKU)
+    shown = F.coalesce(*[own.scalar(f"priceShow.{k}") for k in SHOWN_COUPON], F.lit(""))
+    shop_id, shop_page, page = own.first("shopId"), page_address(own.first(*SHOP_PAGE)), own.first(*PAGE)
     ranks = F.filter(distinct_texts(texts), is_rank_text)
-    seckill = F.coalesce(*[F.coalesce(scalar(v, f"$.{k}"), F.nullif(first_scalar(v, *[f"{k}.{x}" for x in ("text", "title", "name", "status")]), F.lit(""))) for k in SECKILL], F.lit(""))
+    seckill = F.coalesce(*[F.coalesce(own.scalar(k), F.nullif(own.first(*[f"{k}.{x}" for x in ("text", "title", "name", "status")]), F.lit(""))) for k in SECKILL], F.lit(""))
     return {
-        "item_id": F.substring(F.coalesce(F.nullif(first_scalar(v, "wareId", "wid"), F.lit("")), sku), 1, 80),
+        "item_id": F.substring(F.coalesce(F.nullif(own.first("wareId", "wid"), F.lit("")), sku), 1, 80),
         "sku_id": F.substring(sku, 1, 80),
-        "title": plain(first_scalar(v, *TITLE)),
-        "price": plain(first_scalar(v, *PRICE), 120),
-        "coupon_price": merged_coupon(plain(first_scalar(v, *COUPON), 80), final_price(v), shown),
-        "original_price": plain(first_scalar(v, *ORIGINAL), 120),
-        "selling_point": selling_points(v),
-        "comment_sales_floor": sales_floor(v),
+        "title": plain(own.first(*TITLE)),
+        "price": plain(own.first(*PRICE), 120),
+        "coupon_price": merged_coupon(plain(own.first(*COUPON), 80), final_price(own), shown),
+        "original_price": plain(own.first(*ORIGINAL), 120),
+        "selling_point": selling_points(own),
+        "comment_sales_floor": sales_floor(own),
         "hot_list_rank": plain(F.array_join(ranks, " | "), 600),
-        "comment_count": plain(first_scalar(v, *FUZZY), 120),
-        "shop_name": plain(first_scalar(v, *SHOP), 200),
+        "comment_count": plain(own.first(*FUZZY), 120),
+        "shop_name": plain(own.first(*SHOP), 200),
         "shop_url": F.when(shop_page != "", F.substring(shop_page, 1, 2000)).when(shop_id != "", F.concat(F.lit("https://mall.jd.com/index-"), shop_id, F.lit(".html"))).otherwise(""),
-        "shop_info_url": F.substring(page_address(first_scalar(v, "shopInfoUrl", "brandUrl")), 1, 2000),
-        "location": plain(first_scalar(v, *PLACE), 200),
+        "shop_info_url": F.substring(page_address(own.first("shopInfoUrl", "brandUrl")), 1, 2000),
+        "location": plain(own.first(*PLACE), 200),
         "detail_url": F.when(page != "", F.substring(page_address(page), 1, 2500)).when(sku != "", F.concat(F.lit("https://item.m.jd.com/product/"), sku, F.lit(".html"))).otherwise(""),
-        "image": F.substring(list_picture(first_scalar(v, *PICTURE)), 1, 1200),
+        "image": F.substring(list_picture(own.first(*PICTURE)), 1, 1200),
         "seckill_info": plain(seckill, 400),
-        "attributes": property_line(v),
-        "leaf_category": F.substring(first_scalar(v, "leafCategory", "cid3Name", "catid"), 1, 80),
+        "attributes": property_line(own),
+        "leaf_category": F.substring(own.first("leafCategory", "cid3Name", "catid"), 1, 80),
     }
 
 
@@ -197,7 +204,8 @@ def wares(raw: DataFrame, body: str = "body") -> DataFrame:
     """
     names = [c for c in raw.columns if c != body]
     found = with_objects(raw, body, SKU, NESTS)
-    rows = found.select(*names, "position", *[c.alias(k) for k, c in ware_columns(F.col("v"), F.col("texts")).items()])
+    columns = ware_columns(Fields(F.col("v"), F.col("fields")), F.col("texts"))
+    rows = found.select(*names, "position", *[c.alias(k) for k, c in columns.items()])
     good = rows.where(F.rlike("sku_id", F.lit("^[0-9]{5,}$")) & (F.length("title") >= 2))
     row = F.struct(*[F.col(c) for c in good.columns if c not in (*names, "sku_id")])
     first = good.groupBy(*names, "sku_id").agg(F.min_by(row, "position").alias("row"))

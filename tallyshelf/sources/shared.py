@@ -10,9 +10,16 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as written to the session's checkpoint folder and read again; a temporary folder where none is set, as in tests."""
+    """df as written to the session's checkpoint folder and read again.
+
+    A temporary folder takes its place where a session on one machine names none; elsewhere that is an error.
+    """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        base = tempfile.gettempdir()
     path = f"{base.rstrip(os.sep)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

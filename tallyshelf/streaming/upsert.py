@@ -7,36 +7,55 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyshelf.operators.catalog import KEY, REPLACED, STICKY, upserted
-from tallyshelf.sources.landed import exists
 
 CATALOGUE = ", ".join(f"{c} string" for c in (*KEY, *STICKY, *REPLACED))
 ROWS = CATALOGUE + ", row_index long"
 
 
+#: Versions that stay beside the newest one.
+KEPT = 3
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions under path, in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    done = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder) or []
+    return sorted(int(str(f.getPath()).split("version=")[1].split("/")[0]) for f in done)
+
+
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The latest complete version of the catalogue under path, empty if there is none."""
-    if not exists(spark, f"{path}/version=*/_SUCCESS"):
-        return spark.createDataFrame([], CATALOGUE)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
-    done = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder)
-    last = max(int(str(f.getPath()).split("version=")[1].split("/")[0]) for f in done)
-    return spark.read.schema(CATALOGUE).parquet(f"{path}/version={last}")
+    done = versions(spark, path)
+    return spark.read.schema(CATALOGUE).parquet(f"{path}/version={done[-1]}") if done else spark.createDataFrame([], CATALOGUE)
 
 
 def catalogue_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Applies each micro-batch of rows to the catalogue and writes the result as the version named after the batch.
 
-    A batch that runs again after a failure starts from the versions before its own and overwrites it, so
-    each row counts once. Every batch that has waited is taken, then the query ends.
+    A batch that runs again after a failure starts from the latest version before its own and overwrites it, so
+    each row counts once. A batch other than the first one that finds no version before its own is an error, and so is
+    a first batch that finds versions of another stream, which a new checkpoint folder would start. Each
+    version is the whole catalogue; but for KEPT of them, versions before a batch's own are removed after it.
+    Every batch that has waited is taken, then the query ends.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = spark.createDataFrame([], CATALOGUE)
-        if number and exists(spark, f"{path}/version={number - 1}/_SUCCESS"):
-            before = spark.read.schema(CATALOGUE).parquet(f"{path}/version={number - 1}")
+        at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        files = at("").getFileSystem(spark._jsc.hadoopConfiguration())
+        mark, done = at(f"_streams/{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}"), versions(spark, path)
+        earlier = [n for n in done if n < number]
+        if number == 0 and not files.exists(mark):
+            if done:
+                raise ValueError(f"{path} has versions that another stream made")
+            files.create(mark).close()
+        if number and not earlier:
+            raise ValueError(f"{path} has no version before {number}")
+        before = spark.read.schema(CATALOGUE).parquet(f"{path}/version={earlier[-1]}") if earlier else spark.createDataFrame([], CATALOGUE)
         new = upserted(before, batch, F.struct("last_captured_at", "row_index")).drop("created")
         new.write.mode("overwrite").parquet(f"{path}/version={number}")
+        for old in earlier[:-KEPT]:
+            files.delete(at(f"version={old}"), True)
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
