@@ -10,10 +10,13 @@ from tallyshelf.sources import landed, payloads
 from tallyshelf.sources.tables import table
 
 LISTED = "p_partkey % 4 <> 3"
+#: A page takes the parts of a brand whose keys lie in one thousand, forty or so.
+FILE = "p_brand || '-' || CAST(CAST(floor(p_partkey / 1000) AS BIGINT) AS VARCHAR)"
 
 
 def search_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A payload for each brand, with its parts as products in several shapes and, for one part in four, without a usable number."""
+    """Payloads of each brand, a page each, with its parts as products in several shapes and, for one part in four, without a usable number."""
+    page = F.concat("p_brand", F.lit("-"), F.floor(F.col("p_partkey") / 1000).cast("string"))
     key = (F.col("p_partkey") + 100_000).cast("string")
     number = F.when(F.col("p_partkey") % 4 == 3, "12").otherwise(key)
     ware = F.to_json(
@@ -32,11 +35,11 @@ def search_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     wares = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", ware.alias("w")))), lambda x: x["w"]), ",")
     body = F.concat(F.lit('cb({"data":{"resultCount":9,"deep":[{"wareList":['), wares, F.lit("]}]}});"))
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("file")).agg(body.alias("body"))
+    return table(spark, sf_dir, "part").groupBy(page.alias("file")).agg(body.alias("body"))
 
 
 @register(f"""
-SELECT p_brand AS file, CAST(p_partkey + 100000 AS VARCHAR) AS sku_id, p_name AS title, CAST(p_size AS VARCHAR) || '.5' AS coupon_price, p_type AS selling_point,
+SELECT {FILE} AS file, CAST(p_partkey + 100000 AS VARCHAR) AS sku_id, p_name AS title, CAST(p_size AS VARCHAR) || '.5' AS coupon_price, p_type AS selling_point,
   'sold:1万+ | ' || p_brand AS comment_sales_floor, '热卖榜 ' || p_brand AS hot_list_rank, 'https://mall.jd.com/index-7.html' AS shop_url,
   'https://item.m.jd.com/product/' || CAST(p_partkey + 100000 AS VARCHAR) || '.html' AS detail_url, 'https://img13.360buyimg.com/n2/s480x480_jfs/t1/a.jpg' AS image,
   '类目:' || CAST(p_size AS VARCHAR) || ' | 简称:' || p_brand AS attributes FROM part WHERE {LISTED}
@@ -47,7 +50,7 @@ def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.wares(search_bodies(spark, sf_dir)).select(*cols)
 
 
-@register("SELECT p_brand AS file, 'no_list' AS quality, count(*) > 0 AS readable FROM part GROUP BY p_brand")
+@register(f"SELECT {FILE} AS file, 'no_list' AS quality, count(*) > 0 AS readable FROM part GROUP BY 1")
 def response_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSN26, FLT13, JSN31: payloads whose list is not where it should be, but which are readable."""
     rows = search_bodies(spark, sf_dir)

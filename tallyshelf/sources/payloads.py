@@ -123,7 +123,7 @@ def when_held(own: Fields, key: str, of) -> Column:
 
 def selling_points(own: Fields) -> Column:
     """JSN7: the selling points, or else the titles of benefits and the listed points, each once."""
-    listed = when_held(own, "sellingPoint", texts_at)
+    listed = F.col("_listed")
     titles = F.flatten(F.transform(F.slice(when_held(own, "benefitList", entries_at), 1, 30), lambda x: texts_at(x, "$.title")))
     points = F.transform(F.slice(when_held(own, "sellPoints", entries_at), 1, 25), lambda x: F.coalesce(F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")), first_scalar(x, "text", "title", "name", "desc")))
     return plain(F.array_join(distinct_texts(F.when(F.size(listed) > 0, F.slice(listed, 1, 25)).otherwise(F.concat(titles, points))), " | "), 1200)
@@ -167,11 +167,25 @@ def is_ad(own: Fields) -> Column:
     return F.coalesce(*[F.when(f, f) for f in flags], F.lit(False))
 
 
+def ware_inputs(own: Fields) -> dict[str, Column]:
+    """What several parts of a listing row's columns look at; columns of their own, so that each is computed once."""
+    return {
+        "_sku": own.first(*SKU),
+        "_coupon": plain(own.first(*COUPON), 80),
+        "_final": final_price(own),
+        "_shown": F.coalesce(*[own.scalar(f"priceShow.{k}") for k in SHOWN_COUPON], F.lit("")),
+        "_shop_id": own.first("shopId"),
+        "_shop_page": own.first(*SHOP_PAGE),
+        "_page": own.first(*PAGE),
+        "_picture": own.first(*PICTURE),
+        "_listed": when_held(own, "sellingPoint", texts_at),
+    }
+
+
 def ware_columns(own: Fields, texts: Column) -> dict[str, Column]:
-    """JSN4: the columns of a listing row."""
-    sku = own.first(*SKU)
-    shown = F.coalesce(*[own.scalar(f"priceShow.{k}") for k in SHOWN_COUPON], F.lit(""))
-    shop_id, shop_page, page = own.first("shopId"), page_address(own.first(*SHOP_PAGE)), own.first(*PAGE)
+    """JSN4: the columns of a listing row, from ware_inputs beside the object."""
+    sku, shown, shop_id, page = F.col("_sku"), F.col("_shown"), F.col("_shop_id"), F.col("_page")
+    shop_page = page_address(F.col("_shop_page"))
     ranks = F.filter(distinct_texts(texts), is_rank_text)
     seckill = F.coalesce(*[F.coalesce(own.scalar(k), F.nullif(own.first(*[f"{k}.{x}" for x in ("text", "title", "name", "status")]), F.lit(""))) for k in SECKILL], F.lit(""))
     return {
@@ -179,7 +193,7 @@ def ware_columns(own: Fields, texts: Column) -> dict[str, Column]:
         "sku_id": F.substring(sku, 1, 80),
         "title": plain(own.first(*TITLE)),
         "price": plain(own.first(*PRICE), 120),
-        "coupon_price": merged_coupon(plain(own.first(*COUPON), 80), final_price(own), shown),
+        "coupon_price": merged_coupon(F.col("_coupon"), F.col("_final"), shown),
         "original_price": plain(own.first(*ORIGINAL), 120),
         "selling_point": selling_points(own),
         "comment_sales_floor": sales_floor(own),
@@ -190,7 +204,7 @@ def ware_columns(own: Fields, texts: Column) -> dict[str, Column]:
         "shop_info_url": F.substring(page_address(own.first("shopInfoUrl", "brandUrl")), 1, 2000),
         "location": plain(own.first(*PLACE), 200),
         "detail_url": F.when(page != "", F.substring(page_address(page), 1, 2500)).when(sku != "", F.concat(F.lit("https://item.m.jd.com/product/"), sku, F.lit(".html"))).otherwise(""),
-        "image": F.substring(list_picture(own.first(*PICTURE)), 1, 1200),
+        "image": F.substring(list_picture(F.col("_picture")), 1, 1200),
         "seckill_info": plain(seckill, 400),
         "attributes": property_line(own),
         "leaf_category": F.substring(own.first("leafCategory", "cid3Name", "catid"), 1, 80),
@@ -204,8 +218,9 @@ def wares(raw: DataFrame, body: str = "body") -> DataFrame:
     """
     names = [c for c in raw.columns if c != body]
     found = with_objects(raw, body, SKU, NESTS)
-    columns = ware_columns(Fields(F.col("v"), F.col("fields")), F.col("texts"))
-    rows = found.select(*names, "position", *[c.alias(k) for k, c in columns.items()])
+    own = Fields(F.col("v"), F.col("fields"))
+    columns = ware_columns(own, F.col("texts"))
+    rows = found.withColumns(ware_inputs(own)).select(*names, "position", *[c.alias(k) for k, c in columns.items()])
     good = rows.where(F.rlike("sku_id", F.lit("^[0-9]{5,}$")) & (F.length("title") >= 2))
     row = F.struct(*[F.col(c) for c in good.columns if c not in (*names, "sku_id")])
     first = good.groupBy(*names, "sku_id").agg(F.min_by(row, "position").alias("row"))
