@@ -193,19 +193,21 @@ class WordBpe:
                     distinct.update(new)
             pieces[w] = found
         gc.disable()  # nothing here is cyclic, and walking all of it again and again takes long
-        ids_of = self.traverse(distinct)
-        for w, found in pieces.items():
-            if len(found) == 1 and found[0] in ids_of:
-                ids = ids_of[found[0]]
-            else:
-                ids = []
-                for x in found:
-                    if isinstance(x, int):
-                        ids.append(x)
-                    else:
-                        ids += ids_of[x]
-            self.known[w] = array("I", ids).tobytes(), self.decode(ids).encode()
-        gc.enable()
+        try:
+            ids_of = self.traverse(distinct)
+            for w, found in pieces.items():
+                if len(found) == 1 and found[0] in ids_of:
+                    ids = ids_of[found[0]]
+                else:
+                    ids = []
+                    for x in found:
+                        if isinstance(x, int):
+                            ids.append(x)
+                        else:
+                            ids += ids_of[x]
+                self.known[w] = array("I", ids).tobytes(), self.decode(ids).encode()
+        finally:
+            gc.enable()
 
     def decode(self, ids: Iterable[int]) -> str:
         """Token names joined by spaces: what the file's lack of a decoder asks for."""

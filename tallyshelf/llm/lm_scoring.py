@@ -417,5 +417,5 @@ def score(docs: DataFrame) -> DataFrame:
             F.sum("base").alias("base_score"),
             F.sum("score").alias("score"),
         )
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocab.total).alias("train_tokens"), "base_score", "score")
+        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocab.total).cast("long").alias("train_tokens"), "base_score", "score")
     )
