@@ -88,10 +88,16 @@ def with_member(rows: DataFrame, payload: str, member: str, value: str) -> DataF
     return rows.where(F.get_json_object(payload, f"$.{member}") == value)
 
 
+def has_content(rows: DataFrame, column: str) -> Column:
+    """Whether a cell is neither null nor blank; an empty array counts as blank."""
+    c = F.col(f"`{column}`")
+    return F.coalesce(F.size(c) > 0, F.lit(False)) if dict(rows.dtypes)[column].startswith("array") else strip(c) != ""
+
+
 def filled_columns(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """BRW1: column and whether any of its cells is not blank, for all columns in one pass, in their order."""
     columns = columns or rows.columns
-    flags = rows.agg(*[F.coalesce(F.bool_or(strip(f"`{c}`") != ""), F.lit(False)).alias(f"c{i}") for i, c in enumerate(columns)])
+    flags = rows.agg(*[F.coalesce(F.bool_or(has_content(rows, c)), F.lit(False)).alias(f"c{i}") for i, c in enumerate(columns)])
     listed = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("column"), F.col(f"c{i}").alias("filled")) for i, c in enumerate(columns)])
     return flags.select(F.explode(listed).alias("x")).select("x.*")
 

@@ -9,7 +9,8 @@ from tallyshelf.operators import catalog
 from tallyshelf.plans.registry import register
 from tallyshelf.sources.tables import table
 
-CUT = "TIMESTAMP '2024-01-15 00:00:00'"
+#: Rows before are of an older run, so that about half of the products of sf0.001 and of sf0.01 are new after it.
+CUT = "TIMESTAMP '2024-01-02 00:00:00'"
 EVENTS = """ev AS (SELECT event_id, ts, event_type AS platform, CAST(user_id AS VARCHAR) AS sku_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE 't' || CAST(event_id AS VARCHAR) END AS title,
    CASE WHEN event_id % 4 = 0 THEN '' ELSE 'b' || CAST(event_id % 7 AS VARCHAR) END AS detail_brand, props FROM events)"""
 
@@ -37,16 +38,16 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {EVENTS}, k AS (SELECT DISTINCT platform, sku_id FROM ev),
   l AS (SELECT platform, sku_id, detail_brand, props, row_number() OVER (PARTITION BY platform, sku_id ORDER BY event_id DESC) AS rk FROM ev),
   t AS (SELECT platform, sku_id, title, row_number() OVER (PARTITION BY platform, sku_id ORDER BY event_id DESC) AS rk FROM ev WHERE title <> ''),
-  o AS (SELECT DISTINCT platform, sku_id FROM ev WHERE event_id % 2 = 0)
+  o AS (SELECT DISTINCT platform, sku_id FROM ev WHERE ts < {CUT})
 SELECT k.platform, k.sku_id, coalesce(t.title, '') AS title, l.detail_brand, l.props AS current_payload, o.sku_id IS NULL AS created
 FROM k JOIN l ON l.platform = k.platform AND l.sku_id = k.sku_id AND l.rk = 1 LEFT JOIN t ON t.platform = k.platform AND t.sku_id = k.sku_id AND t.rk = 1
 LEFT JOIN o ON o.platform = k.platform AND o.sku_id = k.sku_id WHERE true
 """)
 def product_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CAT1: all rows applied to the catalogue of the even ones: blank titles leave the old one, blank brands erase it."""
+    """CAT1: all rows applied to the catalogue of those before CUT: blank titles leave the old one, blank brands erase it."""
     every, order = rows(spark, sf_dir), F.col("event_id")
     nothing = catalog.batch_products(every.where("event_id < 0"), order)
-    old = catalog.upserted(nothing, every.where("event_id % 2 = 0"), order).drop("created")
+    old = catalog.upserted(nothing, every.where(f"ts < {CUT}"), order).drop("created")
     return catalog.upserted(old, every, order).select("platform", "sku_id", "title", "detail_brand", "current_payload", "created")
 
 
@@ -66,13 +67,13 @@ def snapshot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""
-WITH {SNAPS}, k AS (SELECT DISTINCT platform, sku_id FROM ev), f AS (SELECT platform, sku_id, count(*) AS n FROM sn WHERE job < '2024-01-08' GROUP BY platform, sku_id)
+WITH {SNAPS}, k AS (SELECT 'view' AS platform, CAST(c_custkey AS VARCHAR) AS sku_id FROM customer), f AS (SELECT platform, sku_id, count(*) AS n FROM sn GROUP BY platform, sku_id)
 SELECT k.platform, k.sku_id, coalesce(n, 0) AS n_snapshots FROM k LEFT JOIN f ON f.platform = k.platform AND f.sku_id = k.sku_id
 """)
 def product_snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON7."""
-    keys = rows(spark, sf_dir).select("platform", "sku_id").distinct()
-    return catalog.with_snapshot_counts(keys, snaps(spark, sf_dir).where("job < '2024-01-08'"))
+    """JON7: every customer as a product, most of them without snapshots."""
+    keys = table(spark, sf_dir, "customer").select(F.lit("view").alias("platform"), F.col("c_custkey").cast("string").alias("sku_id"))
+    return catalog.with_snapshot_counts(keys, snaps(spark, sf_dir))
 
 
 @register("""
@@ -85,14 +86,14 @@ def snapshot_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""
-WITH {EVENTS}, n AS (SELECT * FROM ev WHERE event_id % 2 = 1), o AS (SELECT DISTINCT platform, sku_id FROM ev WHERE event_id % 2 = 0 AND event_id < 300),
+WITH {EVENTS}, n AS (SELECT * FROM ev WHERE ts >= {CUT}), o AS (SELECT DISTINCT platform, sku_id FROM ev WHERE ts < {CUT}),
   c AS (SELECT count(*) AS created FROM (SELECT DISTINCT n.platform, n.sku_id FROM n LEFT JOIN o ON o.platform = n.platform AND o.sku_id = n.sku_id WHERE o.sku_id IS NULL) AS d)
 SELECT count(*) AS rows_in_csv, count(*) AS rows_ingested, count(*) AS snapshots_upserted, max(created) AS products_created FROM n, c
 """)
 def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG27."""
+    """AGG27: the rows from CUT on, against the catalogue of all rows before."""
     every = rows(spark, sf_dir)
-    return catalog.ingest_stats(every.where("event_id % 2 = 1"), every.where("event_id % 2 = 0 and event_id < 300"))
+    return catalog.ingest_stats(every.where(f"ts >= {CUT}"), every.where(f"ts < {CUT}"))
 
 
 @register("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")

@@ -41,9 +41,9 @@ def focus_keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(focus_sql("documents", "lang"))
 def focus_hits_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG13: by group, with a fallback that no group needs."""
+    """AGG13: by group; English texts are only in the fallback, so their group needs it, and the others do not."""
     rows = texts(spark, sf_dir)
-    return lexicon.focus_hits_by_or(rows, rows.where("doc_id < 0"), "text", "lang", FOCUS)
+    return lexicon.focus_hits_by_or(rows.where("lang <> 'en'"), rows, "text", "lang", FOCUS)
 
 
 @register(focus_sql("conversations"))
@@ -139,25 +139,25 @@ def scope_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-WITH c AS (SELECT source, text FROM documents WHERE lang = 'es' AND trim(text, E' \\t\\n\\r') <> ''), p AS (SELECT source, text FROM documents WHERE lang = 'de' AND trim(text, E' \\t\\n\\r') <> ''),
-  u AS (SELECT source FROM c UNION ALL SELECT source FROM p WHERE source NOT IN (SELECT source FROM c))
-SELECT source, count(*) AS n FROM u GROUP BY source
+WITH c AS (SELECT lang, text FROM documents WHERE lang <> 'en' AND trim(text, E' \\t\\n\\r') <> ''), p AS (SELECT lang, text FROM documents WHERE trim(text, E' \\t\\n\\r') <> ''),
+  u AS (SELECT lang FROM c UNION ALL SELECT lang FROM p WHERE lang NOT IN (SELECT lang FROM c))
+SELECT lang, count(*) AS n FROM u GROUP BY lang
 """)
 def text_units_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG14, AGG15: a group without texts of its own counts the previews instead."""
     rows = texts(spark, sf_dir)
-    units = lexicon.text_units(rows.where("lang = 'es'").select("source", "text"), rows.where("lang = 'de'").select("source", "text"), "text", "source")
-    return units.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    units = lexicon.text_units(rows.where("lang <> 'en'").select("lang", "text"), rows.select("lang", "text"), "text", "lang")
+    return units.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-OF_SKU = f"""of_sku AS (SELECT p_partkey AS sku, CASE p_size % 5 WHEN 0 THEN '未归类（无类目路径）' ELSE p_type END AS grp, {PATH} AS category FROM part WHERE p_partkey % 3 <> 0),
-  said AS (SELECT doc_id, coalesce(grp, '未归类（评价 SKU 无对应深入样本）') AS grp FROM documents LEFT JOIN of_sku ON doc_id % 997 = sku)"""
+OF_SKU = f"""of_sku AS (SELECT p_partkey AS sku, CASE p_size % 5 WHEN 0 THEN '未归类（无类目路径）' ELSE p_type END AS grp, {PATH} AS category FROM part),
+  said AS (SELECT doc_id, coalesce(grp, '未归类（评价 SKU 无对应深入样本）') AS grp FROM documents LEFT JOIN of_sku ON doc_id = sku)"""
 
 
 def said(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    parts = products(spark, sf_dir).where("p_partkey % 3 <> 0").withColumn("group", group_key("category"))
+    parts = products(spark, sf_dir).withColumn("group", group_key("category"))
     of_sku = merge.groups_of_skus(parts.withColumn("sku", F.col("p_partkey").cast("string")), "sku", F.col("group"), F.col("p_partkey"))
-    comments = texts(spark, sf_dir).withColumn("sku", (F.col("doc_id") % 997).cast("string"))
+    comments = texts(spark, sf_dir).withColumn("sku", F.col("doc_id").cast("string"))
     return parts, merge.attributed(comments, of_sku, "sku")
 
 

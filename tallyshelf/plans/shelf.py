@@ -180,6 +180,16 @@ def price_stats_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.chosen_stats(stats.price_stats(without), stats.price_stats(stats.observations(table(spark, sf_dir, "part"), "p_retailprice")))
 
 
+@register(f"""
+WITH s AS (SELECT 'all' AS g, p_retailprice AS x FROM part WHERE p_retailprice > 0 AND p_retailprice < 1000000), r AS ({'WITH ' + hinges('g', 's')})
+SELECT n, min, max, mean, stdev, median, q1, q3, 'pc_search_export_all_rows' AS source FROM r
+""")
+def price_stats_of_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA3: a list with prices comes before the merged table."""
+    listed, merged = (stats.price_stats(stats.observations(table(spark, sf_dir, t), c)) for t, c in (("part", "p_retailprice"), ("supplier", "s_acctbal")))
+    return stats.chosen_stats(listed, merged)
+
+
 @register("""
 WITH s AS (SELECT p_type AS kind, avg(p_retailprice) AS mean, stddev_samp(p_retailprice) AS stdev, count(*) AS n FROM part GROUP BY p_type),
   b AS (SELECT p_type AS kind, p_brand, count(*) AS n FROM part GROUP BY p_type, p_brand), m AS (SELECT kind, max(n) / CAST(sum(n) AS DOUBLE) AS cr1 FROM b GROUP BY kind)
@@ -302,13 +312,13 @@ def page_capped_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""
-WITH {LISTING}, a AS (SELECT DISTINCT sku_id FROM listing WHERE l_linenumber = 1), b AS (SELECT DISTINCT sku_id FROM listing WHERE l_linenumber = 2)
+WITH {LISTING}, a AS (SELECT DISTINCT sku_id FROM listing WHERE l_linenumber = 1), b AS (SELECT DISTINCT sku_id FROM listing WHERE l_linenumber <> 1)
 SELECT count(*) AS n_shared FROM a WHERE sku_id IN (SELECT sku_id FROM b)
 """)
 def dup_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON11: products of the first page that the second has too."""
+    """JON11: products of the first page that any other has too."""
     rows = listing(spark, sf_dir)
-    return dedupe.overlap(rows.where("page = '1'"), rows.where("page = '2'"), "sku_id")
+    return dedupe.overlap(rows.where("page = '1'"), rows.where("page <> '1'"), "sku_id")
 
 
 @register(f"""

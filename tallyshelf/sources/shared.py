@@ -6,20 +6,24 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as written to the session's checkpoint folder and read again.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the session's checkpoint folder.
 
     A temporary folder takes its place where a session on one machine names none; elsewhere that is an error.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         base = tempfile.gettempdir()
-    path = f"{base.rstrip(os.sep)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip(os.sep)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as written to the folder of scratch() and read again."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,10 +6,12 @@ import csv
 import io
 import json
 import zipfile
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyshelf.operators.browse import FIXED, export_columns
 from tallyshelf.operators.catalog import kept_columns
 
 
@@ -23,6 +25,23 @@ def append_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def rows_of_job(spark: SparkSession, path: str, job: str, column: str = "job_id") -> DataFrame:
+    """SRC11: the rows of one job; partitions of others are not read."""
+    return spark.read.parquet(path).where(F.col(column) == job)
+
+
+def run_metadata(flags: dict[str, Any], relations: dict[str, DataFrame]) -> str:
+    """SNK9: a run's settings and the number of rows of each of its relations, as a JSON object."""
+    counts = {f"{name}_rows": rows.count() for name, rows in relations.items()}
+    return json.dumps({**flags, **counts}, ensure_ascii=False, indent=2)
+
+
+def sorted_payload(c: Column | str) -> Column:
+    """SNK8: a JSON text with the keys of its objects in order, on one line; a text that is no JSON as it is."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.to_json(F.try_parse_json(c)), c)
+
+
 def csv_text(rows: DataFrame, columns: dict[str, str]) -> str:
     """SNK1-SNK4: a CSV text with a byte order mark: the columns (internal to header) in order, missing ones blank, arrays as JSON.
 
@@ -46,6 +65,23 @@ def json_text(rows: DataFrame) -> str:
     return json.dumps([r.asDict(True) for r in found.toLocalIterator()], ensure_ascii=False, indent=2)
 
 
+def export(relations: dict[str, tuple[DataFrame, dict[str, str]]], kind: str, form: str, about: dict[str, Any]) -> tuple[str, str]:
+    """SNK3, SNK4, BRW3: name and text of an export of one relation of a job, or with kind "all" of each of them.
+
+    Rows go in order of row_index; columns that are blank throughout are left out. For people: the text is held by the driver.
+    JSON of all relations is an object that begins with about (job_id and more); CSV of all of them has a section each.
+    """
+    if kind != "all" and kind not in relations:
+        raise ValueError(f"unknown kind: {kind}")
+    name = f"job_{about['job_id']}_{kind}.{form}"
+    chosen = {k: (rows.orderBy("row_index"), headers) for k, (rows, headers) in relations.items() if kind in ("all", k)}
+    if form == "csv":
+        texts = {k: csv_text(rows, export_columns(rows, headers)) for k, (rows, headers) in chosen.items()}
+        return name, sections(texts) if kind == "all" else texts[kind]
+    texts = {k: json.loads(json_text(rows.select(*[c for c in (*FIXED, *headers.values()) if c in rows.columns]))) for k, (rows, headers) in chosen.items()}
+    return name, json.dumps({**about, **texts} if kind == "all" else texts[kind], ensure_ascii=False, indent=2)
+
+
 def sections(parts: dict[str, str]) -> str:
     """SNK4: several CSV texts under their names in one."""
     return "﻿" + "\n".join(f"# {name}\n{text.removeprefix(chr(0xFEFF))}" for name, text in parts.items())
