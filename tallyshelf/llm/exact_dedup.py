@@ -1,9 +1,9 @@
 """Exact deduplication by 128-bit content hash, with bytes compared inside groups.
 
 Texts are equal when identical after lower-casing A-Z. Rows group by the first 128 bits of the
-SHA-256 of that form. Each group also carries the smallest and the largest of its texts: they differ
-exactly if different texts share the hash, and then the group is divided by the texts themselves. All
-of this aggregates before the shuffle, so a text with a third of all rows sends one row a task.
+SHA-256 of that form, and inside a hash's group by the bytes: a hash with more than one text is divided by
+the texts themselves. The groups hold numbers only, so texts are neither sorted nor carried along, and
+rows aggregate before the shuffle: a text with a third of all rows sends one row a task.
 
 Defined cases: a null text is the empty one; empty texts are equal to each other; of equal texts the
 largest doc_id stays, null only if the group has no other; rows that repeat with the same doc_id and
@@ -23,11 +23,16 @@ def normal(text: str = "text") -> Column:
     return ascii_lower(F.coalesce(F.col(text), F.lit("")))
 
 
+def content_key(sha: Column) -> Column:
+    """The first 128 bits of a SHA-256 in hexadecimal digits."""
+    return F.unhex(F.substring(sha, 1, 32))
+
+
 def hashed(docs: DataFrame) -> DataFrame:
     """doc_id, the normalised text, its SHA-256 and the 128-bit key."""
     sha = F.sha2(F.col("norm").cast("binary"), 256)
     out = docs.select("doc_id", normal().alias("norm")).withColumn("text_sha256", sha)
-    return out.withColumn("key", F.unhex(F.substring("text_sha256", 1, 32)))
+    return out.withColumn("key", content_key(F.col("text_sha256")))
 
 
 def groups(docs: DataFrame, pick: str = "max") -> DataFrame:
@@ -35,18 +40,14 @@ def groups(docs: DataFrame, pick: str = "max") -> DataFrame:
     best = F.max("doc_id") if pick == "max" else F.min("doc_id")
     size = F.count(F.lit(1)).alias("group_size")
     rows = hashed(docs)
-    by_key = keep(
-        rows.groupBy("key")
-        .agg(best.alias("keep_id"), size, F.min("norm").alias("least"), F.max("norm").alias("most"))
-        .select("key", "keep_id", "group_size", (F.col("least") != F.col("most")).alias("collides")),
-        "content-groups",
-    )
-    whole = by_key.where(~F.col("collides")).select("key", F.lit(None).cast("string").alias("norm"), "keep_id", "group_size")
-    collided = by_key.where("collides").select("key")
+    by_text = rows.groupBy("key", "norm").agg(best.alias("keep_id"), size)
+    found = keep(by_text.select("key", "keep_id", "group_size"), "content-groups")
+    collided = found.groupBy("key").count().where("count > 1").select("key")
+    whole = found.select("key", F.lit(None).cast("string").alias("norm"), "keep_id", "group_size")
     if collided.isEmpty():
         return whole
     parts = rows.join(collided, "key", "left_semi").groupBy("key", "norm").agg(best.alias("keep_id"), size)
-    return whole.unionByName(parts)
+    return whole.join(collided, "key", "left_anti").unionByName(parts)
 
 
 def membership(docs: DataFrame, pick: str = "max") -> DataFrame:
@@ -72,7 +73,7 @@ def deduplicated(docs: DataFrame, pick: str = "max") -> DataFrame:
     order = F.col("doc_id") if pick == "max" else -F.col("doc_id")
     row = F.struct(*[F.col(f"`{c}`") for c in cols])
     keyed = docs.select(row.alias("row"), order.alias("ord"), normal().alias("norm"))
-    keyed = keyed.withColumn("key", F.unhex(F.substring(F.sha2(F.col("norm").cast("binary"), 256), 1, 32)))
+    keyed = keyed.withColumn("key", content_key(F.sha2(F.col("norm").cast("binary"), 256)))
     best = F.max_by("row", F.struct(F.col("ord").isNotNull(), "ord")).alias("row")
     split = groups(docs, pick).where("norm is not null").select("key")
     if split.isEmpty():

@@ -22,6 +22,17 @@ def test_exact_groups(spark):
     assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
 
 
+def test_texts_that_share_a_hash_stay_apart(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(["a b", "A B", "c", "d", "d", "d", "", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, exact_dedup.membership(docs).collect()))
+    stay = sorted(r.doc_id for r in exact_dedup.deduplicated(docs).collect())
+    for digits in (0, 1):  # every text in one group, and only some
+        monkeypatch.setattr(exact_dedup, "content_key", lambda sha, n=digits: exact_dedup.F.substring(sha, 1, n).cast("binary"))
+        assert sorted(map(tuple, exact_dedup.membership(docs).collect())) == plain
+        assert sorted(r.doc_id for r in exact_dedup.deduplicated(docs).collect()) == stay == [1, 2, 5, 7]
+
+
 def test_exact_survivors_keep_their_columns(spark):
     docs = edges(spark)
     kept = exact_dedup.deduplicated(docs)
