@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshelf.llm import bpe, decontaminate, exact_dedup, html_text, lm_scoring, ngram_join, quality, secret_scan, sharding, token_files
+from tallyshelf.llm import bpe, decontaminate, exact_dedup, hard_negatives, html_text, lm_scoring, ngram_join, quality, secret_scan, sharding, token_files, whitening
 from tallyshelf.llm.common import documents
 from tallyshelf.sources.tables import table
 
@@ -87,3 +87,13 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
