@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshelf.llm import bpe, decontaminate, exact_dedup, hard_negatives, html_text, lm_scoring, ngram_join, quality, secret_scan, sharding, token_files, whitening
+from tallyshelf.llm import bpe, decontaminate, exact_dedup, hard_negatives, html_text, license_scan, lm_scoring, ngram_join, quality, secret_scan, sharding, token_files, whitening
 from tallyshelf.llm.common import documents
 from tallyshelf.sources.tables import table
 
@@ -97,3 +97,8 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
