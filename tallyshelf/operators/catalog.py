@@ -11,6 +11,8 @@ from tallyshelf.sources.shared import written
 KEY = ("platform", "sku_id")
 #: Of these a blank value leaves the old one; all others are replaced even by blanks.
 STICKY = ("ware_id", "title")
+#: Jobs and parts of jobs whose first numbers are broadcast at most.
+MOST_SHIFTS = 100_000
 REPLACED = ("detail_brand", "detail_price_final", "detail_category_path", "current_payload", "last_job", "last_captured_at")
 
 
@@ -109,18 +111,22 @@ def kept_columns(rows: DataFrame, always: tuple[str, ...] = ("id", "row_index"))
 
 
 def numbered(rows: DataFrame, order: list, *by: str) -> DataFrame:
-    """WIN14: row_index, dense from 0 within each job.
+    """WIN14: row_index, dense from 0 within each job (the columns by), or over all rows.
 
-    Within jobs a window numbers rows. Over a whole table, partitions of a range sort are counted first,
-    and each row's number is its place in its partition behind the rows of those before, so no task
-    gets all rows.
+    Rows are sorted by job and order over ranges and written, so that each has a partition and a place in it. What a
+    partition holds of a job is counted, and the counts of the partitions before say where its rows begin: a job with
+    all rows is numbered by all tasks. Rows that are equal in all of these columns stay in one task, so the order should name a row.
     """
-    if by:
-        return rows.withColumn("row_index", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long") - 1)
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    parts = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_id", F.monotonically_increasing_id())
     parts = written(parts, "numbered")  # a range sort may cut anew when it runs again
     split = parts.withColumns({"_part": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = split.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
-    return split.join(F.broadcast(starts), "_part").withColumn("row_index", F.col("_start") + F.col("_place")).drop("_id", "_part", "_place", "_start")
+    runs = split.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = runs.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_by_{c}") for c in by], (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    shifts = written(shifts, "number-shifts")  # a row for each job, and for each partition that a job goes on in
+    if shifts.count() <= MOST_SHIFTS:
+        shifts = F.broadcast(shifts)
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return split.join(shifts, same).withColumn("row_index", F.col("_place") + F.col("_shift")).drop("_id", "_part", "_place", "_p", "_shift", *[f"_by_{c}" for c in by])
