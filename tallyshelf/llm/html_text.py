@@ -1,8 +1,10 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of elements. Elements that never hold article text are cut first: scripts,
-styles, menus, page headers and footers, asides, forms and the like, and elements whose class, id or
-role names an advert, notice, sidebar, menu, share bar or comment section. For every element left the
+styles, buttons and what is hidden, and then, unless they hold the page's text, menus, page headers and
+footers, asides, forms and elements whose class, id or role names an advert, notice, sidebar, menu,
+share bar or comment section. Such an element holds the page's text if all that would be left without
+such elements has less than ``LEAST_REST`` of its unlinked characters. For every element left the
 density is its characters per tag, adjusted by the share of characters and tags in links; the sum of
 its children's densities says how much dense text it holds directly. The element with the largest sum
 is the core of the article. The smallest density between it and the body is the threshold: outside the
@@ -15,6 +17,7 @@ repeated rows give repeated results; very long pages are read whole, in linear t
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
@@ -35,9 +38,10 @@ INLINE = frozenset(
     "small span strike strong sub sup time tt u var wbr img".split()
 )
 CUT = frozenset(
-    "script style noscript template svg math canvas iframe object embed audio video head title meta link nav header footer "
-    "aside form button select option textarea input label fieldset menu dialog noembed noframes".split()
+    "script style noscript template svg math canvas iframe object embed audio video head title meta link "
+    "button select option textarea input label noembed noframes".split()
 )
+ASIDE = frozenset("nav header footer aside form fieldset menu dialog".split())
 #: Start tags that end an open element of the listed names, unless one of the walls stands between.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 WALLS = frozenset("html body article section main div ul ol dl table td th blockquote aside nav header footer form button object".split())
@@ -53,28 +57,32 @@ TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)(?:((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|([^>]*+)(?:>|\Z))""", re.S
 )
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|$)""", re.I)
+#: An element that names or tags would cut stays if it has LEAST_TEXT unlinked characters, and without it less than LEAST_REST of them are left.
+LEAST_TEXT, LEAST_REST = 200, 0.1
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "noise", "chars", "tags", "link_chars", "link_tags", "density", "dense")
+    __slots__ = ("tag", "parent", "parts", "noise", "doubtful", "chars", "tags", "link_chars", "link_tags", "density", "dense")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.parts, self.noise = tag, parent, [], noise
+    def __init__(self, tag: str, parent: Node | None, noise: bool = False, doubtful: bool = False):
+        self.tag, self.parent, self.parts, self.noise, self.doubtful = tag, parent, [], noise, doubtful
 
 
-def is_noise(tag: str, attributes: str) -> bool:
+def noise_of(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is noise, and whether only its name or a tag that can hold a whole page says so."""
+    if tag in CUT:
+        return True, False
+    named = tag in ASIDE
     if tag in ("html", "body", "main") or not attributes:
-        return False
+        return named, named
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
-            return True
-        if name == "role" and value.lower() in NOISE_ROLE:
-            return True
-        if name in ("class", "id") and any(NOISE_NAME.match(x) for x in value.split()):
-            return True
-    return False
+            return True, False
+        if name == "role" and value.lower() in NOISE_ROLE or name in ("class", "id") and any(NOISE_NAME.match(x) for x in value.split()):
+            named = True
+    return named, named
 
 
 class Open:
@@ -140,7 +148,7 @@ def tree(page: str) -> Node:
             attributes = m[3] if m[3] is not None else m[4]
             if tag not in INLINE:
                 live.start(tag)
-            child = Node(tag, live.path[-1], tag in CUT or is_noise(tag, attributes))
+            child = Node(tag, live.path[-1], *noise_of(tag, attributes))
             child.parent.parts.append(child)
             if tag in RAW:
                 end = re.compile(f"</{tag}", re.I).search(page, at)
@@ -156,6 +164,40 @@ def elements(node: Node) -> list[Node]:
     return [x for x in node.parts if type(x) is Node]
 
 
+def spare(root: Node) -> None:
+    """Elements that are noise by name or tag but hold the page's text are noise no more; each element is looked at once."""
+    order, todo = [], [(root, root, False)]
+    within: dict[int, list[Node]] = {id(root): []}  # of the root and each doubtful element: the doubtful ones right below it
+    unlinked, rest = {id(root): 0}, {id(root): 0}  # their characters outside links; without those of doubtful elements below
+    while todo:
+        node, region, linked = todo.pop()
+        if node.noise and node.doubtful:
+            within[id(region)].append(node)
+            within[id(node)], unlinked[id(node)], rest[id(node)] = [], 0, 0
+            order.append((node, region))
+            region = node
+        linked = linked or node.tag == "a"
+        if not linked:
+            rest[id(region)] += sum(len(x) - x.count(" ") for x in node.parts if type(x) is str)
+        todo += [(x, region, linked) for x in elements(node) if not x.noise or x.doubtful]
+    for node, region in reversed(order):
+        unlinked[id(node)] += rest[id(node)]
+        unlinked[id(region)] += unlinked[id(node)]
+    left = rest[id(root)]
+    heap = [(-unlinked[id(x)], i, x) for i, x in enumerate(within[id(root)])]
+    heapq.heapify(heap)
+    count = len(heap)
+    while heap:
+        size, _, node = heapq.heappop(heap)
+        if -size < LEAST_TEXT or left >= LEAST_REST * -size:
+            break
+        node.noise = False
+        left += rest[id(node)]
+        for x in within[id(node)]:
+            count += 1
+            heapq.heappush(heap, (-unlinked[id(x)], count, x))
+
+
 def measure(root: Node) -> list[Node]:
     """Counts and densities of every element that is not noise; returns them, parents first."""
     order, todo = [], [root]
@@ -197,6 +239,7 @@ def main_nodes(root: Node) -> tuple[Node, set[int], float]:
 def text_of(page: str) -> str:
     """The main text: white space within a block is one space, and one space joins the blocks."""
     root = tree(page)
+    spare(root)
     start, path, least = main_nodes(root)
     pieces: list[str] = []
     todo: list[Node | str] = [start]
