@@ -1,6 +1,7 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs without ASCII white space, A-Z lower-cased, without punctuation at their ends. Every
+Words are runs without ASCII white space, A-Z lower-cased, without punctuation at their ends; runs that are all
+punctuation are no words, in items and in texts, though first_word and end_word count them as places. Every
 ``N``-gram of a benchmark item is a seed, however many documents hold it. A document that holds a seed may
 be aligned with the seed's item around the place where they meet, by local alignment of words. The score is
 the alignment's score divided by that of the whole item aligned with itself, so insertions, deletions and
@@ -42,13 +43,14 @@ REMEMBERED, LONGEST = 400_000, 64
 
 
 class Words(dict):
-    """The benchmark's number of a word as it stands in a text, 0 if it has none; remembered."""
+    """The benchmark's number of a word as it stands in a text, 0 if it has none and -1 if it is all punctuation; remembered."""
 
     def __init__(self, numbers: dict[bytes, int]):
         self.numbers = numbers
 
     def __missing__(self, word: bytes) -> int:
-        number = self.numbers.get(word.strip(MARKS), 0)
+        bare = word.strip(MARKS)
+        number = self.numbers.get(bare, 0) if bare else -1
         if len(word) <= LONGEST:
             if len(self) > REMEMBERED:
                 self.clear()
@@ -107,6 +109,8 @@ class Items:
 
     def matches(self, numbers: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, word after the last) for each item of the block that a document holds."""
+        held = np.flatnonzero(numbers >= 0)
+        numbers = numbers[held]
         at, gram = self.found(numbers)
         if not len(at):
             return []
@@ -129,7 +133,7 @@ class Items:
             if score >= LEAST_SCORE * MATCH * len(item) and score > best.get(owner[s], (0,))[0]:
                 back = align(item[::-1], window[:end][::-1])[1]
                 best[owner[s]] = score, low + end - back, low + end
-        return [(self.ids[k], score / (MATCH * len(self.words[k])), a, b) for k, (score, a, b) in sorted(best.items())]
+        return [(self.ids[k], score / (MATCH * len(self.words[k])), int(held[a]), int(held[b - 1]) + 1) for k, (score, a, b) in sorted(best.items())]
 
 
 def bound(kinds: np.ndarray, times: np.ndarray, window: np.ndarray) -> float:
