@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshelf.llm.common import arrow_pass, text_pass, utf8
+from tallyshelf.llm.common import arrow_pass, keep, text_pass, utf8
 
 CLASSES, BINS, WORDS, RANK, SAMPLE, NEIGHBOURS, BLOCK, THRESHOLD = 32, 32, 2048, 40, 4096, 24, 256, 0.3
 FORMS = CLASSES * CLASSES + BINS
@@ -147,10 +147,11 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[np.ndarray, list[int]]:
     """Terms and labels of at most size texts, half of the places for each label, in an order that only depends on ids and texts.
 
-    Of each label, the ids with the smallest hashes are drawn, and of their rows one for each text, so ids and texts
-    are bounded by size before they are looked at; texts become terms on the executors.
+    Of each label, the ids with the smallest hashes among those that docs has are drawn, and of their rows one for each
+    text, so ids and texts are bounded by size before they are looked at; texts become terms on the executors.
     """
-    named = labels.where("quality in (0, 1)").where(~held_out()).select("doc_id", "quality").distinct()
+    known = labels.where("quality in (0, 1)").where(~held_out()).select("doc_id", "quality").distinct()
+    named = keep(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "teachable")
     order = (F.xxhash64("doc_id"), "doc_id")
     sample = None
     for label in (0, 1):

@@ -91,6 +91,15 @@ def test_a_repeated_row_takes_one_place_of_the_sample(spark):
     assert len(found) == sum(not fold(i, 5) for i in dict(rows)) + (not fold(3, 5))
 
 
+def test_labels_of_other_documents_take_no_place_of_the_sample(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(0, 4000, 41)] + [(None, "no id"), (9999, "no label")], "doc_id long, text string")
+    teachable = sum(not fold(i, 5) for i in range(0, 4000, 41))
+    for size in (40, 2 * teachable):
+        _, found = quality.labelled_sample(docs, labels, size=size)
+        assert len(found) == min(size, teachable)
+
+
 def test_quality_scores_equal_brute_force(spark, sf):
     """The whole query anew: sample, terms, axes by a full decomposition, votes."""
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
