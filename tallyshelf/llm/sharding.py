@@ -1,8 +1,9 @@
 """Sharding by fixed virtual slots under the ``bytes`` law.
 
 Records hash into a fixed number of virtual slots by doc_id and text. Equal records, such as rows without a doc_id that
-repeat a text, meet in one; a slot that ``HOT`` times the mean of bytes or rows meet in is divided into parts, and
-what is said of slots below holds for parts of such a slot too. Bytes and rows are added up per slot, and a
+repeat a text, meet in one; where a slot has ``HOT`` times the mean of bytes or rows, its equal records are counted off
+into parts of it, and what is said of slots below holds for parts too. All other records stay in their slot, so
+where a record lies does not depend on how the table is cut into tasks. Bytes and rows are added up per slot, and a
 versioned map says which shard holds each slot. A map is made by handing the largest slots out
 first, each to the shard with the fewest bytes; rebalancing edits a map by moving single slots, so
 that most slots, and with them their records, stay where they are. Whatever the number of records,
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyshelf.llm.common import keep, scratch_folder
+from tallyshelf.operators.catalog import numbered
 
 N_SLOTS = 4096
 #: A slot is divided if it holds so many times the mean, and the places that the parts of a slot have in its number.
@@ -32,12 +34,13 @@ MAP_SCHEMA = "version int, vslot int, shard int, bytes long, records long"
 
 
 def records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual slot and a number of its own for every record."""
+    """doc_id, size, text_crc32, hash, virtual slot and a number of its own for every record."""
     raw = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         "doc_id",
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw.cast("binary")).alias("text_crc32"),
+        F.xxhash64("doc_id", raw).alias("hash"),
         F.pmod(F.xxhash64("doc_id", raw), F.lit(n_slots)).cast("int").alias("vslot"),
         F.monotonically_increasing_id().alias("record"),
     )
@@ -50,24 +53,29 @@ def slot_totals(recs: DataFrame) -> dict[int, tuple[int, int]]:
 
 
 def hot_parts(totals: dict[int, tuple[int, int]], n_slots: int) -> dict[int, int]:
-    """The slots to divide, and into how many parts: one for each mean of bytes or rows that they hold."""
+    """The slots of several records to divide, and into how many parts: one for each mean of bytes or rows that they hold."""
     out = {}
     for k in (0, 1):
         mean = sum(x[k] for x in totals.values()) / n_slots
         for v, x in totals.items():
-            if x[k] > HOT * max(mean, 1):
+            if x[1] > 1 and x[k] > HOT * max(mean, 1):
                 out[v] = min(max(out.get(v, 0), math.ceil(x[k] / max(mean, 1))), 1 << PART_BITS)
     return out
 
 
 def divided(recs: DataFrame, hot: dict[int, int]) -> DataFrame:
-    """Records of hot slots go to the parts of their slot, by their own numbers."""
+    """Equal records of hot slots go to the slot's parts in turn, the first of them to the slot itself; which of them comes first makes no difference."""
     if not hot:
         return recs
-    parts = recs.sparkSession.createDataFrame(list(hot.items()), "vslot int, parts int")
-    part = ((F.col("vslot") + 1) * F.lit(1 << PART_BITS) + F.pmod(F.xxhash64("record"), F.col("parts"))).cast("int")
-    joined = recs.join(F.broadcast(parts), "vslot", "left")  # a row for each hot slot, n_slots at most
-    return joined.withColumn("vslot", F.when(F.col("parts").isNull(), F.col("vslot")).otherwise(part)).drop("parts")
+    parts = F.broadcast(recs.sparkSession.createDataFrame(list(hot.items()), "vslot int, parts int"))  # n_slots rows at most
+    in_hot = recs.join(parts, "vslot")
+    equal = keep(in_hot.groupBy("vslot", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "equal-records")
+    if equal.isEmpty():
+        return recs
+    counted = numbered(in_hot.join(equal, ["vslot", "hash"], "left_semi"), ["record"], "vslot", "hash")
+    turn = F.col("row_index") % F.col("parts")
+    part = F.when(turn == 0, F.col("vslot")).otherwise((F.col("vslot") + 1) * F.lit(1 << PART_BITS) + turn).cast("int")
+    return recs.join(equal, ["vslot", "hash"], "left_anti").unionByName(counted.withColumn("vslot", part).select(recs.columns))
 
 
 def first_map(totals: dict[int, tuple[int, int]], n_shards: int, n_slots: int = N_SLOTS) -> dict[int, int]:
@@ -100,13 +108,18 @@ def rebalanced(old: dict[int, int], totals: dict[int, tuple[int, int]], n_shards
         to = min(load, key=lambda s: (load[s], s))
         out[slot], load[to] = to, load[to] + size(slot)
         held[to].append(slot)
-    for shard in sorted(load, key=lambda s: (-load[s], s)):
-        for slot in sorted(held[shard], key=lambda v: (-size(v), v)):
-            to = min(load, key=lambda s: (load[s], s))
-            if load[shard] <= mean * (1 + slack):
-                break
-            if size(slot) and load[to] + size(slot) < load[shard]:
-                out[slot], load[to], load[shard] = to, load[to] + size(slot), load[shard] - size(slot)
+    moved = True
+    while moved:  # every move evens the shards out, so there is an end, and then nothing is left to move for the same bytes
+        moved = False
+        for shard in sorted(load, key=lambda s: (-load[s], s)):
+            for slot in sorted(held[shard], key=lambda v: (-size(v), v)):
+                to = min(load, key=lambda s: (load[s], s))
+                if load[shard] <= mean * (1 + slack):
+                    break
+                if size(slot) and load[to] + size(slot) < load[shard]:
+                    out[slot], load[to], load[shard], moved = to, load[to] + size(slot), load[shard] - size(slot), True
+                    held[shard].remove(slot)
+                    held[to].append(slot)
     return out
 
 
@@ -144,12 +157,12 @@ def placed(recs: DataFrame, slots: dict[int, int], totals: dict[int, tuple[int,
         rows.append((v, s, start.get(s, 0)))
         start[s] = start.get(s, 0) + totals.get(v, (0, 0))[1]
     where = recs.sparkSession.createDataFrame(rows, "vslot int, shard int, first long")
-    rank = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32", "record"))
+    rank = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32", "hash"))
     return (
         recs.withColumn("_rank", rank)
         .join(F.broadcast(where), "vslot")  # a row for each virtual slot, whatever the input
         .withColumn("slot", F.col("first") + F.col("_rank") - 1)
-        .drop("_rank", "first", "record")
+        .drop("_rank", "first", "record", "hash")
     )
 
 

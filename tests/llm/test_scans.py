@@ -6,6 +6,7 @@ import re
 import string
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -162,6 +163,19 @@ def test_sharding_of_equal_records(spark, tmp_path):
         assert max(slots.values()) < 5 * len(rows) / 256
 
 
+def test_sharding_again_moves_nothing(spark, tmp_path):
+    """The same rows cut into other tasks, with a long text and repeated records, on a stored map: every record stays where it was."""
+    rows = [(i, f"text {i} " * (1 + i % 7)) for i in range(1000)] + [(5, "long " * 20_000)] + [(None, "no id")] * 400 + [(7, "again")] * 300
+    docs, path, found = spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "map"), []
+    for parts in (1, 9, 3):
+        got = sharding.shard(docs.repartition(parts), 16, n_slots=512, map_path=path).collect()
+        found.append(Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.vslot) for r in got))
+    assert found[0] == found[1] == found[2]
+    more = docs.unionByName(spark.createDataFrame([(2000 + i, f"new {i}") for i in range(50)], "doc_id long, text string"))
+    got = Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.vslot) for r in sharding.shard(more.repartition(5), 16, n_slots=512, map_path=path).collect())
+    assert sum((found[0] - got).values()) < 0.1 * len(rows)
+
+
 def random_tree(rng, depth=0):
     """(tag, children), with texts as leaves."""
     tag = rng.choice(["div", "p", "a", "section", "span", "ul"]) if depth else "body"
@@ -226,9 +240,21 @@ def test_html_pages_of_other_shapes():
     assert html_text.text_of(beside) == f"{want} {(long * 6).strip()}"  # dense enough to stay beside the core; the links are not
 
 
+def test_html_names_do_not_cut_the_article():
+    """Whole articles in elements whose names or tags stand for something else stay; beside an article such elements go."""
+    long = "A sentence of the story that goes on for quite a while, with many words and hardly a link in it. "
+    paragraphs, want = "".join(f"<p>{long * 2}{i}</p>" for i in range(5)), " ".join(f"{long * 2}{i}" for i in range(5))
+    imprint = "<div class=footer>Imprint <a href=/>home</a></div>"
+    for start, end in (("<div class='social-science'>", "</div>"), ("<article class=notice-board>", "</article>"), ("<section id=discussion>", "</section>"), ("<form><div class='widget'>", "</div></form>")):
+        assert html_text.text_of(f"<body>{start}{paragraphs}{end}{imprint}</body>") == want
+        assert html_text.text_of(f"<body><article>{paragraphs}</article>{start}{long * 9}{end}{imprint}</body>") == want
+        assert html_text.text_of(f"<body>{start}<div class=comments>{long * 2}</div>{paragraphs}{end}</body>") == want
+    assert html_text.text_of(f"<body><div hidden>{paragraphs}</div></body>") == ""
+
+
 def test_html_time_grows_with_the_page():
     n = 60_000
-    for page in ("<div>" * n + "x" + "</p>" * n, "<span>" * n + "<p>x" * n, "<b><div>" + "<i>" * n + "</b>" * n, "<td>" * n + "<tr>" * n, "<a " * n, "<" * n):
+    for page in ("<div>" * n + "x" + "</p>" * n, "<span>" * n + "<p>x" * n, "<b><div>" + "<i>" * n + "</b>" * n, "<td>" * n + "<tr>" * n, "<div class=ads>" * n + "x" * 300, "<form>" * n + "<p>yy" * n, "<a " * n, "<" * n):
         began = time.perf_counter()
         html_text.text_of(page)
         assert time.perf_counter() - began < 15
@@ -281,6 +307,18 @@ def test_alignment_and_planted_items(spark):
     assert decontaminate.contaminated(none(spark), bench).count() == 0
 
 
+def test_items_with_marks_between_words(spark):
+    """Runs of marks are no words, in items and texts alike: verbatim copies score 1, with places that count all runs."""
+    items = [(1, "alpha - beta - gamma - delta - epsilon - zeta"), (2, "Q: what is 2 + 2 ? & why / A : four * not five !"), (3, "--- ... ***"), (4, "| one | two | three | four |")]
+    docs = [(10 + i, f"some words - before {t} and ; behind") for i, t in items] + [(20, "alpha beta gamma delta epsilon zeta"), (21, "- - -"), (22, "--- ... ***")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(df, bench).collect()}
+    assert set(found) == {(11, 1), (12, 2), (14, 4), (20, 1)} and all(r.score == 1 for r in found.values())
+    texts = {d: t.split() for d, t in docs}
+    assert texts[11][found[11, 1].first_word : found[11, 1].end_word] == items[0][1].split()
+    assert {r.doc_id for r in decontaminate.clean(df, bench).collect()} == {13, 21, 22}
+
+
 def test_copies_whose_other_ngrams_no_document_or_many_hold(spark):
     own = {i: [f"i{i}w{k}" for k in range(40)] for i in range(4)}
     changed = [f"x{k}" if k % 4 == 3 else w for k, w in enumerate(own[0])]
