@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.functions.category import group_key
 from tallyshelf.operators import lexicon, merge
-from tallyshelf.operators.chunks import chunked
+from tallyshelf.operators.chunks import chunked, spread
 from tallyshelf.plans.inputs import LISTING, PATH, at, listing, products, texts
 from tallyshelf.plans.registry import register
 from tallyshelf.sources.tables import table
@@ -208,7 +208,39 @@ def merge_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("sku_id", "shop_name", "page", "detail_brand", "comment_count", "comment_preview")
 
 
-@register()
+@register("""
+WITH RECURSIVE s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, length(trim(text, E' \\t\\n\\r')) + 1 AS n FROM conversations WHERE trim(text, E' \\t\\n\\r') <> ''),
+  r AS (SELECT conv_id, i, 0 AS chunk, n AS characters FROM s WHERE i = 1
+    UNION ALL SELECT s.conv_id, s.i, chunk + CASE WHEN characters + n > 2000 THEN 1 ELSE 0 END, CASE WHEN characters + n > 2000 THEN n ELSE characters + n END
+    FROM r JOIN s ON s.conv_id = r.conv_id AND s.i = r.i + 1)
+SELECT conv_id, CAST(chunk AS BIGINT) AS chunk, count(*) AS texts, CAST(max(characters) AS BIGINT) AS characters FROM r GROUP BY conv_id, chunk
+""")
 def comment_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN10: conversations in chunks of 2,000 characters."""
     return chunked(table(spark, sf_dir, "conversations"), "text", "conv_id", "turn", 2000)
+
+
+#: One chunk after the other: each starts where the running total first exceeds what stood before the last one's start by 400.
+STATUS_CHUNKS = """RECURSIVE s AS (SELECT o_orderstatus AS status, row_number() OVER w AS i, length(o_orderpriority) + 1 AS n, sum(length(o_orderpriority) + 1) OVER w AS p
+    FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)),
+  nx AS (SELECT a.status, a.i, a.p - a.n AS before, b.i AS following, b.p - b.n AS upto FROM s AS a ASOF LEFT JOIN s AS b ON a.status = b.status AND a.p - a.n + 400 < b.p),
+  ends AS (SELECT status, max(i) AS last, max(p) AS total FROM s GROUP BY status),
+  r AS (SELECT status, 0 AS chunk, i, before, following, upto FROM nx WHERE i = 1
+    UNION ALL SELECT nx.status, chunk + 1, nx.i, nx.before, nx.following, nx.upto FROM r JOIN nx ON nx.status = r.status AND nx.i = r.following),
+  chunks AS (SELECT status, CAST(chunk AS BIGINT) AS chunk, CAST(coalesce(following, last + 1) - i AS BIGINT) AS texts, CAST(coalesce(upto, total) - before AS BIGINT) AS characters FROM r JOIN ends USING (status))"""
+
+
+def status_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunked(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", "o_orderkey", 400, 400).withColumnRenamed("o_orderstatus", "status")
+
+
+@register(f"WITH {STATUS_CHUNKS} SELECT * FROM chunks")
+def chunks_of_large_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN10: the priorities of orders in chunks of 400 characters, three groups of many runs each."""
+    return status_chunks(spark, sf_dir)
+
+
+@register(f"WITH {STATUS_CHUNKS}, c AS (SELECT *, count(*) OVER (PARTITION BY status) AS m FROM chunks) SELECT status, chunk, texts, characters FROM c WHERE m <= 12 OR chunk IN (SELECT (i * c.m) // 12 FROM range(12) AS x(i))")
+def chunks_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN9: of each status twelve chunks at even distances."""
+    return spread(status_chunks(spark, sf_dir), "status")
