@@ -11,7 +11,7 @@ from tallyshelf.operators import catalog
 from tallyshelf.sources.landed import exists, read_table
 from tallyshelf.sources.schema import RELATIONS
 from tallyshelf.sources.sinks import replace_job
-from tallyshelf.streaming.upsert import current, versions
+from tallyshelf.streaming.upsert import KEPT, current, forget, versions
 
 
 def relation_rows(spark: SparkSession, path: str, relation: str, job: str) -> DataFrame:
@@ -28,13 +28,13 @@ def ingest_run(spark: SparkSession, files: dict[str, str], store: str, job: str,
     """
     found = {r: relation_rows(spark, files[r], r, job) for r in ("search", "detail", "comments")}
     for relation, rows in found.items():
-        replace_job(rows, f"{store}/{relation}")
+        replace_job(rows, f"{store}/{relation}", jobs=[job])
     out: dict[str, Any] = {"dataset": {f"{r}_rows": rows.count() for r, rows in found.items()}}
     if not exists(spark, files["merged"]):
         out["merged"] = {"error": f"no merged table: {files['merged']}", "rows_ingested": 0, "snapshots_upserted": 0}
         return out
     merged = relation_rows(spark, files["merged"], "merged", job)
-    replace_job(merged, f"{store}/merged")
+    replace_job(merged, f"{store}/merged", jobs=[job])
     cells = [c for c in merged.columns if c not in ("row_index", "job_id")]
     rows = merged.withColumns({
         "platform": F.lit(platform),
@@ -46,8 +46,9 @@ def ingest_run(spark: SparkSession, files: dict[str, str], store: str, job: str,
     stats = catalog.ingest_stats(rows, before).first().asDict()
     new = catalog.upserted(before, rows, F.col("row_index")).drop("created")
     new.write.mode("overwrite").parquet(f"{store}/products/version={done[-1] + 1 if done else 0}")
+    forget(spark, f"{store}/products", done[:-KEPT])
     snaps = rows.withColumns({"captured_at": F.col("last_captured_at"), "payload": F.col("current_payload")})
-    replace_job(catalog.snapshots(snaps, F.col("row_index"), "job_id"), f"{store}/snapshots")
+    replace_job(catalog.snapshots(snaps, F.col("row_index"), "job_id"), f"{store}/snapshots", jobs=[job])
     out["merged"] = stats
     return out
 

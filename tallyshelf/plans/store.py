@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ from tallyshelf.plans.payloads import detail_bodies
 from tallyshelf.plans.registry import register
 from tallyshelf.sources import landed, sinks
 from tallyshelf.sources.shared import scratch
+from tallyshelf.sources.schema import RELATIONS
 from tallyshelf.sources.tables import table
+from tallyshelf.streaming.upsert import current
 
 PARTS = {"货号": "p_partkey", "名称": "p_name", "品牌": "p_brand", "空": "blank"}
 ORDERS = {"单号": "o_orderkey", "状态": "o_orderstatus", "空": "blank"}
@@ -189,3 +193,32 @@ def lines_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.append_lines(rows, path)
     sinks.append_lines(rows, path)
     return spark.read.schema(rows.schema).json(path)
+
+
+@register("""
+WITH p AS (SELECT count(*) AS n FROM part), c AS (SELECT count(*) AS n FROM customer), two AS (SELECT unnest(['007', '7']) AS job)
+SELECT 'search' AS relation, job, n AS n_rows, n - 1 AS last_index FROM p, two UNION ALL SELECT 'detail', job, n, n - 1 FROM p, two UNION ALL SELECT 'comments', '007', n, n - 1 FROM c
+UNION ALL SELECT 'merged', job, n, n - 1 FROM p, two UNION ALL SELECT 'snapshots', job, n, NULL FROM p, two UNION ALL SELECT 'products', '7', n, NULL FROM p
+""")
+def runs_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CAT3, SNK6, SRC11, WIN14: runs 7 and 007 with all parts as products and all customers as comments, then run 7 again without comments."""
+    folder, store = scratch(spark, "landed-run"), scratch(spark, "store")
+    parts, texts = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
+    own = {
+        "search": {"sku_id": "p_partkey", "title": "p_name"},
+        "detail": {"sku_id": "p_partkey", "detail_brand": "p_brand"},
+        "merged": {"sku_id": "p_partkey", "title": "p_name", "detail_brand": "p_brand"},
+        "comments": {"sku_id": "c_custkey", "tag_comment_content": "c_name"},
+    }
+    files = {r: f"{folder}/{r}" for r in own} | {"none": f"{folder}/none"}
+    for relation, cells in own.items():
+        headers = {internal: header for header, internal in RELATIONS[relation].items()}
+        rows = texts if relation == "comments" else parts
+        rows.select(*[F.col(c).alias(headers[k]) for k, c in cells.items()]).write.options(header=True, quote='"', escape='"').csv(files[relation])
+    for job, comments in (("7", "comments"), ("007", "comments"), ("7", "none")):
+        ingest.ingest_run(spark, files | {"comments": files[comments]}, store, job, "jd", "t")
+    counted = lambda rows, name, job, last: rows.groupBy(job.alias("job")).agg(F.count(F.lit(1)).alias("n_rows"), last.alias("last_index")).select(F.lit(name).alias("relation"), "job", "n_rows", "last_index")
+    nothing = F.max(F.lit(None).cast("long"))
+    found = [counted(sinks.stored(spark, f"{store}/{r}"), r, F.col("job_id"), F.max("row_index")) for r in ("search", "detail", "comments", "merged")]
+    found += [counted(sinks.stored(spark, f"{store}/snapshots"), "snapshots", F.col("job_id"), nothing), counted(current(spark, f"{store}/products"), "products", F.col("last_job"), nothing)]
+    return reduce(DataFrame.unionByName, found)

@@ -10,14 +10,37 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyshelf.operators.browse import FIXED, export_columns
 from tallyshelf.operators.catalog import kept_columns
 
 
-def replace_job(rows: DataFrame, path: str, job: str = "job_id") -> None:
-    """SNK6: writes the partitions of the jobs that rows has, and leaves those of other jobs alone; running it again changes nothing."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(job).parquet(path)
+#: Behind a relation's path: where its schema is.
+SCHEMA_OF = ".schema"
+
+
+def replace_job(rows: DataFrame, path: str, job: str = "job_id", jobs: list[str] | None = None) -> None:
+    """SNK6: the partitions of the named jobs become those that rows has, and others stay; running it again changes nothing.
+
+    A named job without rows loses its partition; without names, the jobs that rows has are those. The schema is kept beside the
+    folder, so a job, or all of them, may be empty, and ids stay the texts they are.
+    """
+    spark, out = rows.sparkSession, rows.withColumn(job, F.col(job).cast("string"))
+    spark.createDataFrame([(out.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}{SCHEMA_OF}")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(job).parquet(path)
+    if jobs:
+        held = {r[0] for r in out.where(F.col(job).isin(jobs)).select(job).distinct().collect()}
+        for name in sorted(set(jobs) - held):
+            part = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(job, name)
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """SRC11: all rows of a relation that replace_job keeps; with the types it had, ids as texts."""
+    listed = spark.read.text(f"{path}{SCHEMA_OF}").collect()
+    return spark.read.schema(StructType.fromJson(json.loads(listed[0].value))).parquet(path)
 
 
 def append_lines(rows: DataFrame, path: str) -> None:
@@ -27,7 +50,7 @@ def append_lines(rows: DataFrame, path: str) -> None:
 
 def rows_of_job(spark: SparkSession, path: str, job: str, column: str = "job_id") -> DataFrame:
     """SRC11: the rows of one job; partitions of others are not read."""
-    return spark.read.parquet(path).where(F.col(column) == job)
+    return stored(spark, path).where(F.col(column) == job)
 
 
 def run_metadata(flags: dict[str, Any], relations: dict[str, DataFrame]) -> str:

@@ -29,6 +29,13 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CATALOGUE).parquet(f"{path}/version={done[-1]}") if done else spark.createDataFrame([], CATALOGUE)
 
 
+def forget(spark: SparkSession, path: str, old: list[int]) -> None:
+    """Removes versions under path."""
+    for number in old:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={number}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def catalogue_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Applies each micro-batch of rows to the catalogue and writes the result as the version named after the batch.
 
@@ -54,8 +61,7 @@ def catalogue_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQu
         before = spark.read.schema(CATALOGUE).parquet(f"{path}/version={earlier[-1]}") if earlier else spark.createDataFrame([], CATALOGUE)
         new = upserted(before, batch, F.struct("last_captured_at", "row_index")).drop("created")
         new.write.mode("overwrite").parquet(f"{path}/version={number}")
-        for old in earlier[:-KEPT]:
-            files.delete(at(f"version={old}"), True)
+        forget(spark, path, earlier[:-KEPT])
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

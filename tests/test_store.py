@@ -37,7 +37,7 @@ def test_run_is_ingested_in_two_phases(spark, run, tmp_path):
         assert got == {"rows_in_csv": 3, "rows_ingested": 2, "snapshots_upserted": 2, "products_created": created}
     products = upsert.current(spark, f"{store}/products")
     assert [(r.sku_id, r.title, r.last_job, json.loads(r.current_payload)["title"]) for r in products.collect()] == [("12", "b", "1", "")]
-    snaps = spark.read.parquet(f"{store}/snapshots").withColumnRenamed("job_id", "job")
+    snaps = sinks.stored(spark, f"{store}/snapshots").withColumnRenamed("job_id", "job")
     assert snaps.count() == 1
     assert browse.product(products, snaps, "jd", "12").first().n_snapshots == 1
     assert [r.captured_at for r in browse.history(snaps, "jd", "12").collect()] == ["t2"]
@@ -48,6 +48,19 @@ def test_run_is_ingested_in_two_phases(spark, run, tmp_path):
     assert browse.product_list(products, snaps, "", "k")["total"] == 0  # the last row's payload has no keyword
 
 
+def test_a_run_without_rows_leaves_none_behind(spark, run, tmp_path):
+    store = str(tmp_path / "store")
+    two = sheet(tmp_path / "c2.csv", schema.COMMENTS, {"sku_id": "12", "comment_id": "1"}, {"sku_id": "12", "comment_id": "2"})
+    for job, comments, want in (("7", two, 2), ("007", two, 2), ("a b=/c", two, 2), ("7", run["comments"], 0), ("a b=/c", run["comments"], 0)):
+        got = ingest.ingest_run(spark, run | {"comments": comments}, store, job, "jd", "t")
+        assert got["dataset"]["comments_rows"] == want == sinks.rows_of_job(spark, f"{store}/comments", job).count()
+    rows = sinks.rows_of_job(spark, f"{store}/comments", "007")
+    assert [(r.job_id, r.row_index) for r in rows.orderBy("row_index").collect()] == [("007", 0), ("007", 1)]
+    ingest.ingest_run(spark, run, store, "007", "jd", "t")
+    assert sinks.stored(spark, f"{store}/comments").count() == 0 and set(sinks.stored(spark, f"{store}/comments").columns) == {*schema.COMMENTS.values(), "job_id", "row_index"}
+    assert len(upsert.versions(spark, f"{store}/products")) == 1 + upsert.KEPT
+
+
 def test_pages_and_exports(spark):
     rows = spark.createDataFrame([(i, i, f"s{i % 2}", "t" if i == 3 else " ", []) for i in range(5)], "id long, row_index long, sku_id string, title string, pics array<string>")
     headers = {"SKU": "sku_id", "Name": "title", "Pictures": "pics", "Absent": "absent"}
