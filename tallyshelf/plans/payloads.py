@@ -35,7 +35,8 @@ def search_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     wares = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", ware.alias("w")))), lambda x: x["w"]), ",")
     body = F.concat(F.lit('cb({"data":{"resultCount":9,"deep":[{"wareList":['), wares, F.lit("]}]}});"))
-    return table(spark, sf_dir, "part").groupBy(page.alias("file")).agg(body.alias("body"))
+    found = table(spark, sf_dir, "part").groupBy(page.alias("file")).agg(body.alias("body"))
+    return found.repartition(spark.sparkContext.defaultParallelism, "file")  # few bytes with much work in them: as many tasks as files on disk would have
 
 
 @register(f"""
@@ -126,3 +127,85 @@ def marked_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedded_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSN23, JSN25: products in scripts."""
     return marked_pages(spark, sf_dir).select("page_id", F.explode(payloads.embedded_products("html")).alias("p")).select("page_id", "p.*")
+
+
+@register("""
+SELECT p_partkey, p_name || '/T ' || p_size || '/a ' || p_name || '/m1/' || p_type || '/N' || p_brand || '/mid ' || p_brand || '/L ' || p_size || '/p1 ' || p_brand AS texts FROM part
+""")
+def tag_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSN8, JSN9, JSN29: the texts of tags and of lists of texts, without selling points that are repeated as titles."""
+    name, brand, kind, size = F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string")
+    titled = lambda t: F.struct(t.alias("title"))
+    own = F.to_json(
+        F.struct(
+            F.lit("100001").alias("skuId"),
+            F.array(kind).alias("sellingPoint"),
+            F.array(F.struct(F.array(kind, brand).alias("title"), F.lit(None).cast("string").alias("text")), F.struct(F.lit(None).cast("array<string>").alias("title"), kind.alias("text"))).alias("benefitList"),
+            F.struct(F.array(F.concat(F.lit("a "), name)).alias("desc"), F.lit("m1").alias("msg"), F.lit("behind the first").alias("content")).alias("iconList2"),
+            titled(F.array(kind, F.concat(F.lit("N"), brand))).alias("newRegionFloor"),
+            F.array(F.struct(F.lit(" ").alias("text"), F.concat(F.lit("mid  "), brand).alias("msg"))).alias("midTagList"),
+            F.struct(F.array(F.struct(F.array(kind, F.lit("7"), F.concat(F.lit("L "), size), F.upper(name)).alias("Labels"))).alias("a")).alias("deep"),
+            F.array(F.concat(F.lit("p1 "), brand), F.lit(" ")).alias("points"),
+        )
+    )
+    tags = F.concat(F.lit('"tagList":["x","'), name, F.lit('",{"name":" ","title":"T '), size, F.lit('"},5,null]'))
+    body = F.concat(F.lit("{"), tags, F.lit(","), F.substring(own, 2, 1 << 20))
+    rows = table(spark, sf_dir, "part").select("p_partkey", body.alias("body"))
+    return payloads.with_objects(rows, "body", payloads.SKU, payloads.NESTS).select("p_partkey", F.array_join("texts", "/").alias("texts"))
+
+
+def requests(spark: SparkSession, sf_dir: str, body) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 3).alias("page"), (F.col("p_partkey") % 10).alias("cursor"), body.alias("body"))
+
+
+@register("SELECT p_partkey, p_partkey % 3 AS page, p_partkey % 10 AS cursor, CASE WHEN p_size % 4 > 0 THEN p_partkey % 10 + p_size END AS next_cursor FROM part")
+def next_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSN14: the next page's cursor, wherever a payload has it."""
+    page, s = F.col("p_partkey") % 3 + 1, F.col("p_partkey") % 10
+    at = lambda name, p, x: F.struct(p.alias(name), x.alias("s"))
+    later = F.when(F.col("p_size") % 4 > 0, s + F.col("p_size")).otherwise(s)
+    body = F.to_json(
+        F.struct(
+            F.struct(at("page", page, later + 5).alias("b"), at("pageNo", page.cast("string"), F.concat(F.lit(" "), later.cast("string"))).alias("a"), at("pageIndex", page, F.lit("none")).alias("c")).alias("data"),
+            F.array(F.array(at("page", page + 1, s + 1)), F.array(at("page", page, s - 1))).alias("lists"),
+        )
+    )
+    moved = F.when(F.col("p_size") % 4 > 0, body).otherwise(F.regexp_replace(body, '"page":', '"pages":'))
+    return payloads.next_cursors(requests(spark, sf_dir, F.concat(F.lit("cb("), moved, F.lit(")"))), "page", "cursor")
+
+
+@register("""
+SELECT p_partkey, CAST(CASE WHEN p_partkey % 4 = 3 THEN NULL WHEN p_partkey % 4 = 0 THEN p_size WHEN p_partkey % 4 = 1 THEN greatest(1, p_size % 5) ELSE greatest(1, p_size % 7) END AS BIGINT) AS step FROM part
+""")
+def cursor_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG30: steps from a named cursor, from the entries of a list, from products at any depth, and of payloads without products."""
+    shape, page, s = F.col("p_partkey") % 4, F.col("p_partkey") % 3, F.col("p_partkey") % 10
+    wares = lambda n: F.transform(F.sequence(F.lit(0), n), lambda i: F.struct((F.lit(100_000) + i).cast("string").alias("skuId"), F.col("p_name").alias("wareName"), F.lit("0").alias("isAd")))
+    advert = F.array(F.struct(F.lit("999999").alias("skuId"), F.col("p_name").alias("wareName"), F.lit("true").alias("isAd")))
+    few, many = F.concat(wares(F.col("p_size") % 5), advert), F.concat(wares(F.col("p_size") % 7), advert)
+    listed = F.to_json(F.struct(F.struct(few.alias("wareList")).alias("data")))
+    named = F.to_json(F.struct((page + 1).alias("page"), (s + F.col("p_size")).alias("s")))
+    deep = F.to_json(F.struct(F.array(F.struct(many.alias("x")), F.struct(many.alias("x"))).alias("data")))
+    body = F.when(shape == 3, F.lit('{"data":{"wareList":[]}}')).when(shape == 0, F.concat(F.lit('{"next":'), named, F.lit(","), F.substring(listed, 2, 1 << 20))).when(shape == 1, listed).otherwise(deep)
+    return payloads.cursor_steps(requests(spark, sf_dir, body), "page", "cursor").select("p_partkey", "step")
+
+
+@register("SELECT p_partkey, CASE WHEN p_partkey % 4 > 1 THEN p_brand ELSE '' END AS category, CASE WHEN p_partkey % 4 > 0 THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS guid FROM part")
+def first_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSN22: category and id of the first review."""
+    mark = F.when(F.col("p_partkey") % 4 > 1, F.concat(F.lit(" "), "p_brand", F.lit("_1_"), "p_type"))
+    one = F.struct(F.col("p_partkey").alias("guid"), mark.alias("maidianInfo"))
+    body = F.to_json(F.struct(F.when(F.col("p_partkey") % 4 > 0, F.array(one, one)).otherwise(F.slice(F.array(one), 1, 0)).alias("commentInfoList")))
+    columns = payloads.first_category(landed.variant("body"))
+    return table(spark, sf_dir, "part").select("p_partkey", body.alias("body")).select("p_partkey", *[c.alias(k) for k, c in columns.items()])
+
+
+@register("""
+SELECT p_partkey, ['empty_body', 'not_json', 'no_wares', 'ok', 'no_list', 'no_list', 'ok'][p_partkey % 7 + 1] AS quality, p_partkey % 7 IN (2, 3, 4) AS readable FROM part
+""")
+def response_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSN26, FLT13: what became of requests, every state of them."""
+    bodies = (" ", "<html>", '{"data":{"wareList":[]}}', 'f({"code":0,"data":{"wareList":[{"skuId":"1"}]}});', '{"data":{"wareList":{}}}', "[1]", '{"code":3,"data":{"wareList":[1]}}')
+    body = F.element_at(F.array(*map(F.lit, bodies)), (F.col("p_partkey") % 7 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", body.alias("body"))
+    return rows.select("p_partkey", payloads.search_quality("body").alias("quality"), F.coalesce(payloads.business_ok(landed.variant("body")), F.lit(False)).alias("readable"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,9 +67,9 @@ def first_scalar(v: Column, *keys: str) -> Column:
 
 
 class Fields:
-    """An object as a variant and as a map of its keys to texts, which is parsed once: most keys that are asked for are absent."""
+    """An object as a variant and as its texts by key, which are parsed once: most keys that are asked for are absent."""
 
-    def __init__(self, v: Column, texts: Column):
+    def __init__(self, v: Column, texts: Mapping[str, Column]):
         self.v, self.texts = v, texts
 
     def has(self, key: str) -> Column:
@@ -76,9 +77,10 @@ class Fields:
 
     def scalar(self, key: str) -> Column:
         """STR4, as scalar()."""
-        text, slow = self.texts[key], scalar(self.v, f"$.{key}")
+        slow = scalar(self.v, f"$.{key}")
         if "." in key:
             return F.when(self.has(key), slow)
+        text = self.texts[key]
         return F.when(text.isNotNull(), F.when(F.rlike(text, F.lit(r"^\s*[{\[]")), slow).otherwise(filled(text)))
 
     def first(self, *keys: str) -> Column:

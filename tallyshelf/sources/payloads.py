@@ -7,14 +7,17 @@ become, are column expressions.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyshelf.functions.links import detail_picture, list_picture, page_address
 from tallyshelf.functions.price import merged_coupon
-from tallyshelf.functions.text import distinct_texts, filled, is_rank_text, plain, squeeze, without_tags
-from tallyshelf.sources.landed import Fields, first_scalar, json_body, kind_of, scalar, variant
+from tallyshelf.functions.text import distinct_texts, filled, is_rank_text, plain, squeeze, strip, without_tags
+from tallyshelf.sources.landed import Fields, first_scalar, json_body, kind_of, scalar, variant, whole_number
 
 # The keys under which payloads have what a product row needs.
 NESTS = ("wareInfo", "product", "skuInfo", "item", "main", "content", "base", "exContent", "excontent")
@@ -30,8 +33,19 @@ SHOP, FUZZY = ("shopName", "venderName", "storeName", "shop_name"), ("commentFuz
 SECKILL, PROPERTIES = ("seckillInfo", "secKill", "secKillInfo", "miaosha", "flashSale"), ("propertyList", "properties", "wareProps", "props")
 AD_FLAGS = ("isAdv", "isAd", "isP4p", "is_p4p", "adFlag")
 FLOOR_NAMES_LEFT_OUT = ("wareid", "skuid", "itemid", "imageurl", "imgurl", "href", "url", "cid", "shopid", "venderid")
-#: How deep, and into how many entries of an array, a walk goes for the texts of a product.
-DEEPEST, WIDEST, LISTS = 14, 40, 80
+# Where a product's tags are: lists of them, objects whose titles count, the texts of a tag, and the names of lists of texts anywhere below.
+TAG_LISTS = (
+    "wareBeltList", "beltList", "labelList", "tagList", "wareTags", "tags", "icons", "serviceIcons", "iconList", "iconList1", "iconList2", "iconList3", "iconList4",
+    "textTagList", "beltAttrs", "serviceTags", "benefitList", "sellPoints", "commonTagList",
+)
+TAG_TITLED = ("newRegionFloor", "midTagList", "paragraphInfo", "floatLayerInfo", "drawer")
+TAG_TEXTS = ("text", "name", "title", "desc", "msg", "beltMsg", "labelName", "typeName", "showName", "content", "beltTitle")
+TEXT_LISTS = (
+    "title", "subtitle", "subtitles", "sellpoint", "sellpoints", "usp", "usps", "textlist", "textlists", "wordlist", "keywords", "highlight", "highlights", "sellingpoint",
+    "sellingpoints", "featurelist", "pointlist", "points", "shorttitle", "shorttitles", "recommendreason", "reasonlist", "icontexts", "icontext", "tagtexts", "descs", "labels",
+)
+#: Of a product's texts: tags of a list, texts of a tag, how deep and wide the search for lists goes, how many lists count and how many of their entries.
+TAGS, TEXTS_OF_TAG, DEEPEST, WIDEST, LISTS, ENTRIES = 30, 25, 14, 90, 80, 40
 REVIEW = ("commentId",)
 
 
@@ -39,9 +53,12 @@ def objects_with(keys: tuple[str, ...], nests: tuple[str, ...] = ()):
     """A vectorised function from JSON text to its objects with one of the keys, in document order.
 
     Each is given as JSON text, with what its objects under ``nests`` have hoisted where it has nothing
-    itself, and with the distinct texts of the arrays below it. The function carries all it needs.
+    itself, and with its texts (JSN8, JSN9): those of its tags, then those of lists of texts below it, squeezed, each
+    once whatever its case, of two characters or more, and without selling points (JSN29) but for tags that repeat
+    one elsewhere. The function carries all it needs.
     """
-    deepest, widest, lists = DEEPEST, WIDEST, LISTS
+    tag_lists, tag_titled, tag_texts, text_lists = TAG_LISTS, TAG_TITLED, TAG_TEXTS, frozenset(TEXT_LISTS)
+    tags, texts_of_tag, deepest, widest, most_lists, entries = TAGS, TEXTS_OF_TAG, DEEPEST, WIDEST, LISTS, ENTRIES
 
     @F.pandas_udf("array<struct<object:string,texts:array<string>>>")
     def found(bodies: pd.Series) -> pd.Series:
@@ -55,24 +72,62 @@ def objects_with(keys: tuple[str, ...], nests: tuple[str, ...] = ()):
                         out[k] = v
             return out
 
-        def texts(root: dict) -> list[str]:
-            out: dict[str, None] = {}
-            todo, seen = [(root, 0)], 0
+        def strings(x, most: int = texts_of_tag) -> list[str]:
+            return [y for y in (x[:most] if isinstance(x, list) else [x]) if isinstance(y, str) and y.strip()]
+
+        def listed(d: dict, key: str, most: int | None) -> list:
+            return d[key][:most] if isinstance(d.get(key), list) else []
+
+        def scalar(d: dict, names: tuple[str, ...]) -> list[str]:
+            return [t for t in (str(d[k]).strip() for k in names if d.get(k) is not None and not isinstance(d[k], dict | list)) if t][:1]
+
+        def of_tag(tag, names: tuple[str, ...]):
+            """(name, text) of a tag: whole lists on the way to the first text that stands by itself."""
+            for name in names if isinstance(tag, dict) else ():
+                for t in strings(tag.get(name)):
+                    yield name, t
+                if isinstance(tag.get(name), str) and tag[name].strip():
+                    return
+
+        def selling(d: dict):
+            yield from strings(d["sellingPoint"], None) if isinstance(d.get("sellingPoint"), list) else ()
+            for x in listed(d, "benefitList", tags):
+                yield from strings(x.get("title")) if isinstance(x, dict) else ()
+            for x in listed(d, "sellPoints", texts_of_tag):
+                yield from scalar(x, ("text", "title", "name", "desc")) if isinstance(x, dict) else strings(x)
+
+        def candidates(d: dict):
+            """(text, whether it goes if it is a selling point) in order."""
+            for key in tag_lists:
+                if isinstance(d.get(key), dict):
+                    yield from ((t, False) for _, t in of_tag(d[key], tag_texts))
+                for tag in listed(d, key, tags):
+                    yield from ((t, False) for t in (strings(tag) if isinstance(tag, str) else ()))
+                    yield from ((t, key == "benefitList" and name == "title") for name, t in of_tag(tag, tag_texts))
+            for key in tag_titled:
+                yield from ((t, True) for t in strings(d[key].get("title"))) if isinstance(d.get(key), dict) else ()
+            for tag in listed(d, "midTagList", texts_of_tag):
+                alone = [tag[k] for k in tag_texts[:5] if isinstance(tag.get(k), str) and tag[k].strip()] if isinstance(tag, dict) else []
+                yield from ((t, False) for t in alone[:1])
+            todo, seen = [(d, None, 0)], 0
             while todo:
-                node, depth = todo.pop()
-                if isinstance(node, str):
-                    out.setdefault(node)
-                elif depth <= deepest and isinstance(node, dict):
-                    todo += [(v, depth + 1) for v in reversed(node.values()) if isinstance(v, dict | list)]
-                elif depth <= deepest and isinstance(node, list) and seen < lists:
+                node, name, depth = todo.pop()
+                if isinstance(node, list) and name in text_lists and seen < most_lists:
                     seen += 1
-                    named = lambda x: next((x[k] for k in ("text", "name", "title", "desc", "msg", "value", "content") if isinstance(x.get(k), str) and x[k].strip()), None)
-                    inner = [x for x in node[:widest] if isinstance(x, str | dict | list)]
-                    for x in reversed(inner):
-                        todo.append((x, depth + 1))
-                        if isinstance(x, dict) and named(x):
-                            todo.append((named(x), depth + 1))
-            return list(out)
+                    for x in node[:entries]:
+                        yield from ((t, True) for t in (scalar(x, ("text", "name", "title", "desc", "value", "content")) if isinstance(x, dict) else strings(x)))
+                if depth <= deepest:
+                    below = [(v, k.lower()) for k, v in node.items()] if isinstance(node, dict) else [(v, None) for v in node[:widest]]
+                    todo += [(v, k, depth + 1) for v, k in reversed(below) if isinstance(v, dict | list)]
+
+        def texts(d: dict) -> list[str]:
+            squeezed = lambda t: " ".join(t.split())
+            sold, out = {squeezed(t).casefold() for t in selling(d)}, {}
+            for t, goes in candidates(d):
+                t = squeezed(t)
+                if len(t) >= 2 and not (goes and t.casefold() in sold):
+                    out.setdefault(t.casefold(), t)
+            return list(out.values())
 
         def walk(body: str | None) -> list[dict] | None:
             try:
@@ -96,11 +151,39 @@ def objects_with(keys: tuple[str, ...], nests: tuple[str, ...] = ()):
     return found
 
 
-def with_objects(raw: DataFrame, body: str, keys: tuple[str, ...], nests: tuple[str, ...] = ()) -> DataFrame:
-    """raw without its body, a row for each object: position, v (a variant), fields (its keys with their texts) and texts."""
+class Asked:
+    """Stands for an object's texts by key and remembers which keys are asked for."""
+
+    def __init__(self):
+        self.keys: set[str] = set()
+
+    def __getitem__(self, key: str) -> Column:
+        self.keys.add(key)
+        return F.lit("")
+
+
+def ware_keys() -> list[str]:
+    """The keys that a listing row's columns look at."""
+    asked = Asked()
+    own = Fields(F.lit(None).cast("variant"), asked)
+    ware_inputs(own)
+    ware_columns(own, F.array(F.lit("")))
+    is_ad(own)
+    return sorted(k for k in asked.keys if "." not in k)
+
+
+def texts_of(asked: list[str]) -> dict[str, Column]:
+    """The texts under the keys that with_objects was asked for."""
+    return {k: F.col("fields")[f"k{i}"] for i, k in enumerate(asked)}
+
+
+def with_objects(raw: DataFrame, body: str, keys: tuple[str, ...], nests: tuple[str, ...] = (), asked: list[str] | None = None) -> DataFrame:
+    """raw without its body, a row for each object: position, v (a variant), fields and texts; see texts_of for fields."""
     rest = [c for c in raw.columns if c != body]
     listed = raw.select(*rest, F.posexplode(objects_with(keys, nests)(json_body(body))).alias("position", "found"))
-    fields = F.from_json("found.object", "map<string,string>").alias("fields")
+    asked = asked or list(keys)
+    places = ", ".join(f"k{i}: string" for i in range(len(asked)))  # Spark's names differ by more than their case
+    fields = F.from_json("found.object", ", ".join(f"`{k}` string" for k in asked)).cast(f"struct<{places}>").alias("fields")
     return listed.select(*rest, "position", F.try_parse_json("found.object").alias("v"), fields, F.col("found.texts").alias("texts"))
 
 
@@ -217,8 +300,8 @@ def wares(raw: DataFrame, body: str = "body") -> DataFrame:
     raw has the body and columns that name a payload, such as file, page and keyword.
     """
     names = [c for c in raw.columns if c != body]
-    found = with_objects(raw, body, SKU, NESTS)
-    own = Fields(F.col("v"), F.col("fields"))
+    found = with_objects(raw, body, SKU, NESTS, asked := ware_keys())
+    own = Fields(F.col("v"), texts_of(asked))
     columns = ware_columns(own, F.col("texts"))
     rows = found.withColumns(ware_inputs(own)).select(*names, "position", *[c.alias(k) for k, c in columns.items()])
     good = rows.where(F.rlike("sku_id", F.lit("^[0-9]{5,}$")) & (F.length("title") >= 2))
@@ -227,6 +310,59 @@ def wares(raw: DataFrame, body: str = "body") -> DataFrame:
     return first.select(*names, "sku_id", "row.*")
 
 
+def next_cursors(raw: DataFrame, page: str, cursor: str, body: str = "body") -> DataFrame:
+    """JSN14: raw without its body, with next_cursor: the smallest s above the request's among a payload's objects of the page after the request's.
+
+    page and cursor name the columns with the request's numbers. An object's page is under page, or else pageNo (unless
+    it is 0) or pageIndex; null if no object has the next page's number and a larger s.
+    """
+
+    def fits(x: Column) -> Column:
+        v = F.try_parse_json(x["object"])
+        at = F.coalesce(whole_number(v, "$.page"), F.nullif(whole_number(v, "$.pageNo"), F.lit(0)), whole_number(v, "$.pageIndex"))
+        s = whole_number(v, "$.s")
+        return F.when((at == F.col(page) + 1) & (s > F.col(cursor)), s)
+
+    rest = [c for c in raw.columns if c != body]
+    rows = raw.withColumn("_found", objects_with(("s",))(json_body(body)))
+    return rows.select(*rest, F.array_min(F.transform("_found", fits)).alias("next_cursor"))
+
+
+def marked_advert(x: Column) -> Column:
+    """JSN13 for an entry of a listing, whose flag may also be in one of its nested objects."""
+    flag = lambda k: F.lower(F.coalesce(*[scalar(x, p) for p in (f"$.{k}", *[f"$.{n}.{k}" for n in NESTS])], F.lit(""))).isin("1", "true", "yes", "y")
+    return reduce(or_, [flag(k) for k in AD_FLAGS])
+
+
+def cursor_steps(raw: DataFrame, page: str, cursor: str, body: str = "body") -> DataFrame:
+    """AGG30: raw without its body, with step: how far the next request's cursor moves.
+
+    The distance to the next cursor that the payload names; else one less than the entries of its list that are no
+    adverts (all, if all are); else the same of the distinct products at any depth; 1 at least, null if there are none of all these.
+    """
+    rest = [c for c in raw.columns if c != body]
+    keyed = raw.withColumn("_payload", F.xxhash64(body, *rest)).withColumn("_list", F.try_variant_get(variant(body), "$.data.wareList", "array<variant>"))
+    entries = F.when(F.forall("_list", lambda x: kind_of(x, "$") == "OBJECT") & (F.size("_list") > 0), F.col("_list"))
+    least_one = lambda x: F.when(x < 1, F.lit(1)).otherwise(x)
+    stepped = lambda natural, total: least_one(F.when(natural > 0, natural).otherwise(total) - 1)
+    keyed = keyed.withColumn("_by_list", stepped(F.size(F.filter(entries, lambda x: ~marked_advert(x))), F.size(entries)))
+    found = with_objects(keyed.select("_payload", body).distinct(), body, SKU, NESTS, asked := ware_keys())
+    own = Fields(F.col("v"), texts_of(asked))
+    good = found.select("_payload", own.first(*SKU).alias("_sku"), plain(own.first(*TITLE)).alias("_title"), is_ad(own).alias("_ad"))
+    good = good.where(F.rlike("_sku", F.lit("^[0-9]{5,}$")) & (F.length("_title") >= 2))
+    natural = F.count_distinct(F.when(~F.col("_ad"), F.col("_sku")))
+    walked = good.groupBy("_payload").agg(stepped(natural, F.count(F.lit(1))).alias("_by_walk"))
+    named = next_cursors(keyed, page, cursor, body).withColumn("_named", F.col("next_cursor") - F.col(cursor)).join(walked, "_payload", "left")
+    step = F.when(F.col("_by_walk").isNotNull(), F.coalesce(least_one(F.col("_named")), "_by_list", "_by_walk"))
+    return named.select(*rest, step.cast("long").alias("step"))
+
+
+def first_category(v: Column) -> dict[str, Column]:
+    """JSN22: category and guid of the first review that a product page shows: what stands before "_" in its mark, and its id; blank without."""
+    at = lambda k: F.coalesce(scalar(v, f"$.commentInfoList[0].{k}"), F.lit(""))
+    return {"category": strip(F.split_part(at("maidianInfo"), F.lit("_"), F.lit(1))), "guid": at("guid")}
+
+
 def detail_columns(v: Column) -> dict[str, Column]:
     """JSN15-JSN18: the columns of a product page."""
     at = lambda path: F.coalesce(scalar(v, f"$.{path}"), F.lit(""))

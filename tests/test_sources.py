@@ -65,6 +65,25 @@ def test_products_of_payloads(spark):
     assert [r.ok for r in states] == [True, False, False, False, True]
 
 
+def test_tags_of_odd_shapes(spark):
+    ware = {"skuId": 1, "tags": "no list", "icons": [1, None, [], "aa  aa", {"name": ["bb", 5, "BB"], "title": 7, "desc": "cc", "msg": "behind"}], "beltList": {"text": " ", "content": "dd"}, "midTagList": {"title": "ee"}, "drawer": [1]}
+    ware |= {"sellPoints": ["AA AA", {"title": 12}], "base": {"keywords": ["ff", "cc", {"value": 12}, {"content": 13}]}, "x": [[{"points": ["gg"]}]], "benefitList": {"title": "hh"}, "serviceTags": [f"t{i}" for i in range(40)]}
+    deep = "ii"
+    for _ in range(15):
+        deep = {"labels": [deep]} if isinstance(deep, str) else {"y": deep}
+    found = payloads.with_objects(bodies(spark, json.dumps(ware), json.dumps({"skuId": 2, "z": deep}), "{", None), "body", ("skuId",), payloads.NESTS).orderBy("file").collect()
+    assert found[0].texts == ["dd", "aa aa", "bb", "cc", *[f"t{i}" for i in range(30)], "hh", "ee", "ff", "13", "gg"]
+    assert found[1].texts == [] and [r.file for r in found] == [0, 1]
+
+
+def test_cursors_of_nothing(spark):
+    rows = bodies(spark, "", "[]", None, '{"page": true, "s": 9}', '{"page": 2, "s": 1.5}', '{"pageNo": 0, "pageIndex": "2", "s": "7"}', '{"wareList": 1, "data": {"wareList": [5, {"skuId": "12345"}]}}').selectExpr("*", "1 as page", "3L as cursor")
+    assert [r.next_cursor for r in payloads.next_cursors(rows, "page", "cursor").orderBy("file").collect()] == [None] * 5 + [7, None]
+    assert {r.step for r in payloads.cursor_steps(rows, "page", "cursor").collect()} == {None}
+    got = [tuple(r) for r in rows.orderBy("file").select(*payloads.first_category(landed.variant("body")).values()).collect()]
+    assert got == [("", "")] * 7
+
+
 def test_details_without_payload(spark):
     got = payloads.details(bodies(spark, "x", None, "[]", "{}")).orderBy("file").collect()
     assert [r.parsed for r in got] == [False, False, False, True]
