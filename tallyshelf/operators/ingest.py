@@ -7,10 +7,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshelf.operators import catalog
+from tallyshelf.operators import catalog, steps
 from tallyshelf.sources.landed import exists, read_table
 from tallyshelf.sources.schema import RELATIONS
-from tallyshelf.sources.sinks import replace_job
+from tallyshelf.sources.sinks import replace_job, rows_of_job
 from tallyshelf.streaming.upsert import KEPT, current, forget, versions
 
 
@@ -20,37 +20,50 @@ def relation_rows(spark: SparkSession, path: str, relation: str, job: str) -> Da
     return catalog.numbered(rows.withColumn("job_id", F.lit(job)), ["_at"], "job_id").drop("_at")
 
 
-def ingest_run(spark: SparkSession, files: dict[str, str], store: str, job: str, platform: str, captured_at: str) -> dict[str, Any]:
+def ingest_run(
+    spark: SparkSession, files: dict[str, str], store: str, job: str, platform: str, captured_at: str, manifest: str | None = None
+) -> dict[str, Any]:
     """CAT3, AGG27: files (relation to path) into the tables under store; running it again for a job changes nothing but its time.
 
     The job's partitions of search, detail and comments are written first and stay if there is no merged table, which
-    the result then tells. With one, the next version of products and the job's partition of snapshots follow.
+    the result then tells. With one, the next version of products and the job's partition of snapshots follow. With
+    a manifest folder the run can be stopped and goes on where it was (UDF2, JOB4); see steps.run.
     """
-    found = {r: relation_rows(spark, files[r], r, job) for r in ("search", "detail", "comments")}
-    for relation, rows in found.items():
-        replace_job(rows, f"{store}/{relation}", jobs=[job])
-    out: dict[str, Any] = {"dataset": {f"{r}_rows": rows.count() for r, rows in found.items()}}
-    if not exists(spark, files["merged"]):
-        out["merged"] = {"error": f"no merged table: {files['merged']}", "rows_ingested": 0, "snapshots_upserted": 0}
-        return out
-    merged = relation_rows(spark, files["merged"], "merged", job)
-    replace_job(merged, f"{store}/merged", jobs=[job])
-    cells = [c for c in merged.columns if c not in ("row_index", "job_id")]
-    rows = merged.withColumns({
-        "platform": F.lit(platform),
-        "current_payload": F.to_json(F.struct(*cells)),
-        "last_job": F.lit(job),
-        "last_captured_at": F.lit(captured_at),
-    })
-    before, done = current(spark, f"{store}/products"), versions(spark, f"{store}/products")
-    stats = catalog.ingest_stats(rows, before).first().asDict()
-    new = catalog.upserted(before, rows, F.col("row_index")).drop("created")
-    new.write.mode("overwrite").parquet(f"{store}/products/version={done[-1] + 1 if done else 0}")
-    forget(spark, f"{store}/products", done[:-KEPT])
-    snaps = rows.withColumns({"captured_at": F.col("last_captured_at"), "payload": F.col("current_payload")})
-    replace_job(catalog.snapshots(snaps, F.col("row_index"), "job_id"), f"{store}/snapshots", jobs=[job])
-    out["merged"] = stats
-    return out
+
+    def relation(name: str) -> int:
+        replace_job(relation_rows(spark, files[name], name, job), f"{store}/{name}", jobs=[job])
+        return rows_of_job(spark, f"{store}/{name}", job).count()
+
+    def merged_rows() -> DataFrame:
+        rows = rows_of_job(spark, f"{store}/merged", job)
+        cells = [c for c in rows.columns if c not in ("row_index", "job_id")]
+        return rows.withColumns({
+            "platform": F.lit(platform),
+            "current_payload": F.to_json(F.struct(*cells)),
+            "last_job": F.lit(job),
+            "last_captured_at": F.lit(captured_at),
+        })
+
+    def stats() -> dict[str, int]:
+        return catalog.ingest_stats(merged_rows(), current(spark, f"{store}/products")).first().asDict()
+
+    def products() -> int:
+        before, done = current(spark, f"{store}/products"), versions(spark, f"{store}/products")
+        number = done[-1] + 1 if done else 0
+        catalog.upserted(before, merged_rows(), F.col("row_index")).drop("created").write.mode("overwrite").parquet(f"{store}/products/version={number}")
+        forget(spark, f"{store}/products", done[:-KEPT])
+        return number
+
+    def snapshots() -> None:
+        snaps = merged_rows().withColumns({"captured_at": F.col("last_captured_at"), "payload": F.col("current_payload")})
+        replace_job(catalog.snapshots(snaps, F.col("row_index"), "job_id"), f"{store}/snapshots", jobs=[job])
+
+    first = [(r, lambda r=r: relation(r)) for r in ("search", "detail", "comments")]
+    second = [("merged", lambda: relation("merged")), ("stats", stats), ("products", products), ("snapshots", snapshots)]
+    chosen = first + second if exists(spark, files["merged"]) else first
+    found = {name: work() for name, work in chosen} if manifest is None else steps.run(spark, chosen, manifest)
+    missing = {"error": f"no merged table: {files['merged']}", "rows_ingested": 0, "snapshots_upserted": 0}
+    return {"dataset": {f"{r}_rows": found[r] for r, _ in first}, "merged": found.get("stats", missing)}
 
 
 def regenerated_details(files: DataFrame, merged: DataFrame) -> DataFrame:

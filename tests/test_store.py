@@ -1,13 +1,15 @@
 """A run into the store, and what is browsed and exported there."""
 
 import json
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyshelf.functions import replies
-from tallyshelf.operators import browse, ingest
-from tallyshelf.sources import schema, sinks
+from tallyshelf.operators import browse, ingest, steps
+from tallyshelf.sources import landed, schema, sinks
 from tallyshelf.streaming import upsert
 
 
@@ -61,6 +63,43 @@ def test_a_run_without_rows_leaves_none_behind(spark, run, tmp_path):
     assert len(upsert.versions(spark, f"{store}/products")) == 1 + upsert.KEPT
 
 
+def test_a_stopped_ingest_keeps_what_is_finished_and_goes_on(spark, run, tmp_path, monkeypatch):
+    store, folder, written = str(tmp_path / "store"), str(tmp_path / "run"), []
+    first = ingest.relation_rows
+
+    def relation_rows(spark, path, relation, job):
+        written.append(relation)
+        if relation == "detail" and written.count("detail") == 1:
+            steps.stop(spark, folder)  # between two relations: the one at hand is finished, no other begins
+        return first(spark, path, relation, job)
+
+    monkeypatch.setattr(ingest, "relation_rows", relation_rows)
+    with pytest.raises(steps.Stopped) as stopped:
+        ingest.ingest_run(spark, run, store, "1", "jd", "t", folder)
+    assert stopped.value.finished == {"search": 2, "detail": 1} == steps.finished(spark, folder)
+    assert sinks.rows_of_job(spark, f"{store}/search", "1").count() == 2 and not landed.exists(spark, f"{store}/comments")
+    got = ingest.ingest_run(spark, run, store, "1", "jd", "t", folder)
+    assert written == ["search", "detail", "comments", "merged"]
+    assert got["dataset"] == {"search_rows": 2, "detail_rows": 1, "comments_rows": 0} and got["merged"]["products_created"] == 1
+    assert ingest.ingest_run(spark, run, store, "1", "jd", "t", folder) == got and len(written) == 4
+
+
+def test_a_running_step_is_cut_off(spark, tmp_path):
+    folder, slow = str(tmp_path / "run"), F.udf(lambda x: time.sleep(0.2) or x, "long")
+
+    def long_step():
+        threading.Timer(6, steps.stop, (spark, folder)).start()
+        return spark.range(4000).select(slow("id").alias("x")).agg(F.sum("x")).first()[0]
+
+    began = time.time()
+    with pytest.raises(steps.Stopped) as stopped:
+        steps.run(spark, [("a", lambda: "é"), ("b", long_step), ("c", lambda: 1)], folder)
+    assert stopped.value.finished == {"a": "é"} and time.time() - began < 60
+    assert steps.run(spark, [("a", lambda: 0), ("b", lambda: None), ("c", lambda: [1])], folder) == {"a": "é", "b": None, "c": [1]}
+    with pytest.raises(ZeroDivisionError):
+        steps.run(spark, [("x", lambda: 1 / 0)], str(tmp_path / "other"))
+
+
 def test_pages_and_exports(spark):
     rows = spark.createDataFrame([(i, i, f"s{i % 2}", "t" if i == 3 else " ", []) for i in range(5)], "id long, row_index long, sku_id string, title string, pics array<string>")
     headers = {"SKU": "sku_id", "Name": "title", "Pictures": "pics", "Absent": "absent"}
