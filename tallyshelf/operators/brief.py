@@ -1,7 +1,8 @@
 """The brief: a small nested document from the statistics of one run, its summary and its compact form.
 
 Each section is a DataFrame with a bounded number of rows and reaches the driver by itself; only the matrix
-has a row for each product of the run's merged table, which a run bounds.
+has a row for each product of the run's merged table, which a run bounds. Where it may be larger, it is written as a
+table and the brief has an overview of its groups.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyshelf.functions.category import category_cell, chart_slug, group_key, is_unclassified, top_segment
@@ -39,6 +40,8 @@ NOTES = (
 )
 META_KEYS = ("page_start", "page_to", "max_skus_config", "pc_search_export_rows", "merged_rows", "scenario_filter_enabled", "merged_csv_mode")
 PRICE_CELLS = ("detail_price_final", "price", "coupon_price")
+#: Products of a group that its overview looks at, and brands that it names.
+OVERVIEW_ROWS, OVERVIEW_BRANDS = 100, 15
 CAPS = ((120, 24), (80, 20), (40, 16), (30, 12), (18, 10), (10, 8), (5, 6), (0, 6))
 
 
@@ -125,9 +128,12 @@ def build(
     config: dict[str, Any] | None = None,
     result_counts: DataFrame | None = None,
     brand_column: str | None = None,
+    matrix_path: str | None = None,
 ) -> dict[str, Any]:
     """JSN28: the brief of one run from its search list, merged table and comments, all with row_index.
 
+    With matrix_path the products of the matrix are written there, as a table, and the brief has an overview: no product
+    reaches the driver. Without it the brief holds them all.
     brand_column names the list's brand column where it has one; without it no brand shares of the list are given.
     """
     tuning, at = Tuning.of(config), F.col("row_index")
@@ -214,7 +220,7 @@ def build(
             "usage_scenarios_denominator": n_texts,
             **_by_group(products, comments, tuning),
             "strategy_hints": [HINTS[c].format(**say) for c in codes],
-            "matrix_by_group": _matrix(products),
+            **_matrix_of(products, matrix_path),
             "comment_sentiment_lexicon": {
                 "method": "keyword_lexicon",
                 **tone,
@@ -228,8 +234,8 @@ def build(
     )
 
 
-def _matrix(products: DataFrame) -> list[dict[str, Any]]:
-    """JSN27, AGG23: the products of each group in row order, as one array a group."""
+def matrix_rows(products: DataFrame) -> DataFrame:
+    """JSN27: group, row_index and the cells of each product of the matrix; products has group and category."""
     cells = {
         "sku_id": strip("sku_id"),
         "title": strip("title"),
@@ -242,12 +248,53 @@ def _matrix(products: DataFrame) -> list[dict[str, Any]]:
         "selling_point": F.substring(strip("selling_point"), 1, 240),
         "comment_fuzzy": strip("comment_fuzzy"),
     }
-    row = F.struct("row_index", *[c.alias(k) for k, c in cells.items()])
-    groups = products.groupBy("group").agg(F.count(F.lit(1)).alias("sku_count"), F.array_sort(F.collect_list(row)).alias("skus"))
+    return products.select("group", "row_index", *[c.alias(k) for k, c in cells.items()])
+
+
+def matrix_overview(rows: DataFrame) -> DataFrame:
+    """WIN12: of each group of matrix rows sku_count and distinct_brands_sample, the first brands among its first hundred products."""
+    counts = rows.groupBy("group").agg(F.count(F.lit(1)).alias("sku_count"))
+    place = F.row_number().over(Window.partitionBy("group").orderBy("row_index"))
+    first = rows.select("group", "row_index", "brand").withColumn("place", place).where(F.col("place") <= OVERVIEW_ROWS)
+    listed = first.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("place", "brand")))["brand"].alias("brands"))  # OVERVIEW_ROWS at most
+    sample = F.slice(F.array_distinct(F.filter("brands", lambda b: b != "")), 1, OVERVIEW_BRANDS)
+    return counts.join(listed, "group").select("group", "sku_count", sample.alias("distinct_brands_sample"))
+
+
+def write_matrix(products: DataFrame, path: str, buckets: int = 64) -> DataFrame:
+    """JSN27: the matrix as a table of buckets of groups, each file in row order, and its overview.
+
+    A group lies in one bucket, spread over the files of the tasks that wrote it, so a group with a third of all products is written by all of them.
+    """
+    spark = products.sparkSession
+    rows = matrix_rows(products).withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)).cast("int"))
+    rows.repartitionByRange("bucket", "group", "row_index").sortWithinPartitions("bucket", "group", "row_index").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return matrix_overview(spark.read.schema(rows.schema).parquet(path))
+
+
+def matrix_of_group(spark: SparkSession, path: str, group: str, buckets: int = 64) -> DataFrame:
+    """The rows of one group of a written matrix in order; other buckets are not read."""
+    bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(group)), F.lit(buckets)).cast("int")).first()[0]
+    return spark.read.parquet(path).where((F.col("bucket") == bucket) & (F.col("group") == group)).orderBy("row_index")
+
+
+def _matrix(products: DataFrame) -> list[dict[str, Any]]:
+    """JSN27, AGG23: the products of each group in row order, as one array a group."""
+    rows = matrix_rows(products)
+    cells = [c for c in rows.columns if c not in ("group", "row_index")]
+    groups = rows.groupBy("group").agg(F.count(F.lit(1)).alias("sku_count"), F.array_sort(F.collect_list(F.struct("row_index", *cells))).alias("skus"))
     found = groups.orderBy(is_unclassified("group"), F.desc("sku_count"), "group").collect()
     return [{"group": g.group, "sku_count": g.sku_count, "skus": [{k: r[k] for k in cells} for r in g.skus]} for g in found]
 
 
+def _matrix_of(products: DataFrame, path: str | None) -> dict[str, Any]:
+    """The matrix in the brief, or, with a path, the groups' overview and where the products are."""
+    if path is None:
+        return {"matrix_by_group": _matrix(products)}
+    groups = write_matrix(products, path).orderBy(is_unclassified("group"), F.desc("sku_count"), "group")
+    return {"matrix_by_group": [], "matrix_path": path, "matrix_overview": [r.asDict(True) for r in groups.collect()]}
+
+
 def _by_group(products: DataFrame, comments: DataFrame, tuning: Tuning) -> dict[str, Any]:
     """The feedback by group: counts of comments and texts, words and scenarios, with the fallback to previews decided by group."""
     at = F.col("row_index")
@@ -280,10 +327,10 @@ def _by_group(products: DataFrame, comments: DataFrame, tuning: Tuning) -> dict[
 
 def overview(brief: dict[str, Any]) -> list[dict[str, Any]]:
     """WIN12: each group's size and the first brands among its first hundred products."""
-    out = []
+    out = list(brief.get("matrix_overview") or [])
     for g in brief.get("matrix_by_group") or []:
-        brands = dict.fromkeys(b for s in g["skus"][:100] if (b := s["brand"].strip()))
-        out.append({"group": g["group"], "sku_count": g["sku_count"], "distinct_brands_sample": list(brands)[:15]})
+        brands = dict.fromkeys(b for s in g["skus"][:OVERVIEW_ROWS] if (b := s["brand"].strip()))
+        out.append({"group": g["group"], "sku_count": g["sku_count"], "distinct_brands_sample": list(brands)[:OVERVIEW_BRANDS]})
     return out
 
 

@@ -40,22 +40,24 @@ def queue(df: DataFrame, key: Column, order: Column, most: int) -> DataFrame:
 def paged_listing(df: DataFrame, key: str, page: str, order: Column, pages: list, per_page: int = 60) -> DataFrame:
     """SET1: page after page, the first ``per_page`` keys that no earlier page has taken; the rows they come with.
 
-    A row that a full page turns away does not count as seen, so its key may enter on a later page. Pages
-    depend on each other in turn, so each page's rows, per_page at most, are written before the next page is
-    looked at, and a page's plan reads its own rows and those tables; their names
-    are given. Rows of keys are only ranked within a page.
+    A row that a full page turns away does not count as seen, so its key may enter on a later page. The first row of each
+    key and page is looked up once and written, with keys and places only. Pages depend on each other in
+    turn, so each page's keys, per_page at most, are written before the next page is looked at; their names are given. One
+    join at the end fetches the rows.
     """
-    rows = df.where(filled(key).isNotNull()).withColumn("_at", order)
+    rows = df.where(filled(key).isNotNull() & F.col(page).isin(pages)).withColumn("_at", order)
+    firsts = written(rows.groupBy(F.col(page).alias("_page"), F.col(key).alias("_key")).agg(F.min("_at").alias("_first")), "page-firsts")
     taken = None
     for p in pages:
-        own = rows.where(F.col(page) == p)
-        firsts = own.groupBy(F.col(key).alias("_key")).agg(F.min("_at").alias("_at"))
+        own = firsts.where(F.col("_page") == p)
         if taken is not None:
-            firsts = firsts.join(taken.select(F.col(key).alias("_key")), "_key", "left_anti")
-        few = F.broadcast(firsts.orderBy("_at").limit(per_page).select(F.col("_key"), F.col("_at").alias("_first")))  # per_page rows at most
-        new = written(own.join(few, (own[key] == few["_key"]) & (own["_at"] == few["_first"])).select(*df.columns), "page")
+            own = own.join(F.broadcast(taken.select("_key")), "_key", "left_anti")
+        new = written(own.orderBy("_first").limit(per_page).select("_page", "_key", "_first"), "page")
         taken = new if taken is None else taken.unionByName(new)
-    return taken if taken is not None else df.where(F.lit(False))
+    if taken is None:
+        return df.where(F.lit(False))
+    same = (rows[key] == F.col("_key")) & (rows[page] == F.col("_page")) & (rows["_at"] == F.col("_first"))
+    return rows.join(F.broadcast(taken), same).select(*df.columns)  # per_page rows for each page
 
 
 def distinct_in_order(df: DataFrame, value: Column, order: Column, k: int) -> DataFrame:

@@ -11,7 +11,7 @@ from tallyshelf.operators import catalog, steps
 from tallyshelf.sources.landed import exists, read_table
 from tallyshelf.sources.schema import RELATIONS
 from tallyshelf.sources.sinks import replace_job, rows_of_job
-from tallyshelf.streaming.upsert import KEPT, current, forget, versions
+from tallyshelf.streaming.upsert import apply_batch, current, versions
 
 
 def relation_rows(spark: SparkSession, path: str, relation: str, job: str) -> DataFrame:
@@ -48,10 +48,9 @@ def ingest_run(
         return catalog.ingest_stats(merged_rows(), current(spark, f"{store}/products")).first().asDict()
 
     def products() -> int:
-        before, done = current(spark, f"{store}/products"), versions(spark, f"{store}/products")
+        done = versions(spark, f"{store}/products")
         number = done[-1] + 1 if done else 0
-        catalog.upserted(before, merged_rows(), F.col("row_index")).drop("created").write.mode("overwrite").parquet(f"{store}/products/version={number}")
-        forget(spark, f"{store}/products", done[:-KEPT])
+        apply_batch(merged_rows(), f"{store}/products", number, F.col("row_index"))
         return number
 
     def snapshots() -> None:

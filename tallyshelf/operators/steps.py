@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 from tallyshelf.sources.landed import whole_files
+from tallyshelf.sources.shared import put_text
 
 #: A file of this name in a run's folder asks it to stop.
 STOP = "_stop"
@@ -51,16 +52,6 @@ def finished(spark: SparkSession, folder: str) -> dict[str, Any]:
     return {x["step"]: x["result"] for x in found}
 
 
-def _done(spark: SparkSession, folder: str, number: int, step: str, result: Any) -> None:
-    """Written aside and renamed, so a step is either done or not."""
-    aside, files = _at(spark, f"{folder}/.step-{number:04d}")
-    out = files.create(aside, True)
-    out.write(bytearray(json.dumps({"number": number, "step": step, "result": result}, ensure_ascii=False).encode()))
-    out.close()
-    if not files.rename(aside, _at(spark, f"{folder}/step-{number:04d}.json")[0]):
-        raise OSError(f"{folder}: step {number} is there already")
-
-
 def run(spark: SparkSession, steps: list[tuple[str, Callable[[], Any]]], folder: str) -> dict[str, Any]:
     """UDF2, JOB4: runs the steps that folder does not name as done, in order, and returns the results of all by name.
 
@@ -85,6 +76,6 @@ def run(spark: SparkSession, steps: list[tuple[str, Callable[[], Any]]], folder:
             raise
         finally:
             spark.sparkContext.removeJobTag(tag)
-        _done(spark, folder, number, step, result)
+        put_text(spark, f"{folder}/step-{number:04d}.json", json.dumps({"number": number, "step": step, "result": result}, ensure_ascii=False))
         done[step] = result
     return {step: done[step] for step, _ in steps}

@@ -304,11 +304,12 @@ def paged_sql(pages: int, per_page: int) -> str:
     return f"WITH {LISTING}, " + ", ".join(parts) + f" SELECT sku_id, CAST(page AS VARCHAR) AS page FROM {taken}"
 
 
-@register(paged_sql(4, 60))
+@register(paged_sql(7, 60))
 def page_capped_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET1: of four pages 60 products each, none of them twice."""
+    """SET1: of every page 60 products, none of them twice."""
     rows = listing(spark, sf_dir)
-    return dedupe.paged_listing(rows, "sku_id", "page", at(), ["1", "2", "3", "4"]).select("sku_id", "page")
+    pages = [r.page for r in table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("string").alias("page")).distinct().orderBy("page").collect()]
+    return dedupe.paged_listing(rows, "sku_id", "page", at(), pages).select("sku_id", "page")
 
 
 @register(f"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshelf.functions import ingredients, links, text
+from tallyshelf.functions import category, ingredients, links, text
 from tallyshelf.plans.registry import register
+from tallyshelf.sources import landed
 from tallyshelf.sources.tables import table
 
 @register(r"SELECT page_id, left(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' '), 500) AS text FROM pages")
@@ -15,7 +16,11 @@ def html_strip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.without_tags("html", 500).alias("text"))
 
 
-@register()
+@register(r"""
+WITH t AS (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS t FROM pages), a AS (SELECT page_id, replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"') AS t FROM t),
+  b AS (SELECT page_id, replace(replace(replace(t, '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', ' ') AS t FROM a), c AS (SELECT page_id, replace(replace(replace(t, '&yen;', '¥'), '&middot;', '·'), '&amp;', '&') AS t FROM b)
+SELECT page_id, left(trim(regexp_replace(t, '\s+', ' ', 'g'), ' '), 2000) AS text FROM c
+""")
 def html_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR1: with references decoded."""
     return table(spark, sf_dir, "pages").select("page_id", text.plain("html").alias("text"))
@@ -153,3 +158,46 @@ def cell_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.batch_label(folder).alias("batch"),
         text.keyword_of(folder).alias("keyword"),
     )
+
+
+@register("""
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a > ' || p_type WHEN 1 THEN p_brand WHEN 2 THEN p_name ELSE '' END AS category,
+  CASE p_partkey % 4 WHEN 0 THEN 'a > ' || p_type WHEN 1 THEN p_brand ELSE '' END AS shown,
+  CASE p_partkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN p_brand WHEN 2 THEN left(p_name, 80) ELSE '' END AS top FROM part
+""")
+def category_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR13, PRJ3, AGG6: the category of a row by path, leaf category and short name."""
+    k = F.col("p_partkey") % 4
+    path = F.when(k == 0, F.concat(F.lit(" a > "), "p_type", F.lit(" "))).otherwise(" ")
+    leaf = F.when(k < 2, F.concat("p_brand", F.lit("\u3000"))).otherwise("")
+    attributes = F.when(k == 2, F.concat(F.lit("类目:12 | 简称： "), "p_name", F.lit(" | x"))).when(k == 3, F.concat(F.lit("简称:"), "p_name"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), leaf.alias("leaf"), attributes.alias("attributes"))
+    whole = category.category_cell("path", "leaf", "attributes")
+    return rows.select("p_partkey", whole.alias("category"), category.product_category("path", "leaf").alias("shown"), category.top_segment(whole).alias("top"))
+
+
+@register("""
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN CAST(p_size AS VARCHAR) WHEN 2 THEN p_brand WHEN 3 THEN '' ELSE p_type END AS value FROM part
+""")
+def scalar_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR4: the first key with a scalar that is not blank."""
+    k, q = F.col("p_partkey") % 5, lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    a = F.when(k == 0, q(F.concat(F.lit("  "), "p_name"))).when(k == 1, F.col("p_size").cast("string")).when(k == 2, F.lit("null")).when(k == 3, F.lit('{"x": 1}')).otherwise(F.lit('" "'))
+    b = F.when(k == 2, q(F.col("p_brand"))).when(k == 3, F.lit("[1]")).when(k == 4, q(F.concat("p_type", F.lit("\\n")))).otherwise(F.lit('"never"'))
+    body = F.concat(F.lit('{"b":'), b, F.lit(',"a":'), a, F.lit("}"))
+    return table(spark, sf_dir, "part").select("p_partkey", landed.first_scalar(landed.variant(body), "none", "a", "b").alias("value"))
+
+
+@register("""
+SELECT p_partkey, 'https://a.x/' || p_partkey || '.jpg; https://img30.360buyimg.com/sku/jfs/' || p_brand || '.png; https://b.x/' || p_size || '.webp; https://c.x/d' || CASE WHEN p_size % 2 = 0 THEN '; https://item.jd.com/1.gif' ELSE '' END AS joined,
+  CAST(4 + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n FROM part
+""")
+def described_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR10, STR11, STR26, SET7: the pictures of a description: styles, small pictures and sources, without pages and style sheets, each once."""
+    html = F.concat(
+        F.lit("<link href=x><div style=\"background: URL( '//a.x/"), F.col("p_partkey").cast("string"), F.lit(".jpg' )\"><input id=zbViewWeChatMiniImages value='/jfs/"), F.col("p_brand"),
+        F.lit(".png, https://item.jd.com/1.html,//sku-market-gw.jd.com/a.css'><img class=k src=\"http://b.x/"), F.col("p_size").cast("string"), F.lit(".webp\"><IMG src=//c.x/d><img src='data:image/png;base64,xx'>"),
+        F.when(F.col("p_size") % 2 == 0, F.lit("<img src=https://item.jd.com/1.gif><img src=//c.x/d>")).otherwise(F.lit("")),
+    )
+    joined = links.picture_list(links.addresses_in(html))
+    return table(spark, sf_dir, "part").select("p_partkey", joined.alias("joined")).select("p_partkey", "joined", F.size(links.listed_addresses("joined")).alias("n"))

@@ -27,3 +27,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small text file aside and renames it, so that it is whole or not there; one that is there is replaced."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.delete(target, False)
+    if not files.rename(aside, target):
+        raise OSError(f"{path} cannot be written")

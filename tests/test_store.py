@@ -1,6 +1,7 @@
 """A run into the store, and what is browsed and exported there."""
 
 import json
+import os
 import threading
 import time
 
@@ -8,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyshelf.functions import replies
-from tallyshelf.operators import browse, ingest, steps
-from tallyshelf.sources import landed, schema, sinks
+from tallyshelf.operators import brief, browse, ingest, steps
+from tallyshelf.sources import cursor, exports, landed, schema, sinks
 from tallyshelf.streaming import upsert
 
 
@@ -134,3 +135,99 @@ def test_replies(spark):
     answers = ['{"phrases": "no"}', "x", None, '{"phrases": [" p ", "", 4]}']
     got = [r.t for r in spark.createDataFrame(list(enumerate(answers)), "i int, c string").orderBy("i").select(replies.phrases("c").alias("t")).collect()]
     assert got == [[], [], [], ["p", "4"]]
+
+
+def test_a_batch_rewrites_its_own_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "catalogue")
+
+    def batch(keys, brand):
+        rows = [("jd", str(k), "", f"t{k}" if brand == "a" else "", brand, "", "", "{}", "j", "t", i) for i, k in enumerate(keys)]
+        return spark.createDataFrame([*rows, ("jd", " ", "", "", brand, "", "", "{}", "j", "t", 10**6)], upsert.ROWS)
+
+    def brands(version=None):
+        return {r.sku_id: (r.title, r.detail_brand) for r in upsert.current(spark, path, version).collect()}
+
+    want = {str(k): (f"t{k}", "a") for k in range(500)}
+    assert len(upsert.apply_batch(batch(range(500), "a"), path, 0, F.col("row_index"))) == upsert.BUCKETS and brands() == want
+    for number in range(1, 8):
+        keys = range(number, number + 10)
+        wrote = upsert.apply_batch(batch(keys, f"b{number}"), path, number, F.col("row_index"), 7)
+        assert 1 <= len(wrote) <= 10
+        before, held = upsert.manifest(spark, path, number - 1)["held"], upsert.manifest(spark, path, number)["held"]
+        assert {b for b in held if held[b] != before[b]} == set(wrote) and len(held) == upsert.BUCKETS
+        want |= {str(k): (f"t{k}", f"b{number}") for k in keys}
+        assert brands() == want
+    again = dict(want)
+    upsert.apply_batch(batch(range(7, 17), "b7"), path, 7, F.col("row_index"))  # as after a failure
+    assert brands() == again and brands(6) == {k: (t, "b6" if b == "b7" and int(k) < 16 else "a" if b == "b7" else b) for k, (t, b) in again.items()}
+    assert upsert.versions(spark, path) == [4, 5, 6, 7]
+    upsert.apply_batch(batch([], "c"), path, 8, F.col("row_index"))
+    assert brands() == again and upsert.current(spark, str(tmp_path / "none")).count() == 0
+
+
+def joined(manifest):
+    out = []
+    for s in manifest["sections"]:
+        parts = sorted(p for p in os.listdir(s["path"].removeprefix("file:")) if p.startswith("part-"))
+        texts = []
+        for p in parts:
+            with open(f"{s['path']}/{p}", encoding="utf-8", newline="") as f:
+                texts.append(f.read())
+        out.append(s["before"] + "".join(texts))
+    return out
+
+
+def test_exports_by_tasks_equal_the_driver_s(spark, tmp_path):
+    cells = [None, "", " ", "a,b", 'say "x"', "two\nlines", "é日本", "a\rb", "\\", "{", "2.50"]
+    rows = [(i, 3 * i, cells[i % len(cells)], cells[(5 * i) % len(cells)], [[], None, ["u"], ["v", 'w"']][i % 4]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, row_index long, sku_id string, title string, pics array<string>").repartition(7)
+    headers = {"SKU": "sku_id", 'Na"me': "title", "Pictures": "pics", "Absent": "absent"}
+    both = {"search": (df, headers), "detail": (df.where("id < 0"), headers)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for k, kind in enumerate(("search", "detail", "all")):
+            for form in ("csv", "json"):
+                got = exports.export(both, kind, form, {"job_id": 7}, str(tmp_path / f"{k}{form}"))
+                assert exports.manifest(spark, str(tmp_path / f"{k}{form}")) == got
+                name, text = sinks.export(both, kind, form, {"job_id": 7})
+                parts = joined(got)
+                assert got["file"] == name and [s["rows"] for s in got["sections"]] == ([400, 0] if kind == "all" else [400] if kind == "search" else [0])
+                if form == "csv":
+                    assert "".join(parts) == text
+                elif kind == "all":
+                    assert {s["name"]: json.loads(p) for s, p in zip(got["sections"], parts, strict=True)} == {k: v for k, v in json.loads(text).items() if k != "job_id"}
+                else:
+                    assert parts == [text + "\n"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len([p for p in os.listdir(tmp_path / "0csv" / "00-search") if p.startswith("part-")]) > 1
+    alone = spark.createDataFrame([(0, ""), (1, "x")], "row_index long, v string")
+    exports.put(exports.csv_lines(alone, {"v": "V"}, "row_index"), str(tmp_path / "one"), "\r\n")
+    assert joined({"sections": [{"path": str(tmp_path / "one"), "before": ""}]}) == [sinks.csv_text(alone, {"v": "V"})]
+
+
+def test_a_table_in_chunks_by_key(spark, tmp_path):
+    rows = spark.range(0, 3000, 3).select(F.col("id").alias("key"), F.concat(F.lit("v"), "id").alias("v"))
+    table = cursor.laid_out(rows.repartition(5), "key", str(tmp_path / "t"))
+    chunks = cursor.Cursor(table, "key", 130)
+    assert len(chunks) == 8
+    found = [[tuple(r) for r in c.collect()] for c in chunks]
+    assert [len(c) for c in found] == [130] * 7 + [90] and [r for c in found for r in c] == [tuple(r) for r in rows.orderBy("key").collect()]
+    plan = chunks.chunk(5)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(key,1950)" in plan and "LessThan(key,2340)" in plan
+    assert chunks.chunk(8).count() == 0 and len(cursor.Cursor(table.where("false"), "key")) == 0
+    with pytest.raises(ValueError):
+        cursor.Cursor(rows.selectExpr("nullif(key, 3) as key"), "key")
+
+
+def test_matrix_as_a_table(spark, tmp_path):
+    rows = [(i, str(i), f"t{i}", ["B", "", " C "][i % 3], ["x", "y", "未归类（无类目路径）"][min(i % 7, 2)]) for i in range(700)]
+    products = spark.createDataFrame(rows, "row_index long, sku_id string, title string, detail_brand string, group string").withColumn("category", F.col("group"))
+    for c in ("price", "coupon_price", "detail_price_final", "shop_name", "detail_shop_name", "selling_point", "comment_fuzzy"):
+        products = products.withColumn(c, F.lit(""))
+    path = str(tmp_path / "matrix")
+    whole, parted = brief._matrix_of(products, None), brief._matrix_of(products, path)
+    assert parted["matrix_by_group"] == [] and brief.overview(parted) == brief.overview(whole)
+    for g in whole["matrix_by_group"]:
+        found = [r.asDict() for r in brief.matrix_of_group(spark, path, g["group"]).drop("bucket", "row_index", "group").collect()]
+        assert found == g["skus"]
