@@ -9,7 +9,7 @@ from tallyshelf.functions.category import group_key
 from tallyshelf.operators import brief, catalog
 from tallyshelf.plans.inputs import products
 from tallyshelf.plans.registry import register
-from tallyshelf.sources import cursor, exports
+from tallyshelf.sources import answers, cursor, exports
 from tallyshelf.sources.shared import scratch
 from tallyshelf.sources.tables import table
 from tallyshelf.streaming import upsert
@@ -94,3 +94,16 @@ def matrix_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank = {c: F.lit("") for c in ("price", "coupon_price", "detail_price_final", "shop_name", "detail_shop_name", "selling_point", "comment_fuzzy")}
     rows = products(spark, sf_dir).select(*[c.alias(k) for k, c in (own | blank).items()])
     return brief.write_matrix(rows, scratch(spark, "matrix")).select("group", "sku_count", F.array_join("distinct_brands_sample", "/").alias("brands"))
+
+
+@register("""
+SELECT 'answer_' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || '.json' AS file, CASE WHEN c_nationkey % 4 = 0 THEN 'no json ' || c_name ELSE '{' || chr(10) || '  "name": "' || c_name || '"' || chr(10) || '}' END AS body,
+  CASE WHEN c_nationkey % 4 <> 0 THEN c_name END AS name FROM customer
+""")
+def landed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK14, SRC5: an answer for each customer landed as a file of its own, JSON or not, and read again."""
+    path = scratch(spark, "answers")
+    text = F.when(F.col("c_nationkey") % 4 == 0, F.concat(F.lit("no json "), "c_name")).otherwise(F.concat(F.lit('{"name":"'), "c_name", F.lit('"}')))
+    rows = table(spark, sf_dir, "customer").select(F.format_string("answer_%08d.json", "c_custkey").alias("file"), text.alias("body"))
+    answers.land(rows, path)
+    return answers.landed(spark, path).select("file", "body", F.get_json_object("body", "$.name").alias("name"))

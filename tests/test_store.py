@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.functions import replies
 from tallyshelf.operators import brief, browse, ingest, steps
-from tallyshelf.sources import cursor, exports, landed, schema, sinks
+from tallyshelf.sources import answers, cursor, exports, landed, schema, sinks
 from tallyshelf.streaming import upsert
 
 
@@ -231,3 +231,24 @@ def test_matrix_as_a_table(spark, tmp_path):
     for g in whole["matrix_by_group"]:
         found = [r.asDict() for r in brief.matrix_of_group(spark, path, g["group"]).drop("bucket", "row_index", "group").collect()]
         assert found == g["skus"]
+
+
+def test_answers_land_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "answers")
+    rows = [(f"pc_{i:04d}.json", ['{"a": [1, "é"]}', "<html>", None, "[]"][i % 4]) for i in range(60)]
+    df = spark.createDataFrame(rows, "file string, body string").repartition(4)
+    answers.land(df, path)
+    assert sorted(os.listdir(path)) == [n for n, _ in rows]
+    want = {n: '{\n  "a": [\n    1,\n    "é"\n  ]\n}' if b and b.startswith("{") else b or "" for n, b in rows}
+    found = answers.landed(spark, path, 7)
+    assert {r.file: r.body for r in found.collect()} == want and found.rdd.getNumPartitions() == 9
+    broken = spark.createDataFrame([("x1.json", "1"), ("a/b.json", "2"), ("x2.json", "3")], "file string, body string").repartition(3)
+    twice = spark.createDataFrame([("x1.json", "1"), ("x1.json", "2")], "file string, body string").repartition(2)
+    for bad in (broken, twice):
+        with pytest.raises(Exception, match="file"):
+            answers.land(bad, path)
+        assert sorted(os.listdir(path)) == [n for n, _ in rows]
+    answers.land(df.limit(3).selectExpr("file", "'new' as body"), path)
+    assert sum(r.body == "new" for r in answers.landed(spark, path).collect()) == 3
+    answers.land(df.limit(2), f"file://{path}", overwrite=True)
+    assert len(os.listdir(path)) == 2 and answers.landed(spark, str(tmp_path / "none")).count() == 0
