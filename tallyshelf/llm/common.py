@@ -10,6 +10,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +45,20 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _kept[out] = path
+    return out
+
+
+#: Where the tables lie that keep has written, as long as somebody holds them.
+_kept: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def forget(df: DataFrame) -> None:
+    """Removes a table of keep's that nothing will read any more: results that still do become unusable."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(_kept.pop(df))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:

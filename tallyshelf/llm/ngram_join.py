@@ -18,8 +18,8 @@ the n-gram order, partial overlaps are counted for each fragment and pair by its
 the fragment, and summed up per pair. A set with many partners is dealt out in blocks of them.
 
 *Linear in the rows of signatures.* Each signature ties the sets that have it to one of them, its hub. First
-every set is compared with the hub that it shares most signatures with, then sets and hubs that are not in one
-component yet are. Only signatures whose sets still belong to several components need more. Where ``FEW`` sets or
+every set is compared with the hub that it shares most signatures with, then with the ``HUBS`` first ones of these that are not in
+its component yet. Only signatures whose sets still belong to several components need more. Where ``FEW`` sets or
 fewer have one, each is compared with those of other components. Sets tied by larger ones form families; of a
 family, the sets outside its largest component are compared with all its sets, block by block: the membership matrix of
 a fragment times that of another block adds the partial overlaps of every pair to the sums of the other fragments, and
@@ -50,11 +50,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyshelf.llm.common import arrow_pass, keep, text_pass, utf8
+from tallyshelf.llm.common import arrow_pass, forget, keep, text_pass, utf8
 from tallyshelf.llm.components import components
 
 #: Elements of a fragment that says enough by itself, and partners of a set that are compared in one place.
 FULL, PARTNERS = 2, 256
+#: Hubs of a set that are compared with it by themselves; the others share a signature with it and are found through that.
+HUBS = 8
 #: The most sets of a signature that are compared one by one; sets and elements of a block; columns that are multiplied at once.
 FEW, BLOCK_SETS, BLOCK_ELEMENTS, COLUMNS = 16, 512, 500_000, 2048
 #: The bit of a signature's kind from which on it says how many must be shared.
@@ -306,12 +308,18 @@ def of_several(rows: DataFrame, what: str) -> DataFrame:
 
 
 def thinned(rows: DataFrame, what: str) -> DataFrame:
-    """rows without those that cannot tie similar sets with different values of what, as far as that is worth a pass."""
-    rows = keep(of_several(keep(rows, "signatures"), what), "signatures")
+    """rows without those that cannot tie similar sets with different values of what, as far as that is worth a pass.
+
+    Each pass is written and the table before it removed.
+    """
+    first = keep(rows, "signatures")
+    rows = keep(of_several(first, what), "signatures")
+    forget(first)
     before, left = None, rows.count()
     while left and (before is None or left < 0.9 * before):
-        rows = keep(of_several(plausible(rows), what), "signatures")
-        before, left = left, rows.count()
+        fewer = keep(of_several(plausible(rows), what), "signatures")
+        forget(rows)
+        rows, before, left = fewer, left, fewer.count()
     return rows
 
 
@@ -508,17 +516,24 @@ def all_links(shared: DataFrame, elements: DataFrame, percent: int) -> DataFrame
     hub = shared.groupBy("sig").agg(F.min(F.struct("sid", "size")).alias("hub"))
     ties = shared.join(hub, "sig").select(F.col("hub.sid").alias("u"), F.col("hub.size").alias("su"), F.col("sid").alias("v"), F.col("size").alias("sv"))
     stars = ties.where("u <> v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("w"), F.first("su").alias("su"), F.first("sv").alias("sv"))
-    stars = keep(stars, "stars")
+    nearest = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("w"), "u"))
+    stars = keep(stars.withColumn("nearest", nearest).where(F.col("nearest") <= HUBS).drop("nearest"), "stars")
     best = stars.groupBy("v").agg(F.max(F.struct("w", "u", "su", "sv")).alias("best")).select("v", "best.*")
     found = links(best, elements, percent)
     labels = components(found)
     apart = labelled(stars.join(best.select("v", F.col("u").alias("best")), "v").where("u <> best"), labels, "u", "v").where("label_u <> label_v")
     found = found.unionByName(links(apart, elements, percent))
-    tied = labelled(shared, components(found), "sid")
-    tied = keep(of_several(rarest(thinned(tied, "label_sid")), "label_sid"), "rarest-signatures")
-    times = tied.groupBy("sig").agg(F.count(F.lit(1)).alias("times"), F.min("sid").alias("hub"))
-    tied = keep(tied.join(times, "sig"), "tied-sets")
-    families = components(tied.where(F.col("times") > FEW).select(F.col("hub").alias("u"), F.col("sid").alias("v")))
+    thin = thinned(labelled(shared, components(found), "sid"), "label_sid")
+    forget(shared)
+    rare = keep(of_several(rarest(thin), "label_sid"), "rarest-signatures")
+    forget(thin)
+    times = rare.groupBy("sig").agg(F.count(F.lit(1)).alias("times"), F.min("sid").alias("hub"))
+    tied = keep(rare.join(times, "sig"), "tied-sets")
+    forget(rare)
+    # a set ties all its hubs, so each hub needs one edge to the smallest of them, and many sets ask for the same ones
+    hubs = tied.where(F.col("times") > FEW).groupBy("sid").agg(F.collect_set("hub").alias("hubs"))  # a set's signatures at most
+    hubs = hubs.select("sid", "hubs", F.array_min("hubs").alias("u"))
+    families = components(hubs.select("u", F.explode("hubs").alias("v")).unionByName(hubs.select("u", F.col("sid").alias("v"))))
     members = tied.select("sid", "size", F.col("label_sid").alias("label")).distinct()
     members = members.join(families.select(F.col("node").alias("sid"), F.col("component").alias("family")), "sid")
     found = found.unionByName(block_links(members, elements, percent))
