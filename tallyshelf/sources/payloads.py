@@ -151,39 +151,14 @@ def objects_with(keys: tuple[str, ...], nests: tuple[str, ...] = ()):
     return found
 
 
-class Asked:
-    """Stands for an object's texts by key and remembers which keys are asked for."""
+def with_objects(raw: DataFrame, body: str, keys: tuple[str, ...], nests: tuple[str, ...] = ()) -> DataFrame:
+    """raw without its body, a row for each object: position, v (a variant), fields (its keys with their texts) and texts.
 
-    def __init__(self):
-        self.keys: set[str] = set()
-
-    def __getitem__(self, key: str) -> Column:
-        self.keys.add(key)
-        return F.lit("")
-
-
-def ware_keys() -> list[str]:
-    """The keys that a listing row's columns look at."""
-    asked = Asked()
-    own = Fields(F.lit(None).cast("variant"), asked)
-    ware_inputs(own)
-    ware_columns(own, F.array(F.lit("")))
-    is_ad(own)
-    return sorted(k for k in asked.keys if "." not in k)
-
-
-def texts_of(asked: list[str]) -> dict[str, Column]:
-    """The texts under the keys that with_objects was asked for."""
-    return {k: F.col("fields")[f"k{i}"] for i, k in enumerate(asked)}
-
-
-def with_objects(raw: DataFrame, body: str, keys: tuple[str, ...], nests: tuple[str, ...] = (), asked: list[str] | None = None) -> DataFrame:
-    """raw without its body, a row for each object: position, v (a variant), fields and texts; see texts_of for fields."""
+    A struct of the wanted keys in place of the map is much slower: the optimizer parses the object anew for every key.
+    """
     rest = [c for c in raw.columns if c != body]
     listed = raw.select(*rest, F.posexplode(objects_with(keys, nests)(json_body(body))).alias("position", "found"))
-    asked = asked or list(keys)
-    places = ", ".join(f"k{i}: string" for i in range(len(asked)))  # Spark's names differ by more than their case
-    fields = F.from_json("found.object", ", ".join(f"`{k}` string" for k in asked)).cast(f"struct<{places}>").alias("fields")
+    fields = F.from_json("found.object", "map<string,string>").alias("fields")
     return listed.select(*rest, "position", F.try_parse_json("found.object").alias("v"), fields, F.col("found.texts").alias("texts"))
 
 
@@ -300,8 +275,8 @@ def wares(raw: DataFrame, body: str = "body") -> DataFrame:
     raw has the body and columns that name a payload, such as file, page and keyword.
     """
     names = [c for c in raw.columns if c != body]
-    found = with_objects(raw, body, SKU, NESTS, asked := ware_keys())
-    own = Fields(F.col("v"), texts_of(asked))
+    found = with_objects(raw, body, SKU, NESTS)
+    own = Fields(F.col("v"), F.col("fields"))
     columns = ware_columns(own, F.col("texts"))
     rows = found.withColumns(ware_inputs(own)).select(*names, "position", *[c.alias(k) for k, c in columns.items()])
     good = rows.where(F.rlike("sku_id", F.lit("^[0-9]{5,}$")) & (F.length("title") >= 2))
@@ -346,8 +321,8 @@ def cursor_steps(raw: DataFrame, page: str, cursor: str, body: str = "body") ->
     least_one = lambda x: F.when(x < 1, F.lit(1)).otherwise(x)
     stepped = lambda natural, total: least_one(F.when(natural > 0, natural).otherwise(total) - 1)
     keyed = keyed.withColumn("_by_list", stepped(F.size(F.filter(entries, lambda x: ~marked_advert(x))), F.size(entries)))
-    found = with_objects(keyed.select("_payload", body).distinct(), body, SKU, NESTS, asked := ware_keys())
-    own = Fields(F.col("v"), texts_of(asked))
+    found = with_objects(keyed.select("_payload", body).distinct(), body, SKU, NESTS)
+    own = Fields(F.col("v"), F.col("fields"))
     good = found.select("_payload", own.first(*SKU).alias("_sku"), plain(own.first(*TITLE)).alias("_title"), is_ad(own).alias("_ad"))
     good = good.where(F.rlike("_sku", F.lit("^[0-9]{5,}$")) & (F.length("_title") >= 2))
     natural = F.count_distinct(F.when(~F.col("_ad"), F.col("_sku")))
