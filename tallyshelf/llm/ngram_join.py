@@ -61,6 +61,8 @@ HUBS = 8
 FEW, BLOCK_SETS, BLOCK_ELEMENTS, COLUMNS = 16, 512, 500_000, 2048
 #: The bit of a signature's kind from which on it says how many must be shared.
 NEED_AT = 10
+#: Rows with elements that are turned into Python's objects at once.
+ROWS = 500
 #: Rarer signatures of a set that come with each one.
 RARER = 10
 #: Into how many fragments compared sets are cut at least, and the elements of the first set that make one more.
@@ -370,9 +372,16 @@ def element_rows(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
 CUT = "u long, su long, block int, fragment int, v long, sv long, part binary"
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of ROWS at most: what is made of one is freed before the next."""
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            yield b.slice(i, ROWS)
+
+
 def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (u, su, block, v, sv, elements) one for each fragment: the elements that lie in it."""
-    for b in batches:
+    for b in pieces(batches):
         columns: list[list] = [[] for _ in range(7)]
         for u, su, block, v, sv, raw in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
             m = LEAST_FRAGMENTS + su // FRAGMENT_ELEMENTS
@@ -390,7 +399,7 @@ def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def partial_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows of CUT, each u's own part before its partners': the partial overlaps of a fragment's pairs."""
     at, own = None, np.zeros(0, "<u8")
-    for b in batches:
+    for b in pieces(batches):
         found: list[tuple] = []
         for u, su, block, i, v, sv, raw in zip(*[b.column(i).to_pylist() for i in range(7)], strict=True):
             if (u, block, i) != at:
@@ -490,7 +499,7 @@ def block_links(members: DataFrame, elements: DataFrame, percent: int) -> DataFr
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
-        for b in batches:
+        for b in pieces(batches):
             for family, i, j, side, sid, x in zip(*[b.column(c).to_pylist() for c in range(6)], strict=True):
                 if (family, i, j) != at:
                     u, v = piece(held)
