@@ -11,7 +11,10 @@ order of rank, never join the ends that meet.
 Merges and vocabulary come from a tokenizer file of the public JSON form; nothing is trained. The ids
 equal those of the tokenizers library for such a file with the normaliser and splits of ``WORD_SPLIT``.
 
-Each text is encoded whole, where it lies. What is kept between batches is bounded by ``REMEMBERED`` words.
+Each text is encoded whole, where it lies. What is kept between batches is bounded by ``REMEMBERED`` words of
+``LONGEST`` characters at most; longer ones are encoded anew in each step, and a step takes texts of
+``CHARACTERS`` together, or one longer text. Pre-tokens beyond ``DEEP`` letters share no prefixes: they are
+walked one by one, with their states in arrays of numbers.
 
 Defined cases: a null or empty text, or one of white space, has no ids and decodes to the empty text;
 special strings in a text become their special ids; repeated rows encode alike; extra columns are ignored.
@@ -28,14 +31,17 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from tallyshelf.llm.common import text_pass
 
 END = "</w>"
-#: Words remembered between batches; above it the memory starts anew.
-REMEMBERED = 400_000
+#: Words remembered between batches, above which the memory starts anew, and the longest of them in characters.
+REMEMBERED, LONGEST = 400_000, 64
+#: Letters of a pre-token above which its states are arrays.
+DEEP = 4096
 NEVER = 1 << 40
 
 # How the tokenizer file splits words, and what Unicode calls white space.
@@ -62,6 +68,9 @@ class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
+        splits = [x["pattern"].get("Regex") for x in (file["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        if splits != [WORD_SPLIT.pattern] or file["model"].get("end_of_word_suffix") != END:
+            raise ValueError("words of this tokenizer are split in another way")
         self.path = path
         self.vocab: dict[str, int] = file["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in file["added_tokens"]}
@@ -119,10 +128,18 @@ class WordBpe:
 
     def traverse(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of distinct pre-tokens. In sorted order the stack of states is the path from the trie's root."""
+        words = list(words)
+        out = self.walk(sorted(w for w in words if len(w) <= DEEP), [-1], [0])
+        for word in (w for w in words if len(w) > DEEP):
+            out |= self.walk([word], array("i", [-1]), array("q", [0]))
+        return out
+
+    def walk(self, words: list[str], token: list[int] | array, start: list[int] | array) -> dict[str, list[int]]:
+        """Ids of sorted pre-tokens. At depth i, token has the last token of the prefix, and start where it starts."""
         out: dict[str, list[int]] = {}
-        token, start, before = [-1], [0], ""  # at depth i: the last token of the prefix, and where it starts
+        before = ""
         inner, final, follows = self.inner, self.final, self.follows
-        for word in sorted(words):
+        for word in words:
             depth, most = 0, min(len(before), len(word) - 1, len(token) - 1)
             while depth < most and before[depth] == word[depth]:
                 depth += 1
@@ -173,8 +190,8 @@ class WordBpe:
         found = WORD_SPLIT.findall(unicodedata.normalize("NFC", part).lower())
         return [x if x.isascii() else x.encode().decode("latin-1").translate(TO_LETTERS) for x in found]
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes and decodes the words not known yet."""
+    def learn(self, words: set[str]) -> list[str]:
+        """Encodes and decodes the words not known yet; returns those among them that are too long to be kept."""
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
         pieces: dict[str, list[str | int]] = {}
@@ -208,6 +225,7 @@ class WordBpe:
                 self.known[w] = array("I", ids).tobytes(), self.decode(ids).encode()
         finally:
             gc.enable()
+        return [w for w in pieces if len(w) > LONGEST]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Token names joined by spaces: what the file's lack of a decoder asks for."""
@@ -222,10 +240,14 @@ class WordBpe:
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """For each text its ids as 32-bit integers in the machine's order, and what they decode to."""
         split = [self.words(t) for t in texts]
-        self.learn(set().union(*split))
-        for words in split:
-            found = [self.known[w] for w in words]
-            yield b"".join([x[0] for x in found]), b" ".join([x[1] for x in found if x[1]])
+        passing = self.learn(set().union(*split))
+        try:
+            for words in split:
+                found = [self.known[w] for w in words]
+                yield b"".join([x[0] for x in found]), b" ".join([x[1] for x in found if x[1]])
+        finally:
+            for w in passing:
+                del self.known[w]
 
 
 _loaded: dict[str, WordBpe] = {}
@@ -238,20 +260,32 @@ def tokenizer(path: str) -> WordBpe:
     return _loaded[path]
 
 
-#: Texts taken together when words are looked up; bounds what one step holds.
-AT_ONCE = 1000
+#: Texts, and their characters, taken together when words are looked up; bounds what one step holds.
+AT_ONCE, CHARACTERS = 1000, 1 << 22
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 FULL = "doc_id long, ids array<int>, decoded string"
 
 
+def steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch with texts in its second column, in slices that one step takes."""
+    sizes = pc.utf8_length(batch.column(1)).to_pylist()
+    first, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and (i - first == AT_ONCE or held + n > CHARACTERS):
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if sizes:
+        yield batch.slice(first)
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and decoded text of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for b in batches:
-            for i in range(0, b.num_rows, AT_ONCE):
-                part = b.slice(i, AT_ONCE)
+            for part in steps(b):
                 found = list(bpe.encode_batch(part.column(1).to_pylist()))
                 ids = pa.array([memoryview(x).cast("i") for x, _ in found], pa.list_(pa.int32()))
                 texts = pa.array([y.decode() for _, y in found], pa.string())
@@ -267,8 +301,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         bpe = tokenizer(path)
         for b in batches:
             out = []
-            for i in range(0, b.num_rows, AT_ONCE):
-                for ids, text in bpe.encode_batch(b.column(1).slice(i, AT_ONCE).to_pylist()):
+            for part in steps(b):
+                for ids, text in bpe.encode_batch(part.column(1).to_pylist()):
                     out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()))
             n, ids, text = zip(*out, strict=True) if out else ((), (), ())
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())]

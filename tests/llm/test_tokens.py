@@ -116,3 +116,30 @@ def test_empty_tables(spark):
     path = token_files.fresh_path(spark)
     token_files.write(none(spark), BYTE, path)
     assert token_files.digests(spark, path).count() == 0
+
+
+def test_long_words_are_not_kept(monkeypatch):
+    t = bpe.WordBpe(WORD)
+    r = random.Random(5)
+    texts = ["".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(2000)) + " short" for _ in range(20)]
+    monkeypatch.setattr(bpe, "DEEP", 3000)  # some pre-tokens of 6,000 byte letters are walked by themselves
+    texts += ["x" * 100 + " " + "x" * 5000, "short words only"]
+    library = Tokenizer.from_file(WORD)
+    for _ in range(2):
+        for text, (ids, _) in zip(texts, t.encode_batch(texts), strict=True):
+            assert list(memoryview(ids).cast("I")) == library.encode(text, add_special_tokens=False).ids
+        assert set(t.known) == {"short", "words", "only"}
+
+
+def test_steps_hold_a_bounded_number_of_characters():
+    texts = ["a" * (bpe.CHARACTERS // 2)] * 3 + ["b" * (3 * bpe.CHARACTERS)] + ["", None] + ["c"] * (bpe.AT_ONCE + 1)
+    batch = bpe.pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": [t or "" for t in texts]})
+    found = list(bpe.steps(batch))
+    assert [x for s in found for x in s.column(0).to_pylist()] == list(range(len(texts)))
+    assert [s.num_rows for s in found] == [2, 1, 1, bpe.AT_ONCE, 3]
+    assert list(bpe.steps(batch.slice(0, 0))) == []
+
+
+def test_other_splits_are_refused():
+    with pytest.raises(ValueError, match="another way"):
+        bpe.WordBpe(BYTE)
