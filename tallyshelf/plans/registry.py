@@ -22,4 +22,4 @@ def register(sql: str | None = None):
     return add
 
 
-from tallyshelf.plans import catalogue, comments, exports, jobs, payloads, shelf, store, texts  # noqa: E402,F401  (they register their queries)
+from tallyshelf.plans import catalogue, comments, exports, jobs, payloads, readings, shelf, store, texts  # noqa: E402,F401  (they register their queries)

@@ -53,10 +53,17 @@ def rows_of_job(spark: SparkSession, path: str, job: str, column: str = "job_id"
     return stored(spark, path).where(F.col(column) == job)
 
 
-def run_metadata(flags: dict[str, Any], relations: dict[str, DataFrame]) -> str:
-    """SNK9: a run's settings and the number of rows of each of its relations, as a JSON object."""
+def run_metadata(flags: dict[str, Any], relations: dict[str, DataFrame], statistics: dict[str, DataFrame] | None = None) -> str:
+    """SNK9: a run's settings, statistics and the number of rows of each of its relations, as a JSON object.
+
+    Statistics are relations of one row, such as what a filter kept and dropped, and become objects; one without rows is null.
+    """
+    found = {}
+    for name, rows in (statistics or {}).items():
+        row = rows.limit(1).collect()
+        found[name] = row[0].asDict(True) if row else None
     counts = {f"{name}_rows": rows.count() for name, rows in relations.items()}
-    return json.dumps({**flags, **counts}, ensure_ascii=False, indent=2)
+    return json.dumps({**flags, **found, **counts}, ensure_ascii=False, indent=2)
 
 
 def sorted_payload(c: Column | str) -> Column:
