@@ -134,16 +134,26 @@ def is_acceptable(c: Column | str) -> Column:
 def sanitised(c: Column | str, run: int = 28, kinds: int = 3, most: int = 3200) -> Column:
     """STR20: without closing quotes, without a tail that repeats a few words, and not over long.
 
-    The tail starts at the first segment from which ``run`` or more segments have ``kinds`` values or fewer.
+    The tail starts at the first segment from which ``run`` or more segments have ``kinds`` values or fewer. One fold from
+    the last segment on finds it; steps that later ones look at several times are variables of a lambda, so each runs once.
     """
     t = F.regexp_replace(strip(c), "(?U)[\"'“”‘’＂\\s]+$", "")
-    parts = segments(t)
-    rest = lambda i: F.array_distinct(F.slice(parts, i + 1, F.size(parts)))
-    starts = F.sequence(F.lit(0), F.greatest(F.size(parts) - run, F.lit(0)))
-    spam = F.filter(starts, lambda i: (F.size(parts) - i >= run) & (F.size(rest(i)) <= kinds))
-    kept = F.slice(parts, 1, F.coalesce(F.try_element_at(spam, F.lit(1)), F.size(parts)))
-    joined = F.regexp_replace(F.array_join(kept, "、"), r"(磷酸三[钾钠][、,，]?\s*){35,}", "磷酸三钾、磷酸三钠等（按国家标准使用）")
-    head = F.substring(joined, 1, most)
-    last = F.length(F.regexp_extract(head, r"(?s)^(.*[、，,；])", 1))
-    ended = F.concat(F.when(last - 1 > most // 2, F.substr(head, F.lit(1), last)).otherwise(head), F.lit("…（已截断）"))
-    return F.when(F.length(joined) > most, ended).otherwise(joined)
+    once = lambda x, then: F.get(F.transform(F.array(x), then), F.lit(0))
+    start = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(0).alias("n"))
+
+    def longer(tail: Column, x: Column) -> Column:
+        """The tail with x before it; one more value than kinds ends it."""
+        known = F.array_contains(tail["seen"], x)
+        seen = F.when(known | (F.size(tail["seen"]) > kinds), tail["seen"]).otherwise(F.concat(tail["seen"], F.array(x)))
+        return F.struct(seen.alias("seen"), (tail["n"] + F.when(F.size(seen) <= kinds, 1).otherwise(0)).alias("n"))
+
+    def without_tail(parts: Column) -> Column:
+        tail = F.aggregate(F.reverse(parts), start, longer, lambda x: x["n"])
+        return once(tail, lambda n: F.slice(parts, 1, F.size(parts) - F.when(n >= run, n).otherwise(0)))
+
+    def ended(head: Column) -> Column:
+        last = F.length(F.regexp_extract(head, r"(?s)^(.*[、，,；])", 1))
+        return F.concat(once(last, lambda n: F.when(n - 1 > most // 2, F.substr(head, F.lit(1), n)).otherwise(head)), F.lit("…（已截断）"))
+
+    joined = F.regexp_replace(F.array_join(once(segments(t), without_tail), "、"), r"(磷酸三[钾钠][、,，]?\s*){35,}", "磷酸三钾、磷酸三钠等（按国家标准使用）")
+    return once(joined, lambda x: F.when(F.length(x) > most, once(F.substring(x, 1, most), ended)).otherwise(x))

@@ -1,6 +1,8 @@
 """Cells: blanks, nulls, wide characters, ties and bounds."""
 
+import random
 import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +88,22 @@ def test_long_ingredients_end_at_a_mark(value):
     assert got.endswith("、…（已截断）") and len(got) < 3300
 
 
+def test_a_tail_is_found_in_one_pass(spark):
+    rng, cells = random.Random(1), ["水、" * 40, "、".join("abcd" * 10)]
+    cells += ["、".join(rng.choices("abcdefgh", k=rng.randint(0, 30)) + rng.choices("abcd"[: rng.randint(1, 4)], k=rng.randint(20, 40))) for _ in range(60)]
+
+    def want(cell):
+        parts = [x for x in cell.split("、") if x]
+        return "、".join(parts[: next((i for i in range(len(parts) - 27) if len(set(parts[i:])) <= 3), len(parts))])
+
+    long = "、".join(f"{i}" for i in range(3000)) + "、x、y" * 3000
+    began = time.time()
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate([*cells, long])], "i int, c string")
+    got = dict(rows.select("i", ingredients.sanitised("c", most=1 << 20)).collect())
+    assert [got[i] for i in range(len(cells))] == list(map(want, cells))
+    assert got[len(cells)] == "、".join(f"{i}" for i in range(2999)) and time.time() - began < 60
+
+
 def test_distinct_texts_keep_the_first(spark):
     got = spark.range(1).select(text.distinct_texts(F.array(*map(F.lit, ["b  B", "B b", "x", "Yy", "yY"]))).alias("x")).first().x
     assert got == ["b B", "Yy"]
