@@ -99,8 +99,11 @@ def manifest(spark: SparkSession, path: str) -> dict[str, Any]:
 
 
 def read_csv(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
-    """The rows of a CSV section as texts: the header stands in its first part alone, and so is no header to the reader."""
-    rows = spark.read.schema(", ".join(f"`{c}` string" for c in columns)).options(header=False, multiLine=True, quote='"', escape='"').csv(folder)
+    """The rows of a CSV section as texts: the header stands in its first part alone, and so is no header to the reader.
+
+    The line end is named: a reader left to guess takes the first one of each part, which may stand in a quoted cell.
+    """
+    rows = spark.read.schema(", ".join(f"`{c}` string" for c in columns)).options(header=False, multiLine=True, lineSep="\r\n", quote='"', escape='"').csv(folder)
     first = F.regexp_replace(F.col(f"`{columns[0]}`"), f"^{BOM}", "")
     is_header = first == columns[0]
     for c in columns[1:]:

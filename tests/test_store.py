@@ -206,6 +206,15 @@ def test_exports_by_tasks_equal_the_driver_s(spark, tmp_path):
     assert joined({"sections": [{"path": str(tmp_path / "one"), "before": ""}]}) == [sinks.csv_text(alone, {"v": "V"})]
 
 
+def test_parts_are_read_whatever_line_end_stands_first(spark, tmp_path):
+    cells = ["a\nb", "c\r\nd", "", 'e,"\n', "f"] * 20
+    rows = spark.createDataFrame([(i, c, "") for i, c in enumerate(cells)], "row_index int, title string, last string")
+    lines = exports.csv_lines(rows, {"row_index": "row_index", "title": "名称", "last": "末"}, "row_index")
+    lines.orderBy("place").repartitionByRange(9, "place").sortWithinPartitions("place").select("line").write.option("lineSep", "\r\n").text(str(tmp_path / "parts"))
+    got = exports.read_csv(spark, str(tmp_path / "parts"), ["row_index", "名称", "末"]).collect()
+    assert sorted((int(r[0]), r[1], r[2]) for r in got) == [(i, c, "") for i, c in enumerate(cells)]
+
+
 def test_a_table_in_chunks_by_key(spark, tmp_path):
     rows = spark.range(0, 3000, 3).select(F.col("id").alias("key"), F.concat(F.lit("v"), "id").alias("v"))
     table = cursor.laid_out(rows.repartition(5), "key", str(tmp_path / "t"))
