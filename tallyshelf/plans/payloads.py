@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyshelf.plans.inputs import parts
 from tallyshelf.plans.registry import register
 from tallyshelf.sources import landed, payloads
 from tallyshelf.sources.tables import table
@@ -35,7 +36,7 @@ def search_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     wares = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", ware.alias("w")))), lambda x: x["w"]), ",")
     body = F.concat(F.lit('cb({"data":{"resultCount":9,"deep":[{"wareList":['), wares, F.lit("]}]}});"))
-    return table(spark, sf_dir, "part").groupBy(page.alias("file")).agg(body.alias("body"))
+    return parts(spark, sf_dir).groupBy(page.alias("file")).agg(body.alias("body"))
 
 
 @register(f"""
@@ -72,7 +73,7 @@ def detail_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("productAttributeVO"),
         )
     )
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.lit("[1]")).otherwise(own).alias("body"))
+    return parts(spark, sf_dir).select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.lit("[1]")).otherwise(own).alias("body"))
 
 
 @register("""
@@ -149,12 +150,12 @@ def tag_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     tags = F.concat(F.lit('"tagList":["x","'), name, F.lit('",{"name":" ","title":"T '), size, F.lit('"},5,null]'))
     body = F.concat(F.lit("{"), tags, F.lit(","), F.substring(own, 2, 1 << 20))
-    rows = table(spark, sf_dir, "part").select("p_partkey", body.alias("body"))
+    rows = parts(spark, sf_dir).select("p_partkey", body.alias("body"))
     return payloads.with_objects(rows, "body", payloads.SKU, payloads.NESTS).select("p_partkey", F.array_join("texts", "/").alias("texts"))
 
 
 def requests(spark: SparkSession, sf_dir: str, body) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 3).alias("page"), (F.col("p_partkey") % 10).alias("cursor"), body.alias("body"))
+    return parts(spark, sf_dir).select("p_partkey", (F.col("p_partkey") % 3).alias("page"), (F.col("p_partkey") % 10).alias("cursor"), body.alias("body"))
 
 
 @register("SELECT p_partkey, p_partkey % 3 AS page, p_partkey % 10 AS cursor, CASE WHEN p_size % 4 > 0 THEN p_partkey % 10 + p_size END AS next_cursor FROM part")
@@ -196,7 +197,7 @@ def first_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.struct(F.col("p_partkey").alias("guid"), mark.alias("maidianInfo"))
     body = F.to_json(F.struct(F.when(F.col("p_partkey") % 4 > 0, F.array(one, one)).otherwise(F.slice(F.array(one), 1, 0)).alias("commentInfoList")))
     columns = payloads.first_category(landed.variant("body"))
-    return table(spark, sf_dir, "part").select("p_partkey", body.alias("body")).select("p_partkey", *[c.alias(k) for k, c in columns.items()])
+    return parts(spark, sf_dir).select("p_partkey", body.alias("body")).select("p_partkey", *[c.alias(k) for k, c in columns.items()])
 
 
 @register("""
@@ -206,5 +207,5 @@ def response_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSN26, FLT13: what became of requests, every state of them."""
     bodies = (" ", "<html>", '{"data":{"wareList":[]}}', 'f({"code":0,"data":{"wareList":[{"skuId":"1"}]}});', '{"data":{"wareList":{}}}', "[1]", '{"code":3,"data":{"wareList":[1]}}')
     body = F.element_at(F.array(*map(F.lit, bodies)), (F.col("p_partkey") % 7 + 1).cast("int"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", body.alias("body"))
+    rows = parts(spark, sf_dir).select("p_partkey", body.alias("body"))
     return rows.select("p_partkey", payloads.search_quality("body").alias("quality"), F.coalesce(payloads.business_ok(landed.variant("body")), F.lit(False)).alias("readable"))

@@ -16,7 +16,7 @@ from tallyshelf.plans.registry import register
 from tallyshelf.sources import landed, sinks
 from tallyshelf.sources.shared import scratch
 from tallyshelf.sources.schema import RELATIONS
-from tallyshelf.sources.tables import table
+from tallyshelf.sources.tables import dealt, table
 from tallyshelf.streaming.upsert import current
 
 PARTS = {"货号": "p_partkey", "名称": "p_name", "品牌": "p_brand", "空": "blank"}
@@ -124,7 +124,7 @@ def reply_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.concat(F.lit('["a ", {"type": "text", "text": "'), name, F.lit('"}, {"x": 1}, {"text": "'), brand, F.lit(' "}, 3]'))
     several = F.array(name, F.upper(name), brand, F.lit(" "), F.concat(F.lit(" "), brand))
     payload = F.concat(F.lit('{"b": '), F.col("p_size").cast("string"), F.lit(', "a": "'), name, F.lit('"}'))
-    return table(spark, sf_dir, "part").select(
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").select(
         "p_partkey",
         F.array_join(replies.phrases(F.when(form == 1, replies.without_fence(reply)).otherwise(reply)), "/").alias("phrases"),
         replies.without_fence(reply).alias("bare"),
@@ -203,7 +203,7 @@ UNION ALL SELECT 'merged', job, n, n - 1 FROM p, two UNION ALL SELECT 'snapshots
 def runs_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CAT3, SNK6, SRC11, WIN14: runs 7 and 007 with all parts as products and all customers as comments, then run 7 again without comments."""
     folder, store = scratch(spark, "landed-run"), scratch(spark, "store")
-    parts, texts = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
+    parts, texts = dealt(table(spark, sf_dir, "part"), "p_partkey"), dealt(table(spark, sf_dir, "customer"), "c_custkey")
     own = {
         "search": {"sku_id": "p_partkey", "title": "p_name"},
         "detail": {"sku_id": "p_partkey", "detail_brand": "p_brand"},

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyshelf.functions import category, ingredients, links, text
+from tallyshelf.plans.inputs import parts
 from tallyshelf.plans.registry import register
 from tallyshelf.sources import landed
 from tallyshelf.sources.tables import table
@@ -49,7 +50,7 @@ RAW = "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{k}' || p_brand" for i,
 
 def raw_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.element_at(F.array(*map(F.lit, KINDS)), (F.col("p_partkey") % 8 + 1).cast("int")), "p_brand")
-    return table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))
+    return parts(spark, sf_dir).select("p_partkey", raw.alias("raw"))
 
 
 @register(f"""
@@ -85,7 +86,7 @@ def rank_text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR5."""
     k = F.col("p_partkey") % 5
     tag = F.when(k == 0, "热卖榜").when(k == 1, F.concat(F.lit("top "), "p_name")).when(k == 2, "第 3 名").when(k == 3, F.concat(F.lit("热销"), "p_brand")).otherwise(F.col("p_name"))
-    return table(spark, sf_dir, "part").select("p_partkey", text.is_rank_text(tag).alias("is_rank"))
+    return parts(spark, sf_dir).select("p_partkey", text.is_rank_text(tag).alias("is_rank"))
 
 
 #: One text of each kind that the judgements tell apart.
@@ -105,7 +106,7 @@ SAMPLES = (
 
 def sample_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.element_at(F.array(*map(F.lit, SAMPLES)), (F.col("p_partkey") % len(SAMPLES) + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))
+    return parts(spark, sf_dir).select("p_partkey", raw.alias("raw"))
 
 
 @register("""
@@ -131,7 +132,7 @@ def ingredient_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 4
     body = F.when(k == 0, F.concat("p_name", F.lit("\r\n\n "), "p_brand")).when(k < 3, F.lit("https://img.x/1.jpg")).otherwise("")
     attrs = F.when(k == 1, F.concat(F.lit("产地:x; 配料表："), "p_type", F.lit("; 净含量:1"))).otherwise("")
-    return table(spark, sf_dir, "part").select("p_partkey", ingredients.shown_ingredients(body, F.lit(""), attrs).alias("shown"))
+    return parts(spark, sf_dir).select("p_partkey", ingredients.shown_ingredients(body, F.lit(""), attrs).alias("shown"))
 
 
 @register("""
@@ -141,7 +142,7 @@ def ingredient_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR19, STR20: a tail of three words or fewer said over and over is cut, the brand before it included, as are closing quotes."""
     tail = F.when(F.col("p_partkey") % 2 == 0, F.repeat(F.lit("，xx、yy"), 40)).otherwise(F.concat(F.lit("，"), "p_type"))
     raw = F.concat("p_name", F.lit("、"), "p_brand", tail, F.lit("”\""))
-    return table(spark, sf_dir, "part").select("p_partkey", ingredients.sanitised(raw).alias("cleaned"))
+    return parts(spark, sf_dir).select("p_partkey", ingredients.sanitised(raw).alias("cleaned"))
 
 
 @register("""
@@ -151,7 +152,7 @@ SELECT p_partkey, left(p_name || '/' || p_brand, 12) || CASE WHEN length(p_name
 def cell_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ7, PRJ10, STR27, STR28."""
     folder = F.concat(F.lit("20240101_120000_"), "p_name")
-    return table(spark, sf_dir, "part").select(
+    return parts(spark, sf_dir).select(
         "p_partkey",
         text.table_cell(F.concat(F.lit(" "), "p_name", F.lit("|"), "p_brand", F.lit("\n")), 12).alias("cell"),
         text.safe_segment(F.concat("p_brand", F.lit("?"), "p_type")).alias("folder"),
@@ -171,7 +172,7 @@ def category_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(k == 0, F.concat(F.lit(" a > "), "p_type", F.lit(" "))).otherwise(" ")
     leaf = F.when(k < 2, F.concat("p_brand", F.lit("\u3000"))).otherwise("")
     attributes = F.when(k == 2, F.concat(F.lit("类目:12 | 简称： "), "p_name", F.lit(" | x"))).when(k == 3, F.concat(F.lit("简称:"), "p_name"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), leaf.alias("leaf"), attributes.alias("attributes"))
+    rows = parts(spark, sf_dir).select("p_partkey", path.alias("path"), leaf.alias("leaf"), attributes.alias("attributes"))
     whole = category.category_cell("path", "leaf", "attributes")
     return rows.select("p_partkey", whole.alias("category"), category.product_category("path", "leaf").alias("shown"), category.top_segment(whole).alias("top"))
 
@@ -185,7 +186,7 @@ def scalar_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.when(k == 0, q(F.concat(F.lit("  "), "p_name"))).when(k == 1, F.col("p_size").cast("string")).when(k == 2, F.lit("null")).when(k == 3, F.lit('{"x": 1}')).otherwise(F.lit('" "'))
     b = F.when(k == 2, q(F.col("p_brand"))).when(k == 3, F.lit("[1]")).when(k == 4, q(F.concat("p_type", F.lit("\\n")))).otherwise(F.lit('"never"'))
     body = F.concat(F.lit('{"b":'), b, F.lit(',"a":'), a, F.lit("}"))
-    return table(spark, sf_dir, "part").select("p_partkey", landed.first_scalar(landed.variant(body), "none", "a", "b").alias("value"))
+    return parts(spark, sf_dir).select("p_partkey", landed.first_scalar(landed.variant(body), "none", "a", "b").alias("value"))
 
 
 @register("""
@@ -200,4 +201,4 @@ def described_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_size") % 2 == 0, F.lit("<img src=https://item.jd.com/1.gif><img src=//c.x/d>")).otherwise(F.lit("")),
     )
     joined = links.picture_list(links.addresses_in(html))
-    return table(spark, sf_dir, "part").select("p_partkey", joined.alias("joined")).select("p_partkey", "joined", F.size(links.listed_addresses("joined")).alias("n"))
+    return parts(spark, sf_dir).select("p_partkey", joined.alias("joined")).select("p_partkey", "joined", F.size(links.listed_addresses("joined")).alias("n"))
