@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyshelf.operators import catalog, steps
 from tallyshelf.sources.landed import exists, read_table
 from tallyshelf.sources.schema import RELATIONS
+from tallyshelf.sources.shared import written
 from tallyshelf.sources.sinks import replace_job, rows_of_job
 from tallyshelf.streaming.upsert import apply_batch, current, versions
 
@@ -65,8 +66,8 @@ def ingest_run(
     return {"dataset": {f"{r}_rows": found[r] for r, _ in first}, "merged": found.get("stats", missing)}
 
 
-def regenerated_details(files: DataFrame, merged: DataFrame) -> DataFrame:
-    """SRC6: the detail columns anew from landed payloads (file, body), for each row of merged whose product has one, in order of row_index.
+def detail_rows(files: DataFrame, merged: DataFrame) -> DataFrame:
+    """SRC6: the detail columns anew from landed payloads (file, body), for each row of merged whose product has one, in any order.
 
     Ingredients come from merged. Rows without a sku or without a payload are left out; a broken payload gives blank columns.
     """
@@ -74,7 +75,12 @@ def regenerated_details(files: DataFrame, merged: DataFrame) -> DataFrame:
 
     bodies = files.select(F.regexp_extract("file", r"^ware_(.+)_response\.json$", 1).alias("sku_id"), "body").where("sku_id <> ''")
     rows = merged.where("sku_id <> ''").select("row_index", "sku_id", "detail_body_ingredients")
-    return rows.join(details(bodies).drop("parsed"), "sku_id").orderBy("row_index")
+    return rows.join(details(bodies).drop("parsed"), "sku_id")
+
+
+def regenerated_details(files: DataFrame, merged: DataFrame) -> DataFrame:
+    """detail_rows in order of row_index. The sort looks at them twice, so they are written first."""
+    return written(detail_rows(files, merged), "details").orderBy("row_index")
 
 
 def last_accepted(tries: DataFrame, key: str, position: str, text: str, url: str, failed: str, accepted) -> DataFrame:

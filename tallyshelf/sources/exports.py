@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.operators.browse import FIXED, export_columns
 from tallyshelf.operators.catalog import kept_columns
-from tallyshelf.operators.ingest import regenerated_details
+from tallyshelf.operators.ingest import detail_rows
 from tallyshelf.sources.schema import RELATIONS
 from tallyshelf.sources.shared import written
 
@@ -89,7 +89,7 @@ def export(relations: dict[str, tuple[DataFrame, dict[str, str]]], kind: str, fo
 
 def rewrite_details(files: DataFrame, merged: DataFrame, path: str) -> int:
     """SNK13: the detail table of a run anew from its landed payloads (file, body) and its merged rows, as a CSV of part files; the number of rows."""
-    rows = written(regenerated_details(files, merged), "details")
+    rows = written(detail_rows(files, merged), "details")
     put(csv_lines(rows, {c: header for header, c in RELATIONS["detail"].items()}, "row_index"), path, "\r\n")
     return rows.count()
 
