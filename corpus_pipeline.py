@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyshelf.llm import bpe, decontaminate, exact_dedup, ngram_join, quality
-from tallyshelf.llm.common import documents, keep
+from tallyshelf.llm.common import documents, keep, passing
 from tallyshelf.llm.queries import tokenizer_file
 from tallyshelf.sources.tables import table
 
@@ -56,8 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; every stage's rows are written to the shared folder and read again."""
+    """The stages over documents; every stage's rows are written to the shared folder and read again, what else it wrote there goes."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        with passing(spark) as own:
+            docs = keep(stage(spark, docs, sf_dir), name)
+            own.pop()
     return docs

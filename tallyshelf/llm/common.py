@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from weakref import WeakKeyDictionary
 
@@ -40,31 +41,60 @@ def scratch_folder(spark: SparkSession) -> str:
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: its lineage ends there.
 
-    The files outlive any executor, and each later use reads only the columns it needs.
+    The files outlive any executor, and each later use reads only the columns it needs. What the write has shuffled
+    is removed when it ends: left to the driver's garbage collection, files of many steps pile up.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANED) if before is None else spark.conf.set(CLEANED, before)
     out = spark.read.schema(df.schema).parquet(path)
     _kept[out] = path
+    for own in _passing[-1:]:
+        own.append(path)
     return out
 
 
+#: The setting by which a query's shuffle files go when it ends.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The tables of keep's that will be removed, by block of passing.
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes the tables that keep writes inside the block at its end, but for those that are taken from the list."""
+    own: list[str] = []
+    _passing.append(own)
+    try:
+        yield own
+    finally:
+        _passing.remove(own)
+        for path in own:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 #: Where the tables lie that keep has written, as long as somebody holds them.
 _kept: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def forget(df: DataFrame) -> None:
     """Removes a table of keep's that nothing will read any more: results that still do become unusable."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(_kept.pop(df))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(df.sparkSession, _kept.pop(df))
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Removes the scratch tables of this application; results that still read them become unusable."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, scratch_folder(spark))
 
 
 _shipped: set[str] = set()
@@ -113,6 +143,17 @@ def text_pass(
     return arrow_pass(df.select(*cols), schema, work)
 
 
+#: Rows that are turned into Python's objects at once.
+ROWS = 500
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of ROWS at most: what is made of one is freed before the next."""
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            yield b.slice(i, ROWS)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

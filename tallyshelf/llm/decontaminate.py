@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyshelf.llm.common import arrow_pass, text_pass, utf8
+from tallyshelf.llm.common import arrow_pass, pieces, text_pass, utf8
 
 N, LEAST_SCORE, BLOCK_NGRAMS = 3, 0.4, 500_000
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 MARKS = b".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose numbers are remembered, and the longest of them in bytes.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 
 
 class Words(dict):
@@ -189,7 +189,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
             words = Words(own.numbers)
-            for b in batches:
+            for b in pieces(batches):
                 ids, texts = b.column(0).to_pylist(), utf8(b.column(1))
                 rows = [(i, *m) for i, t in zip(ids, texts, strict=True) for m in own.matches(numbers_of(t, words))]
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 5
@@ -213,7 +213,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
             words = Words(own.numbers)
-            for b in batches:
+            for b in pieces(batches):
                 texts = utf8(b.column(at).fill_null(""))
                 yield b.filter(pa.array([not own.matches(numbers_of(t, words)) for t in texts], pa.bool_()))
 

@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyshelf.llm.common import arrow_pass, forget, keep, text_pass, utf8
+from tallyshelf.llm.common import arrow_pass, forget, keep, pieces, text_pass, utf8
 from tallyshelf.llm.components import components
 
 #: Elements of a fragment that says enough by itself, and partners of a set that are compared in one place.
@@ -61,8 +61,6 @@ HUBS = 8
 FEW, BLOCK_SETS, BLOCK_ELEMENTS, COLUMNS = 16, 512, 500_000, 2048
 #: The bit of a signature's kind from which on it says how many must be shared.
 NEED_AT = 10
-#: Rows with elements that are turned into Python's objects at once.
-ROWS = 500
 #: Rarer signatures of a set that come with each one.
 RARER = 10
 #: Into how many fragments compared sets are cut at least, and the elements of the first set that make one more.
@@ -73,7 +71,7 @@ COMMON_IN, AT_ONCE, MOST_COMMON = 4, 2000, 1 << 17
 #: Upper bounds of size classes grow by this factor, which must be at least 100 / percent.
 CLASS_GROWTH = 1.3
 #: Words whose hashes are remembered, and the longest of them in bytes.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 S30, S27, S31, S32 = np.uint64(30), np.uint64(27), np.uint64(31), np.uint64(32)
 
@@ -372,13 +370,6 @@ def element_rows(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
 CUT = "u long, su long, block int, fragment int, v long, sv long, part binary"
 
 
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of ROWS at most: what is made of one is freed before the next."""
-    for b in batches:
-        for i in range(0, b.num_rows, ROWS):
-            yield b.slice(i, ROWS)
-
-
 def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (u, su, block, v, sv, elements) one for each fragment: the elements that lie in it."""
     for b in pieces(batches):

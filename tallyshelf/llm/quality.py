@@ -38,7 +38,7 @@ TERMS = FORMS + WORDS
 #: How much words weigh beside the forms.
 WORD_SHARE = 0.5
 #: Words whose bins are remembered, and the longest of them in bytes.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 
 
 def byte_classes() -> np.ndarray:
@@ -209,5 +209,6 @@ def accepted(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFram
             texts = b.column(at).fill_null("")
             s = scores(b.set_column(at, b.schema.field(at), texts), sent.value, at)
             yield b.filter(pa.array(s >= THRESHOLD))
+        _bins.clear()  # a worker lives on through stages that need no bins
 
     return arrow_pass(docs, docs.schema, work)

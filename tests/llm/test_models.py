@@ -1,6 +1,7 @@
 """Operators 1 and 2: stated numbers by brute force, models by held-out quality; and the pipeline."""
 
 import math
+import os
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from tallyshelf.llm import lm_scoring, quality, queries, token_files
+from tallyshelf.llm import common, lm_scoring, quality, queries, token_files
 from tests.llm.shared import edges, fold, low, none
 
 
@@ -164,6 +165,15 @@ def test_pipeline(spark, sf):
     assert labels.count() and "pipeline" in __spark_entry__.queries()
 
 
+def test_pipeline_leaves_its_stages_alone_on_disk(spark, sf):
+    folder = common.scratch_folder(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    left = sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before)
+    assert left == sorted(name for name, _ in corpus_pipeline.STAGES)
+    assert spark.conf.get(common.CLEANED) == "false"
+
+
 def test_pipeline_of_nothing(spark, sf, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
