@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyshelf.functions.category import group_key
 from tallyshelf.operators import lexicon, merge
 from tallyshelf.operators.chunks import chunked, spread
-from tallyshelf.plans.inputs import LISTING, PATH, at, listing, products, texts
+from tallyshelf.plans.inputs import LISTING, PATH, at, line_rows, listing, named, products, texts
 from tallyshelf.plans.registry import register
 from tallyshelf.sources.tables import table
 
@@ -203,8 +203,8 @@ def merge_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JON1, JON2: first listing row, details and comments of each product, blanks where a side has nothing."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("sku_id"), F.col("p_brand").alias("detail_brand"))
     said = rollup(spark, sf_dir).withColumn("sku_id", F.col("conv_id").cast("string")).drop("conv_id")
-    first = listing(spark, sf_dir)
-    wide = merge.merged(parts, first, parts, said, at())
+    lines = line_rows(spark, sf_dir).drop("price", "flag")
+    wide = merge.merged(parts, lines, parts, said, at(), lambda first: named(first, spark, sf_dir).select("sku_id", "shop_name", "page"))
     return wide.select("sku_id", "shop_name", "page", "detail_brand", "comment_count", "comment_preview")
 
 
