@@ -54,9 +54,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
         spark.conf.unset(CLEANED) if before is None else spark.conf.set(CLEANED, before)
     out = spark.read.schema(df.schema).parquet(path)
     _kept[out] = path
+    keeps(path)
+    return out
+
+
+def keeps(path: str) -> None:
+    """Names a table that goes with the innermost block of passing, if there is one."""
     for own in _passing[-1:]:
         own.append(path)
-    return out
 
 
 #: The setting by which a query's shuffle files go when it ends.

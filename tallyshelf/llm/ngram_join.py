@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyshelf.llm.common import arrow_pass, forget, keep, pieces, text_pass, utf8
+from tallyshelf.llm.common import arrow_pass, forget, keep, keeps, passing, pieces, text_pass, utf8
 from tallyshelf.llm.components import components
 
 #: Elements of a fragment that says enough by itself, and partners of a set that are compared in one place.
@@ -557,9 +557,12 @@ def linked_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
         F.monotonically_increasing_id().alias("sid"), "key", "key64", "size", "n_rows", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash")
     )
     distinct = keep(distinct, "distinct-sets")
-    shared = shared_signatures(docs, n, percent, common_ngrams(rows), distinct)
-    needed = distinct.join(shared.select("sid").distinct(), "sid", "left_semi").select("sid", "key", "n_rows", "rep", "rep_hash")
-    labels = components(all_links(shared, element_rows(docs, n, needed), percent))
+    with passing(docs.sparkSession) as own:
+        shared = shared_signatures(docs, n, percent, common_ngrams(rows), distinct)
+        needed = distinct.join(shared.select("sid").distinct(), "sid", "left_semi").select("sid", "key", "n_rows", "rep", "rep_hash")
+        labels = components(all_links(shared, element_rows(docs, n, needed), percent))
+        kept = own.pop()  # the last table is the labels
+    keeps(kept)
     of_set = labelled(distinct.select("sid", "key", "rep"), labels, "sid")
     least = of_set.groupBy("label_sid").agg(F.min("rep").alias("component_id"))
     of_set = of_set.join(least, "label_sid").select(F.col("key").alias("of"), "component_id")

@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from tallyshelf.llm import common, lm_scoring, quality, queries, token_files
+from tallyshelf.llm import common, lm_scoring, ngram_join, quality, queries, token_files
 from tests.llm.shared import edges, fold, low, none
 
 
@@ -174,6 +174,13 @@ def test_pipeline_leaves_its_stages_alone_on_disk(spark, sf):
     assert spark.conf.get(common.CLEANED) == "false"
 
 
+def test_links_leave_labels_alone_on_disk(spark):
+    docs, folder = edges(spark), common.scratch_folder(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert ngram_join.linked_components(docs, 4, 85).count() == docs.count()
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before) == ["distinct-sets", "labels", "sets"]
+
+
 def test_pipeline_of_nothing(spark, sf, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
