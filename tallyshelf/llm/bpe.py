@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from tallyshelf.llm.common import text_pass
+from tallyshelf.llm.common import held, text_pass
 
 END = "</w>"
 #: Words remembered between batches, above which the memory starts anew, and the longest of them in characters.
@@ -250,7 +250,7 @@ class WordBpe:
                 del self.known[w]
 
 
-_loaded: dict[str, WordBpe] = {}
+_loaded: dict[str, WordBpe] = held(__name__)
 
 
 def tokenizer(path: str) -> WordBpe:

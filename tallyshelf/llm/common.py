@@ -129,11 +129,31 @@ def give_back() -> None:
         pass
 
 
+#: What modules hold in a Python worker from pass to pass.
+_held: dict[str, dict] = {}
+
+
+def held(module: str) -> dict:
+    """A module's own memory in a Python worker; the next pass of another module in that worker empties it."""
+    return _held.setdefault(module, {})
+
+
+def make_room(module: str) -> None:
+    """Empties what other modules hold in this process: workers go from stage to stage, and stages need their memory."""
+    others = [x for name, x in _held.items() if name != module and x]
+    for x in others:
+        x.clear()
+    if others:
+        give_back()
+
+
 def arrow_pass(df: DataFrame, schema, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """Runs work over the Arrow batches of df."""
     ship(df.sparkSession)
+    module = work.__module__
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(module)
         yield from work(batches)
         give_back()
 

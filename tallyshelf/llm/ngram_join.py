@@ -70,8 +70,8 @@ LEAST_FRAGMENTS, FRAGMENT_ELEMENTS = 4, 4096
 COMMON_IN, AT_ONCE, MOST_COMMON = 4, 2000, 1 << 17
 #: Upper bounds of size classes grow by this factor, which must be at least 100 / percent.
 CLASS_GROWTH = 1.3
-#: Words whose hashes are remembered, and the longest of them in bytes.
-REMEMBERED, LONGEST = 150_000, 64
+#: Bytes of texts whose words are hashed at once; a longer word is hashed by itself.
+BLOCK = 1 << 16
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 S30, S27, S31, S32 = np.uint64(30), np.uint64(27), np.uint64(31), np.uint64(32)
 
@@ -83,30 +83,66 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> S31)
 
 
-class Hashes(dict):
-    """64-bit hashes of words, remembered."""
+#: Where words end, and 64-bit numbers for bytes; the powers of P1 and of its inverse by which words' bytes are told apart by place.
+GAPS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * P3)
+POWERS, INVERSES = (np.cumprod(np.array([1, *[p] * (BLOCK - 1)], np.uint64)) for p in (int(P1), pow(int(P1), -1, 1 << 64)))
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= LONGEST:
-            if len(self) > REMEMBERED:
-                self.clear()
-            self[word] = h
-        return h
 
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin, and 64-bit hashes of them, which depend on a word's bytes alone.
 
-def ngram_set(text: bytes, n: int, hashes: Hashes) -> np.ndarray:
-    """Sorted distinct n-gram hashes of a text's words, with A-Z lower-cased."""
-    words = text.lower().split()  # of bytes: both touch ASCII only
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.array(list(map(hashes.__getitem__, words)), np.uint64)
-    n = min(n, len(w))
-    h = np.full(len(w) - n + 1, n, np.uint64)
+    A hash is the sum of the bytes' numbers times powers of P1, the difference of two running sums of a block,
+    brought back to the word's first place.
+    """
+    held = np.frombuffer(text, np.uint8)
+    ends = np.flatnonzero(np.diff(GAPS[held], prepend=True, append=True))
+    starts, ends = ends[::2], ends[1::2]
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        at = starts[i]
+        j = int(np.searchsorted(ends, at + BLOCK, "right"))
+        if i == j:
+            out[i] = xxhash.xxh3_64_intdigest(text[at : ends[i]])
+            i += 1
+            continue
+        block = LETTERS[held[at : ends[j - 1]]]
+        sums = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum(block * POWERS[: len(block)], out=sums[1:])
+        out[i:j] = (sums[ends[i:j] - at] - sums[starts[i:j] - at]) * INVERSES[starts[i:j] - at]
+        i = j
+    return starts, mix(out)
+
+
+def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams that begin at each word, as far as there are n words."""
+    h = np.full(max(len(words) - n + 1, 0), n, np.uint64)
     for i in range(n):
-        h = h * P1 + w[i : len(w) - n + 1 + i]
-    h = np.sort(mix(h))
-    return h[np.concatenate([[True], h[1:] != h[:-1]])]
+        h = h * P1 + words[i : i + len(h)]
+    return mix(h)
+
+
+def sorted_set(values: np.ndarray) -> np.ndarray:
+    ordered = np.sort(values)
+    first = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    return ordered[first]
+
+
+def ngram_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
+    """Of every text the sorted distinct n-gram hashes of its words, with A-Z lower-cased; short texts are hashed together."""
+    i = 0
+    while i < len(texts):
+        size, j = len(texts[i]), i + 1
+        while j < len(texts) and size + len(texts[j]) < BLOCK:
+            size, j = size + len(texts[j]) + 1, j + 1
+        starts, words = word_hashes(b"\n".join(texts[i:j]).lower())  # of bytes: touches ASCII only
+        grams = ngram_hashes(words, n)
+        at = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts[i:j]]])).tolist()
+        for s, e in zip(at, at[1:], strict=False):
+            own = grams[s : e - n + 1] if e - s >= n else ngram_hashes(words[s:e], max(e - s, 1))
+            yield sorted_set(own)
+        i = j
 
 
 class Classes:
@@ -220,11 +256,10 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for b in batches:
             for i in range(0, b.num_rows, AT_ONCE):
                 part = b.slice(i, AT_ONCE)
-                sets = [ngram_set(t, n, hashes) for t in utf8(part.column(2))]
+                sets = list(ngram_sets(utf8(part.column(2)), n))
                 keys = [key_of(s) if len(s) else None for s in sets]
                 distinct = dict(zip(keys, sets, strict=True))
                 distinct.pop(None, None)
@@ -256,12 +291,11 @@ def signature_rows(docs: DataFrame, n: int, percent: int, common: np.ndarray) ->
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, classes, done = Hashes(), Classes(percent), set()
+        classes, done = Classes(percent), set()
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 sigs, kinds, keys = [], [], []
-                for t in utf8(b.column(0).slice(i, 500)):
-                    s = ngram_set(t, n, hashes)
+                for s in ngram_sets(utf8(b.column(0).slice(i, 500)), n):
                     key = short_key(key_of(s))
                     if len(s) and key not in done:
                         done.add(key)
@@ -349,11 +383,10 @@ def element_rows(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
     """sid and elements of the sets that are needed, from one document of each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                sets = [ngram_set(t, n, hashes) for t in utf8(part.column(3))]
+                sets = list(ngram_sets(utf8(part.column(3)), n))
                 right = pa.array([key_of(s) == k for s, k in zip(sets, part.column(2).to_pylist(), strict=True)], pa.bool_())
                 cols = [part.column(0), part.column(1), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["sid", "n_rows", "elements"]).filter(right)

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyshelf.llm.common import arrow_pass, scratch_folder, text_pass
+from tallyshelf.llm.common import arrow_pass, held, scratch_folder, text_pass
 
 END_ID, FIRST_RULE = 0, 1 << 16
 BLOCK_IDS, PER_ROUND, LEAST_COUNT = 1 << 19, 16384, 4
@@ -103,7 +103,7 @@ class ChunkEncoder:
         return out
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[str, ChunkEncoder] = held(__name__)
 
 
 def encoder(path: str) -> ChunkEncoder:

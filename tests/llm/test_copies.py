@@ -93,6 +93,18 @@ def corpus(seed):
     return rows
 
 
+def test_ngrams_of_many_texts_at_once():
+    """Words are hashed block by block: neither neighbours nor places change a text's n-grams, and long words count whole."""
+    size = ngram_join.BLOCK
+    texts = ["x" * (size + 9) + " a b " + "x" * (size + 9) + " a b", "x" * (size + 8) + " a b", "", " \t", "a b c", "A\tb\x0bC ", "É\xa0q " * size, "a" * size + " " + "b" * (size - 1), "w" * 64, "w" * 65]
+    for n in (1, 3, 4, 5):
+        found = list(ngram_join.ngram_sets([t.encode() for t in texts], n))
+        sets = [s for _, s in sets_of(enumerate(texts), n)]
+        assert [len(x) for x in found] == [len(s) for s in sets]
+        assert all(len(set(a) & set(b)) == len(s & t) for a, s in zip(found, sets) for b, t in zip(found, sets))
+        assert all(list(x) == list(next(ngram_join.ngram_sets([t.encode()], n))) for x, t in zip(found, texts))
+
+
 def test_join_equals_brute_force(spark):
     for seed, n, percent in ((1, 4, 85), (2, 5, 80), (3, 1, 50 + 30)):
         rows = corpus(seed)

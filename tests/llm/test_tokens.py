@@ -8,7 +8,7 @@ import zlib
 import pytest
 from tokenizers import Tokenizer
 
-from tallyshelf.llm import bpe, queries, token_files
+from tallyshelf.llm import bpe, common, ngram_join, queries, token_files
 from tests.llm.shared import EDGES, edges, none
 
 WORD, BYTE = queries.tokenizer_file("word_bpe_49k.json"), queries.tokenizer_file("byte_bpe_50k.json")
@@ -143,3 +143,22 @@ def test_steps_hold_a_bounded_number_of_characters():
 def test_other_splits_are_refused():
     with pytest.raises(ValueError, match="another way"):
         bpe.WordBpe(BYTE)
+
+
+def test_a_pass_empties_what_other_operators_hold_in_its_worker(spark):
+    rows = spark.createDataFrame([(1, "one two three")], "doc_id long, text string").coalesce(1)
+    bpe.digests(rows, WORD).collect()
+
+    def look(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe._loaded) + len(token_files._encoders)] * b.num_rows, pa.int64())], names=["held"])
+
+    bpe.digests(rows, WORD).collect()
+    assert [r.held for r in common.arrow_pass(rows, "held long", look).collect()] == [0]
+    own, other = common.held("own"), common.held("other")
+    own["x"] = other["x"] = 1
+    common.make_room("own")
+    assert own == {"x": 1} and other == {} and common.held(bpe.__name__) is bpe._loaded
+    assert ngram_join.shared_batches.__module__ == ngram_join.__name__
