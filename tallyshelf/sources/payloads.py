@@ -49,13 +49,13 @@ TAGS, TEXTS_OF_TAG, DEEPEST, WIDEST, LISTS, ENTRIES = 30, 25, 14, 90, 80, 40
 REVIEW = ("commentId",)
 
 
-def objects_with(keys: tuple[str, ...], nests: tuple[str, ...] = ()):
+def objects_with(keys: tuple[str, ...], nests: tuple[str, ...] = (), wanted: tuple[str, ...] = ()):
     """A vectorised function from JSON text to its objects with one of the keys, in document order.
 
     Each is given as JSON text, with what its objects under ``nests`` have hoisted where it has nothing
     itself, and with its texts (JSN8, JSN9): those of its tags, then those of lists of texts below it, squeezed, each
     once whatever its case, of two characters or more, and without selling points (JSN29) but for tags that repeat
-    one elsewhere. The function carries all it needs.
+    one elsewhere. With ``wanted``, objects have these keys only and no texts. The function carries all it needs.
     """
     tag_lists, tag_titled, tag_texts, text_lists = TAG_LISTS, TAG_TITLED, TAG_TEXTS, frozenset(TEXT_LISTS)
     tags, texts_of_tag, deepest, widest, most_lists, entries = TAGS, TEXTS_OF_TAG, DEEPEST, WIDEST, LISTS, ENTRIES
@@ -140,7 +140,8 @@ def objects_with(keys: tuple[str, ...], nests: tuple[str, ...] = ()):
                 if isinstance(node, dict):
                     whole = hoisted(node)
                     if any(k in whole for k in keys):
-                        out.append({"object": json.dumps(whole, ensure_ascii=False), "texts": texts(whole) if nests else []})
+                        own = {k: whole[k] for k in wanted if k in whole} if wanted else whole
+                        out.append({"object": json.dumps(own, ensure_ascii=False), "texts": texts(whole) if nests and not wanted else []})
                     todo += reversed(list(node.values()))
                 elif isinstance(node, list):
                     todo += reversed(node)
@@ -303,31 +304,39 @@ def next_cursors(raw: DataFrame, page: str, cursor: str, body: str = "body") ->
     return rows.select(*rest, F.array_min(F.transform("_found", fits)).alias("next_cursor"))
 
 
-def marked_advert(x: Column) -> Column:
+def marked_advert(own: Fields) -> Column:
     """JSN13 for an entry of a listing, whose flag may also be in one of its nested objects."""
-    flag = lambda k: F.lower(F.coalesce(*[scalar(x, p) for p in (f"$.{k}", *[f"$.{n}.{k}" for n in NESTS])], F.lit(""))).isin("1", "true", "yes", "y")
+    flag = lambda k: F.lower(F.coalesce(*[own.scalar(p) for p in (k, *[f"{n}.{k}" for n in NESTS])], F.lit(""))).isin("1", "true", "yes", "y")
     return reduce(or_, [flag(k) for k in AD_FLAGS])
 
 
+def of_objects(objects: Column, text, v, of) -> Column:
+    """of(Fields) for each entry of an array, whose JSON text and variant are text(entry) and v(entry); each is parsed once."""
+    parsed = F.transform(objects, lambda x: F.struct(v(x).alias("v"), F.from_json(text(x), "map<string,string>").alias("fields")))
+    return F.transform(parsed, lambda x: of(Fields(x["v"], x["fields"])))
+
+
 def cursor_steps(raw: DataFrame, page: str, cursor: str, body: str = "body") -> DataFrame:
     """AGG30: raw without its body, with step: how far the next request's cursor moves.
 
     The distance to the next cursor that the payload names; else one less than the entries of its list that are no
     adverts (all, if all are); else the same of the distinct products at any depth; 1 at least, null if there are none of all these.
+    Each payload is looked at where it lies: nothing is shuffled.
     """
     rest = [c for c in raw.columns if c != body]
-    keyed = raw.withColumn("_payload", F.xxhash64(body, *rest)).withColumn("_list", F.try_variant_get(variant(body), "$.data.wareList", "array<variant>"))
-    entries = F.when(F.forall("_list", lambda x: kind_of(x, "$") == "OBJECT") & (F.size("_list") > 0), F.col("_list"))
     least_one = lambda x: F.when(x < 1, F.lit(1)).otherwise(x)
     stepped = lambda natural, total: least_one(F.when(natural > 0, natural).otherwise(total) - 1)
-    keyed = keyed.withColumn("_by_list", stepped(F.size(F.filter(entries, lambda x: ~marked_advert(x))), F.size(entries)))
-    found = with_objects(keyed.select("_payload", body).distinct(), body, SKU, NESTS)
-    own = Fields(F.col("v"), F.col("fields"))
-    good = found.select("_payload", own.first(*SKU).alias("_sku"), plain(own.first(*TITLE)).alias("_title"), is_ad(own).alias("_ad"))
-    good = good.where(F.rlike("_sku", F.lit("^[0-9]{5,}$")) & (F.length("_title") >= 2))
-    natural = F.count_distinct(F.when(~F.col("_ad"), F.col("_sku")))
-    walked = good.groupBy("_payload").agg(stepped(natural, F.count(F.lit(1))).alias("_by_walk"))
-    named = next_cursors(keyed, page, cursor, body).withColumn("_named", F.col("next_cursor") - F.col(cursor)).join(walked, "_payload", "left")
+    walked = raw.withColumn("_objects", objects_with(SKU, NESTS, (*SKU, *TITLE, *AD_FLAGS))(json_body(body)))
+    ware = lambda own: F.struct(own.first(*SKU).alias("sku"), plain(own.first(*TITLE)).alias("title"), is_ad(own).alias("ad"))
+    wares = of_objects(F.col("_objects"), lambda x: x["object"], lambda x: F.try_parse_json(x["object"]), ware)
+    good = F.filter(wares, lambda x: F.rlike(x["sku"], F.lit("^[0-9]{5,}$")) & (F.length(x["title"]) >= 2))
+    walked = walked.withColumn("_good", good).withColumn("_natural", F.array_distinct(F.transform(F.filter("_good", lambda x: ~x["ad"]), lambda x: x["sku"])))
+    walked = walked.withColumn("_by_walk", F.when(F.size("_good") > 0, stepped(F.size("_natural"), F.size("_good")))).drop("_objects", "_good", "_natural")
+    listed = walked.withColumn("_list", F.try_variant_get(variant(body), "$.data.wareList", "array<variant>"))
+    entries = F.when(F.forall("_list", lambda x: kind_of(x, "$") == "OBJECT") & (F.size("_list") > 0), F.col("_list"))
+    shown = F.filter(of_objects(entries, F.to_json, lambda x: x, marked_advert), lambda ad: ~ad)
+    listed = listed.withColumn("_by_list", stepped(F.size(shown), F.size(entries))).drop("_list")
+    named = next_cursors(listed, page, cursor, body).withColumn("_named", F.col("next_cursor") - F.col(cursor))
     step = F.when(F.col("_by_walk").isNotNull(), F.coalesce(least_one(F.col("_named")), "_by_list", "_by_walk"))
     return named.select(*rest, step.cast("long").alias("step"))
 

@@ -19,3 +19,8 @@ def test_names_join_the_rows_that_are_left(spark, sf, name):
     below = lines[at + 1 : next((i for i in range(at + 1, len(lines)) if depth(lines[i]) <= depth(lines[at])), len(lines))]
     below = [x for x in below if "Relation" not in x]  # which lists all columns of its file
     assert any("l_orderkey" in x for x in below) and not any("s_name" in x or "p_name" in x for x in below)
+
+
+def test_cursor_steps_shuffle_parts_once_and_no_payload(spark, sf):
+    plan = registry.QUERIES["cursor_steps"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan and "Aggregate" not in plan and "Generate" not in plan
