@@ -113,12 +113,18 @@ def kept_columns(rows: DataFrame, always: tuple[str, ...] = ("id", "row_index"))
 def numbered(rows: DataFrame, order: list, *by: str) -> DataFrame:
     """WIN14: row_index, dense from 0 within each job (the columns by), or over all rows.
 
-    Rows are sorted by job and order over ranges and written, so that each has a partition and a place in it. What a
-    partition holds of a job is counted, and the counts of the partitions before say where its rows begin: a job with
-    all rows is numbered by all tasks. Rows that are equal in all of these columns stay in one task, so the order should name a row.
+    Rows are sorted by job and order over ranges. Rows that are equal in all of these columns stay in one task, so the order should name a row.
     """
-    parts = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_id", F.monotonically_increasing_id())
-    parts = written(parts, "numbered")  # a range sort may cut anew when it runs again
+    return numbered_as_they_stand(rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order), *by)
+
+
+def numbered_as_they_stand(rows: DataFrame, *by: str) -> DataFrame:
+    """WIN14: row_index, dense from 0 within each job (the columns by), or over all rows, in the order of partitions and of the rows in them.
+
+    Rows are written, so that each has a partition and a place in it. What a partition holds of a job is counted, and the counts of
+    the partitions before say where its rows begin: a job with all rows is numbered by all tasks.
+    """
+    parts = written(rows.withColumn("_id", F.monotonically_increasing_id()), "numbered")  # a range sort may cut anew when it runs again
     split = parts.withColumns({"_part": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
     runs = split.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))

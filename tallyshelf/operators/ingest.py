@@ -17,8 +17,7 @@ from tallyshelf.streaming.upsert import apply_batch, current, versions
 
 def relation_rows(spark: SparkSession, path: str, relation: str, job: str) -> DataFrame:
     """WIN14: a relation's CSV file as rows of a job, numbered as they stand in the file; a file with quoted line breaks is read by one task."""
-    rows = read_table(spark, path, RELATIONS[relation]).withColumn("_at", F.monotonically_increasing_id())
-    return catalog.numbered(rows.withColumn("job_id", F.lit(job)), ["_at"], "job_id").drop("_at")
+    return catalog.numbered_as_they_stand(read_table(spark, path, RELATIONS[relation]).withColumn("job_id", F.lit(job)), "job_id")
 
 
 def ingest_run(

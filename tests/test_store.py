@@ -261,3 +261,18 @@ def test_answers_land_whole_or_not_at_all(spark, tmp_path):
     assert sum(r.body == "new" for r in answers.landed(spark, path).collect()) == 3
     answers.land(df.limit(2), f"file://{path}", overwrite=True)
     assert len(os.listdir(path)) == 2 and answers.landed(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_run_is_numbered_as_it_stands(spark, tmp_path, monkeypatch):
+    """A relation's rows are in order when they are read: they are neither sorted nor shuffled."""
+    from tallyshelf.operators import ingest
+    from tallyshelf.sources.schema import RELATIONS
+
+    header = next(h for h, c in RELATIONS["search"].items() if c == "sku_id")
+    path = str(tmp_path / "search.csv")
+    (tmp_path / "search.csv").write_text("\n".join([header, *[f"s{i * 7919 % 1000}" for i in range(1000)]]) + "\n")
+    frame = type(spark.range(1))
+    for banned in ("repartitionByRange", "orderBy"):
+        monkeypatch.setattr(frame, banned, lambda *a: (_ for _ in ()).throw(AssertionError("sorted")))
+    rows = ingest.relation_rows(spark, path, "search", "007")
+    assert sorted((r.row_index, r.sku_id, r.job_id) for r in rows.collect()) == [(i, f"s{i * 7919 % 1000}", "007") for i in range(1000)]
