@@ -439,21 +439,27 @@ def partial_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "su", "v", "sv", "n"])
 
 
+def asked(dealt: DataFrame) -> DataFrame:
+    """The sets (sid) whose elements pairs dealt out in blocks need: each v with its pair, and u once for each block, with a null v."""
+    partners = dealt.select(F.col("v").alias("sid"), "u", "su", "block", "v", "sv")
+    none = F.lit(None).cast("long")
+    own = dealt.select("u", "su", "block").distinct().select(F.col("u").alias("sid"), "u", "su", "block", none.alias("v"), none.alias("sv"))
+    return partners.unionByName(own)
+
+
 def links(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
     """u and v of the pairs (u, su, v, sv; sets and their sizes) that are similar enough; no pair may occur twice."""
     fit = pairs.where(100 * F.least("su", "sv") >= percent * F.greatest("su", "sv"))
     fit = keep(fit.select("u", "su", "v", "sv"), "pairs")
     many = fit.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("blocks")).where("blocks > 1")
     dealt = fit.join(many, "u", "left").withColumn("block", F.pmod(F.xxhash64("v"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    columns = ["u", "su", "block", "v", "sv", "elements"]
-    partners = dealt.join(elements.withColumnRenamed("sid", "v"), "v").select(columns)
-    own = dealt.select("u", "su", "block").distinct().join(elements.withColumnRenamed("sid", "u"), "u")
-    own = own.withColumn("v", F.lit(None).cast("long")).withColumn("sv", F.lit(None).cast("long")).select(columns)
-    cut = arrow_pass(partners.unionByName(own), CUT, cut_batches)
+    # the sets of both sides are looked up together: at size each join with elements sends all of them through a shuffle
+    both = asked(dealt).join(elements, "sid").select("u", "su", "block", "v", "sv", "elements")
+    cut = arrow_pass(both, CUT, cut_batches)
     cut = cut.repartition("u", "block", "fragment").sortWithinPartitions("u", "block", "fragment", F.col("v").asc_nulls_first())
     parts = arrow_pass(cut, "u long, su long, v long, sv long, n long", partial_batches)
-    both = parts.groupBy("u", "v").agg(F.sum("n").alias("n"), F.first("su").alias("su"), F.first("sv").alias("sv"))
-    return keep(both.where(100 * F.col("n") >= percent * (F.col("su") + F.col("sv") - F.col("n"))).select("u", "v"), "links")
+    whole = parts.groupBy("u", "v").agg(F.sum("n").alias("n"), F.first("su").alias("su"), F.first("sv").alias("sv"))
+    return keep(whole.where(100 * F.col("n") >= percent * (F.col("su") + F.col("sv") - F.col("n"))).select("u", "v"), "links")
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:

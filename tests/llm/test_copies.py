@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
+
 from tallyshelf.llm import exact_dedup, ngram_join
 from tallyshelf.llm.components import components
 from tests.llm.shared import EDGES, STORY, edges, low, none
@@ -195,3 +197,18 @@ def test_components(spark):
                 todo.append(x)
         assert found[node] == min(seen)
     assert STORY
+
+
+def test_links_sends_elements_through_one_join(spark, tmp_path, monkeypatch):
+    sets = {1: [1, 2, 3, 4], 2: [1, 2, 3, 4, 5], 3: [1, 2, 3, 9], 4: [6, 7]}
+    rows = [(sid, np.array(x, "<u8").tobytes()) for sid, x in sets.items()]
+    spark.createDataFrame(rows, "sid long, elements binary").write.parquet(str(tmp_path / "looked-up"))
+    elements = spark.read.parquet(str(tmp_path / "looked-up"))
+    plans = []
+    keep = ngram_join.keep
+    monkeypatch.setattr(ngram_join, "keep", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or keep(df, name))
+    pairs = spark.createDataFrame([(u, len(sets[u]), v, len(sets[v])) for u, v in [(1, 2), (1, 3), (2, 4)]], "u long, su long, v long, sv long")
+    found = ngram_join.links(pairs, elements, 80)
+    assert [tuple(r) for r in found.collect()] == [(1, 2)]
+    (plan,) = [p for name, p in plans if name == "links"]
+    assert sum("elements#" in line and "Relation" in line for line in plan.splitlines()) == 1
