@@ -31,6 +31,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,21 +40,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyshelf.llm.common import arrow_pass, keep, text_pass, utf8
+from tallyshelf.llm.ngram_join import word_hashes, word_spans
 
 SHORTLIST, HOT, RANK, EPOCHS = 900, 1 << 18, 16, 2
 BATCH, NOISE, RATE = 2048, 48, 0.08
 TAILS = 30
-#: Tokens counted before a task hands its counts on, and tokens remembered by looks.
-HELD, REMEMBERED = 400_000, 300_000
+#: Tokens counted before a task hands its counts on.
+HELD = 400_000
 END = b"\n"
+#: What a token's last byte says of its looks.
+KINDS = np.select([np.arange(256) == 46, np.arange(256) == 44, np.arange(256) > 127, (np.arange(256) > 96) & (np.arange(256) < 123)], [1, 2, 4, 0], 3)
+KIND_OF = KINDS.tolist()
 
 
 def looks(token: bytes) -> int:
     """The tail class of a token."""
-    last = token[-1]
-    kind = 0 if 97 <= last <= 122 else 1 if last == 46 else 2 if last == 44 else 3 if last < 128 else 4
     length = len(token)
-    return (kind * 2 + (not token.isascii())) * 3 + (0 if length < 6 else 1 if length < 11 else 2)
+    return (KIND_OF[token[-1]] * 2 + (not token.isascii())) * 3 + (0 if length < 6 else 1 if length < 11 else 2)
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -156,19 +159,28 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(hot, least, total, distinct, shortlist, tail)
 
 
-class ClassOf(dict):
-    """Class of each token; what is not on the shortlist is remembered for a while."""
+class ClassOf:
+    """Classes of words, of many at once: the shortlist by 64-bit hashes, the others by their looks."""
 
     def __init__(self, shortlist: dict[bytes, int]):
-        super().__init__(shortlist)
-        self.shortlist = shortlist
-
-    def __missing__(self, token: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.update(self.shortlist)
-        self[token] = found = 1 + SHORTLIST + looks(token)
-        return found
+        words = [w for w in shortlist if w != END]
+        _, hashes = word_hashes(b"\n".join(words))
+        order = np.argsort(hashes)
+        self.hashes, self.classes = hashes[order], np.array([shortlist[w] for w in words], np.int64)[order]
+
+    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words of a text begin, and their classes; its A-Z must be lower-cased."""
+        held = np.frombuffer(text, np.uint8)
+        starts, ends = word_spans(held)
+        _, hashes = word_hashes(text, (starts, ends))
+        wide = np.concatenate([[0], np.cumsum(held > 127, dtype=np.int32)])
+        odd = wide.take(ends) != wide.take(starts)
+        length = ends - starts
+        found = 1 + SHORTLIST + (KINDS[held[ends - 1]] * 2 + odd) * 3 + (length > 5) + (length > 10)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            found = np.where(self.hashes.take(at) == hashes, self.classes.take(at), found)
+        return starts, found
 
 
 @dataclass
@@ -207,12 +219,11 @@ class Model:
         return older, newer, np.log(z) + top_older + top_newer.T
 
 
-def add_rows(into: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
-    """into[at] += values, with repeated places added up."""
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    into[at[first]] += np.add.reduceat(values[order], first, axis=0)
+def row_sums(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """A table of so many rows to which each of the values is added at its place."""
+    width = values.shape[1]
+    cells = (at[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(cells, values.ravel(), rows * width).astype(np.float32).reshape(rows, width)
 
 
 class Trainer:
@@ -227,20 +238,25 @@ class Trainer:
     def step(self, older: np.ndarray, newer: np.ndarray, word: np.ndarray) -> None:
         m = self.m
         noise = np.minimum(np.searchsorted(self.cumulative, self.random.random(NOISE)), len(m.bias) - 1)
-        at = (m.context * m.places[0])[older] + (m.context * m.places[1])[newer]
-        target, other = m.target[word], m.target[noise]
-        true = (at * target).sum(axis=1) + m.bias[word] - self.log_noise[word]
-        false = at @ other.T + (m.bias[noise] - self.log_noise[noise])
+        at = (m.context * m.places[0]).take(older, axis=0)
+        at += (m.context * m.places[1]).take(newer, axis=0)
+        target, other = m.target.take(word, axis=0), m.target.take(noise, axis=0)
+        true = np.einsum("ij,ij->i", at, target) + (m.bias - self.log_noise).take(word)
+        push = at @ other.T
+        push += m.bias[noise] - self.log_noise[noise]
         pull = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        push = -1 / (1 + np.exp(np.clip(-false, -30, 30)))
-        move = pull[:, None] * target + push @ other
-        by_place = np.zeros((2, *m.context.shape), np.float32)
-        add_rows(by_place[0], older, move)
-        add_rows(by_place[1], newer, move)
-        d_target, d_bias = np.zeros_like(m.target), np.bincount(word, pull, len(m.bias)).astype(np.float32)
-        add_rows(d_target, word, pull[:, None] * at)
-        add_rows(d_target, noise, push.T @ at)
-        np.add.at(d_bias, noise, push.sum(axis=0))
+        np.clip(push, -30, 30, out=push)  # from here on in place: the noise is the bulk of a step
+        np.negative(push, out=push)
+        np.exp(push, out=push)
+        push += 1
+        np.divide(-1, push, out=push)
+        move = push @ other
+        move += pull[:, None] * target
+        k = len(m.bias)
+        by_place = np.stack([row_sums(older, move, k), row_sums(newer, move, k)])
+        d_target, d_bias = row_sums(word, pull[:, None] * at, k), np.bincount(word, pull, k).astype(np.float32)
+        d_target += row_sums(noise, push.T @ at, k)
+        np.add.at(d_bias, noise, np.ones(len(push), np.float32) @ push)
         grads = (
             by_place[0] * m.places[0] + by_place[1] * m.places[1],
             (by_place * m.context).sum(axis=1),
@@ -256,15 +272,11 @@ class Trainer:
 
 def class_stream(texts: list[bytes], classes: ClassOf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Older, newer and next class at every token of the texts; before a text there are ends."""
-    found: list[int] = []
-    sizes = []
-    for t in texts:
-        words = tokens_of(t)
-        found += map(classes.__getitem__, words)
-        found.append(0)
-        sizes.append(len(words) + 1)
-    word = np.array(found, np.int16)
-    newer, older = np.concatenate([[0], word[:-1]]).astype(np.int16), np.concatenate([[0, 0], word[:-2]]).astype(np.int16)
+    starts, found = classes.of(b"\n".join(texts).lower())
+    sizes = np.diff(np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts]]))) + 1
+    word = np.zeros(len(found) + len(texts), np.int64)
+    word[np.arange(len(found)) + np.repeat(np.arange(len(texts)), sizes - 1)] = found
+    newer, older = np.concatenate([[0], word[:-1]]), np.concatenate([[0, 0], word[:-2]])
     older[np.cumsum(sizes)[:-1]] = 0  # the first token's older place; its newer one is the end of the text before
     return older[: len(word)], newer[: len(word)], word
 
@@ -328,30 +340,36 @@ class Scorer:
         self.base = np.concatenate([np.log10(base), np.zeros(TAILS)])
         self.end = self.hot.get(END)
 
-    def place(self, token: bytes) -> int:
-        found = self.hot.get(token)
-        return self.n_hot + looks(token) if found is None else found
+    def scores(self, texts: list[bytes]) -> list[tuple[int, int, float, float, Counter]]:
+        """Of each text: tokens, hot tokens, base and model score of what is hot, and the other tokens; class scores cover all."""
+        found: list[int | None] = []
+        sizes, others = [], []
+        for text in texts:
+            words = tokens_of(text)
+            at = list(map(self.hot.get, words))
+            rest: Counter[bytes] = Counter()
+            if None in at:
+                rest.update([w for w, x in zip(words, at, strict=True) if x is None])
+                tails = {w: self.n_hot + looks(w) for w in rest}
+                at = [tails[w] if x is None else x for w, x in zip(words, at, strict=True)]
+            at.append(self.end if self.end is not None else self.n_hot)
+            found += at
+            sizes.append(len(at))
+            others.append(rest)
+        at, ends = np.array(found, np.int64), np.cumsum(sizes)
+        cls = self.cls.take(at)
+        cls[ends - 1] = 0
+        newer, older = np.concatenate([[0], cls[:-1]]), np.concatenate([[0, 0], cls[:-2]])[: len(cls)]
+        older[ends[:-1]] = 0
+        before, n = older * len(self.older), len(self.older)
+        log_p = self.older.ravel().take(before + cls) + self.newer.ravel().take(newer * n + cls) - self.norm.ravel().take(before + newer)
+        per_text = lambda x: np.add.reduceat(x, ends - sizes)
+        known = per_text((at < self.n_hot).astype(np.int64))
+        score = per_text(log_p.astype(np.float64)) / math.log(10) + per_text(self.within.take(at))
+        return list(zip(sizes, known.tolist(), per_text(self.base.take(at)).tolist(), score.tolist(), others, strict=True))
 
     def score(self, text: bytes) -> tuple[int, int, float, float, Counter]:
-        """Tokens, hot tokens, base and model score of what is hot, and the other tokens; class scores cover all."""
-        words = tokens_of(text)
-        at = list(map(self.hot.get, words))
-        rest: Counter[bytes] = Counter()
-        if None in at:
-            for i, (w, x) in enumerate(zip(words, at, strict=True)):
-                if x is None:
-                    rest[w] += 1
-                    at[i] = self.n_hot + looks(w)
-        at.append(self.end if self.end is not None else self.n_hot)
-        at = np.array(at, np.int64)
-        cls = self.cls[at]
-        if self.end is None:
-            cls[-1] = 0
-        newer, older = np.concatenate([[0], cls[:-1]]), np.concatenate([[0, 0], cls[:-2]])[: len(cls)]
-        log_p = self.older[older, cls] + self.newer[newer, cls] - self.norm[older, newer]
-        known = int((at < self.n_hot).sum())
-        score = float(log_p.sum(dtype=np.float64)) / math.log(10) + float(self.within[at].sum())
-        return len(at), known, float(self.base[at].sum()), score, rest
+        return self.scores([text])[0]
 
 
 ROWS = "row long, doc_id long, held_out boolean, token binary, tail int, times long, n_tokens long, n_known long, base double, score double"
@@ -363,22 +381,28 @@ def partial_scores(docs: DataFrame, model: Model, vocab: Vocabulary) -> DataFram
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, row = Scorer(*sent.value), TaskContext.get().partitionId() << 36
-        names, kinds = [c.split()[0] for c in ROWS.split(", ")], None
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), *[pa.int64()] * 3, pa.float64(), pa.float64()]
+        names = [c.split()[0] for c in ROWS.split(", ")]
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                columns: list[list] = [[] for _ in names]
-                for doc_id, held, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), utf8(part.column(2)), strict=True):
-                    n, known, base, score, rest = own.score(text)
-                    row += 1
-                    # a document's own row has a token that no text has, so that it meets no other in the join
-                    for c, x in zip(columns, (row, doc_id, held, b" %d" % row, 0, 0, n, known, base, score), strict=True):
-                        c.append(x)
-                    k = len(rest)
-                    for c, x in zip(columns, ([row] * k, [None] * k, [None] * k, rest, map(looks, rest), rest.values(), *[[0] * k] * 2, *[[0.0] * k] * 2), strict=True):
-                        c.extend(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                sizes, known, base, score, others = zip(*own.scores(utf8(part.column(2))), strict=True)
+                n = len(sizes)
+                ids = row + 1 + np.arange(n)
+                row += n
+                tokens = list(chain.from_iterable(others))
+                k = len(tokens)
+                # a document's own row has a token that no text has, so that it meets no other in the join
+                columns = [
+                    pa.array(np.concatenate([ids, np.repeat(ids, [len(x) for x in others])])),
+                    pa.concat_arrays([part.column(0), pa.nulls(k, pa.int64())]),
+                    pa.concat_arrays([part.column(1), pa.nulls(k, pa.bool_())]),
+                    pa.array([b" %d" % x for x in ids.tolist()] + tokens, pa.binary()),
+                    pa.array([0] * n + list(map(looks, tokens)), pa.int32()),
+                    pa.array([0] * n + list(chain.from_iterable(x.values() for x in others)), pa.int64()),
+                    *[pa.array(np.concatenate([x, np.zeros(k, np.int64)])) for x in (sizes, known)],
+                    *[pa.array(np.concatenate([x, np.zeros(k)])) for x in (base, score)],
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     marked = docs.select("doc_id", held_out().alias("held_out"), "text")
     return text_pass(marked, ROWS, work, "doc_id", "held_out", "text")

@@ -89,15 +89,20 @@ LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * P3)
 POWERS, INVERSES = (np.cumprod(np.array([1, *[p] * (BLOCK - 1)], np.uint64)) for p in (int(P1), pow(int(P1), -1, 1 << 64)))
 
 
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text, given as its bytes, begin and end."""
+    ends = np.flatnonzero(np.diff(GAPS[held], prepend=True, append=True))
+    return ends[::2], ends[1::2]
+
+
+def word_hashes(text: bytes, spans: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of a text begin, and 64-bit hashes of them, which depend on a word's bytes alone.
 
     A hash is the sum of the bytes' numbers times powers of P1, the difference of two running sums of a block,
     brought back to the word's first place.
     """
     held = np.frombuffer(text, np.uint8)
-    ends = np.flatnonzero(np.diff(GAPS[held], prepend=True, append=True))
-    starts, ends = ends[::2], ends[1::2]
+    starts, ends = word_spans(held) if spans is None else spans
     out, i = np.empty(len(starts), np.uint64), 0
     while i < len(starts):
         at = starts[i]

@@ -50,6 +50,22 @@ def test_lm_probabilities_add_up_to_one(spark, sf):
             assert abs(sum((c - off[tail]) / size[tail] for c in own) + unknown[tail] - 1) < 1e-9
 
 
+def test_lm_classes_and_sums_of_many_at_once():
+    texts = [b"", b"a", b"A b\x0bcc. \xc3\xa9", b" \n", b"x" * 70_000 + b" b\n\nhttps://e.x/1", b"ab\x1cc, B"]
+    shortlist = {lm_scoring.END: 0, b"b": 1, b"\xc3\xa9": 2}
+    want: list[tuple[int, int, int]] = []
+    for text in texts:
+        own = [0, 0, *[shortlist.get(w, 1 + lm_scoring.SHORTLIST + lm_scoring.looks(w)) for w in lm_scoring.tokens_of(text)], 0]
+        want += zip(own, own[1:], own[2:])
+    for shorts in (shortlist, {lm_scoring.END: 0}):
+        classes = lm_scoring.ClassOf(shorts)
+        starts, found = classes.of(b"b q")
+        assert starts.tolist() == [0, 2] and found.tolist() == [shorts.get(b"b", 1 + lm_scoring.SHORTLIST + lm_scoring.looks(b"b")), 1 + lm_scoring.SHORTLIST + lm_scoring.looks(b"q")]
+    assert list(zip(*[x.tolist() for x in lm_scoring.class_stream(texts, lm_scoring.ClassOf(shortlist))])) == want
+    sums = lm_scoring.row_sums(np.array([2, 0, 2]), np.array([[1, 2], [3, 4], [5, 6]], np.float32), 3)
+    assert sums.tolist() == [[3, 4], [0, 0], [6, 8]]
+
+
 def test_lm_empty(spark):
     assert lm_scoring.score(none(spark)).count() == 0
 
