@@ -14,7 +14,8 @@ if executors were lost. Integers are little-endian, unsigned, 32 bits. Fields: `
 
 Ids equal those of the tokenizers library for the whole text. A chunk between a single space and the
 next encodes by itself, as the tokenizer's pattern never matches across such a place, so each batch
-encodes its distinct chunks once.
+encodes its distinct chunks once. Chunks of common letters, digits and marks are cut into the pattern's pieces
+here, and the library's model encodes each distinct piece; all others go through the whole tokenizer.
 
 Defined cases: a null or empty text has the end id only; null doc_ids come first; rows that repeat one
 doc_id stand side by side, ordered by text; an empty table gives no blocks and no rows.
@@ -22,6 +23,7 @@ doc_id stand side by side, ordered by text; an empty table gives no blocks and n
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -29,6 +31,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,17 @@ BLOCK_IDS, PER_ROUND, LEAST_COUNT = 1 << 19, 16384, 4
 #: Chunks remembered between batches, the longest of them in characters, and texts encoded together.
 REMEMBERED, LONGEST, AT_ONCE = 1_200_000, 64, 500
 
+#: Ranges that every version of Unicode since 5.0 has as letters alone, and as neither letters, numbers nor white space.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u0621-\u063a\u0641-\u064a\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+MARKS = "!-/:-@[-`{-~\u00a1-\u00a9\u2010-\u2027\u3001-\u3003\u3008-\u3011\uff01-\uff0f"
+#: Chunks that consist of these and of ASCII digits, and the pieces into which the pattern of ByteLevel cuts them.
+SIMPLE = re.compile(f" ?[{LETTERS}{MARKS}0-9]+")
+PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[{MARKS}]+")
+#: The only ways of cutting texts for which pieces are handed to the model by themselves.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+#: The letters by which ByteLevel calls bytes: themselves where they are visible, else those from U+0100 on, in order.
+HIDDEN = [*range(33), *range(127, 161), 173]
+BYTE_NAMES = {x: chr(256 + i) for i, x in enumerate(HIDDEN)}
 CHUNK_BORDER = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -58,6 +72,10 @@ class ChunkEncoder:
         self.library.no_padding()
         if self.library.get_vocab_size() > FIRST_RULE:
             raise ValueError("ids of this tokenizer reach into the rules")
+        read = json.loads(Path(path).read_text())
+        marked = any("<|" not in x["content"] for x in read["added_tokens"])
+        self.by_piece = read["normalizer"] is None and read["pre_tokenizer"] == BYTE_LEVEL and not marked
+        self.model = self.library.model
         (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
 
     @staticmethod
@@ -69,13 +87,25 @@ class ChunkEncoder:
             return CHUNK_BORDER.split(text)
         return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 
+    def of_pieces(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that are SIMPLE: the library's model gets each distinct piece, its bytes as the letters that stand for them."""
+        cut = list(map(PIECE.findall, chunks))
+        tokenize = self.model.tokenize
+        named = lambda p: p.replace(" ", "\u0120") if p.isascii() else p.encode().decode("latin-1").translate(BYTE_NAMES)
+        ids = {p: array("I", [t.id for t in tokenize(named(p))]).tobytes() for p in set(chain.from_iterable(cut))}
+        return {c: b"".join([ids[p] for p in pieces]) for c, pieces in zip(chunks, cut, strict=True)}
+
     def learn(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of chunks that are not known: from the older half of the memory, which goes when the newer one is full, or anew."""
         found = {c: self.older[c] for c in missing if c in self.older}
-        plain, odd = [], []
+        simple, plain, odd = [], [], []
         for c in missing.difference(found):
+            if self.by_piece and SIMPLE.fullmatch(c) and "<|" not in c:
+                simple.append(c)
+                continue
             parts = c.split()
             (plain if len(parts) == 1 and (c == parts[0] or c == " " + parts[0]) else odd).append(c)
+        found.update(self.of_pieces(simple))
         for i in range(0, len(plain), 4096):  # many in one call: a line end encodes alone, and never together with its neighbours
             part = plain[i : i + 4096]
             (line,) = self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import struct
 import zlib
 
@@ -162,3 +163,27 @@ def test_a_pass_empties_what_other_operators_hold_in_its_worker(spark):
     common.make_room("own")
     assert own == {"x": 1} and other == {} and common.held(bpe.__name__) is bpe._loaded
     assert ngram_join.shared_batches.__module__ == ngram_join.__name__
+
+
+def test_simple_chunks_go_to_the_model_piece_by_piece():
+    class Library:
+        seen: list[str] = []
+
+        def encode_batch_fast(self, texts, **more):
+            self.seen += texts
+            return own.library_itself.encode_batch_fast(texts, **more)
+
+    own, whole = token_files.ChunkEncoder(BYTE), Tokenizer.from_file(BYTE)
+    own.library_itself, own.library = own.library, Library()
+    rng = random.Random(5)
+    printable = {rng.choice(["", " "]) + "".join(rng.choices("abTHE's'lld0189.,-_<|>!?$\"~", k=rng.randint(1, 14))) for _ in range(3000)}
+    printable |= {" 's", "'s", "'ll've", "it's", " it's5", "x" * 300, " 0", "don't", "'T"}
+    printable = {c for c in printable if "<|" not in c}
+    wide = "\u00c0\u00ff\u024f\u0391\u03ce\u0436\u0481\u0628\u3041\u30ab\u4e00\u4e8c\u9fa5\ud55c\u00a1\u00a9\u2014\u2019\u2026\u3002\uff0ca5's"
+    printable |= {rng.choice(["", " "]) + "".join(rng.choices(wide, k=rng.randint(1, 12))) for _ in range(3000)}
+    ranges = re.findall("(.)-(.)", token_files.LETTERS + token_files.MARKS[9:].replace("{-~", ""))
+    printable |= {f"{space}a{chr(x)}1{chr(x)}." for low, high in ranges for x in range(ord(low), ord(high) + 1) for space in ("", " ")}
+    others = {"\u00bd\u2167", " a\u0301", "\u00aa\u00b2", "\u0969\u0905", "\U0001f600!", "a\u3000b", "<|endoftext|>", " a<|endoftext|>b", "\x7f", " a\x00b", "\u00e9t\u00e9", " caf\u00e9s", "\n", " a \n"}
+    found = own.learn(printable | others)
+    assert found == {c: packed(whole.encode(c, add_special_tokens=False).ids) for c in printable | others}
+    assert not printable.intersection("\n".join(Library.seen).split("\n"))
