@@ -13,9 +13,10 @@ if executors were lost. Integers are little-endian, unsigned, 32 bits. Fields: `
 ``FIRST_RULE`` + i from earlier ids), ``lengths`` (ids that rule i expands to), ``symbols``.
 
 Ids equal those of the tokenizers library for the whole text. A chunk between a single space and the
-next encodes by itself, as the tokenizer's pattern never matches across such a place, so each batch
+next encodes by itself, as the tokenizer's pattern never matches across such a place, so each step
 encodes its distinct chunks once. Chunks of common letters, digits and marks are cut into the pattern's pieces
-here, and the library's model encodes each distinct piece; all others go through the whole tokenizer.
+here, and the library's model encodes each distinct piece; all others go through the whole tokenizer. Texts,
+chunks, pieces and their ids lie in Arrow's columns: no Python object is made for a chunk that occurs again.
 
 Defined cases: a null or empty text has the end id only; null doc_ids come first; rows that repeat one
 doc_id stand side by side, ordered by text; an empty table gives no blocks and no rows.
@@ -35,6 +36,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,8 +45,8 @@ from tallyshelf.llm.common import arrow_pass, held, scratch_folder, text_pass
 
 END_ID, FIRST_RULE = 0, 1 << 16
 BLOCK_IDS, PER_ROUND, LEAST_COUNT = 1 << 19, 16384, 4
-#: Chunks remembered between batches, the longest of them in characters, and texts encoded together.
-REMEMBERED, LONGEST, AT_ONCE = 1_200_000, 64, 500
+#: Chunks or pieces remembered between steps, the longest of them, and the bytes of texts that a step takes (or one longer text).
+REMEMBERED, LONGEST, STEP = 1_200_000, 64, 1 << 23
 
 #: Ranges that every version of Unicode since 5.0 has as letters alone, and as neither letters, numbers nor white space.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u0621-\u063a\u0641-\u064a\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
@@ -57,7 +59,61 @@ BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": Tr
 #: The letters by which ByteLevel calls bytes: themselves where they are visible, else those from U+0100 on, in order.
 HIDDEN = [*range(33), *range(127, 161), 173]
 BYTE_NAMES = {x: chr(256 + i) for i, x in enumerate(HIDDEN)}
-CHUNK_BORDER = re.compile(r"(?<=\S)(?= \S)")
+#: The code points of bytes' letters; a line end stands for itself, as it parts the pieces of one call.
+NAMES = np.array([10 if x == 10 else ord(BYTE_NAMES.get(x, chr(x))) for x in range(256)], "<u4")
+
+#: Kinds of characters of simple chunks, by code point.
+LETTER, DIGIT, MARK, SPACE = 1, 2, 3, 4
+KINDS = np.zeros(1 << 16, np.uint8)
+for _kind, _ranges in ((LETTER, LETTERS), (DIGIT, "0-9"), (MARK, MARKS), (SPACE, " ")):
+    KINDS[[ord(c) for c in re.findall(f"[{_ranges}]", "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 1 << 16))))]] = _kind
+
+#: Bytes beside which texts may be cut (0), spaces and line ends, and what is or may be other white space.
+BESIDE, BLANK, LINE_END, OTHER = range(4)
+PLACES = np.array([OTHER] * 33 + [BESIDE] * 94 + [OTHER] + [BESIDE] * 128, np.uint8)
+PLACES[32], PLACES[10] = BLANK, LINE_END
+#: White space beyond ASCII, and what some version of Unicode has as such, in UTF-8.
+WIDE = {2: [0xC285, 0xC2A0], 3: [int.from_bytes(chr(c).encode()) for c in (0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]}
+
+
+def column(offsets: np.ndarray, data) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)])
+
+
+def parts(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The offsets and bytes of a column of large_binary or large_string."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.zeros(0, np.uint8)
+    return at - at[0], raw
+
+
+def units(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Offsets at which texts that lie side by side come apart: into their chunks, and after each text an empty unit.
+
+    A space between two characters that are no white space starts a chunk, a line end between two such is one. Texts
+    that may hold a special token stay whole.
+    """
+    place = np.append(PLACES[data], np.uint8(OTHER))
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    if len(lead):
+        padded = np.append(data, np.zeros(2, np.uint8)).astype(np.int32)
+        two = padded[lead] << 8 | padded[lead + 1]
+        for width, found in ((2, np.isin(two, WIDE[2])), (3, np.isin(two << 8 | padded[lead + 2], WIDE[3]))):
+            for i in range(width):
+                place[lead[found] + i] = OTHER
+    border = np.zeros(len(data) + 1, bool)
+    border[0] = border[ends] = True
+    at = np.flatnonzero(place[:-1])
+    at = at[(place[at] != OTHER) & (place[at - 1] == BESIDE) & (place[at + 1] == BESIDE) & ~border[at] & ~border[at + 1]]
+    cuts = np.concatenate([at, at[place[at] == LINE_END] + 1])
+    special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+    if len(special):
+        whole = np.zeros(len(ends) + 1, bool)
+        whole[np.searchsorted(ends, special, "right")] = True
+        cuts = cuts[~whole[np.searchsorted(ends, cuts, "right")]]
+    twice = np.where(np.diff(ends, prepend=0) > 0, 2, 1)
+    return np.sort(np.concatenate([[0], cuts, np.repeat(ends, twice)]))
 
 
 class ChunkEncoder:
@@ -65,6 +121,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library, self.known, self.older = Tokenizer.from_file(path), {}, {}
@@ -76,17 +133,14 @@ class ChunkEncoder:
         marked = any("<|" not in x["content"] for x in read["added_tokens"])
         self.by_piece = read["normalizer"] is None and read["pre_tokenizer"] == BYTE_LEVEL and not marked
         self.model = self.library.model
+        self.pieces = Tokenizer(self.model)
+        self.pieces.pre_tokenizer = CharDelimiterSplit("\n")
+        self.widths = np.zeros(self.library.get_vocab_size(), np.int64)
+        for name, i in self.library.get_vocab(with_added_tokens=False).items():
+            self.widths[i] = len(name)
+        self.pieces_known = (column(np.zeros(1), b""), column(np.zeros(1), b""))
         (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
 
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """Pieces that join to the text and encode by themselves."""
-        if "<|" in text:
-            return [text]
-        if "\x01" in text or " ".join(text.split()) != text.replace("\n", " "):  # runs or other kinds of white space
-            return CHUNK_BORDER.split(text)
-        return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
-
     def of_pieces(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks that are SIMPLE: the library's model gets each distinct piece, its bytes as the letters that stand for them."""
         cut = list(map(PIECE.findall, chunks))
@@ -119,18 +173,86 @@ class ChunkEncoder:
         self.known.update([x for x in found.items() if len(x[0]) <= LONGEST])
         return found
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Each text's ids and the end id."""
-        split = [self.chunks(t) if t else [] for t in texts]
-        flat = list(chain.from_iterable(split))
-        ids, end, at, out = list(map(self.known.get, flat)), END_ID.to_bytes(4, "little"), 0, []
+    def of_model(self, pieces: pa.Array) -> pa.Array:
+        """Ids of pieces from the library's model, many in one call; tokens are told apart by the bytes that they stand for."""
+        ids = [np.zeros(0, "<u4")]
+        for i in range(0, len(pieces), 16384):
+            raw = np.frombuffer(b"\n".join(pieces.slice(i, 16384).to_pylist()), np.uint8)
+            (found,) = self.pieces.encode_batch_fast([NAMES[raw].tobytes().decode("utf-32-le")], add_special_tokens=False)
+            ids.append(np.array(found.ids, "<u4"))
+        ids = np.concatenate(ids)
+        after, ends = np.cumsum(self.widths[ids]), parts(pieces)[0][1:]
+        at = np.searchsorted(after, ends)
+        if len(ids) and (at[-1] + 1 != len(ids) or (after[at] != ends).any()):
+            raise ValueError("tokens do not end where their pieces end")
+        return column(np.append(0, (at + 1) * 4), ids)
+
+    def of_simple(self, pieces: pa.Array) -> pa.Array:
+        """Ids of distinct pieces of simple chunks: those that are known, and the others from the model."""
+        known, known_ids = self.pieces_known
+        at = pc.index_in(pieces, value_set=known)
+        missing = pc.is_null(at)
+        new = pieces.filter(missing)
+        new_ids, missing = self.of_model(new), missing.to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        at[missing] = len(known) + np.arange(len(new))
+        known, known_ids = pa.concat_arrays([known, new]), pa.concat_arrays([known_ids, new_ids])
+        found = known_ids.take(pa.array(at))
+        if len(known) > REMEMBERED:  # the memory starts anew with what this step has
+            known, known_ids = pieces, found
+        short = pc.less_equal(pc.binary_length(known), LONGEST)
+        self.pieces_known = (known, known_ids) if pc.all(short).as_py() else (known.filter(short), known_ids.filter(short))
+        return found
+
+    def of_odd(self, chunks: pa.Array) -> pa.Array:
+        """Ids of chunks that are not simple."""
+        texts = chunks.cast(pa.large_string()).to_pylist()
+        ids = list(map(self.known.get, texts))
         if None in ids:
-            new = self.learn({c for c, x in zip(flat, ids, strict=True) if x is None})
-            ids = [new[c] if x is None else x for c, x in zip(flat, ids, strict=True)]
-        for chunks in split:
-            out.append(np.frombuffer(b"".join(ids[at : at + len(chunks)]) + end, "<u4"))
-            at += len(chunks)
-        return out
+            new = self.learn({c for c, x in zip(texts, ids, strict=True) if x is None})
+            ids = [new[c] if x is None else x for c, x in zip(texts, ids, strict=True)]
+        return pa.array(ids, pa.large_binary())
+
+    def of_chunks(self, chunks: pa.Array) -> pa.Array:
+        """Ids of distinct chunks, as bytes; the empty chunk has none."""
+        bounds, data = parts(chunks)
+        start = np.flatnonzero((data & 0xC0) != 0x80)  # of each character
+        code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+        kind = KINDS[np.minimum(code, 0xFFFF)] if self.by_piece else np.zeros(len(code), np.uint8)
+        first = np.searchsorted(start, bounds)  # the first character of each chunk
+        opens = np.zeros(len(code) + 1, bool)
+        opens[first] = True
+        wrong = (kind == 0) | ((kind == SPACE) & (~opens[:-1] | opens[1:]))
+        pair = ((code[:-1] == 39) & (kind[1:] == LETTER)) | ((code[:-1] == 60) & (code[1:] == 124))  # may be 's, or <|
+        wrong[:-1] |= pair & ~opens[1:-1]
+        odd = np.unique(np.searchsorted(first, np.flatnonzero(wrong), "right") - 1)
+        within = np.zeros(len(code) + 1, np.int8)
+        within[first[odd]] += 1
+        within[first[odd + 1]] -= 1
+        cut = opens[:-1].copy()
+        cut[1:] |= (kind[1:] != kind[:-1]) & (kind[:-1] != SPACE) & (np.cumsum(within, dtype=np.int8)[1:-1] == 0)
+        at = np.flatnonzero(cut)
+        pieces = column(np.append(start[at], len(data)), data).dictionary_encode()
+        codes, distinct, at = pieces.indices.to_numpy(), pieces.dictionary, np.searchsorted(at, first)
+        whole, simple = codes[at[odd]], np.ones(len(distinct), bool)
+        simple[whole] = False
+        place = np.cumsum(simple) - 1
+        place[whole] = int(simple.sum()) + np.arange(len(whole))
+        ids = pa.concat_arrays([self.of_simple(distinct.filter(pa.array(simple))), self.of_odd(distinct.take(pa.array(whole)))])
+        offsets, raw = parts(ids.take(pa.array(place[codes])))
+        return column(offsets[at], raw)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Each text's ids and the end id."""
+        ends, data = parts(texts.cast(pa.large_string()))
+        coded = column(units(data, ends[1:]), data).dictionary_encode()
+        codes, chunks = coded.indices.to_numpy().copy(), coded.dictionary
+        last = np.flatnonzero(parts(chunks)[0][1:][codes] == parts(chunks)[0][:-1][codes])
+        codes[last] = len(chunks)
+        ids = pa.concat_arrays([self.of_chunks(chunks), pa.array([END_ID.to_bytes(4, "little")], pa.large_binary())])
+        offsets, raw = parts(ids.take(pa.array(codes)))
+        ids, at = raw.view("<u4"), [0, *(offsets[last + 1] // 4).tolist()]
+        return [ids[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
 
 
 _encoders: dict[str, ChunkEncoder] = held(__name__)
@@ -143,12 +265,11 @@ def encoder(path: str) -> ChunkEncoder:
 
 
 def alternate(at: np.ndarray) -> np.ndarray:
-    """Of places that may be replaced, each but those right after a replaced one: the first, third... of every run."""
-    if not len(at):
-        return at
-    new = np.flatnonzero(np.diff(at, prepend=at[0] - 2) != 1)
-    first = np.repeat(at[new], np.diff(np.append(new, len(at))))
-    return at[(at - first) % 2 == 0]
+    """Which of the places that may be replaced are: each but those right after a replaced one, the first, third... of every run."""
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] - at[:-1] != 1
+    first = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+    return (at - first) % 2 == 0
 
 
 SLOT_BITS = 20
@@ -164,44 +285,56 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     Each round replaces up to ``PER_ROUND`` of the most frequent pairs at once, left to right; rounds go on
     until no pair occurs ``LEAST_COUNT`` times. Every round replaces some place, so they end.
     """
-    symbols, ends = ids.astype(np.int64), ends.copy()
-    rules, lengths = np.zeros((0, 2), np.int64), np.ones(FIRST_RULE, np.int64)
-    newest = 0  # pairs without a symbol from here on are known to be rare
+    symbols, last = ids.astype(np.int32), np.zeros(len(ids), bool)
+    last[ends - 1] = True
+    rules, lengths, n_rules = [np.zeros((0, 2), np.int64)], np.ones(FIRST_RULE, np.int64), 0
+    where = None  # the places of pairs that are not known to be rare; none given: all
     while len(symbols) > 1:
-        pairs = symbols[:-1] << 32 | symbols[1:]
-        pairs[ends[:-1] - 1] = -1
-        where = np.flatnonzero((symbols[:-1] >= newest) | (symbols[1:] >= newest))
-        pairs = pairs[where]
+        if where is None:
+            pairs = symbols[:-1].astype(np.int64) << 32 | symbols[1:]
+            pairs[last[:-1]] = -1
+        else:
+            pairs = symbols[where].astype(np.int64) << 32 | symbols[where + 1]
+            pairs[last[where]] = -1
         ordered = np.sort(pairs)
         cut = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
         cut = np.concatenate([[0], cut]) if len(ordered) else cut
         counts = np.diff(np.append(cut, len(ordered)))
-        often = np.flatnonzero((counts >= LEAST_COUNT) & (ordered[cut] >= 0))
+        often = np.flatnonzero(counts >= LEAST_COUNT)
+        often = often[ordered[cut[often]] >= 0]
         wait = len(often) > PER_ROUND
         if wait:
             often = often[np.argpartition(-counts[often], PER_ROUND)[:PER_ROUND]]
         chosen = np.sort(ordered[cut[often]])
         if not len(chosen):
             break
-        slot = np.zeros(1 << SLOT_BITS, np.int32)  # of two pairs that share a slot, one waits for a later round
+        slot = np.zeros(1 << SLOT_BITS, np.uint16)  # of two pairs that share a slot, one waits for a later round
         own = slots(chosen)
         slot[own] = np.arange(len(chosen))
         wait |= bool((slot[own] != np.arange(len(chosen))).any())
         place = slot[slots(pairs)]
-        hit = chosen[place] == pairs
-        at = alternate(where[hit])
-        place = place[hit][np.searchsorted(where[hit], at)]
+        hit = np.flatnonzero(chosen[place] == pairs)
+        at = hit if where is None else where[hit]
+        taken = alternate(at)
+        at, place = at[taken], place[hit[taken]]
         here = np.bincount(place, minlength=len(chosen)) > 0
         used, which = np.flatnonzero(here), (np.cumsum(here) - 1)[place]
         made = np.stack([chosen[used] >> 32, chosen[used] & 0xFFFFFFFF], 1)
-        newest = 0 if wait else FIRST_RULE + len(rules)
-        symbols[at] = FIRST_RULE + len(rules) + which
+        symbols[at] = FIRST_RULE + n_rules + which
+        last[at] = last[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        ends = np.cumsum(keep)[ends - 1]
-        symbols, rules = symbols[keep], np.concatenate([rules, made])
+        symbols, last = symbols[keep], last[keep]
+        if wait:
+            where = None
+        else:  # pairs without a symbol of this round are rare
+            at = at - np.arange(len(at))
+            where = np.unique(np.concatenate([at - 1, at]))
+            where = where[(where >= 0) & (where < len(symbols) - 1)]
+        rules.append(made)
+        n_rules += len(made)
         lengths = np.concatenate([lengths, lengths[made[:, 0]] + lengths[made[:, 1]]])
-    return rules.astype("<u4"), lengths[FIRST_RULE:].astype("<u4"), symbols.astype("<u4"), ends
+    return np.concatenate(rules).astype("<u4"), lengths[FIRST_RULE:].astype("<u4"), symbols.astype("<u4"), np.flatnonzero(last) + 1
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
@@ -218,6 +351,17 @@ def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
     return symbols.astype("<u4")
 
 
+def expand_by_lengths(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ids that many symbols of one block stand for: each rule is expanded once, its ids are copied to where it stands."""
+    table = np.concatenate([np.arange(FIRST_RULE, dtype="<u4"), expand(np.arange(FIRST_RULE, FIRST_RULE + len(rules)), rules)])
+    width = np.concatenate([np.ones(FIRST_RULE, np.int64), lengths.astype(np.int64)])
+    first, width = (np.cumsum(width) - width)[symbols], width[symbols]
+    after = np.cumsum(width)
+    where = np.repeat(first - after + width, width)
+    where += np.arange(len(where))
+    return table[where]
+
+
 def stretch(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start: int, stop: int) -> np.ndarray:
     """Ids start to stop of what symbols stand for; only the symbols that hold them are expanded."""
     width = np.ones(len(symbols), np.int64)
@@ -252,6 +396,17 @@ def block_batch(row: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
 
+def steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices that hold STEP bytes of texts at most, or one text."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(ends):
+        after = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + STEP, "right"))
+        after = max(first + 1, after)
+        yield batch.slice(first, after - first)
+        first = after
+
+
 def write(docs: DataFrame, tokenizer_path: str, path: str) -> None:
     """Encodes docs and writes the blocks to path."""
 
@@ -259,9 +414,8 @@ def write(docs: DataFrame, tokenizer_path: str, path: str) -> None:
         encode, part, number, held = encoder(tokenizer_path).encode, TaskContext.get().partitionId(), 0, 0
         doc_ids, ids = [], []
         for b in batches:
-            for i in range(0, b.num_rows, AT_ONCE):
-                rows = b.slice(i, AT_ONCE)
-                for doc_id, x in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist()), strict=True):
+            for rows in steps(b):
+                for doc_id, x in zip(rows.column(0).to_pylist(), encode(rows.column(1)), strict=True):
                     doc_ids.append(doc_id)
                     ids.append(x)
                     held += len(x)
@@ -296,7 +450,7 @@ class Block:
         return stretch(own, self.rules, self.lengths, start, stop)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules)
+        return expand_by_lengths(self.symbols, self.rules, self.lengths)
 
 
 def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -187,3 +187,59 @@ def test_simple_chunks_go_to_the_model_piece_by_piece():
     found = own.learn(printable | others)
     assert found == {c: packed(whole.encode(c, add_special_tokens=False).ids) for c in printable | others}
     assert not printable.intersection("\n".join(Library.seen).split("\n"))
+
+
+def test_texts_are_encoded_in_columns_without_an_object_for_each_chunk(monkeypatch):
+    """Chunks that occur again make no Python object, and known pieces do not go to the model again."""
+    own, whole = token_files.ChunkEncoder(BYTE), Tokenizer.from_file(BYTE)
+    seen = []
+    monkeypatch.setattr(own, "learn", lambda missing, learn=own.learn: seen.append(set(missing)) or learn(missing))
+    monkeypatch.setattr(own, "of_model", lambda new, model=own.of_model: seen.append(new.to_pylist()) or model(new))
+    texts = ["the harbour, the harbour. " * 200 + "the end", "it's the end", "", "the harbour"]
+    expected = [[*whole.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert [x.tolist() for x in own.encode(token_files.pa.array(texts))] == expected
+    assert sum(map(len, seen)) < 12 and {"it's"} in seen
+    seen.clear()
+    assert [x.tolist() for x in own.encode(token_files.pa.array(texts))] == expected
+    assert sum(map(len, seen)) == 0
+
+
+def test_places_where_texts_are_cut():
+    own, whole = token_files.ChunkEncoder(BYTE), Tokenizer.from_file(BYTE)
+    rng = random.Random(7)
+    signs = [*" \n\t\r\x00\x1c\x1f\x7f\x85\xa0\u1680\u180e\u2000\u200a\u200b\u2028\u202f\u205f\u3000\u00ab\u2019\u2026\ufeff\uffff\U0001f600"]
+    words = ["a", "The", "don't", "'ll", "'", "x'", "12", ".", "<|endoftext|>", "<", "|", "\u00e9t\u00e9", "\u65e5\u672c", "a\u0301", "\u0939\u093f", "\u0e44\u0e17\u0e22", "end.of"]
+    texts = [" ", "\n", "", "  ", " a", "a ", "a\nb", "\na", "a\n", "<", "|a", "<|", "a <|endoftext|> b", "x <", "|endoftext|>", "", ""]
+    texts += ["".join(rng.choice(signs if rng.random() < 0.3 else [" "] if rng.random() < 0.4 else words) for _ in range(rng.randint(1, 30))) for _ in range(4000)]
+    for t in ([texts[0]], [""], ["", ""], texts, texts[::-1]):
+        column = token_files.pa.array(["left out", *t]).slice(1)
+        assert [x.tolist() for x in own.encode(column)] == [[*x.ids, 0] for x in whole.encode_batch(t, add_special_tokens=False)]
+    ends, data = token_files.parts(token_files.pa.array(["a b\nc", "", "<| d"], token_files.pa.large_string()))
+    assert token_files.units(data, ends[1:]).tolist() == [0, 1, 3, 4, 5, 5, 5, 9, 9]
+
+
+def test_memory_of_pieces_is_bounded_and_long_pieces_are_not_kept(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 50)
+    own, whole = token_files.ChunkEncoder(BYTE), Tokenizer.from_file(BYTE)
+    for k in range(5):
+        texts = [" ".join(["often", *[chr(97 + i) * (k + 2) for i in range(20)], "z" * 70])]
+        assert own.encode(token_files.pa.array(texts))[0].tolist() == [*whole.encode(texts[0], add_special_tokens=False).ids, 0]
+        known = own.pieces_known[0].to_pylist()
+        assert b"often" in known and len(known) <= 50 and max(map(len, known)) <= token_files.LONGEST
+        assert len(known) == len(own.pieces_known[1])
+
+
+def test_steps_of_token_files_hold_bounded_bytes(monkeypatch):
+    monkeypatch.setattr(token_files, "STEP", 10)
+    texts = ["\u00e9" * 5, "a", "b" * 9, "c" * 30, "", "", "d" * 10, ""]
+    batch = token_files.pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    assert [s.column(0).to_pylist() for s in token_files.steps(batch)] == [[0], [1, 2], [3], [4, 5, 6, 7]]
+    assert list(token_files.steps(batch.slice(0, 0))) == []
+
+
+def test_blocks_are_read_by_lengths_of_rules():
+    rng = random.Random(3)
+    ids = token_files.np.array([rng.randrange(1, 5) for _ in range(3000)] + list(range(60000, 65536)), "<u4")
+    rules, lengths, symbols, _ = token_files.compress(ids, token_files.np.array([1000, len(ids)]))
+    assert token_files.expand_by_lengths(symbols, rules.astype("i8"), lengths).tolist() == ids.tolist()
+    assert token_files.expand_by_lengths(symbols[:0], rules[:0].astype("i8"), lengths[:0]).tolist() == []
