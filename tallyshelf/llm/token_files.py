@@ -45,8 +45,10 @@ from tallyshelf.llm.common import arrow_pass, held, scratch_folder, text_pass
 
 END_ID, FIRST_RULE = 0, 1 << 16
 BLOCK_IDS, PER_ROUND, LEAST_COUNT = 1 << 19, 16384, 4
-#: Chunks or pieces remembered between steps, the longest of them, and the bytes of texts that a step takes (or one longer text).
-REMEMBERED, LONGEST, STEP = 1_200_000, 64, 1 << 23
+#: Chunks or pieces remembered between steps, and the longest of them.
+REMEMBERED, LONGEST = 1_200_000, 64
+#: Bytes of texts that a step takes, and of chunks or pieces that go to the library at once, or one longer text, chunk or piece.
+STEP, CALL = 1 << 23, 1 << 18
 
 #: Ranges that every version of Unicode since 5.0 has as letters alone, and as neither letters, numbers nor white space.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u0621-\u063a\u0641-\u064a\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
@@ -88,6 +90,16 @@ def parts(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], raw
 
 
+def runs(values: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Where runs of values start and how many they are: of most bytes together, or one value."""
+    ends = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(ends):
+        after = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
+        yield first, after - first
+        first = after
+
+
 def units(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Offsets at which texts that lie side by side come apart: into their chunks, and after each text an empty unit.
 
@@ -175,17 +187,18 @@ class ChunkEncoder:
 
     def of_model(self, pieces: pa.Array) -> pa.Array:
         """Ids of pieces from the library's model, many in one call; tokens are told apart by the bytes that they stand for."""
-        ids = [np.zeros(0, "<u4")]
-        for i in range(0, len(pieces), 16384):
-            raw = np.frombuffer(b"\n".join(pieces.slice(i, 16384).to_pylist()), np.uint8)
-            (found,) = self.pieces.encode_batch_fast([NAMES[raw].tobytes().decode("utf-32-le")], add_special_tokens=False)
-            ids.append(np.array(found.ids, "<u4"))
-        ids = np.concatenate(ids)
-        after, ends = np.cumsum(self.widths[ids]), parts(pieces)[0][1:]
-        at = np.searchsorted(after, ends)
-        if len(ids) and (at[-1] + 1 != len(ids) or (after[at] != ends).any()):
-            raise ValueError("tokens do not end where their pieces end")
-        return column(np.append(0, (at + 1) * 4), ids)
+        found = [pa.array([], pa.large_binary())]
+        for run in runs(pieces, CALL):
+            part = pieces.slice(*run)
+            raw = np.frombuffer(b"\n".join(part.to_pylist()), np.uint8)
+            (line,) = self.pieces.encode_batch_fast([NAMES[raw].tobytes().decode("utf-32-le")], add_special_tokens=False)
+            ids = np.array(line.ids, "<u4")
+            after, ends = np.cumsum(self.widths[ids]), parts(part)[0][1:]
+            at = np.searchsorted(after, ends)
+            if at[-1] + 1 != len(ids) or (after[at] != ends).any():
+                raise ValueError("tokens do not end where their pieces end")
+            found.append(column(np.append(0, (at + 1) * 4), ids))
+        return pa.concat_arrays(found)
 
     def of_simple(self, pieces: pa.Array) -> pa.Array:
         """Ids of distinct pieces of simple chunks: those that are known, and the others from the model."""
@@ -206,12 +219,15 @@ class ChunkEncoder:
 
     def of_odd(self, chunks: pa.Array) -> pa.Array:
         """Ids of chunks that are not simple."""
-        texts = chunks.cast(pa.large_string()).to_pylist()
-        ids = list(map(self.known.get, texts))
-        if None in ids:
-            new = self.learn({c for c, x in zip(texts, ids, strict=True) if x is None})
-            ids = [new[c] if x is None else x for c, x in zip(texts, ids, strict=True)]
-        return pa.array(ids, pa.large_binary())
+        found = [pa.array([], pa.large_binary())]
+        for run in runs(chunks, CALL):
+            texts = chunks.slice(*run).cast(pa.large_string()).to_pylist()
+            ids = list(map(self.known.get, texts))
+            if None in ids:
+                new = self.learn({c for c, x in zip(texts, ids, strict=True) if x is None})
+                ids = [new[c] if x is None else x for c, x in zip(texts, ids, strict=True)]
+            found.append(pa.array(ids, pa.large_binary()))
+        return pa.concat_arrays(found)
 
     def of_chunks(self, chunks: pa.Array) -> pa.Array:
         """Ids of distinct chunks, as bytes; the empty chunk has none."""
@@ -398,13 +414,8 @@ def block_batch(row: tuple) -> pa.RecordBatch:
 
 def steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in slices that hold STEP bytes of texts at most, or one text."""
-    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
-    first = 0
-    while first < len(ends):
-        after = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + STEP, "right"))
-        after = max(first + 1, after)
-        yield batch.slice(first, after - first)
-        first = after
+    for first, n in runs(batch.column(1), STEP):
+        yield batch.slice(first, n)
 
 
 def write(docs: DataFrame, tokenizer_path: str, path: str) -> None:

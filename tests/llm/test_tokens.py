@@ -243,3 +243,14 @@ def test_blocks_are_read_by_lengths_of_rules():
     rules, lengths, symbols, _ = token_files.compress(ids, token_files.np.array([1000, len(ids)]))
     assert token_files.expand_by_lengths(symbols, rules.astype("i8"), lengths).tolist() == ids.tolist()
     assert token_files.expand_by_lengths(symbols[:0], rules[:0].astype("i8"), lengths[:0]).tolist() == []
+
+
+def test_calls_of_the_library_hold_bounded_bytes(monkeypatch):
+    monkeypatch.setattr(token_files, "CALL", 40)
+    own, whole, calls = token_files.ChunkEncoder(BYTE), Tokenizer.from_file(BYTE), []
+    monkeypatch.setattr(own, "learn", lambda missing, learn=own.learn: calls.append(sum(len(c.encode()) for c in missing)) or learn(missing))
+    texts = [" ".join(["हि" * (i % 5 + 1) for i in range(30)] + [f"word{i}" for i in range(60)] + ["ह" * 50, "z" * 90, "end"])]
+    assert own.encode(token_files.pa.array(texts))[0].tolist() == [*whole.encode(texts[0], add_special_tokens=False).ids, 0]
+    assert len(calls) > 2 and sorted(calls)[-2] <= 40 and max(calls) == 151
+    runs = list(token_files.runs(token_files.pa.array(["a" * 30, "b" * 10, "c", "d" * 50, "", "e"], token_files.pa.large_string()), 40))
+    assert runs == [(0, 2), (2, 1), (3, 1), (4, 2)]
