@@ -38,9 +38,11 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tallyshelf/{spark.sparkContext.applicationId}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: its lineage ends there.
 
+    The session's compression of tables holds unless another is named.
+
     The files outlive any executor, and each later use reads only the columns it needs. What the write has shuffled
     is removed when it ends: left to the driver's garbage collection, files of many steps pile up.
     """
@@ -49,7 +51,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANED, None)
     spark.conf.set(CLEANED, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.unset(CLEANED) if before is None else spark.conf.set(CLEANED, before)
     out = spark.read.schema(df.schema).parquet(path)

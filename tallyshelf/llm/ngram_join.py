@@ -27,6 +27,10 @@ of the links that a piece of this work finds it returns a spanning forest. Which
 results. Very many copies of one text thus cost a comparison or a few each; what does grow with pairs are
 different texts that share fragments without being linked: they have to be told apart one by one.
 
+*Disk.* What is at once in shuffles is a fraction of all that goes through them: signatures are made and met in PASSES parts of their
+values, texts of needed sets are looked up in as many parts, and overlaps are counted in RANGES parts of the n-gram order, one after the
+other, each for so many pairs that their sets are no more bytes than all sets that are looked up. Small tables go in one part.
+
 All shuffles are keyed by signature, set, pair or document; none by a word, source or passage.
 
 Defined cases: a null, empty or blank text has the empty set and is linked with nothing; a text with fewer
@@ -42,7 +46,9 @@ empty set all stay.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +71,8 @@ NEED_AT = 10
 RARER = 10
 #: Into how many fragments compared sets are cut at least, and the elements of the first set that make one more.
 LEAST_FRAGMENTS, FRAGMENT_ELEMENTS = 4, 4096
+#: Into how many parts signatures, texts of needed sets and compared elements are divided, and up to how many bytes of elements they are not.
+PASSES, RANGES, UNDIVIDED = 2, 4, 1 << 26
 #: N-grams in this many of up to AT_ONCE documents of a task are reported as common; the most frequent
 #: MOST_COMMON of all reports are left out of signatures. Which n-grams these are changes cost, not results.
 COMMON_IN, AT_ONCE, MOST_COMMON = 4, 2000, 1 << 17
@@ -291,8 +299,8 @@ def common_ngrams(rows: DataFrame) -> np.ndarray:
     return np.sort(found.view(np.uint64))
 
 
-def signature_rows(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
-    """sig, kind and key64 of every set; a task names equal sets once."""
+def signature_rows(docs: DataFrame, n: int, percent: int, common: np.ndarray, part: int = 0, parts: int = 1) -> DataFrame:
+    """sig, kind and key64 of every set, for the signatures of one of so many parts; a task names equal sets once."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,8 +313,9 @@ def signature_rows(docs: DataFrame, n: int, percent: int, common: np.ndarray) ->
                     if len(s) and key not in done:
                         done.add(key)
                         own, kind = signatures(s, without(s, sent.value), classes)
-                        sigs.append(own)
-                        kinds.append(kind)
+                        here = own % np.uint64(parts) == part
+                        sigs.append(own[here])
+                        kinds.append(kind[here])
                         keys.append(key)
                 if sigs:
                     key64 = np.repeat(np.array(keys, np.int64), [len(x) for x in sigs])
@@ -346,46 +355,56 @@ def of_several(rows: DataFrame, what: str) -> DataFrame:
     return rows.join(several, "sig", "left_semi")
 
 
-def thinned(rows: DataFrame, what: str) -> DataFrame:
-    """rows without those that cannot tie similar sets with different values of what, as far as that is worth a pass.
+def united(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
 
-    Each pass is written and the table before it removed.
+def thinned(parts: Iterator[DataFrame], what: str) -> DataFrame:
+    """Of all parts the rows without those that cannot tie similar sets with different values of what, as far as that is worth a pass.
+
+    No two parts have a signature in common. Each part and pass is written and the table before it removed.
     """
-    first = keep(rows, "signatures")
-    rows = keep(of_several(first, what), "signatures")
-    forget(first)
-    before, left = None, rows.count()
+    tables = []
+    for part in parts:
+        first = keep(part, "signatures")
+        tables.append(keep(of_several(first, what), "signatures"))
+        forget(first)
+    before, left = None, united(tables).count()
     while left and (before is None or left < 0.9 * before):
-        fewer = keep(of_several(plausible(rows), what), "signatures")
-        forget(rows)
-        rows, before, left = fewer, left, fewer.count()
-    return rows
+        fewer = keep(of_several(plausible(united(tables)), what), "signatures")
+        for old in tables:
+            forget(old)
+        tables, before, left = [fewer], left, fewer.count()
+    for empty in tables[1:]:
+        forget(empty)
+    return tables[0]
 
 
 def rarest(rows: DataFrame) -> DataFrame:
     """The rows that suffice to find every similar pair: of each kind a set goes without its most frequent signatures.
 
     Similar sets share as many signatures as their kinds say. The rarest of these, in one order of all signatures, is
-    not among the so many less one most frequent ones of either set. With each row come some rarer ones of its set,
-    so that a pair need not be named again where it shares these.
+    not among the so many less one most frequent ones of either set.
     """
     often = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("times"))
-    own = Window.partitionBy("sid", "kind")
-    place = F.row_number().over(own.orderBy(F.desc("times"), F.desc("sig")))
-    rarer = F.collect_list("sig").over(own.orderBy("times", "sig").rowsBetween(-RARER, -1))
-    ranked = rows.join(often, "sig").withColumn("place", place).withColumn("rarer", rarer)
+    place = F.row_number().over(Window.partitionBy("sid", "kind").orderBy(F.desc("times"), F.desc("sig")))
+    ranked = rows.join(often, "sig").withColumn("place", place)
     return ranked.where(F.expr(f"place >= shiftright(kind, {NEED_AT})")).drop("times", "place")
 
 
-def shared_signatures(docs: DataFrame, n: int, percent: int, common: np.ndarray, distinct: DataFrame) -> DataFrame:
-    """sig, kind, sid and size: the sets of every signature that several have."""
-    rows = signature_rows(docs, n, percent, common).repartition("sig").sortWithinPartitions("sig", "key64", "kind")
-    shared = arrow_pass(rows, "sig long, kind int, key64 long", shared_batches)
-    return thinned(shared.join(distinct.select("key64", "sid", "size"), "key64").select("sig", "kind", "sid", "size"), "sid")
+def shared_signatures(docs: DataFrame, n: int, percent: int, common: np.ndarray, distinct: DataFrame, parts: int) -> DataFrame:
+    """sig, kind, sid and size: the sets of every signature that several have. Sets are hashed anew for each part of the signatures."""
 
+    def of_part(part: int) -> DataFrame:
+        rows = signature_rows(docs, n, percent, common, part, parts).repartition("sig").sortWithinPartitions("sig", "key64", "kind")
+        shared = arrow_pass(rows, "sig long, kind int, key64 long", shared_batches)
+        return shared.join(distinct.select("key64", "sid", "size"), "key64").select("sig", "kind", "sid", "size")
 
-def element_rows(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
-    """sid and elements of the sets that are needed, from one document of each."""
+    return thinned((of_part(i) for i in range(parts)), "sid")
+
+
+def element_rows(docs: DataFrame, n: int, needed: DataFrame, parts: int) -> DataFrame:
+    """sid and elements of the sets that are needed, from one document of each; so many parts of the documents are looked up one by one."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -398,8 +417,13 @@ def element_rows(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").alias("of"), F.xxhash64("text").alias("of_hash"), "text")
     # what is needed grows with the documents, so it is never broadcast: the plan is the same at every size
-    both = rows.join(needed.hint("merge"), rows["of"].eqNullSafe(needed["rep"]) & (rows["of_hash"] == needed["rep_hash"]))
-    found = keep(text_pass(both, "sid long, n_rows long, elements binary", work, "sid", "n_rows", "key", "text"), "elements")
+    tables = []
+    for part in range(parts):
+        ours = lambda *c: F.pmod(F.xxhash64(*c), F.lit(parts)) == part  # noqa: B023, E731
+        some, of = rows.where(ours("of", "of_hash")), needed.where(ours("rep", "rep_hash")).hint("merge")
+        both = some.join(of, some["of"].eqNullSafe(of["rep"]) & (some["of_hash"] == of["rep_hash"]))
+        tables.append(keep(text_pass(both, "sid long, n_rows long, elements binary", work, "sid", "n_rows", "key", "text"), "elements"))
+    found = united(tables)
     once = found.where("n_rows = 1").select("sid", "elements")
     # a set with several rows may come from rows that are the same throughout
     return once.unionByName(found.where("n_rows > 1").groupBy("sid").agg(F.first("elements").alias("elements")))
@@ -452,19 +476,61 @@ def asked(dealt: DataFrame) -> DataFrame:
     return partners.unionByName(own)
 
 
-def links(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
-    """u and v of the pairs (u, su, v, sv; sets and their sizes) that are similar enough; no pair may occur twice."""
-    fit = pairs.where(100 * F.least("su", "sv") >= percent * F.greatest("su", "sv"))
-    fit = keep(fit.select("u", "su", "v", "sv"), "pairs")
-    many = fit.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("blocks")).where("blocks > 1")
-    dealt = fit.join(many, "u", "left").withColumn("block", F.pmod(F.xxhash64("v"), F.coalesce("blocks", F.lit(1))).cast("int"))
+def in_range(elements: DataFrame, i: int, ranges: int) -> DataFrame:
+    """sid and elements with those that lie in the i-th of so many equal ranges of the n-gram order; no row for a set that has none there."""
+    low, high = (np.uint64((k << 64) // ranges) if k < ranges else None for k in (i, i + 1))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            sids, parts = [], []
+            for sid, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(raw, "<u8")
+                s, e = np.searchsorted(x, low), len(x) if high is None else np.searchsorted(x, high)
+                if s < e:
+                    sids.append(sid)
+                    parts.append(raw[8 * s : 8 * e])
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(parts, pa.binary())], names=["sid", "elements"])
+
+    return arrow_pass(elements.select("sid", "elements"), "sid long, elements binary", work)
+
+
+def partial_overlaps(dealt: DataFrame, elements: DataFrame) -> DataFrame:
+    """u, v, n, su and sv: how many of the elements pairs dealt out in blocks share, where that is any."""
     # the sets of both sides are looked up together: at size each join with elements sends all of them through a shuffle
     both = asked(dealt).join(elements, "sid").select("u", "su", "block", "v", "sv", "elements")
     cut = arrow_pass(both, CUT, cut_batches)
     cut = cut.repartition("u", "block", "fragment").sortWithinPartitions("u", "block", "fragment", F.col("v").asc_nulls_first())
-    parts = arrow_pass(cut, "u long, su long, v long, sv long, n long", partial_batches)
-    whole = parts.groupBy("u", "v").agg(F.sum("n").alias("n"), F.first("su").alias("su"), F.first("sv").alias("sv"))
-    return keep(whole.where(100 * F.col("n") >= percent * (F.col("su") + F.col("sv") - F.col("n"))).select("u", "v"), "links")
+    return summed(arrow_pass(cut, "u long, su long, v long, sv long, n long", partial_batches))
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("u", "v").agg(F.sum("n").alias("n"), F.first("su").alias("su"), F.first("sv").alias("sv"))
+
+
+def bytes_of(elements: DataFrame) -> int:
+    return elements.agg(F.sum(F.octet_length("elements"))).first()[0] or 0
+
+
+def links(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
+    """u and v of the pairs (u, su, v, sv; sets and their sizes) that are similar enough; no pair may occur twice."""
+    fit = pairs.where(100 * F.least("su", "sv") >= percent * F.greatest("su", "sv"))
+    fit = keep(fit.select("u", "su", "v", "sv"), "pairs")
+    many = fit.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("blocks"), F.sum("sv").alias("theirs"), F.first("su").alias("own"))
+    sent = 8 * (many.agg(F.sum(F.col("theirs") + F.col("blocks") * F.col("own"))).first()[0] or 0)
+    dealt = fit.join(many.where("blocks > 1").select("u", "blocks"), "u", "left")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("v"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    similar = lambda whole: whole.where(100 * F.col("n") >= percent * (F.col("su") + F.col("sv") - F.col("n"))).select("u", "v")
+    size = bytes_of(elements)
+    if size + sent <= UNDIVIDED:
+        return keep(similar(partial_overlaps(dealt, elements)), "links")
+    found, shares = [], math.ceil(sent / max(size, UNDIVIDED)) or 1
+    for share in range(shares):
+        some = dealt.where(F.pmod(F.xxhash64("u", "block"), F.lit(shares)) == share)
+        parts = [keep(partial_overlaps(some, in_range(elements, i, RANGES)), "overlaps") for i in range(RANGES)]
+        found.append(keep(similar(summed(united(parts))), "links"))
+        for part in parts:
+            forget(part)
+    return united(found)
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -515,15 +581,16 @@ def block_links(members: DataFrame, elements: DataFrame, percent: int) -> DataFr
     top = per_label.groupBy("family").agg(F.max(F.struct("n", "label"))["label"].alias("top"))
     marked = keep(members.join(top, "family").select("family", "sid", "size", (F.col("label") != F.col("top")).alias("rest")), "families")
     blocks = lambda of: F.ceil(F.greatest(F.count(of) / BLOCK_SETS, F.sum(F.when(of.isNotNull(), F.col("size"))) / BLOCK_ELEMENTS)).cast("int")
-    numbers = marked.groupBy("family").agg(blocks(F.when(F.col("rest"), 1)).alias("n_rest"), blocks(F.lit(1)).alias("n_all"))
-    rows = marked.join(numbers.where("n_rest > 0"), "family").join(elements, "sid")
+    sizes = [F.sum(F.when(F.col("rest"), F.col("size"))).alias("of_rest"), F.sum("size").alias("of_all")]
+    numbers = marked.groupBy("family").agg(blocks(F.when(F.col("rest"), 1)).alias("n_rest"), blocks(F.lit(1)).alias("n_all"), *sizes).where("n_rest > 0")
+    sent = 8 * (numbers.agg(F.sum(F.col("of_rest") * F.col("n_all") + F.col("of_all") * F.col("n_rest"))).first()[0] or 0)
+    rows = marked.join(numbers, "family")
     place = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rest = rows.where("rest").withColumn("i", place("n_rest")).withColumn("j", each("n_all"))
     whole = rows.withColumn("j", place("n_all")).withColumn("i", each("n_rest"))
-    columns = ["family", "i", "j", "side", "sid", "elements"]
+    columns = ["family", "i", "j", "side", "sid"]
     both = rest.withColumn("side", F.lit(0)).select(columns).unionByName(whole.withColumn("side", F.lit(1)).select(columns))
-    dealt = both.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
     def piece(rows: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
         a, b = ([(sid, np.frombuffer(x, "<u8")) for own, sid, x in rows if own == side] for side in (0, 1))
@@ -544,7 +611,12 @@ def block_links(members: DataFrame, elements: DataFrame, percent: int) -> DataFr
         u, v = piece(held)
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return keep(arrow_pass(dealt, "u long, v long", work), "links")
+    found, shares = [], math.ceil(sent / max(bytes_of(elements), UNDIVIDED)) or 1
+    for share in range(shares):
+        some = both.where(F.pmod(F.xxhash64("family", "i", "j"), F.lit(shares)) == share).join(elements, "sid").select(*columns, "elements")
+        dealt = some.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+        found.append(keep(arrow_pass(dealt, "u long, v long", work), "links"))
+    return united(found)
 
 
 def labelled(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
@@ -567,12 +639,14 @@ def all_links(shared: DataFrame, elements: DataFrame, percent: int) -> DataFrame
     labels = components(found)
     apart = labelled(stars.join(best.select("v", F.col("u").alias("best")), "v").where("u <> best"), labels, "u", "v").where("label_u <> label_v")
     found = found.unionByName(links(apart, elements, percent))
-    thin = thinned(labelled(shared, components(found), "sid"), "label_sid")
+    thin = thinned(iter([labelled(shared, components(found), "sid")]), "label_sid")
     forget(shared)
     rare = keep(of_several(rarest(thin), "label_sid"), "rarest-signatures")
     forget(thin)
     times = rare.groupBy("sig").agg(F.count(F.lit(1)).alias("times"), F.min("sid").alias("hub"))
-    tied = keep(rare.join(times, "sig"), "tied-sets")
+    # with each row come some rarer ones of its set, so that a pair need not be named again where it shares these
+    rarer = F.collect_list("sig").over(Window.partitionBy("sid", "kind").orderBy("times", "sig").rowsBetween(-RARER, -1))
+    tied = keep(rare.join(times, "sig").withColumn("rarer", rarer), "tied-sets")
     forget(rare)
     # a set ties all its hubs, so each hub needs one edge to the smallest of them, and many sets ask for the same ones
     hubs = tied.where(F.col("times") > FEW).groupBy("sid").agg(F.collect_set("hub").alias("hubs"))  # a set's signatures at most
@@ -601,10 +675,11 @@ def linked_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
         F.monotonically_increasing_id().alias("sid"), "key", "key64", "size", "n_rows", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash")
     )
     distinct = keep(distinct, "distinct-sets")
+    parts = PASSES if 8 * (distinct.agg(F.sum("size")).first()[0] or 0) > UNDIVIDED else 1
     with passing(docs.sparkSession) as own:
-        shared = shared_signatures(docs, n, percent, common_ngrams(rows), distinct)
+        shared = shared_signatures(docs, n, percent, common_ngrams(rows), distinct, parts)
         needed = distinct.join(shared.select("sid").distinct(), "sid", "left_semi").select("sid", "key", "n_rows", "rep", "rep_hash")
-        labels = components(all_links(shared, element_rows(docs, n, needed), percent))
+        labels = components(all_links(shared, element_rows(docs, n, needed, parts), percent))
         kept = own.pop()  # the last table is the labels
     keeps(kept)
     of_set = labelled(distinct.select("sid", "key", "rep"), labels, "sid")
@@ -626,7 +701,7 @@ def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     Rows are linked and kept by numbers of their own, written with them, so doc_ids may be null or repeat.
     """
-    numbered = keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    numbered = keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered", "zstd")
     found = linked_components(numbered.select(F.col(ROW).alias("doc_id"), "text"), n, percent)
     ids = numbered.select(F.col(ROW).alias("row"), F.col("doc_id").alias("id"))
     rows = found.select(F.col("doc_id").alias("row"), "component_id", "key").join(ids, "row")

@@ -212,3 +212,45 @@ def test_links_sends_elements_through_one_join(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in found.collect()] == [(1, 2)]
     (plan,) = [p for name, p in plans if name == "links"]
     assert sum("elements#" in line and "Relation" in line for line in plan.splitlines()) == 1
+
+
+def test_large_tables_are_compared_in_parts(spark, monkeypatch):
+    """What passes UNDIVIDED goes through shuffles in parts, with the same components."""
+    rng = random.Random(17)
+    rows = corpus(4)
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(150)]
+        rows += [(len(rows) + i, " ".join(edited(rng, base, rng.choice([2, 3, 4, 5])))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names, keep = [], ngram_join.keep
+    monkeypatch.setattr(ngram_join, "keep", lambda df, name, *more: names.append(name) or keep(df, name, *more))
+    monkeypatch.setattr(ngram_join, "UNDIVIDED", 0, raising=False)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    found = ngram_join.linked_components(docs, 4, 85).drop("key").collect()
+    assert sorted(map(tuple, found), key=repr) == brute_components(rows, 4, 85)
+    assert names.count("elements") == ngram_join.PASSES and names.count("overlaps") >= 3 * ngram_join.RANGES
+
+
+def test_pairs_of_more_bytes_than_the_elements_go_in_shares(spark, monkeypatch):
+    rng = random.Random(23)
+    top = np.iinfo(np.uint64).max
+    sets = {u: np.unique(np.array([0, 1 << 62, 3 << 62, top] + [rng.randrange(40) * (top // 40) for _ in range(rng.randrange(1, 60))], np.uint64)) for u in range(24)}
+    elements = spark.createDataFrame([(u, x.astype("<u8").tobytes()) for u, x in sets.items()], "sid long, elements binary")
+    pairs = [(u, v) for u in sets for v in sets if u < v]
+    asked = spark.createDataFrame([(u, len(sets[u]), v, len(sets[v])) for u, v in pairs], "u long, su long, v long, sv long")
+    names, keep = [], ngram_join.keep
+    monkeypatch.setattr(ngram_join, "keep", lambda df, name, *more: names.append(name) or keep(df, name, *more))
+    monkeypatch.setattr(ngram_join, "UNDIVIDED", 0, raising=False)
+    monkeypatch.setattr(ngram_join, "PARTNERS", 5)
+    found = {tuple(r) for r in ngram_join.links(asked, elements, 60).collect()}
+    shared = {(u, v): len(np.intersect1d(sets[u], sets[v])) for u, v in pairs}
+    assert found == {(u, v) for (u, v), n in shared.items() if 100 * n >= 60 * (len(sets[u]) + len(sets[v]) - n)} != set()
+    assert names.count("overlaps") > ngram_join.RANGES and names.count("overlaps") == names.count("links") * ngram_join.RANGES
+
+
+def test_signatures_of_all_parts_are_those_of_one(spark):
+    docs = spark.createDataFrame(corpus(6), "doc_id long, text string")
+    none_common = np.zeros(0, np.uint64)
+    rows = lambda *part: [tuple(r) for r in ngram_join.signature_rows(docs, 4, 85, none_common, *part).distinct().collect()]
+    parts = [rows(i, 3) for i in range(3)]
+    assert all(parts) and sorted(sum(parts, [])) == sorted(rows())
