@@ -7,10 +7,11 @@ become, are column expressions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,8 @@ TEXT_LISTS = (
 #: Of a product's texts: tags of a list, texts of a tag, how deep and wide the search for lists goes, how many lists count and how many of their entries.
 TAGS, TEXTS_OF_TAG, DEEPEST, WIDEST, LISTS, ENTRIES = 30, 25, 14, 90, 80, 40
 REVIEW = ("commentId",)
+#: Characters of payloads that are objects of Python's, and a batch of results, at once; a longer payload is by itself.
+AT_ONCE = 1 << 20
 
 
 def objects_with(keys: tuple[str, ...], nests: tuple[str, ...] = (), wanted: tuple[str, ...] = ()):
@@ -55,15 +58,19 @@ def objects_with(keys: tuple[str, ...], nests: tuple[str, ...] = (), wanted: tup
     Each is given as JSON text, with what its objects under ``nests`` have hoisted where it has nothing
     itself, and with its texts (JSN8, JSN9): those of its tags, then those of lists of texts below it, squeezed, each
     once whatever its case, of two characters or more, and without selling points (JSN29) but for tags that repeat
-    one elsewhere. With ``wanted``, objects have these keys only and no texts. The function carries all it needs.
+    one elsewhere. With ``wanted``, objects have these keys only and no texts. The function carries all it needs, and
+    its memory is a batch of Spark's and what becomes of AT_ONCE characters, however many payloads a task has.
     """
     tag_lists, tag_titled, tag_texts, text_lists = TAG_LISTS, TAG_TITLED, TAG_TEXTS, frozenset(TEXT_LISTS)
-    tags, texts_of_tag, deepest, widest, most_lists, entries = TAGS, TEXTS_OF_TAG, DEEPEST, WIDEST, LISTS, ENTRIES
+    tags, texts_of_tag, deepest, widest, most_lists, entries, at_once = TAGS, TEXTS_OF_TAG, DEEPEST, WIDEST, LISTS, ENTRIES, AT_ONCE
 
-    @F.pandas_udf("array<struct<object:string,texts:array<string>>>")
-    def found(bodies: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<struct<object:string,texts:array<string>>>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import json
 
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         def hoisted(d: dict) -> dict:
             out = dict(d)
             for nest in nests:
@@ -147,7 +154,16 @@ def objects_with(keys: tuple[str, ...], nests: tuple[str, ...] = (), wanted: tup
                     todo += reversed(node)
             return out
 
-        return bodies.map(walk)
+        kind = pa.list_(pa.struct([("object", pa.string()), ("texts", pa.list_(pa.string()))]))
+        for bodies in batches:
+            sizes, start, held = pc.fill_null(pc.utf8_length(bodies), 0).to_pylist(), 0, 0
+            for i, size in enumerate(sizes):
+                if i > start and held + size > at_once:
+                    yield pa.array(map(walk, bodies[start:i].to_pylist()), kind)
+                    start, held = i, 0
+                held += size
+            if start < len(sizes):
+                yield pa.array(map(walk, bodies[start:].to_pylist()), kind)
 
     return found
 

@@ -4,6 +4,7 @@ import io
 import json
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,19 @@ def test_catalogue_stream(spark, tmp_path):
     land(("1", "", "c", "t2"))
     assert {r.sku_id: (r.title, r.detail_brand) for r in upsert.current(spark, path).collect()} == {"1": ("one", "c"), "2": ("two", "b")}
     assert upsert.current(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_payloads_are_walked_in_bounded_pieces(spark, monkeypatch):
+    """However many payloads a batch has, few of them are Python's objects at once, and results leave in batches as small."""
+    large = json.dumps([{"skuId": str(i), "name": "n" * 1000} for i in range(400)])
+    given = [large] * 20 + [None, "{", "[]", large * 2, large]
+    walk = payloads.objects_with(("skuId",)).func
+    pieces = list(walk(iter([pa.array(given), pa.array([], pa.string()), pa.array(given[:1])])))
+    found = [row for piece in pieces for row in piece.to_pylist()]
+    assert [None if x is None else len(x) for x in found] == [400] * 20 + [0, None, 0, None, 400, 400]
+    assert max(sum(len(o["object"]) for x in piece.to_pylist() for o in x or []) for piece in pieces) <= payloads.AT_ONCE
+    raw = spark.createDataFrame([(i, b) for i, b in enumerate(given)], "file int, body string").coalesce(1)
+    rows = lambda: [tuple(r) for r in payloads.with_objects(raw, "body", ("skuId",)).select("file", "position", F.to_json("fields")).collect()]
+    whole = rows()
+    monkeypatch.setattr(payloads, "AT_ONCE", 10)
+    assert rows() == whole and len(whole) == 21 * 400
