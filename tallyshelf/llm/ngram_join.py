@@ -27,9 +27,9 @@ of the links that a piece of this work finds it returns a spanning forest. Which
 results. Very many copies of one text thus cost a comparison or a few each; what does grow with pairs are
 different texts that share fragments without being linked: they have to be told apart one by one.
 
-*Disk.* What is at once in shuffles is a fraction of all that goes through them: signatures are made and met in PASSES parts of their
-values, texts of needed sets are looked up in as many parts, and overlaps are counted in RANGES parts of the n-gram order, one after the
-other, each for so many pairs that their sets are no more bytes than all sets that are looked up. Small tables go in one part.
+*Disk.* What is at once in shuffles is a fraction of all that goes through them: overlaps are counted in RANGES parts of the n-gram order, one
+after the other, each for so many pairs that their sets are at most twice the bytes of all sets that are looked up. ``one_of_each``, which keeps the
+texts a second time, also makes signatures and looks up texts of needed sets in PASSES parts, for which all texts are hashed again. Small tables go in one part.
 
 All shuffles are keyed by signature, set, pair or document; none by a word, source or passage.
 
@@ -72,7 +72,7 @@ RARER = 10
 #: Into how many fragments compared sets are cut at least, and the elements of the first set that make one more.
 LEAST_FRAGMENTS, FRAGMENT_ELEMENTS = 4, 4096
 #: Into how many parts signatures, texts of needed sets and compared elements are divided, and up to how many bytes of elements they are not.
-PASSES, RANGES, UNDIVIDED = 2, 4, 1 << 26
+PASSES, RANGES, UNDIVIDED = 2, 3, 1 << 26
 #: N-grams in this many of up to AT_ONCE documents of a task are reported as common; the most frequent
 #: MOST_COMMON of all reports are left out of signatures. Which n-grams these are changes cost, not results.
 COMMON_IN, AT_ONCE, MOST_COMMON = 4, 2000, 1 << 17
@@ -523,7 +523,7 @@ def links(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
     size = bytes_of(elements)
     if size + sent <= UNDIVIDED:
         return keep(similar(partial_overlaps(dealt, elements)), "links")
-    found, shares = [], math.ceil(sent / max(size, UNDIVIDED)) or 1
+    found, shares = [], math.ceil(sent / max(2 * size, UNDIVIDED)) or 1
     for share in range(shares):
         some = dealt.where(F.pmod(F.xxhash64("u", "block"), F.lit(shares)) == share)
         parts = [keep(partial_overlaps(some, in_range(elements, i, RANGES)), "overlaps") for i in range(RANGES)]
@@ -664,8 +664,8 @@ def all_links(shared: DataFrame, elements: DataFrame, percent: int) -> DataFrame
     return found.unionByName(links(rest, elements, percent))
 
 
-def linked_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, component_id and the set's key, for every row of docs."""
+def linked_components(docs: DataFrame, n: int, percent: int, parts: int = 1) -> DataFrame:
+    """doc_id, n_shingles, component_id and the set's key, for every row of docs; signatures of large tables are made in so many parts."""
     rows = keep(set_rows(docs, n), "sets")
     sets = rows.where("n_shingles is not null").select("doc_id", "text_hash", "n_shingles", "key", "key64")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
@@ -675,7 +675,7 @@ def linked_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
         F.monotonically_increasing_id().alias("sid"), "key", "key64", "size", "n_rows", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash")
     )
     distinct = keep(distinct, "distinct-sets")
-    parts = PASSES if 8 * (distinct.agg(F.sum("size")).first()[0] or 0) > UNDIVIDED else 1
+    parts = parts if parts > 1 and 8 * (distinct.agg(F.sum("size")).first()[0] or 0) > UNDIVIDED else 1
     with passing(docs.sparkSession) as own:
         shared = shared_signatures(docs, n, percent, common_ngrams(rows), distinct, parts)
         needed = distinct.join(shared.select("sid").distinct(), "sid", "left_semi").select("sid", "key", "n_rows", "rep", "rep_hash")
@@ -702,7 +702,7 @@ def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
     Rows are linked and kept by numbers of their own, written with them, so doc_ids may be null or repeat.
     """
     numbered = keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered", "zstd")
-    found = linked_components(numbered.select(F.col(ROW).alias("doc_id"), "text"), n, percent)
+    found = linked_components(numbered.select(F.col(ROW).alias("doc_id"), "text"), n, percent, PASSES)
     ids = numbered.select(F.col(ROW).alias("row"), F.col("doc_id").alias("id"))
     rows = found.select(F.col("doc_id").alias("row"), "component_id", "key").join(ids, "row")
     first = F.min(F.struct(F.col("id").isNull(), "id", "key", "row")).alias("first")

@@ -226,7 +226,7 @@ def test_large_tables_are_compared_in_parts(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "keep", lambda df, name, *more: names.append(name) or keep(df, name, *more))
     monkeypatch.setattr(ngram_join, "UNDIVIDED", 0, raising=False)
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
-    found = ngram_join.linked_components(docs, 4, 85).drop("key").collect()
+    found = ngram_join.linked_components(docs, 4, 85, ngram_join.PASSES).drop("key").collect()
     assert sorted(map(tuple, found), key=repr) == brute_components(rows, 4, 85)
     assert names.count("elements") == ngram_join.PASSES and names.count("overlaps") >= 3 * ngram_join.RANGES
 
